@@ -11,6 +11,7 @@ from .text import (
     decimal_places,
     finite,
     is_blank,
+    let,
     number_text,
     plain_number,
     prefix_float,
@@ -53,13 +54,8 @@ def normalized_row(data: Column) -> Column:
 
 def field_confidence(field: Column, value: Column) -> Column:
     """Confidence of one raw value in its field."""
-    number = prefix_float(value)
-    coordinate = F.when(
-        number.isNull()
-        | ((field == "latitude") & ~number.between(-90, 90))
-        | ((field == "longitude") & ~number.between(-180, 180)),
-        0.3,
-    ).otherwise(0.85)
+    limit = F.when(field == "latitude", 90.0).otherwise(180.0)
+    coordinate = F.when(F.abs(prefix_float(value)) <= limit, 0.85).otherwise(0.3)
     return (
         F.when(value.isNull() | (value == ""), 0.0)
         .when(field == "asset_name", 0.9)
@@ -81,12 +77,15 @@ def mean_confidence(data: Column) -> Column:
 
 def parse_coordinate(value: Column, limit: int) -> Column:
     """``struct<value, valid, parsed>`` of a coordinate in ``[-limit, limit]``."""
-    number = finite(prefix_float(value))
-    return F.struct(
-        number.alias("value"),
-        F.coalesce(number.between(-limit, limit), F.lit(False)).alias("valid"),
-        number.isNotNull().alias("parsed"),
-    )
+
+    def parsed(number: Column) -> Column:
+        return F.struct(
+            finite(number).alias("value"),
+            F.coalesce(finite(number).between(-limit, limit), F.lit(False)).alias("valid"),
+            finite(number).isNotNull().alias("parsed"),
+        )
+
+    return let(prefix_float(value), parsed)
 
 
 def parse_latitude(value: Column) -> Column:
@@ -99,13 +98,13 @@ def parse_longitude(value: Column) -> Column:
 
 def parse_currency(value: Column, codes: list[str] | None = None) -> Column:
     """Upper-case three-letter code from the accepted list, else null."""
-    code = F.upper(trimmed(value))
-    return F.when((F.length(code) == 3) & code.isin(codes or vocab.CURRENCIES), code)
+    known = codes or vocab.CURRENCIES
+    return let(F.upper(trimmed(value)), lambda code: F.when(code.isin(known), code))
 
 
 def parse_amount(value: Column) -> Column:
     """Finite number from text that may hold separators and dollar signs."""
-    return finite(plain_number(value))
+    return let(plain_number(value), finite)
 
 
 def normalized_by_role(data: Column, roles: Column) -> Column:
@@ -151,7 +150,7 @@ def matches_role(column: Column, slot: str) -> Column:
 
 
 def is_numeric_text(value: Column) -> Column:
-    return finite(prefix_float(value)).isNotNull()
+    return let(prefix_float(value), finite).isNotNull()
 
 
 def is_date_text(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ LEADING_NUMBER = r"^([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 WHITESPACE_CLASS = f"[{CELL_WHITESPACE}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside higher-order functions Spark does not share common subexpressions, so an expression used
+    several times is bound to a lambda argument instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(value: Column) -> Column:
     """Text without leading and trailing whitespace of any kind."""
     return F.btrim(value, F.lit(CELL_WHITESPACE))
@@ -27,8 +38,7 @@ def blank_to_null(value: Column) -> Column:
 
 def prefix_float(value: Column) -> Column:
     """Longest leading number of the text; trailing text is ignored, no number gives null."""
-    number = F.regexp_extract(trimmed(value), LEADING_NUMBER, 1)
-    return F.when(number != "", number).try_cast("double")
+    return F.regexp_extract(trimmed(value), LEADING_NUMBER, 1).try_cast("double")
 
 
 def finite(value: Column) -> Column:
@@ -43,6 +53,10 @@ def plain_number(value: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Shortest decimal text of a double: no trailing ``.0``, plain digits from 1e-6 up to 1e21."""
+    return let(value, _number_text)
+
+
+def _number_text(value: Column) -> Column:
     text = value.cast("string")
     size = F.abs(value)
     plain = F.regexp_replace(text, r"\.0$", "")
@@ -62,8 +76,10 @@ def number_text(value: Column) -> Column:
 
 def decimal_places(value: Column) -> Column:
     """Digits after the decimal point in the number's shortest text."""
-    text = number_text(value)
-    return F.when(text.contains("."), F.length(F.substring_index(text, ".", -1))).otherwise(0)
+    return let(
+        number_text(value),
+        lambda t: F.when(t.contains("."), F.length(F.substring_index(t, ".", -1))).otherwise(0),
+    )
 
 
 def percent_text(score: Column) -> Column:

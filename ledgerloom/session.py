@@ -20,6 +20,11 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # Fixed, so that two passes over the same files cut them at the same places even when the
+        # number of executors changes in between.
+        slices = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(slices))
     return spark
 
 

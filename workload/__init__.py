@@ -2,11 +2,12 @@
 
 from importlib import import_module
 
-GROUPS = ["schema_queries"]
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-for _group in GROUPS:
-    _module = import_module(f"{__name__}.{_group}")
-    QUERIES.update(_module.QUERIES)
-    ORACLES.update(_module.ORACLES)
+from .registry import ORACLES, QUERIES
+
+for _group in (
+    "schema_queries", "scalar_queries", "row_queries", "sheet_queries", "enrichment_queries",
+    "table_queries", "layout_queries", "source_queries",
+):
+    import_module(f"{__name__}.{_group}")
+
+__all__ = ["ORACLES", "QUERIES"]
