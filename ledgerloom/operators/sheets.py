@@ -7,16 +7,15 @@ aggregates, joined with salt, or cut into blocks of rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import is_blank, number_text, trimmed
+from ..session import write_through
 from .headers import sheet_headers
-from .spread import gap_starts, join_per_key
+from .spread import gap_starts, join_measured
 
 SHEET = ["document_id", "sheet_name"]
 
@@ -41,17 +40,21 @@ def used_range(cells: DataFrame) -> DataFrame:
     )
 
 
-def top_cells(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Filled cells of the first rows of each sheet, with ``offset`` from its first row."""
-    near = join_per_key(cells.filter(is_filled()), ranges, SHEET, ["row_num"], "inner")
+def top_cells(cells: DataFrame) -> DataFrame:
+    """Filled cells of the first rows of each sheet, with ``offset`` from its first row.
+
+    Written out, since every header rule reads them; their number is bounded per sheet.
+    """
+    ranges = write_through(used_range(cells), "ranges")
+    near = join_measured(cells.filter(is_filled()), ranges, SHEET, ["row_num"], "inner")
     offset = F.col("row_num") - F.col("first_row")
-    return near.withColumn("offset", offset).filter(F.col("offset") < vocab.HEADER_SCAN_ROWS)
+    top = near.withColumn("offset", offset).filter(F.col("offset") < vocab.HEADER_SCAN_ROWS)
+    return write_through(top, "top-cells")
 
 
 def row_census(top: DataFrame) -> DataFrame:
     """Filled, text and number cells per row of ``top_cells``."""
-    return top.groupBy(*SHEET, "row_num").agg(
-        F.min("offset").alias("offset"),
+    return top.groupBy(*SHEET, "first_col", "row_num", "offset").agg(
         F.count("*").alias("filled"),
         F.count_if(_is_text()).alias("texts"),
         F.count_if(F.col("num_value").isNotNull()).alias("numbers"),
@@ -63,31 +66,38 @@ def _first_best(score: Column) -> Column:
     return -F.max(F.when(score.isNotNull(), F.struct(score, -F.col("row_num"))))["col2"]
 
 
-def header_by_transition(census: DataFrame) -> DataFrame:
-    """Text-heavy row followed by a more numeric one; the last candidate cannot win."""
-    step = W.partitionBy(*SHEET).orderBy("row_num")
-    rows = census.filter(F.col("filled") >= 2).withColumns(
-        {"next_numbers": F.lead("numbers").over(step), "next_filled": F.lead("filled").over(step)}
+def header_votes(census: DataFrame) -> DataFrame:
+    """Header row of each sheet by the rules that need only row counts.
+
+    ``by_transition``: text-heavy row followed by a more numeric one, scored; the last candidate
+    cannot win. ``by_text``: first row that is mostly text and has nearly as many texts as the
+    average candidate. ``by_first``: first row with two cells. ``by_fallback``: first row.
+    """
+    candidate = F.col("filled") >= 2
+    alike = W.partitionBy(*SHEET, "candidate")
+    step = alike.orderBy("row_num")
+    rows = census.withColumn("candidate", candidate).withColumns(
+        {
+            "next_numbers": F.lead("numbers").over(step),
+            "next_filled": F.lead("filled").over(step),
+            "mean_texts": F.avg("texts").over(alike),
+        }
     )
+    texts, filled, row = F.col("texts"), F.col("filled"), F.col("row_num")
     score = F.when(
-        F.col("next_filled").isNotNull(),
-        F.col("texts") / F.col("filled") * 40
+        F.col("candidate") & F.col("next_filled").isNotNull(),
+        texts / filled * 40
         + F.when(F.col("next_numbers") > F.col("numbers"), 25).otherwise(0)
         + F.when(F.col("next_numbers") / F.col("next_filled") > 0.3, 15).otherwise(0)
-        + F.col("filled") * 5
+        + filled * 5
         - F.col("offset") * 2,
     )
-    return rows.groupBy(*SHEET).agg(_first_best(score).alias("by_transition"))
-
-
-def header_by_text(census: DataFrame) -> DataFrame:
-    """First row that is mostly text and has nearly as many texts as the average row."""
-    rows = census.filter(F.col("filled") >= 2)
-    texts = F.col("texts")
-    rows = rows.withColumn("mean_texts", F.avg(texts).over(W.partitionBy(*SHEET)))
-    like_header = (texts / F.col("filled") > 0.6) & (texts > F.col("mean_texts") * 0.8)
-    return rows.groupBy(*SHEET).agg(
-        F.min(F.when(like_header, F.col("row_num"))).alias("by_text")
+    like_header = (texts / filled > 0.6) & (texts > F.col("mean_texts") * 0.8)
+    return rows.groupBy(*SHEET, "first_col").agg(
+        _first_best(score).alias("by_transition"),
+        F.min(F.when(F.col("candidate") & like_header, row)).alias("by_text"),
+        F.min(F.when(F.col("candidate"), row)).alias("by_first"),
+        F.min(row).alias("by_fallback"),
     )
 
 
@@ -115,45 +125,50 @@ def header_by_columns(top: DataFrame, census: DataFrame) -> DataFrame:
     return scored.groupBy(*SHEET).agg(_first_best(F.col("score")).alias("by_columns"))
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """Header row of every sheet with the verdict of each rule; sheets without cells are absent."""
-    ranges = used_range(cells)
-    top = top_cells(cells, ranges)
+def header_rows(top: DataFrame) -> DataFrame:
+    """Header row of every sheet with the verdict of each rule, from ``top_cells``."""
     census = row_census(top)
-    fallback = census.groupBy(*SHEET).agg(
-        F.min(F.when(F.col("filled") >= 2, F.col("row_num"))).alias("by_first"),
-        F.min("row_num").alias("by_fallback"),
-    )
-    verdicts = [header_by_transition(census), header_by_text(census), header_by_columns(top, census)]
-    joined = reduce(lambda a, b: a.join(b, SHEET, "left"), verdicts, fallback)
+    votes = header_votes(census).join(header_by_columns(top, census), SHEET, "left")
     order = ["by_transition", "by_text", "by_columns", "by_first", "by_fallback"]
-    return joined.join(ranges, SHEET).withColumn("header_row", F.coalesce(*order))
+    return votes.withColumn("header_row", F.coalesce(*order))
 
 
-def sheet_layout(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """Header row, width and normalised header names of each sheet.
+def sheet_layout(cells: DataFrame) -> DataFrame:
+    """Header row, width and normalised header names of each sheet, written out.
 
-    The width ends at the last non-blank header cell; columns beyond it do not exist.
+    The width ends at the last non-blank header cell; columns beyond it do not exist. The header is
+    among the first rows, so the full cells are not read again.
     """
-    found = (headers if headers is not None else header_rows(cells)).select(
-        *SHEET, "header_row", "first_col"
-    )
-    at = F.col("col_num") - F.col("first_col")
-    named = join_per_key(cells.filter(is_filled()), found, SHEET, ["row_num"], "inner").filter(
-        F.col("row_num") == F.col("header_row")
+    top = top_cells(cells)
+    found = header_rows(top).select(*SHEET, F.col("header_row").alias("row_num"))
+    at = (F.col("col_num") - F.col("first_col")).cast("int")
+    grouped = top.join(found, [*SHEET, "row_num"]).groupBy(
+        *SHEET, F.col("row_num").alias("header_row"), "first_col"
     )
-    grouped = named.groupBy(*SHEET, "header_row", "first_col").agg(
-        F.max(at + 1).cast("int").alias("width"),
-        F.map_from_entries(F.collect_list(F.struct(at.cast("int"), cell_text()))).alias("names"),
+    names = grouped.agg(
+        F.max(at + 1).alias("width"),
+        F.map_from_entries(F.collect_list(F.struct(at, cell_text()))).alias("names"),
     )
     places = F.sequence(F.lit(0), F.col("width") - 1)
     texts = F.transform(places, lambda i: F.try_element_at(F.col("names"), i))
-    return grouped.withColumn("headers", sheet_headers(texts)).drop("names")
+    layout = names.withColumn("headers", sheet_headers(texts)).drop("names")
+    return write_through(layout, "layout")
+
+
+def data_cells(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """Filled cells below the header and within its width; ``at`` counts columns from 0."""
+    placed = join_measured(
+        cells.filter(is_filled()), layout.drop("headers"), SHEET, ["row_num"], "inner"
+    )
+    at = (F.col("col_num") - F.col("first_col")).cast("int")
+    return placed.withColumn("at", at).filter(
+        (F.col("row_num") > F.col("header_row")) & F.col("at").between(0, F.col("width") - 1)
+    )
 
 
-def rows_before_long_gap(cells: DataFrame, layout: DataFrame) -> DataFrame:
+def rows_before_long_gap(data: DataFrame, layout: DataFrame) -> DataFrame:
     """Last row to keep, for sheets where a long run of empty rows ends the data."""
-    filled = cells.select(*SHEET, "row_num").distinct()
+    filled = data.select(*SHEET, "row_num").distinct()
     starts = layout.select(*SHEET, F.col("header_row").alias("row_num"))
     return gap_starts(filled.unionByName(starts), SHEET, "row_num", vocab.EMPTY_ROW_LIMIT)
 
@@ -163,21 +178,18 @@ def sheet_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
     Empty rows, rows after a long empty run, and single-cell note rows are left out.
     """
-    at = (F.col("col_num") - F.col("first_col")).cast("int")
-    keep = (F.col("row_num") > F.col("header_row")) & at.between(0, F.col("width") - 1)
-    placed = join_per_key(cells.filter(is_filled()), layout, SHEET, ["row_num"], "inner")
-    data = placed.filter(keep)
-    ends = rows_before_long_gap(data, layout)
+    data = data_cells(cells, layout)
+    ends = write_through(rows_before_long_gap(data, layout), "ends")
+    text_length = F.when(_is_text() & (F.col("at") == 0), F.length(trimmed(F.col("str_value"))))
     rows = data.groupBy(*SHEET, "row_num").agg(
-        F.map_from_entries(F.collect_list(F.struct(at, cell_text()))).alias("cells"),
-        F.max(F.when(_is_text() & (at == 0), F.length(trimmed(F.col("str_value")))))
-        .alias("first_length"),
+        F.map_from_entries(F.collect_list(F.struct("at", cell_text()))).alias("cells"),
+        F.coalesce(F.max(text_length), F.lit(0)).alias("first_length"),
     )
-    note = (F.size("cells") == 1) & (F.coalesce("first_length", F.lit(0)) > vocab.NOTE_MIN_LENGTH)
-    rows = join_per_key(rows.filter(~note), ends, SHEET, ["row_num"], "left").filter(
+    note = (F.size("cells") == 1) & (F.col("first_length") > vocab.NOTE_MIN_LENGTH)
+    kept = join_measured(rows.filter(~note), ends, SHEET, ["row_num"]).filter(
         F.col("gap_after").isNull() | (F.col("row_num") <= F.col("gap_after"))
     )
-    named = join_per_key(rows, layout.select(*SHEET, "headers"), SHEET, ["row_num"], "inner")
+    named = join_measured(kept, layout.select(*SHEET, "headers"), SHEET, ["row_num"], "inner")
     values = F.transform("headers", lambda h, i: F.try_element_at(F.col("cells"), i))
     return named.withColumn("values", values).select(
         *SHEET,
