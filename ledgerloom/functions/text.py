@@ -57,20 +57,29 @@ def number_text(value: Column) -> Column:
 
 
 def _number_text(value: Column) -> Column:
-    text = value.cast("string")
+    exact = value.cast("string")
+    # Java 17 may print a 17th digit that is not needed to read the same number back.
+    rounded = F.format_string("%.15e", value)
+    spare = (F.length(exact) >= 18) & (rounded.try_cast("double") == value)
+    return let(F.when(spare, rounded).otherwise(exact), lambda text: _layout(value, text))
+
+
+def _layout(value: Column, text: Column) -> Column:
+    """Digits of ``text`` written plainly, or with an exponent for very small and large numbers."""
     size = F.abs(value)
-    plain = F.regexp_replace(text, r"\.0$", "")
-    large = F.regexp_replace(text.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    small = F.regexp_replace(text.try_cast("decimal(38,25)").cast("string"), r"\.?0+$", "")
-    exponent = F.regexp_replace(
-        F.regexp_replace(text, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-"
-    )
+
+    def digits(kind: str) -> Column:
+        return F.regexp_replace(text.try_cast(kind).cast("string"), r"\.?0+$", "")
+
+    mantissa = F.regexp_replace(F.substring_index(F.lower(text), "e", 1), r"\.?0+$", "")
+    power = F.regexp_replace(F.substring_index(F.lower(text), "e", -1), r"^(\+|-)?0*", "")
+    sign = F.when(size < 1, "e-").otherwise("e+")
     return (
         F.when(value == 0, "0")
-        .when(~text.contains("E"), plain)
-        .when((size >= 1e7) & (size < 1e21), large)
-        .when((size >= 1e-6) & (size < 1), small)
-        .otherwise(exponent)
+        .when(~F.lower(text).contains("e"), F.regexp_replace(text, r"\.0$", ""))
+        .when((size >= 1e7) & (size < 1e21), digits("decimal(38,10)"))
+        .when((size >= 1e-6) & (size < 1e7), digits("decimal(38,25)"))
+        .otherwise(F.concat(mantissa, sign, power))
     )
 
 

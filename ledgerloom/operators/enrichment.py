@@ -81,18 +81,25 @@ def direct_answers(rows: DataFrame) -> DataFrame:
 
 
 def rule_answers(rows: DataFrame) -> DataFrame:
-    """Built-in provider: column values first, currency from the country where it is missing."""
-    place = trimmed(slot_value("jurisdiction"))
-    given = parse_currency(slot_value("currency"))
+    """Built-in provider: column values first, currency from the country where it is missing.
+
+    Columns are found through ``filled``, the mapping with open slots filled.
+    """
+
+    def slot(name: str) -> Column:
+        return slot_value(name, slots="filled")
+
+    place = trimmed(slot("jurisdiction"))
+    given = parse_currency(slot("currency"))
     looked_up = value_of(literal_map(vocab.COUNTRY_CURRENCY), F.upper(place))
     currency = F.coalesce(given, looked_up)
-    lat, lng = parse_latitude(slot_value("latitude")), parse_longitude(slot_value("longitude"))
-    kind = blank_to_null(trimmed(slot_value("asset_type")))
+    lat, lng = parse_latitude(slot("latitude")), parse_longitude(slot("longitude"))
+    kind = blank_to_null(trimmed(slot("asset_type")))
     inferred = given.isNull() & looked_up.isNotNull()
     off_globe = (lat["parsed"] & ~lat["valid"]) | (lng["parsed"] & ~lng["valid"])
     return rows.select(
         *KEY, "data", "slots",
-        slot_value("asset_name").alias("normalized_name"),
+        slot("asset_name").alias("normalized_name"),
         currency.alias("currency"),
         kind.alias("asset_type"),
         blank_to_null(place).alias("jurisdiction"),

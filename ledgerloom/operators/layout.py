@@ -86,10 +86,10 @@ def with_clusters(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFram
 
 
 def text_blocks(clustered: DataFrame) -> DataFrame:
-    """Blocks with text (items in x order), type and bounding box."""
+    """Blocks with text (items in x order, then y order), type and bounding box."""
     wide = (F.col("x_variance") > 5000) & (F.col("y_variance") < 100)
     zero = F.lit(0.0)
-    parts = F.array_sort(F.collect_list(F.struct("x", "item", "text")))
+    parts = F.array_sort(F.collect_list(F.struct("x", "y", "item", "text")))
     blocks = clustered.groupBy(*BLOCK).agg(
         F.count("*").alias("items"),
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),

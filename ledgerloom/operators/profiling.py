@@ -148,26 +148,27 @@ def assign_roles(profile: DataFrame) -> DataFrame:
     )
 
 
-def slot_mapping(roles: DataFrame, fill_slots: bool = False) -> DataFrame:
-    """One row per document with the column chosen for each slot (``slots`` struct).
+def slot_mapping(roles: DataFrame) -> DataFrame:
+    """One row per document with the column chosen for each slot.
 
-    The first column that hit a slot's keywords takes it. With ``fill_slots`` an open slot is also
-    given to the column with the canonical name, else to the first column with the slot's role.
+    ``slots``: the first column that hit a slot's keywords takes it. ``filled``: an open slot is
+    also given to the column with the canonical name, else to the first column with the slot's role.
     """
+    usable = F.col("role") != "irrelevant"
     picks = []
     for slot in vocab.SLOTS:
         chosen = F.when(F.col("slot") == slot, F.struct("column_pos", "column"))
-        pick = F.min(chosen)["column"]
-        if fill_slots:
-            usable = F.col("role") != "irrelevant"
-            exact = usable & (F.col("column") == vocab.SLOT_CANONICAL[slot])
-            same_role = usable & (F.col("role") == slot)
-            rank = F.when(exact, F.lit(0)).when(same_role, F.lit(1))
-            spare = F.min(F.when(rank.isNotNull(), F.struct(rank, "column_pos", "column")))
-            pick = F.coalesce(pick, spare["column"])
-        picks.append(pick.alias(slot))
+        exact = usable & (F.col("column") == vocab.SLOT_CANONICAL[slot])
+        rank = F.when(exact, 0).when(usable & (F.col("role") == slot), 1)
+        spare = F.when(rank.isNotNull(), F.struct(rank, "column_pos", "column"))
+        picks += [
+            F.min(chosen)["column"].alias(slot), F.min(spare)["column"].alias(f"spare_{slot}")
+        ]
     wide = roles.groupBy("document_id").agg(*picks)
-    return wide.select("document_id", F.struct(*vocab.SLOTS).alias("slots"))
+    filled = [F.coalesce(slot, f"spare_{slot}").alias(slot) for slot in vocab.SLOTS]
+    return wide.select(
+        "document_id", F.struct(*vocab.SLOTS).alias("slots"), F.struct(*filled).alias("filled")
+    )
 
 
 def mapped_slots(slots: Column, names: list[str] | None = None) -> Column:
@@ -188,6 +189,7 @@ def schema_quality(mapping: DataFrame) -> DataFrame:
     return mapping.select(
         "document_id",
         "slots",
+        "filled",
         (mapped / 4).alias("completeness"),
         F.when(mapped > 0, 0.3).otherwise(0.9).alias("ambiguity_score"),
         F.lit(1.0).alias("deterministic_coverage"),
@@ -266,14 +268,11 @@ def verify_schema(quality: DataFrame) -> DataFrame:
     return quality.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
 
 
-def infer_schema(
-    rows: DataFrame,
-    proposed: DataFrame | None = None,
-    fill_slots: bool = False,
-) -> DataFrame:
+def infer_schema(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """Schema of every document: sample, profile, proposal or rules, mapping, quality, checks.
 
     A document that has a proposal takes it (merged with the profile); the others take the rules.
+    ``slots`` is the mapping as inferred, ``filled`` the one with open slots filled from roles.
     """
     sample = head_sample(rows)
     profile = column_profile(sample)
@@ -288,8 +287,7 @@ def infer_schema(
             .select("document_id", "column", "column_pos", "role", "slot")
             .unionByName(merged.select("document_id", "column", "column_pos", "role", "slot"))
         )
-    mapping = slot_mapping(roles, fill_slots)
-    return verify_schema(schema_quality(mapping))
+    return verify_schema(schema_quality(slot_mapping(roles)))
 
 
 def attach_schema(documents: DataFrame, schema: DataFrame) -> DataFrame:

@@ -297,7 +297,11 @@ def entity_id() -> Column:
 
 
 def review_items(scored: DataFrame) -> DataFrame:
-    """Review-queue rows for the answers that must be looked at."""
+    """Review-queue rows for the answers that must be looked at.
+
+    Best given a scored table that has been written out: the filter on the reasons would otherwise
+    make the planner repeat the scoring expressions inside the filter.
+    """
     found = scored.withColumn("_why", escalation_reasons()).filter(F.size("_why") > 0)
     return found.select(
         "document_id",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import normalized_row, parsed_values
-from ..operators.enrichment import KEY, NOT_CONFIGURED, answers_for, enriched_records, rule_answers
+from ..operators.enrichment import NOT_CONFIGURED, answers_for, enriched_records, rule_answers
 from ..operators.profiling import infer_schema
 from ..operators.routing import route_rows
 from ..operators.scoring import review_items, score_answers, validate_answers, validation_flags
@@ -21,16 +21,19 @@ def normalize_rows(raw_rows: DataFrame) -> DataFrame:
     return raw_rows.withColumn("data", normalized_row(parsed_values(F.col("raw"))))
 
 
-def document_schemas(
-    rows: DataFrame, proposed: DataFrame | None = None, fill_slots: bool = True
-) -> DataFrame:
+def document_schemas(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """Schema per document, written out: the second pass then knows how large it is."""
-    return write_through(infer_schema(rows, proposed, fill_slots), "schemas")
+    return write_through(infer_schema(rows, proposed), "schemas")
 
 
 def route_documents(rows: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Second pass: every row with its document's slots, route, reasons and first confidence."""
-    slots = schemas.select("document_id", "slots")
+    """Second pass: every row with its document's slots, route, reasons and first confidence.
+
+    Routing looks at the filled slots; ``inferred_slots`` keeps those that keywords decided.
+    """
+    slots = schemas.select(
+        "document_id", F.col("filled").alias("slots"), F.col("slots").alias("inferred_slots")
+    )
     joined = join_measured(rows, slots, ["document_id"], ["sheet_name", "row_index"])
     return route_rows(joined)
 
@@ -52,7 +55,9 @@ class Enrichment:
 
 
 def scored_answers(ambiguous: DataFrame, answer=rule_answers) -> DataFrame:
-    return score_answers(validate_answers(answers_for(ambiguous, answer)))
+    """Answers with checks and scores. Enrichment judges rows by the slots that keywords decided."""
+    rows = ambiguous.withColumns({"filled": F.col("slots"), "slots": F.col("inferred_slots")})
+    return score_answers(validate_answers(answers_for(rows, answer)))
 
 
 def enrich(ambiguous: DataFrame, answer=rule_answers) -> Enrichment:
@@ -71,9 +76,3 @@ def enrich(ambiguous: DataFrame, answer=rule_answers) -> Enrichment:
     return Enrichment(
         enriched_records(scored), validation_flags(scored), review_items(scored), errors
     )
-
-
-__all__ = [
-    "KEY", "Enrichment", "document_schemas", "enrich", "normalize_rows", "route_documents",
-    "scored_answers", "settled_and_ambiguous",
-]

@@ -56,7 +56,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("document_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
-        F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+        F.col("value").alias("line"),
     )
 
 
@@ -122,7 +122,9 @@ def csv_rows(spark: SparkSession, path: str | list[str], multiline: bool = False
     header are in ``extra_values`` and, as ``_<position>``, in ``raw``.
     """
     lines = read_lines(spark, path)
+    line_end = F.regexp_replace("line", "\r$", "")
     numbered = _joined_records(lines) if multiline else _numbered_lines(lines)
+    numbered = numbered.withColumn("line", line_end)
     names = csv_headers(split_fields(F.col("line")))
     heads = write_through(
         numbered.filter("record_no = 0").select("document_id", names.alias("headers")), "headers"

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
 
 FILES_PER_TRIGGER = 3
+ATTEMPTS = 3
 BATCH_COLUMN = "load_batch"
 
 
@@ -31,20 +33,30 @@ def write_batch(df: DataFrame, batch_id: int, table: str) -> None:
 def run_available(
     stream: DataFrame, table: str, checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
+    attempts: int = ATTEMPTS,
 ):
-    """Process everything that has arrived, then stop. Returns the finished query."""
+    """Process everything that has arrived, then stop. Returns the finished query.
+
+    A failed run is started again from the checkpoint: finished batches are not repeated, and the
+    batch that failed replaces whatever it had written.
+    """
 
     def step(df: DataFrame, batch_id: int) -> None:
         write_batch(transform(df), batch_id, table)
 
-    query = (
-        stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    for attempt in range(1, attempts + 1):
+        query = (
+            stream.writeStream.foreachBatch(step)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if attempt == attempts:
+                raise
 
 
 def loaded(spark: SparkSession, table: str, schema: str) -> DataFrame:

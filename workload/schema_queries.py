@@ -180,8 +180,8 @@ def slot_mapping(spark, folder):
 )
 def filled_slots(spark, folder):
     profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
-    mapping = profiling.slot_mapping(profiling.assign_roles(profile), fill_slots=True)
-    return mapping.select("document_id", "slots.*")
+    mapping = profiling.slot_mapping(profiling.assign_roles(profile))
+    return mapping.select("document_id", "filled.*")
 
 
 @query(
@@ -193,7 +193,7 @@ def filled_slots(spark, folder):
 def schema_quality(spark, folder):
     profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
     mapping = profiling.slot_mapping(profiling.assign_roles(profile))
-    return profiling.schema_quality(mapping).drop("slots")
+    return profiling.schema_quality(mapping).drop("slots", "filled")
 
 
 PROPOSED_SQL = """

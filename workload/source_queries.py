@@ -1 +1,139 @@
-"""Queries."""
+"""File scans and streaming loads over files that Spark writes from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.layout import line_records
+from ledgerloom.session import shared_folder
+from ledgerloom.sources.csv import csv_rows, valid_csv_rows
+from ledgerloom.streaming import ingest
+
+from .registry import query
+from .views import table
+
+
+def write_csv(df, **options):
+    """Write CSV files with a header each; returns their folder."""
+    path = shared_folder(df.sparkSession, "csv")
+    given = {
+        "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False, **options,
+    }
+    df.write.options(**given).csv(path)
+    return path
+
+
+def cell(name):
+    return F.try_element_at(F.col("raw"), F.lit(name))
+
+
+@query(
+    "csv_scan",
+    """SELECT p_partkey::VARCHAR AS part_key, concat(p_name, ', "', p_brand, '"') AS description, p_type AS part_type FROM part""",
+)
+def csv_scan(spark, folder):
+    """Fields with commas and quotes survive the scan."""
+    text = F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"'))
+    part = table(spark, folder, "part").select(
+        F.col("p_partkey").alias(" Part Key"), text.alias("Description"),
+        F.col("p_type").alias("Part Type "),
+    )
+    rows = csv_rows(spark, write_csv(part.repartition(4)))
+    return rows.select(
+        cell("part_key").alias("part_key"), cell("description").alias("description"),
+        cell("part_type").alias("part_type"),
+    )
+
+
+@query(
+    "csv_scan_line_breaks",
+    "SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS text_hash, length(text)::BIGINT AS length FROM documents",
+)
+def csv_scan_line_breaks(spark, folder):
+    """Whole document texts, line breaks included, survive the scan."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rows = csv_rows(spark, write_csv(documents.repartition(4), quoteAll=True), multiline=True)
+    return rows.select(
+        cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
+        F.length(cell("text")).alias("length"),
+    )
+
+
+
+@query(
+    "csv_row_warnings",
+    """SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'Missing columns: priority.' WHEN o_orderkey % 10 = 1 THEN 'Extra columns detected: 1.' ELSE 'none' END AS reason,
+         CASE WHEN o_orderkey % 10 > 1 THEN o_orderstatus END AS status,
+         CASE WHEN o_orderkey % 10 > 1 THEN o_orderpriority END AS priority, count(*) AS n FROM orders GROUP BY ALL""",
+)
+def csv_row_warnings(spark, folder):
+    """Short and long lines become warnings, the others stay rows."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    digit = F.col("o_orderkey") % 10
+    line = (
+        F.when(digit == 0, status)
+        .when(digit == 1, F.concat_ws(",", status, priority, F.lit("EXTRA")))
+        .otherwise(F.concat_ws(",", status, priority))
+    )
+    lines = table(spark, folder, "orders").select(line.alias("status,priority"))
+    good, bad = valid_csv_rows(spark, write_csv(lines.repartition(3), sep="\u0001"))
+    none = F.lit(None).cast("string")
+    kept = good.select(
+        F.lit("none").alias("reason"), cell("status").alias("status"),
+        cell("priority").alias("priority"),
+    )
+    lost = bad.select("reason", none.alias("status"), none.alias("priority"))
+    return kept.unionByName(lost).groupBy("reason", "status", "priority").agg(
+        F.count("*").alias("n")
+    )
+
+
+ORDER_SCHEMA = "o_orderkey bigint, o_orderstatus string"
+
+
+def load_orders(spark, folder):
+    """Orders as eight CSV files, loaded three at a time, then once more with nothing new."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    arrived = write_csv(orders.repartition(8))
+    target, state = shared_folder(spark, "loaded"), shared_folder(spark, "stream-state")
+    for _ in range(2):
+        stream = ingest.stream_files(spark, arrived, ORDER_SCHEMA, header="true")
+        ingest.run_available(stream, target, state)
+    return ingest.loaded(spark, target, ORDER_SCHEMA)
+
+
+@query("streamed_files", "SELECT o_orderkey, o_orderstatus FROM orders")
+def streamed_files(spark, folder):
+    return load_orders(spark, folder).select("o_orderkey", "o_orderstatus")
+
+
+@query(
+    "stream_batches",
+    "SELECT 3::BIGINT AS batches, count(*) AS total, TRUE AS all_once FROM orders",
+)
+def stream_batches(spark, folder):
+    loaded = load_orders(spark, folder)
+    once = F.count_distinct("o_orderkey") == F.count("*")
+    metrics = ingest.batch_metrics(loaded).agg(
+        F.count("*").alias("batches"), F.sum("rows").alias("total")
+    )
+    return metrics.withColumn("all_once", loaded.agg(once).scalar())
+
+
+@query(
+    "streamed_lines",
+    """SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) l
+       WHERE line <> '' GROUP BY doc_id""",
+)
+def streamed_lines(spark, folder):
+    """Document texts streamed from parquet and split into line records on the way in."""
+    schema = table(spark, folder, "documents").select("doc_id", "text").schema.simpleString()[7:-1]
+    typed = ", ".join(part.replace(":", " ") for part in schema.split(","))
+    stream = ingest.stream_files(
+        spark, folder, typed, kind="parquet", pathGlobFilter="documents.parquet"
+    )
+    target, state = shared_folder(spark, "lines"), shared_folder(spark, "stream-state")
+    ingest.run_available(stream, target, state, line_records)
+    lines = ingest.loaded(spark, target, "doc_id bigint, line string, line_number int")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"))
