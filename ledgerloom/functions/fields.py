@@ -12,6 +12,7 @@ from .text import (
     finite,
     is_blank,
     let,
+    number_as_text,
     number_text,
     plain_number,
     prefix_float,
@@ -20,7 +21,8 @@ from .text import (
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """Constant map; written as SQL text because one expression per entry is slow to build."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in pairs.items()) + ")")
 
 
 def value_of(data: Column, key: Column) -> Column:
@@ -40,11 +42,10 @@ def canonical_keys(data: Column) -> Column:
 
 def normalized_value(field: Column, value: Column) -> Column:
     """Field value in stored form: numbers for coordinates and amounts, trimmed text otherwise."""
-    return (
-        F.when(field.isin(vocab.COORDINATE_FIELDS), number_text(prefix_float(value)))
-        .when(field.isin(vocab.AMOUNT_FIELDS), number_text(plain_number(value)))
-        .otherwise(trimmed(value))
-    )
+    amount = field.isin(vocab.AMOUNT_FIELDS)
+    digits = F.when(amount, F.translate(value, ",$", "")).otherwise(value)
+    numeric = amount | field.isin(vocab.COORDINATE_FIELDS)
+    return F.when(numeric, number_as_text(digits)).otherwise(trimmed(value))
 
 
 def normalized_row(data: Column) -> Column:
@@ -88,6 +89,12 @@ def parse_coordinate(value: Column, limit: int) -> Column:
     return let(prefix_float(value), parsed)
 
 
+def off_limits(value: Column, limit: int) -> Column:
+    """True for a coordinate that parses but lies outside ``[-limit, limit]``."""
+    size = F.abs(prefix_float(value))
+    return F.coalesce((size > limit) & (size != float("inf")), F.lit(False))
+
+
 def parse_latitude(value: Column) -> Column:
     return parse_coordinate(value, 90)
 

@@ -76,13 +76,26 @@ def _layout(value: Column, text: Column) -> Column:
     sign = F.when(size < 1, "e-").otherwise("e+")
     return (
         F.when(value == 0, "0")
-        .when(~F.lower(text).contains("e"), F.regexp_replace(text, r"\.0$", ""))
+        .when(text.endswith(".0"), F.substr(text, F.lit(1), F.length(text) - 2))
+        .when(~(text.contains("E") | text.contains("e")), text)
         .when((size >= 1e7) & (size < 1e21), digits("decimal(38,10)"))
         .when((size >= 1e-6) & (size < 1e7), digits("decimal(38,25)"))
         .otherwise(F.concat(mantissa, sign, power))
     )
 
 
+PLAIN_NUMBER = r"^(?:0|-?[1-9]\d{0,14}|-?(?:0|[1-9]\d{0,6})\.\d{0,5}[1-9])$"
+
+
+def number_as_text(value: Column) -> Column:
+    """``number_text`` of the leading number; text that already has that form is kept as it is."""
+
+    def form(text: Column) -> Column:
+        return F.when(text.rlike(PLAIN_NUMBER), text).otherwise(number_text(prefix_float(text)))
+
+    return let(trimmed(value), form)
+
+
 def decimal_places(value: Column) -> Column:
     """Digits after the decimal point in the number's shortest text."""
     return let(

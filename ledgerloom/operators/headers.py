@@ -72,11 +72,16 @@ def has_required_headers(headers: Column, required: list[str]) -> Column:
     return F.size(F.array_except(wanted, strict_headers(headers))) == 0
 
 
+def filled_index(min_columns: int = 2) -> Column:
+    """0-based index of a sample row that has enough values, null for other rows."""
+    filled = F.size(F.filter(F.map_values("data"), lambda v: v.isNotNull() & (v != "")))
+    return F.when(filled >= min_columns, F.col("sample_pos") - 1)
+
+
 def data_start(sample: DataFrame, min_columns: int = 2) -> DataFrame:
     """0-based index, per document, of the first sample row with enough values; 0 if none has.
 
     ``sample`` holds ``document_id``, 1-based ``sample_pos`` and the row map ``data``.
     """
-    filled = F.size(F.filter(F.map_values("data"), lambda v: v.isNotNull() & (v != "")))
-    index = F.when(filled >= min_columns, F.col("sample_pos") - 1)
-    return sample.groupBy("document_id").agg(F.coalesce(F.min(index), F.lit(0)).alias("start"))
+    first = F.coalesce(F.min(filled_index(min_columns)), F.lit(0))
+    return sample.groupBy("document_id").agg(first.alias("start"))

@@ -1,7 +1,8 @@
 """Page layout: positioned text items to blocks, and text rules for scanned pages.
 
 Bands and clusters depend only on the distinct positions on a page, so those are reduced first and
-the items look up their group afterwards; no task has to hold the items of a page.
+the items look up their group afterwards; no task has to hold the items of a page. There may be
+as many pages as tasks can hold keys, so these joins are not salted: Spark splits a hot partition.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import WHITESPACE_CLASS, blank_to_null, trimmed
-from .spread import join_per_key
 
 PAGE = ["document_id", "page"]
 BAND = [*PAGE, "band"]
@@ -65,7 +65,7 @@ def band_starts(items: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame
 
 def with_bands(items: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame:
     """Add ``band``, counted from 0 at the top of the page."""
-    joined = join_per_key(items, band_starts(items, reach), PAGE, ["item"], "inner")
+    joined = items.join(band_starts(items, reach), PAGE)
     above = F.filter("band_starts", lambda start: start <= F.col("y"))
     return joined.withColumn("band", F.size(above) - 1).drop("band_starts")
 
@@ -80,7 +80,7 @@ def cluster_starts(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFra
 
 def with_clusters(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFrame:
     """Add ``cluster``, counted from 0 at the left of the band."""
-    joined = join_per_key(banded, cluster_starts(banded, gap), BAND, ["item"], "inner")
+    joined = banded.join(cluster_starts(banded, gap), BAND)
     left = F.filter("cluster_starts", lambda start: start <= F.col("x"))
     return joined.withColumn("cluster", F.size(left) - 1).drop("cluster_starts")
 

@@ -17,10 +17,11 @@ from ..functions.fields import (
     is_date_text,
     is_numeric_text,
     is_profile_currency,
+    literal_map,
     matches_role,
 )
 from ..functions.text import prefix_float
-from .headers import data_start
+from .headers import filled_index
 from .spread import first_rows
 
 ROW_ORDER = ["sheet_name", "row_index"]
@@ -49,7 +50,11 @@ def distinct_columns(cells: DataFrame) -> DataFrame:
 
 def column_profile(sample: DataFrame) -> DataFrame:
     """Type and hints of every column from the first rows of data in the sample."""
-    cells = sample_cells(sample).join(data_start(sample), "document_id")
+    start = F.coalesce(F.min(filled_index()).over(W.partitionBy("document_id")), F.lit(0))
+    cells = sample.withColumn("start", start).select(
+        "document_id", "sample_pos", "start",
+        F.posexplode("data").alias("key_pos", "column", "value"),
+    )
     at = F.col("sample_pos") - F.col("start")
     used = at.between(1, vocab.PROFILE_ROWS) & F.col("value").isNotNull() & (F.col("value") != "")
     shown = at.between(1, vocab.TYPE_ROWS) & F.col("value").isNotNull()
@@ -105,26 +110,25 @@ def column_types(sample: DataFrame) -> DataFrame:
     )
 
 
-def _keyword_hit(name: Column) -> Column:
-    """First keyword, in slot order, contained in the bare column name."""
-    table = F.array(
-        *[
-            F.struct(F.lit(slot).alias("slot"), F.lit(word).alias("word"))
-            for slot, words in vocab.ROLE_KEYWORDS.items()
-            for word in words
-        ]
+def _keyword_hit() -> Column:
+    """First keyword, in slot order, contained in the bare column name (``bare``)."""
+    entries = ", ".join(
+        f"struct('{slot}' AS slot, '{word}' AS word)"
+        for slot, words in vocab.ROLE_KEYWORDS.items()
+        for word in words
     )
-    return F.get(F.filter(table, lambda entry: name.contains(entry["word"])), F.lit(0))
+    return F.expr(f"get(filter(array({entries}), entry -> contains(bare, entry.word)), 0)")
 
 
 def assign_roles(profile: DataFrame) -> DataFrame:
     """Rule-based role of every profiled column; ``slot`` is set when a keyword decided."""
-    bare = bare_name(F.col("column"))
-    hit = F.col("_hit")
+    bare, hit = F.col("bare"), F.col("_hit")
     latitude = bare.contains("lat") | (bare == "y")
-    slot_role = F.create_map(*[F.lit(x) for p in vocab.SLOT_ROLE.items() for x in p])
+    slot_role = literal_map(vocab.SLOT_ROLE)
     by_rule = F.col("is_empty") | F.col("is_coordinate") | F.col("is_currency")
-    named = profile.withColumn("_hit", F.when(~by_rule, _keyword_hit(bare)))
+    named = profile.withColumn("bare", bare_name(F.col("column"))).withColumn(
+        "_hit", F.when(~by_rule, _keyword_hit())
+    )
     return named.select(
         "document_id",
         "column",
@@ -154,29 +158,31 @@ def slot_mapping(roles: DataFrame) -> DataFrame:
     ``slots``: the first column that hit a slot's keywords takes it. ``filled``: an open slot is
     also given to the column with the canonical name, else to the first column with the slot's role.
     """
-    usable = F.col("role") != "irrelevant"
     picks = []
     for slot in vocab.SLOTS:
-        chosen = F.when(F.col("slot") == slot, F.struct("column_pos", "column"))
-        exact = usable & (F.col("column") == vocab.SLOT_CANONICAL[slot])
-        rank = F.when(exact, 0).when(usable & (F.col("role") == slot), 1)
-        spare = F.when(rank.isNotNull(), F.struct(rank, "column_pos", "column"))
+        canonical = vocab.SLOT_CANONICAL[slot]
         picks += [
-            F.min(chosen)["column"].alias(slot), F.min(spare)["column"].alias(f"spare_{slot}")
+            F.expr(
+                f"min(CASE WHEN slot = '{slot}' THEN struct(column_pos, column) END).column"
+            ).alias(slot),
+            F.expr(
+                f"""min(CASE WHEN role = 'irrelevant' THEN NULL
+                    WHEN column = '{canonical}' THEN struct(0 AS rank, column_pos, column)
+                    WHEN role = '{slot}' THEN struct(1 AS rank, column_pos, column) END).column"""
+            ).alias(f"spare_{slot}"),
         ]
     wide = roles.groupBy("document_id").agg(*picks)
-    filled = [F.coalesce(slot, f"spare_{slot}").alias(slot) for slot in vocab.SLOTS]
+    both = ", ".join(f"coalesce({slot}, spare_{slot}) AS {slot}" for slot in vocab.SLOTS)
     return wide.select(
-        "document_id", F.struct(*vocab.SLOTS).alias("slots"), F.struct(*filled).alias("filled")
+        "document_id",
+        F.struct(*vocab.SLOTS).alias("slots"),
+        F.expr(f"struct({both})").alias("filled"),
     )
 
 
-def mapped_slots(slots: Column, names: list[str] | None = None) -> Column:
-    """Number of slots that have a column."""
-    total = F.lit(0)
-    for slot in names or vocab.SLOTS:
-        total = total + F.when(slots[slot].isNotNull(), 1).otherwise(0)
-    return total
+def mapped_slots(names: list[str] | None = None) -> Column:
+    """Number of slots that have a column, of all or of the named ones."""
+    return F.expr(" + ".join(f"int(slots.{slot} IS NOT NULL)" for slot in names or vocab.SLOTS))
 
 
 def unmapped_columns(roles: DataFrame) -> DataFrame:
@@ -185,7 +191,7 @@ def unmapped_columns(roles: DataFrame) -> DataFrame:
 
 def schema_quality(mapping: DataFrame) -> DataFrame:
     """Completeness, ambiguity and coverage of each document's slot mapping."""
-    mapped = mapped_slots(F.col("slots"))
+    mapped = mapped_slots()
     return mapping.select(
         "document_id",
         "slots",
@@ -237,7 +243,7 @@ def merge_with_profile(proposed: DataFrame, profile: DataFrame) -> DataFrame:
 
 def verify_schema(quality: DataFrame) -> DataFrame:
     """Reasons why a schema is not good enough; ``passed`` when there are none."""
-    mapped = mapped_slots(F.col("slots"), vocab.REQUIRED_SLOTS)
+    mapped = mapped_slots(vocab.REQUIRED_SLOTS)
 
     def two(name: str) -> Column:
         return F.format_string("%.2f", F.col(name))
@@ -268,13 +274,14 @@ def verify_schema(quality: DataFrame) -> DataFrame:
     return quality.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
 
 
-def infer_schema(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
-    """Schema of every document: sample, profile, proposal or rules, mapping, quality, checks.
+def infer_schema(sample: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """Schema of every document from its ``head_sample`` with normalised ``data``.
+
+    Profile, proposal or rules, slot mapping, quality, checks.
 
     A document that has a proposal takes it (merged with the profile); the others take the rules.
     ``slots`` is the mapping as inferred, ``filled`` the one with open slots filled from roles.
     """
-    sample = head_sample(rows)
     profile = column_profile(sample)
     roles = assign_roles(profile)
     if proposed is not None:

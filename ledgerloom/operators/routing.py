@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.fields import is_falsy, parse_currency, parse_latitude, parse_longitude, value_of
+from ..functions.fields import is_falsy, off_limits, parse_currency, value_of
 from ..functions.text import is_blank
 from .spread import with_position
 
@@ -27,8 +27,7 @@ def has_slot(slot: str, slots: str = "slots") -> Column:
 
 def ambiguity_reasons() -> Column:
     """Why a row cannot be settled by rules; an empty array means it can."""
-    lat, lng = parse_latitude(slot_value("latitude")), parse_longitude(slot_value("longitude"))
-    off_globe = (lat["parsed"] & ~lat["valid"]) | (lng["parsed"] & ~lng["valid"])
+    off_globe = off_limits(slot_value("latitude"), 90) | off_limits(slot_value("longitude"), 180)
     checks = [
         ("missing_or_invalid_currency",
          has_slot("currency") & parse_currency(slot_value("currency")).isNull()),

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65536
-SALTS = 32
+SALTS = 16
 BROADCAST_ROWS = 20_000
 
 
@@ -94,7 +94,7 @@ def join_per_key(
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join rows with a table holding one row per key, where some keys own most of the rows.
+    """Join rows with a table holding one row per key, where few keys own most of the rows.
 
     The row side is salted by a hash of ``spread_by`` and the other side repeated per salt, so a
     hot key is shared by ``salts`` tasks. When the planner knows that the per-key side is under the

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import normalized_row, parsed_values
 from ..operators.enrichment import NOT_CONFIGURED, answers_for, enriched_records, rule_answers
-from ..operators.profiling import infer_schema
+from ..operators.profiling import head_sample, infer_schema
 from ..operators.routing import route_rows
 from ..operators.scoring import review_items, score_answers, validate_answers, validation_flags
 from ..operators.spread import join_measured
@@ -21,9 +21,13 @@ def normalize_rows(raw_rows: DataFrame) -> DataFrame:
     return raw_rows.withColumn("data", normalized_row(parsed_values(F.col("raw"))))
 
 
-def document_schemas(rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
-    """Schema per document, written out: the second pass then knows how large it is."""
-    return write_through(infer_schema(rows, proposed), "schemas")
+def document_schemas(raw_rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """First pass: schema per document, written out so the second pass knows how large it is.
+
+    Rows are sampled before they are normalised, so this pass only ranks the rows' keys.
+    """
+    sample = normalize_rows(head_sample(raw_rows))
+    return write_through(infer_schema(sample, proposed), "schemas")
 
 
 def route_documents(rows: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -40,8 +44,7 @@ def route_documents(rows: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def settled_and_ambiguous(raw_rows: DataFrame) -> DataFrame:
     """Flagship: both passes over raw rows, giving routed rows."""
-    rows = normalize_rows(raw_rows)
-    return route_documents(rows, document_schemas(rows))
+    return route_documents(normalize_rows(raw_rows), document_schemas(raw_rows))
 
 
 @dataclass

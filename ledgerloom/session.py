@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +15,21 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot partition of a join even when the split costs one more shuffle downstream.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
+_configured: weakref.WeakSet = weakref.WeakSet()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on."""
+    if spark in _configured:
+        return spark
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    _configured.add(spark)
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         # Fixed, so that two passes over the same files cut them at the same places even when the
         # number of executors changes in between.
@@ -28,6 +38,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _bytes(size: str) -> int:
+    """Bytes of a Spark size setting such as ``134217728b`` or ``64m``."""
+    digits, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()
+    return int(digits) * 1024 ** " kmgt".index(unit or " ")
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that is too small to be split into enough tasks.
+
+    Only inputs below one split per core are shuffled, so the cost is bounded; larger inputs
+    already come in enough splits and are left alone.
+    """
+    conf, slices = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
+    split = _bytes(conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slices) if size < split * slices else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 

@@ -73,6 +73,11 @@ MAPPED = " + ".join(f"({s} IS NOT NULL)::INT" for s in vocab.SLOTS)
 REQUIRED = " + ".join(f"({s} IS NOT NULL)::INT" for s in vocab.REQUIRED_SLOTS)
 
 
+def sample_of(spark, folder):
+    """First rows of each document, normalised."""
+    return normalize_rows(profiling.head_sample(register_rows(spark, folder)))
+
+
 def rows_of(spark, folder):
     return normalize_rows(register_rows(spark, folder))
 
@@ -98,7 +103,7 @@ def route_documents(spark, folder):
         FROM ({CLEAN_SQL})) p WHERE pos <= 20""",
 )
 def head_sample(spark, folder):
-    sample = profiling.head_sample(rows_of(spark, folder))
+    sample = sample_of(spark, folder)
     return sample.select("document_id", "row_index", "sample_pos")
 
 
@@ -107,13 +112,13 @@ def head_sample(spark, folder):
     f'SELECT DISTINCT document_id, "column", column_pos::BIGINT AS column_pos FROM ({CELLS_SQL}) c',
 )
 def distinct_columns(spark, folder):
-    sample = profiling.head_sample(rows_of(spark, folder))
+    sample = sample_of(spark, folder)
     return profiling.distinct_columns(profiling.sample_cells(sample))
 
 
 @query("column_profile", PROFILE_SQL)
 def column_profile(spark, folder):
-    profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
+    profile = profiling.column_profile(sample_of(spark, folder))
     return profile.withColumn("sample_values", F.array_join("sample_values", "|"))
 
 
@@ -131,7 +136,7 @@ def column_profile(spark, folder):
     ),
 )
 def column_types(spark, folder):
-    return profiling.column_types(profiling.head_sample(rows_of(spark, folder)))
+    return profiling.column_types(sample_of(spark, folder))
 
 
 @query(
@@ -161,13 +166,13 @@ def data_start_rows(spark, folder):
 
 @query("column_roles", ROLES_SQL)
 def column_roles(spark, folder):
-    profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
+    profile = profiling.column_profile(sample_of(spark, folder))
     return profiling.assign_roles(profile).drop("sample_values")
 
 
 @query("slot_mapping", MAPPING_SQL)
 def slot_mapping(spark, folder):
-    profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
+    profile = profiling.column_profile(sample_of(spark, folder))
     mapping = profiling.slot_mapping(profiling.assign_roles(profile))
     return mapping.select("document_id", "slots.*")
 
@@ -179,7 +184,7 @@ def slot_mapping(spark, folder):
         'asset_type' AS asset_type FROM ({CLEAN_SQL}) c""",
 )
 def filled_slots(spark, folder):
-    profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
+    profile = profiling.column_profile(sample_of(spark, folder))
     mapping = profiling.slot_mapping(profiling.assign_roles(profile))
     return mapping.select("document_id", "filled.*")
 
@@ -191,7 +196,7 @@ def filled_slots(spark, folder):
         1.0::DOUBLE AS deterministic_coverage, {MAPPED} < 2 AS needs_review FROM ({MAPPING_SQL}) m""",
 )
 def schema_quality(spark, folder):
-    profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
+    profile = profiling.column_profile(sample_of(spark, folder))
     mapping = profiling.slot_mapping(profiling.assign_roles(profile))
     return profiling.schema_quality(mapping).drop("slots", "filled")
 
@@ -221,7 +226,7 @@ FROM profile
         FROM proposed p JOIN profile f ON p.document_id = f.document_id AND p."column" = f."column" """,
 )
 def merged_schema(spark, folder):
-    profile = profiling.column_profile(profiling.head_sample(rows_of(spark, folder)))
+    profile = profiling.column_profile(sample_of(spark, folder))
     role = (
         F.when(F.col("column_pos") % 3 == 0, "unknown")
         .when(F.col("column_pos") % 3 == 1, "asset_name").otherwise("value")
@@ -252,7 +257,7 @@ FROM {{mapping}} m
 
 @query("inferred_schema", INFERRED_SQL.format(mapping=f"({MAPPING_SQL})"))
 def inferred_schema(spark, folder):
-    schema = profiling.infer_schema(rows_of(spark, folder))
+    schema = profiling.infer_schema(sample_of(spark, folder))
     return schema.select(
         "document_id", F.col("slots.asset_name").alias("name_column"),
         F.col("slots.value").alias("value_column"), "completeness", "needs_review",
@@ -279,7 +284,7 @@ def verified_schema(spark, folder):
         F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("document_id"),
         F.lit("").alias("sheet_name"), F.col("c_custkey").alias("row_index"), data.alias("data"),
     )
-    schema = profiling.infer_schema(rows)
+    schema = profiling.infer_schema(profiling.head_sample(rows))
     return schema.select(
         "document_id", F.col("slots.asset_name").alias("name_column"),
         F.col("slots.value").alias("value_column"), "completeness", "needs_review",
@@ -299,7 +304,7 @@ def attached_schema(spark, folder):
         F.concat(F.lit("doc-"), (F.col("c_custkey") - 1).cast("string")).alias("document_id"),
         F.col("c_name").alias("original_file_name"),
     )
-    attached = profiling.attach_schema(documents, profiling.infer_schema(rows_of(spark, folder)))
+    attached = profiling.attach_schema(documents, profiling.infer_schema(sample_of(spark, folder)))
     return attached.select(
         "original_file_name",
         F.get_json_object("inferred_schema", "$.completeness").alias("completeness"),

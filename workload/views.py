@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import configure
+from ledgerloom.session import configure, spread_small
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _as_rows(df: DataFrame, key, cells) -> DataFrame:
 
 def register_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Raw rows: one asset per customer, spread over five documents."""
-    c, n = table(spark, folder, "customer"), table(spark, folder, "nation")
+    c, n = spread_small(table(spark, folder, "customer")), table(spark, folder, "nation")
     joined = c.join(n, c.c_nationkey == n.n_nationkey)
     key = F.col("c_custkey")
     cells = _cells(key, F.col("c_name"), F.col("c_acctbal"), F.col("c_mktsegment"), F.col("n_name"))
@@ -51,7 +51,7 @@ def register_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_register_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Bench variant: one asset per order."""
-    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    o, c = spread_small(table(spark, folder, "orders")), table(spark, folder, "customer")
     n = table(spark, folder, "nation")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     key = F.col("o_orderkey")
