@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import planned_bytes
+
 BLOCK_ROWS = 65536
 SALTS = 16
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def with_position(
@@ -114,10 +117,11 @@ def join_measured(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """As ``join_per_key`` for a table already written out: counted first, broadcast if small.
+    """As ``join_per_key`` for a table already written out: measured first, broadcast if small.
 
-    The count reads file footers only. Above ``broadcast_rows`` the salted join takes over.
+    The measure reads file sizes and footers only. Above ``BROADCAST_BYTES`` or ``broadcast_rows``
+    the salted join takes over.
     """
-    if per_key.count() <= broadcast_rows:
+    if planned_bytes(per_key) <= BROADCAST_BYTES and per_key.count() <= broadcast_rows:
         return rows.join(F.broadcast(per_key), keys, how)
     return join_per_key(rows, per_key, keys, spread_by, how)

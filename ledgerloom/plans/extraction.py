@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import normalized_row, parsed_values
-from ..operators.enrichment import NOT_CONFIGURED, answers_for, enriched_records, rule_answers
+from ..functions.vocab import AMBIGUOUS_BATCH
+from ..operators.enrichment import (
+    NOT_CONFIGURED,
+    answers_for,
+    ask_provider,
+    direct_answers,
+    enriched_records,
+    provider_answers,
+    rule_answers,
+)
 from ..operators.profiling import head_sample, infer_schema
-from ..operators.routing import route_rows
+from ..operators.routing import needs_enrichment, route_rows
 from ..operators.scoring import review_items, score_answers, validate_answers, validation_flags
 from ..operators.spread import join_measured
 from ..session import write_through
@@ -49,7 +58,7 @@ def settled_and_ambiguous(raw_rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Enrichment:
-    """Outputs of the enrichment stage."""
+    """Outputs of the enrichment stage; ``errors`` has ``document_id, row_index, error``."""
 
     records: DataFrame
     flags: DataFrame
@@ -57,10 +66,20 @@ class Enrichment:
     errors: DataFrame
 
 
+def _judged(ambiguous: DataFrame) -> DataFrame:
+    """Enrichment judges rows by the slots that keywords decided; ``filled`` keeps the others."""
+    return ambiguous.withColumns({"filled": F.col("slots"), "slots": F.col("inferred_slots")})
+
+
+def _outputs(scored: DataFrame, errors: DataFrame) -> Enrichment:
+    return Enrichment(
+        enriched_records(scored), validation_flags(scored), review_items(scored), errors
+    )
+
+
 def scored_answers(ambiguous: DataFrame, answer=rule_answers) -> DataFrame:
-    """Answers with checks and scores. Enrichment judges rows by the slots that keywords decided."""
-    rows = ambiguous.withColumns({"filled": F.col("slots"), "slots": F.col("inferred_slots")})
-    return score_answers(validate_answers(answers_for(rows, answer)))
+    """Answers with checks and scores."""
+    return score_answers(validate_answers(answers_for(_judged(ambiguous), answer)))
 
 
 def enrich(ambiguous: DataFrame, answer=rule_answers) -> Enrichment:
@@ -69,13 +88,30 @@ def enrich(ambiguous: DataFrame, answer=rule_answers) -> Enrichment:
     Without a provider nothing is enriched and each document reports one error. The scored rows are
     written once because three tables are made from them.
     """
-    spark = ambiguous.sparkSession
     if answer is None:
-        scored = scored_answers(ambiguous.limit(0))
-        errors = ambiguous.groupBy("document_id").agg(F.lit(NOT_CONFIGURED).alias("error"))
-    else:
-        scored = write_through(scored_answers(ambiguous, answer), "scored")
-        errors = spark.createDataFrame([], "document_id string, error string")
-    return Enrichment(
-        enriched_records(scored), validation_flags(scored), review_items(scored), errors
+        errors = ambiguous.groupBy("document_id").agg(
+            F.lit(None).cast("bigint").alias("row_index"), F.lit(NOT_CONFIGURED).alias("error")
+        )
+        return _outputs(scored_answers(ambiguous.limit(0)), errors)
+    scored = write_through(scored_answers(ambiguous, answer), "scored")
+    none = "document_id string, row_index bigint, error string"
+    return _outputs(scored, ambiguous.sparkSession.createDataFrame([], none))
+
+
+def enrich_by_provider(
+    ambiguous: DataFrame, provider, batch_size: int = AMBIGUOUS_BATCH
+) -> Enrichment:
+    """As ``enrich``, asking an outside provider for the rows that need it.
+
+    Replies are written before they are used: a provider is asked once per batch, whatever is
+    recomputed later. Failed batches and missing replies become error rows.
+    """
+    rows = _judged(ambiguous)
+    asked = rows.filter(needs_enrichment())
+    replies = write_through(ask_provider(asked, provider, batch_size), "replies")
+    answers = direct_answers(rows.filter(~needs_enrichment())).unionByName(
+        provider_answers(asked, replies)
     )
+    scored = write_through(score_answers(validate_answers(answers)), "scored")
+    errors = replies.filter(F.col("error").isNotNull())
+    return _outputs(scored, errors.select("document_id", "row_index", "error"))

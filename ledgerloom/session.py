@@ -44,6 +44,11 @@ def _bytes(size: str) -> int:
     return int(digits) * 1024 ** " kmgt".index(unit or " ")
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``; for files read without a filter, the size of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Give every core a share of a scan that is too small to be split into enough tasks.
 
@@ -52,8 +57,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     conf, slices = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
     split = _bytes(conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(slices) if size < split * slices else df
+    return df.repartition(slices) if planned_bytes(df) < split * slices else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

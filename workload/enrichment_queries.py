@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.vocab import COUNTRY_CURRENCY
 from ledgerloom.operators import enrichment, scoring
 from ledgerloom.operators.routing import with_batches
-from ledgerloom.plans.extraction import enrich, scored_answers, settled_and_ambiguous
+from ledgerloom.plans.extraction import (
+    enrich,
+    enrich_by_provider,
+    scored_answers,
+    settled_and_ambiguous,
+)
 from ledgerloom.session import shared_folder
 from ledgerloom.sources.records import row_records, write_enrichment
 
@@ -217,7 +222,7 @@ def enrichment_stage(spark, folder):
     for name, frame in (("flags", result.flags), ("reviews", result.reviews)):
         counts = frame.groupBy("document_id").agg(F.count("*").alias(name))
         tally = tally.join(counts, "document_id", "left").fillna(0, [name])
-    error = nothing.errors.withColumnRenamed("error", "error_without_provider")
+    error = nothing.errors.select("document_id", F.col("error").alias("error_without_provider"))
     return tally.join(error, "document_id")
 
 
@@ -344,6 +349,29 @@ def provider_answers(spark, folder):
     return answers.select(*KEY, "currency", "normalized_name", "needs_review", "explanation")
 
 
+ASKED_SQL = f"""
+SELECT *, min(row_index) OVER (PARTITION BY document_id, batch_id) % 7 = 0 AS refused FROM (
+  SELECT *, ((row_number() OVER (PARTITION BY document_id ORDER BY row_index) - 1) // 50) AS batch_id
+  FROM ({ANSWERS_SQL}) r WHERE asks) b
+"""
+
+
+@query(
+    "provider_stage",
+    f"""SELECT d.document_id, d.direct + coalesce(a.answered, 0) AS records, coalesce(a.errors, 0) AS errors
+        FROM (SELECT document_id, count(*) FILTER (NOT asks) AS direct FROM ({ANSWERS_SQL}) GROUP BY document_id) d
+        LEFT JOIN (SELECT document_id, count(*) FILTER (NOT refused) AS answered,
+                     count(*) FILTER (refused OR row_index % 10 = 3) AS errors FROM ({ASKED_SQL}) GROUP BY document_id) a
+          ON d.document_id = a.document_id""",
+)
+def provider_stage(spark, folder):
+    """The stage with an outside provider: direct rows, answered rows, and an error per lost row."""
+    result = enrich_by_provider(ambiguous_rows(spark, folder), sample_provider)
+    records = result.records.groupBy("document_id").agg(F.count("*").alias("records"))
+    errors = result.errors.groupBy("document_id").agg(F.count("*").alias("errors"))
+    return records.join(errors, "document_id", "left").fillna(0, ["errors"])
+
+
 @query(
     "batch_summary",
     f"""SELECT b.document_id, b.batch_id, count(*) AS processed, count(*) AS enriched,
