@@ -250,18 +250,18 @@ def duplicate_files(spark, folder):
 
 @query(
     "first_upload_by_name",
-    """SELECT p_brand AS filename, arg_min(p_type, p_partkey) AS kind, min(p_partkey) AS arrived FROM part
-       WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_partkey < 1000) GROUP BY p_brand""",
+    """WITH named AS (SELECT *, concat(p_brand, '-', p_size::VARCHAR) AS filename FROM part)
+       SELECT filename, arg_min(p_type, p_partkey) AS kind, min(p_partkey) AS arrived FROM named
+       WHERE filename NOT IN (SELECT filename FROM named WHERE p_retailprice > 990) GROUP BY filename""",
 )
 def first_upload_by_name(spark, folder):
-    part = table(spark, folder, "part")
+    """Parts as uploads; the names of dear parts are already there."""
+    name = F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string"))
+    part = table(spark, folder, "part").withColumn("filename", name)
     arrived = part.select(
-        F.col("p_brand").alias("filename"), F.col("p_type").alias("kind"),
-        F.col("p_partkey").alias("arrived"),
-    )
-    existing = part.filter("p_size = 50 AND p_partkey < 1000").select(
-        F.col("p_brand").alias("filename")
+        "filename", F.col("p_type").alias("kind"), F.col("p_partkey").alias("arrived")
     )
+    existing = part.filter("p_retailprice > 990").select("filename")
     return relations.first_by_name(arrived, existing, "filename", "arrived")
 
 
