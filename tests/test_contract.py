@@ -20,7 +20,7 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(contract.ORACLES) == set(contract.QUERIES)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
