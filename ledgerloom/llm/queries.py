@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding
+from . import decontamination, language, packing, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,25 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+@query("op6_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    held_out = F.coalesce(held_out, F.lit(False))
+    model = language.train(docs.filter(~held_out))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op8_urls")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rules = {
+        "net/": "block", "example.net/en/": "allow", "example.com/de/": "block",
+        "org/fr/": "allow",
+    }
+    return urls.judge_urls(table(spark, folder, "pages"), rules)
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
