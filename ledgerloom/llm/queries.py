@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, neighbours, packing, sharding, toxicity, urls
+from . import (
+    decontamination, language, neighbours, packing, private, sharding, toxicity, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +35,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+@query("op2_private")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return private.private_report(table(spark, folder, "documents"))
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_hits(
