@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CACHED_WORDS, LOWER, batches, byte_texts, written
+from .common import LOWER, batches, byte_texts, written
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Chunks whose ids a worker remembers, about 200 bytes each.
+CACHED_CHUNKS = 1_200_000
 _POINT = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s)")
 _state: dict = {}
 
@@ -47,7 +49,8 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
+        encode = self.tokenizer.encode_batch_fast
+        found = encode([c.decode() for c in chunks], add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
@@ -58,7 +61,7 @@ class WordTokenizer:
                 yield self._encode([text])[0]
             else:
                 chunks = _POINT.sub(rb" \1", text.translate(LOWER)).split()
-                if len(self.known) > CACHED_WORDS:
+                if len(self.known) > CACHED_CHUNKS:
                     self.known.clear()
                 if new := list(set(chunks).difference(self.known)):
                     self.known.update(zip(new, self._encode(new)))
