@@ -77,6 +77,12 @@ def canonical(kind: str, value: str) -> str:
     return value
 
 
+def luhn(digits: str) -> int:
+    """0 for a card number with a valid check digit."""
+    twice = (sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])
+    return (sum(map(int, digits[::-2])) + sum(twice)) % 10
+
+
 class _Draws:
     """Numbers drawn from a keyed hash of an entity and the count of attempts."""
 
@@ -100,8 +106,11 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind in ("phone", "card"):
-        # The country code of a phone and the first digit of a card stay: they are the type.
-        return entity[:1] + "".join(str(draw.below(10)) for _ in entity[1:])
+        # The first digit stays (country code, card brand), and so does a valid check digit.
+        digits = entity[:1] + "".join(str(draw.below(10)) for _ in entity[1:])
+        if kind == "card" and luhn(entity) == 0:
+            digits = digits[:-1] + str(-luhn(digits[:-1] + "0") % 10)
+        return digits
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, _, tail = domain.rpartition(".")
@@ -191,7 +200,7 @@ def private_report(docs: DataFrame, key: bytes = b"ledgerloom") -> DataFrame:
 def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     batches(docs.sparkSession)
     parts = T.StructType()
-    for name, kind in (("at", "int"), ("to", "int"), ("kind", "string"), ("entity", "string"),
+    for name, kind in (("at", "integer"), ("to", "integer"), ("kind", "string"), ("entity", "string"),
                        ("value", "string")):
         parts = parts.add(name, kind)
     span_type = pa.list_(pa.struct([

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, language, neighbours, packing, private, sharding, toxicity, urls,
+    decontamination, language, neighbours, packing, private, sharding, substrings, toxicity,
+    urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,41 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans")
 
 
+@query(
+    "op4_substrings",
+    r"""
+    WITH w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+      FROM documents
+    ),
+    word AS (
+      SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0
+    ),
+    win AS (
+      SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS h FROM word WHERE i + 49 <= n
+    ),
+    first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+    hit AS (SELECT doc_id, i FROM win JOIN first USING (h) WHERE doc_id > m),
+    marked AS (
+      SELECT word.doc_id, word.i, ws[word.i] AS x,
+        max(hit.i) OVER (PARTITION BY word.doc_id ORDER BY word.i
+                         ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+      FROM word LEFT JOIN hit USING (doc_id, i)
+    ),
+    kept AS (
+      SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r,
+        coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT gone), '') AS t
+      FROM marked GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed,
+      sha256(coalesce(t, '')) AS kept_sha256
+    FROM documents d LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents")).drop("repeats")
+
+
 @query("op5_sharding")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
