@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (
-    decontamination, language, neighbours, packing, private, sharding, substrings, toxicity,
-    urls,
+    decontamination, language, neardup, neighbours, packing, private, sharding, substrings,
+    toxicity, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +118,49 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query(
+    "op10_minhash",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x <> '') AS ws
+      FROM documents
+    ),
+    s AS (
+      SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ')
+        ELSE array_to_string(ws[i:i + 4], ' ') END AS x
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i
+            FROM w WHERE len(ws) > 0)
+    ),
+    size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (
+      SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS c
+      FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ),
+    link AS (
+      SELECT p, q FROM pairs JOIN size u ON u.doc_id = p JOIN size v ON v.doc_id = q
+      WHERE 100 * c >= 85 * (u.n + v.n - c)
+    ),
+    edge AS (SELECT p, q FROM link UNION ALL SELECT q, p FROM link),
+    reach AS (
+      SELECT doc_id, doc_id AS r FROM size
+      UNION SELECT edge.q, reach.r FROM reach JOIN edge ON edge.p = reach.doc_id
+      WHERE reach.r < edge.q
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
+      coalesce(m, d.doc_id) AS component_id, d.doc_id = coalesce(m, d.doc_id) AS kept
+    FROM documents d LEFT JOIN size USING (doc_id)
+    LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.near_groups(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
