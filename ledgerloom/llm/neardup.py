@@ -325,15 +325,15 @@ def first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     stays = written(
         worded.join(first, F.col("row") == F.col("_first"), "left_semi").select("doc_id", "tag"),
         "kept")
-    own = docs.withColumn("_tag", F.xxhash64("doc_id", "text"))
-    gone = go.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    own = docs.withColumn("_llm_tag", F.xxhash64("doc_id", "text"))
+    gone = go.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_llm_tag"))
     side = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
-    match = (own["_tag"] == side["_tag"]) & own["doc_id"].eqNullSafe(side["_id"])
-    kept = own.join(side, match, "left_anti").drop("_tag")
+    match = (own["_llm_tag"] == side["_llm_tag"]) & own["doc_id"].eqNullSafe(side["_id"])
+    kept = own.join(side, match, "left_anti").drop("_llm_tag")
     # A kept row that has equal rows went with them above; one of these comes back.
     twice = stays.join(go, ["tag"], "left_semi").select("tag")
     if twice.isEmpty():
         return kept
     again = own.join(F.broadcast(twice) if twice.count() * 24 <= BROADCAST_BYTES else twice,
-                     own["_tag"] == twice["tag"], "left_semi")
-    return kept.unionByName(again.dropDuplicates(["doc_id", "_tag"]).drop("_tag"))
+                     own["_llm_tag"] == twice["tag"], "left_semi")
+    return kept.unionByName(again.dropDuplicates(["doc_id", "_llm_tag"]).drop("_llm_tag"))

@@ -154,6 +154,7 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     Each round draws for the entities that have none yet; of those that drew the same one keeps
     it, and a draw that an earlier round gave away, or that is an entity itself, is void.
     """
+    batches(entities.sparkSession)
     group = F.regexp_extract("kind", "^[a-z]+", 0)
     todo = written(entities.select("kind", "entity").distinct().withColumn("group", group), "entities")
     known = todo.select("group", F.col("entity").alias("surrogate"))
@@ -226,41 +227,41 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array([found[k] for k in keep], span_type)],
-                names=[*batch.schema.names, "_spans"])
+                names=[*batch.schema.names, "_llm_spans"])
 
     def others(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             yield batch.filter(pa.array([not x for x in entities_in(batch)], pa.bool_()))
 
-    held = T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(parts))])
+    held = T.StructType([*docs.schema.fields, T.StructField("_llm_spans", T.ArrayType(parts))])
     private = written(docs.mapInArrow(holding, held).withColumn(
-        "_row", F.monotonically_increasing_id()), "private-rows")
-    mentions = private.select("_row", F.posexplode("_spans").alias("_nth", "_span")).select(
-        "_row", "_nth", "_span.kind", "_span.entity")
+        "_llm_row", F.monotonically_increasing_id()), "private-rows")
+    mentions = private.select("_llm_row", F.posexplode("_llm_spans").alias("_nth", "_span")).select(
+        "_llm_row", "_nth", "_span.kind", "_span.entity")
     given = surrogates(mentions, key).select("kind", "entity", "surrogate")
-    named = mentions.join(given, ["kind", "entity"]).groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("_nth", "surrogate"))).alias("_new"))
-    rows = private.join(named, "_row").drop("_row")
+    named = mentions.join(given, ["kind", "entity"]).groupBy("_llm_row").agg(
+        F.array_sort(F.collect_list(F.struct("_nth", "surrogate"))).alias("_llm_new"))
+    rows = private.join(named, "_llm_row").drop("_llm_row")
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             new = {}
             for k, (text, found, given) in enumerate(zip(
-                batch["text"].to_pylist(), batch["_spans"].to_pylist(), batch["_new"].to_pylist())):
+                batch["text"].to_pylist(), batch["_llm_spans"].to_pylist(), batch["_llm_new"].to_pylist())):
                 out, at = [], 0
                 for x, y in zip(found, given):
                     out += [text[at : x["at"]], in_format(x["kind"], x["value"], y["surrogate"])]
                     at = x["to"]
                 new[k] = "".join(out) + text[at:]
-            kept = batch.drop_columns(["_new"] if report else ["_spans", "_new"])
+            kept = batch.drop_columns(["_llm_new"] if report else ["_llm_spans", "_llm_new"])
             yield with_texts(kept, new)
 
     clean = docs.mapInArrow(others, docs.schema)
     if not report:
         return rows.mapInArrow(rewrite, docs.schema).unionByName(clean)
     changed = rows.mapInArrow(rewrite, held).select(
-        "doc_id", "text", F.size("_spans").cast("long").alias("n_entities"),
-        F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["kind"]))).alias("kinds"))
+        "doc_id", "text", F.size("_llm_spans").cast("long").alias("n_entities"),
+        F.array_sort(F.array_distinct(F.transform("_llm_spans", lambda s: s["kind"]))).alias("kinds"))
     same = clean.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"),
                         F.array().cast("array<string>").alias("kinds"))
     return changed.unionByName(same)
