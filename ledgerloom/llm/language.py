@@ -48,7 +48,7 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     part: list[bytes] = []
     size = 0
     for text in texts:
-        part.append((text or b"").translate(LETTERS) + b"   ")
+        part.append(_padded(text or b""))
         size += len(part[-1])
         if size > CHUNK:
             yield _joined(part)
@@ -57,6 +57,11 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield _joined(part)
 
 
+def _padded(text: bytes) -> bytes:
+    """No trigram of two neighbouring texts has letters of both."""
+    return b"  " + text.translate(LETTERS) + b" "
+
+
 def _joined(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum([0, *map(len, part)])[:-1]
     return trigrams(np.frombuffer(b"".join(part), np.uint8)), starts
@@ -118,7 +123,7 @@ def train(docs: DataFrame, seed: int = 3) -> dict:
         for batch in parts:
             rows = []
             for text in byte_texts(batch["text"]):
-                grams, _ = _joined([text.translate(LETTERS) + b"   "])
+                grams, _ = _joined([_padded(text)])
                 seen = np.bincount(grams, minlength=FEATURES).astype(np.float32)
                 seen[0] = 0
                 rows.append((seen / max(seen.sum(), 1)).tobytes())
@@ -170,16 +175,20 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(shared.value)
         names = known["languages"]
+        if len(names) > 1:
+            # Whole numbers add up to the same in any order, so equal texts get equal scores.
+            unit = 2.0**30 / max(float(np.abs(known["weights"]).max()), 1e-9)
+            weights = np.round(known["weights"].T * unit).astype(np.int64)
         for batch in parts:
             n, has = batch.num_rows, np.array(batch["_lettered"].to_pylist(), dtype=bool)
             best, score, unsure = np.zeros(n, int), np.ones(n), np.zeros(n, bool)
             if len(names) > 1 and n:
-                weights, margins = known["weights"], []
+                margins = []
                 for grams, starts in chunks(byte_texts(batch["text"])):
                     seen = np.maximum(np.add.reduceat((grams > 0).astype(np.int64), starts), 1)
                     margins.append(np.stack(
-                        [np.add.reduceat(w[grams], starts, dtype=np.float64) / seen
-                         for w in np.ascontiguousarray(weights.T)], axis=1))
+                        [np.add.reduceat(w[grams], starts) / (seen * unit) for w in weights],
+                        axis=1))
                 best, score, unsure = decode(np.concatenate(margins) + known["bias"], known)
             has &= bool(names)
             yield pa.RecordBatch.from_arrays(

@@ -85,7 +85,7 @@ class Segment:
     def _widen(self, query, own, k: int, radii, low, high) -> tuple[np.ndarray, np.ndarray]:
         n, lines = len(self.ids), range(PROJECTIONS)
         count = np.zeros(n, np.int64)
-        score = np.full(n, -np.inf)
+        score, other = np.full(n, -np.inf), self.ids != own
         a = b = None
         for radius, lows, highs in zip(radii, low, high):
             if a is None:
@@ -95,12 +95,12 @@ class Segment:
                 rings += [self.order[j, b[j] : highs[j]] for j in lines]
             a, b = lows, highs
             count += np.bincount(np.concatenate(rings), minlength=n)
-            new = np.flatnonzero((count >= self.threshold) & (score == -np.inf))
+            new = np.flatnonzero((count >= self.threshold) & (score == -np.inf) & other)
             if len(new):
                 score[new] = self.vectors[new] @ query
             # The inner product of a vector that stands at this radius.
             least = (self.square + query @ query - radius**2) / 2
-            if np.count_nonzero(score >= least) > k:
+            if np.count_nonzero(score >= least) >= k:
                 break
         else:
             score = self.vectors @ query
@@ -122,7 +122,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those
     of another length than the most frequent one. Rows that repeat a ``vec_id`` are candidates of
-    their own but not of a query with that id. With ``k`` candidates or fewer all are returned.
+    their own but not of a query with that id; of its rows the least vector asks. With ``k``
+    candidates or fewer all are returned.
     Segments and blocks of queries have fixed sizes, so a task's memory doesn't grow.
     """
     spark = vectors.sparkSession
@@ -142,7 +143,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = K) -> DataFrame:
     spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
     placed = written(
         good.withColumn("segment", F.pmod(spread, F.lit(segments)).cast("int")), "vectors")
-    asked = placed.filter(query)
+    asked = placed.filter(query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     # Every block of queries meets every segment once: a stated query set against all rows.

@@ -1,0 +1,72 @@
+import re
+
+from helpers import documents, rng, sentence
+
+from ledgerloom.llm import private
+
+TEXTS = [
+    "Write to Anna.Lee@mail.example.com or anna.lee@mail.example.com, call +1 (212) 555-0147.",
+    "Card 4111 1111 1111 1111 or 4111111111111111, from 10.20.30.40; key "
+    "0123456789abcdef0123456789abcdef01234567.",
+    "Mrs. Smith met Mr John MILLER and Frau Müller; господин Иванов called +1 212 555 0147.",
+    "Nothing here: 12.5, 1999, v1.2.3, a@b, Mr. Then 3 more.",
+]
+
+
+def kinds(text):
+    return [(text[a:b], k) for a, b, k in private.find_entities(text)]
+
+
+def test_found_entities():
+    assert [k for _, k in kinds(TEXTS[0])] == ["email", "email", "phone"]
+    assert [k for _, k in kinds(TEXTS[1])] == ["card", "card", "ip", "hex"]
+    assert kinds(TEXTS[2])[:4] == [
+        ("Smith", "name_f"), ("John MILLER", "name_m"), ("Müller", "name_f"), ("Иванов", "name_m")]
+    assert [k for _, k in kinds(TEXTS[3])] in ([], [("Then", "name_m")], ["name_m"])
+
+
+def test_surrogates_keep_type_format_and_coreference(spark):
+    texts = [*TEXTS[:3], TEXTS[0], None, "", sentence(rng(), 20000)]
+    docs = documents(spark, texts, [0, 1, 2, 3, 4, None, 6])
+    out = {r["doc_id"]: r for r in private.replace_private(docs).collect()}
+    assert len(out) == 7 and private.replace_private(docs).columns == docs.columns
+    assert out[0]["text"] == out[3]["text"] != TEXTS[0]
+    for i in range(3):
+        old, new = kinds(texts[i]), kinds(out[i]["text"])
+        assert [k for _, k in old] == [k for _, k in new]
+        assert not {v for v, _ in old} & {v for v, _ in new}
+        assert out[i]["n_chars"] == len(out[i]["text"])
+    assert out[4]["text"] is None and out[None]["text"] == "" and out[6]["text"] == texts[6]
+    mails = [v for v, k in kinds(out[0]["text"]) if k == "email"]
+    assert mails[0].lower() == mails[1] and mails[0][0].isupper()
+    phones = [v for i in (0, 2) for v, k in kinds(out[i]["text"]) if k == "phone"]
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    assert re.sub(r"\d", "0", phones[0]) == "+0 (000) 000-0000" and phones[0][1] == "1"
+    cards = [v for v, k in kinds(out[1]["text"]) if k == "card"]
+    assert cards[0].replace(" ", "") == cards[1] and private.luhn(cards[1]) == 0
+    names = [v for v, k in kinds(out[2]["text"]) if k.startswith("name")]
+    assert names[1].split()[0] in private.GIVEN["latin", "m"].split()
+    assert names[1].split()[1].isupper() and re.fullmatch("[А-Я][а-я]+", names[3])
+
+
+def test_another_key_gives_other_surrogates(spark):
+    docs = documents(spark, TEXTS[:1])
+    texts = {private.replace_private(docs, key).first()["text"] for key in (b"a", b"b")}
+    assert len(texts) == 2
+
+
+def test_colliding_draws_are_drawn_again(spark):
+    """700 of the 1,000 numbers that begin with 1 can only differ after many draws."""
+    rows = [("phone", str(1000 + k)) for k in range(300)] + [("phone", "1000")] * 5
+    rows += [("name_f", "Lee"), ("name_m", "Lee")]
+    out = private.surrogates(spark.createDataFrame(rows, "kind string, entity string"), b"k").collect()
+    assert len(out) == 302
+    phones = [r["surrogate"] for r in out if r["kind"] == "phone"]
+    assert len(set(phones)) == 300 and not set(phones) & {r["entity"] for r in out}
+    assert len({r["surrogate"] for r in out if r["kind"] != "phone"}) == 2
+
+
+def test_report_has_every_row(spark):
+    out = private.private_report(documents(spark, [*TEXTS, None])).orderBy("doc_id").collect()
+    assert [r["n_entities"] for r in out][:3] == [3, 4, 5] and out[4]["n_entities"] == 0
+    assert private.private_report(documents(spark, [])).collect() == []
