@@ -263,18 +263,25 @@ def enriched_records(scored: DataFrame) -> DataFrame:
 
 
 def merge_into_stored(stored: DataFrame, enriched: DataFrame) -> DataFrame:
-    """New snapshot of stored records with enrichment merged in by row key."""
+    """New snapshot of the records table with enrichment merged in by document, sheet and row."""
     fresh = enriched.select(
-        *KEY,
+        "document_id",
+        F.nullif("sheet_name", F.lit("")).alias("_sheet"),
+        F.col("row_index").alias("_row"),
         F.col("normalized_value").alias("_value"),
         F.col("confidence_score").alias("_score"),
         F.col("review_status").alias("_review"),
         F.col("inference_explanation").alias("_why"),
     )
     hit = F.col("_value").isNotNull()
+    same = (
+        (stored["document_id"] == F.col("_document"))
+        & (stored["source_row_index"] == F.col("_row"))
+        & stored["source_sheet_name"].eqNullSafe(F.col("_sheet"))
+    )
     merged = F.when(hit, merged_object(F.col("normalized_value"), F.col("_value")))
     return (
-        stored.join(fresh, KEY, "left")
+        stored.join(fresh.withColumnsRenamed({"document_id": "_document"}), same, "left")
         .withColumns(
             {
                 "normalized_value": F.coalesce(merged, F.col("normalized_value")),
@@ -285,7 +292,7 @@ def merge_into_stored(stored: DataFrame, enriched: DataFrame) -> DataFrame:
                 "inference_explanation": F.coalesce("_why", "inference_explanation"),
             }
         )
-        .drop("_value", "_score", "_review", "_why")
+        .drop("_document", "_sheet", "_row", "_value", "_score", "_review", "_why")
     )
 
 

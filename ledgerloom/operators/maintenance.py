@@ -23,13 +23,24 @@ def latest_job_state(events: DataFrame) -> DataFrame:
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Snapshot with partial updates: a non-null value in ``changes`` replaces the old one."""
-    fresh = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    """Snapshot with partial updates: a non-null value in ``changes`` replaces the old one.
+
+    Of several changes for one key the last counts (``changed_at``, if there is one), so no row
+    of the table is doubled.
+    """
+    fresh = _latest(changes, key, columns).select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     joined = table.join(fresh, key, "left")
     updates = {c: F.coalesce(f"_{c}", c) for c in columns}
     return joined.withColumns(updates).drop(*[f"_{c}" for c in columns])
 
 
+def _latest(changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One change per key: the latest, or the greatest where no time is given."""
+    order = ["changed_at"] if "changed_at" in changes.columns else []
+    last = F.max(F.struct(*order, *columns)).alias("_change")
+    return changes.groupBy(key).agg(last).select(key, *[f"_change.{c}" for c in columns])
+
+
 def assign_reviews(queue: DataFrame, assignments: DataFrame) -> DataFrame:
     """Give reviews to people (``review_id, assigned_to``) and mark them in review."""
     changes = assignments.withColumn("status", F.lit("in_review"))
@@ -41,7 +52,8 @@ def resolve_reviews(queue: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Who and when are set together: without a resolver both become null, as do missing notes.
     """
-    fresh = decisions.select(
+    columns = ["status", "resolved_by", "resolved_at", "resolution_notes"]
+    fresh = _latest(decisions, "review_id", columns).select(
         "review_id",
         F.lit(True).alias("_hit"),
         F.col("status").alias("_status"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import job_progress, job_status_label
+from ..session import write_through
 from .spread import first_rows, join_per_key
 
 
@@ -44,9 +45,9 @@ def grid_headers(records: DataFrame, order: str, value: str = "normalized_value"
 
 def review_grid(records: DataFrame, order: str, value: str = "normalized_value") -> DataFrame:
     """Records as grid rows: one display text per header, ``-`` for a missing value."""
-    heads = grid_headers(records, order, value)
+    heads = write_through(grid_headers(records, order, value), "grid-headers")
     rows = join_per_key(
-        records.filter(F.col(value).isNotNull()), heads, ["document_id"], [order], "inner"
+        records.filter(F.col(value).isNotNull()), heads, ["document_id"], "inner"
     )
     data = F.from_json(F.col(value), "map<string,string>")
     shown = rows.withColumn("_data", data).withColumn(
@@ -70,6 +71,18 @@ def reviews_where(queue: DataFrame, condition: Column) -> DataFrame:
     return queue.filter(condition).orderBy(F.desc("priority"), "created_at", "review_id")
 
 
+def review_queue_page(queue: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame:
+    """One page of the whole queue by priority, then age, with the total."""
+    total = queue.agg(F.count("*").alias("total"))
+    rows = queue.orderBy(F.desc("priority"), "created_at", "review_id")
+    return _with_total(rows.offset((page - 1) * page_size).limit(page_size), total)
+
+
+def pages_of_document(pages: DataFrame, document_id) -> DataFrame:
+    """Pages of a document by page number."""
+    return pages.filter(F.col("document_id") == document_id).orderBy("page_number")
+
+
 def records_where(
     records: DataFrame, document_id=None, field_name: str | None = None,
     min_score: float | None = None,

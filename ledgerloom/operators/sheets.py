@@ -46,7 +46,7 @@ def top_cells(cells: DataFrame) -> DataFrame:
     Written out, since every header rule reads them; their number is bounded per sheet.
     """
     ranges = write_through(used_range(cells), "ranges")
-    near = join_measured(cells.filter(is_filled()), ranges, SHEET, ["row_num"], "inner")
+    near = join_measured(cells.filter(is_filled()), ranges, SHEET, "inner")
     offset = F.col("row_num") - F.col("first_row")
     top = near.withColumn("offset", offset).filter(F.col("offset") < vocab.HEADER_SCAN_ROWS)
     return write_through(top, "top-cells")
@@ -158,7 +158,7 @@ def sheet_layout(cells: DataFrame) -> DataFrame:
 def data_cells(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """Filled cells below the header and within its width; ``at`` counts columns from 0."""
     placed = join_measured(
-        cells.filter(is_filled()), layout.drop("headers"), SHEET, ["row_num"], "inner"
+        cells.filter(is_filled()), layout.drop("headers"), SHEET, "inner"
     )
     at = (F.col("col_num") - F.col("first_col")).cast("int")
     return placed.withColumn("at", at).filter(
@@ -166,9 +166,9 @@ def data_cells(cells: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def rows_before_long_gap(data: DataFrame, layout: DataFrame) -> DataFrame:
-    """Last row to keep, for sheets where a long run of empty rows ends the data."""
-    filled = data.select(*SHEET, "row_num").distinct()
+def rows_before_long_gap(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """Last row to keep, for sheets where a long run of empty rows ends the data (one row each)."""
+    filled = rows.select(*SHEET, "row_num")
     starts = layout.select(*SHEET, F.col("header_row").alias("row_num"))
     return gap_starts(filled.unionByName(starts), SHEET, "row_num", vocab.EMPTY_ROW_LIMIT)
 
@@ -176,20 +176,22 @@ def rows_before_long_gap(data: DataFrame, layout: DataFrame) -> DataFrame:
 def sheet_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """Data rows of every sheet: ``row_index`` (1-based), ``headers``, ``values``, ``raw``.
 
-    Empty rows, rows after a long empty run, and single-cell note rows are left out.
+    Empty rows, rows after a long empty run, and single-cell note rows are left out. The cells
+    are grouped into rows once; what follows reads that narrower table.
     """
     data = data_cells(cells, layout)
-    ends = write_through(rows_before_long_gap(data, layout), "ends")
     text_length = F.when(_is_text() & (F.col("at") == 0), F.length(trimmed(F.col("str_value"))))
-    rows = data.groupBy(*SHEET, "row_num").agg(
+    grouped = data.groupBy(*SHEET, "row_num").agg(
         F.map_from_entries(F.collect_list(F.struct("at", cell_text()))).alias("cells"),
         F.coalesce(F.max(text_length), F.lit(0)).alias("first_length"),
     )
+    rows = write_through(grouped, "sheet-rows")
+    ends = write_through(rows_before_long_gap(rows, layout), "ends")
     note = (F.size("cells") == 1) & (F.col("first_length") > vocab.NOTE_MIN_LENGTH)
-    kept = join_measured(rows.filter(~note), ends, SHEET, ["row_num"]).filter(
+    kept = join_measured(rows.filter(~note), ends, SHEET).filter(
         F.col("gap_after").isNull() | (F.col("row_num") <= F.col("gap_after"))
     )
-    named = join_measured(kept, layout.select(*SHEET, "headers"), SHEET, ["row_num"], "inner")
+    named = join_measured(kept, layout.select(*SHEET, "headers"), SHEET, "inner")
     values = F.transform("headers", lambda h, i: F.try_element_at(F.col("cells"), i))
     return named.withColumn("values", values).select(
         *SHEET,

@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import planned_bytes
+from ..session import planned_bytes, write_through
 
 BLOCK_ROWS = 65536
-SALTS = 16
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 16 * 1024 * 1024
 
@@ -49,6 +48,17 @@ def with_position(
     )
 
 
+def with_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number rows densely by part in the order of any columns.
+
+    One range shuffle sorts them; ``name`` is the sorted part and the place in it, so consecutive
+    rows of a part have consecutive numbers and blocks of numbers are full. Written, so that the
+    numbers stay the same however often the result is read.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return write_through(ordered.withColumn(name, F.monotonically_increasing_id()), "ordered")
+
+
 def first_rows(
     rows: DataFrame, keys: list[str], order: list[str | Column], n: int, name: str
 ) -> DataFrame:
@@ -90,38 +100,29 @@ def gap_starts(
 
 
 def join_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    how: str = "left",
-    salts: int = SALTS,
+    rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:
-    """Join rows with a table holding one row per key, where few keys own most of the rows.
+    """Join rows with a table that holds one row per key, where few keys own most of the rows.
 
-    The row side is salted by a hash of ``spread_by`` and the other side repeated per salt, so a
-    hot key is shared by ``salts`` tasks. When the planner knows that the per-key side is under the
-    broadcast threshold it skips the shuffle altogether. The salt is a hash of row values, so a
-    recomputed task puts a row in the same place again.
+    ``per_key`` is a table that is read, not one that is still being grouped: then both sides come
+    straight from their shuffle and Spark splits the partition of a hot key over several tasks,
+    repeating only that key's row. A small side is broadcast below Spark's own threshold.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(per_key, keys, how)
 
 
 def join_measured(
     rows: DataFrame,
     per_key: DataFrame,
     keys: list[str],
-    spread_by: list[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """As ``join_per_key`` for a table already written out: measured first, broadcast if small.
 
     The measure reads file sizes and footers only. Above ``BROADCAST_BYTES`` or ``broadcast_rows``
-    the salted join takes over.
+    the split join takes over.
     """
     if planned_bytes(per_key) <= BROADCAST_BYTES and per_key.count() <= broadcast_rows:
         return rows.join(F.broadcast(per_key), keys, how)
-    return join_per_key(rows, per_key, keys, spread_by, how)
+    return join_per_key(rows, per_key, keys, how)

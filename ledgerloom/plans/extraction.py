@@ -47,7 +47,7 @@ def route_documents(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     slots = schemas.select(
         "document_id", F.col("filled").alias("slots"), F.col("slots").alias("inferred_slots")
     )
-    joined = join_measured(rows, slots, ["document_id"], ["sheet_name", "row_index"])
+    joined = join_measured(rows, slots, ["document_id"])
     return route_rows(joined)
 
 

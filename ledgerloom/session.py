@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,16 +21,11 @@ SETTINGS = {
 }
 
 
-_configured: weakref.WeakSet = weakref.WeakSet()
-
-
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on."""
-    if spark in _configured:
-        return spark
+    """Apply the runtime settings the operators rely on, also where one was changed since."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    _configured.add(spark)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         # Fixed, so that two passes over the same files cut them at the same places even when the
         # number of executors changes in between.
@@ -60,16 +56,30 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(slices) if planned_bytes(df) < split * slices else df
 
 
+_local: list[str] = []
+
+
+def _local_folder() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="ledgerloom-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the cluster's checkpoint folder.
+    """A fresh sub-folder of the folder that driver and executors share.
 
-    Executors must all see it, so the cluster names it in ``spark.checkpoint.dir``. Only a session
-    without that setting (tests on one machine) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``. A session that
+    runs in one process does without; anywhere else a missing folder is an error, for executors
+    would not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

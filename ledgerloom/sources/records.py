@@ -9,9 +9,9 @@ from ..functions import vocab
 from ..functions.text import json_object
 from ..operators.rows import row_candidates
 from ..operators.scoring import entity_id
+from .tables import table_row
 
 NUMERIC_KEYS = vocab.COORDINATE_FIELDS + vocab.AMOUNT_FIELDS
-SCORES = ["overall_confidence", "confidence_score"]
 BUCKETS = 256
 
 
@@ -44,36 +44,36 @@ def storable(records: DataFrame) -> DataFrame:
     return records.filter(F.col("field_name").isNotNull() & (F.trim("field_name") != ""))
 
 
-def _as_stored(df: DataFrame) -> DataFrame:
-    """Scores in stored precision, sheet name null when there is none, and the document's bucket."""
-    scores = {c: F.col(c).cast("decimal(5,2)") for c in SCORES if c in df.columns}
-    df = df.withColumns(scores) if scores else df
-    return df.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+def write_rows(
+    df: DataFrame, root: str, name: str, created_at: Column | None = None, mode: str = "append"
+) -> None:
+    """Write a stored table under buckets of its first key; huge keys are split over files."""
+    stored = table_row(df, name, created_at)
+    key = "document_id" if "document_id" in stored.columns else "entity_id"
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    spread = stored.withColumn("bucket", bucket).hint("rebalance", "bucket")
+    spread.write.mode(mode).partitionBy("bucket").parquet(f"{root.rstrip('/')}/{name}")
 
 
-def write_rows(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write under document buckets; a rebalance keeps files even when one document is huge."""
-    stored = _as_stored(df).hint("rebalance", "bucket")
-    stored.write.mode(mode).partitionBy("bucket").parquet(path)
-
-
-def append_batch(records: DataFrame, path: str) -> DataFrame:
+def append_batch(
+    records: DataFrame, root: str, created_at: Column | None = None
+) -> DataFrame:
     """Append a batch as one commit. Result: no rows, or one error per record when it failed."""
     keep = storable(records)
     spark = records.sparkSession
     try:
-        write_rows(keep, path)
+        write_rows(keep, root, "extracted_asset_fields", created_at)
     except Exception as error:  # the job commit left nothing behind; report every row
         reason = f"Batch transaction failed: {str(error).splitlines()[0]}"
         return records.select("document_id", "row_index", F.lit(reason).alias("reason"))
     return spark.createDataFrame([], "document_id string, row_index bigint, reason string")
 
 
-def write_enrichment(result, root: str) -> None:
+def write_enrichment(result, root: str, created_at: Column | None = None) -> None:
     """Write enriched records, flags and review items, each to its table."""
-    write_rows(result.records, f"{root}/extracted_asset_fields")
-    write_rows(result.flags, f"{root}/validation_flags")
-    write_rows(result.reviews, f"{root}/review_queue")
+    write_rows(result.records, root, "extracted_asset_fields", created_at)
+    write_rows(result.flags, root, "validation_flags", created_at)
+    write_rows(result.reviews, root, "review_queue", created_at)
 
 
 def extraction_summary(documents: DataFrame, counts: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.fields import file_extension, file_type, mime_for_type
 from ..operators.spread import join_per_key
+from ..session import write_through
+from .tables import table_row
 
 # Error codes of rejected files.
 VALIDATION_FAILED = "VALIDATION_FAILED"
@@ -62,7 +64,7 @@ def admit(files: DataFrame, batch: str = "batch_id") -> DataFrame:
     batches = checked.groupBy(batch).agg(
         (F.bool_and("accepted") & (F.count("*") <= vocab.MAX_BATCH_FILES)).alias("batch_ok")
     )
-    return join_per_key(checked, batches, [batch], ["original_file_name"], "inner")
+    return join_per_key(checked, write_through(batches, "batches"), [batch], "inner")
 
 
 def document_key(path: Column, size: Column) -> Column:
@@ -70,8 +72,14 @@ def document_key(path: Column, size: Column) -> Column:
 
 
 def register_documents(files: DataFrame) -> DataFrame:
-    """Document rows of accepted files (``path, original_file_name, file_size, session_id``)."""
-    return files.select(
+    """Rows of the documents table for accepted files.
+
+    Files have ``path, original_file_name, file_size, session_id`` and, where known,
+    ``checksum_sha256`` and ``created_at``.
+    """
+    known = [c for c in ("checksum_sha256", "created_at") if c in files.columns]
+    rows = files.select(
+        *known,
         document_key(F.col("path"), F.col("file_size")).alias("document_id"),
         "original_file_name",
         F.col("path").alias("storage_key"),
@@ -80,14 +88,16 @@ def register_documents(files: DataFrame) -> DataFrame:
         F.lit("processing").alias("ingestion_status"),
         F.col("session_id").cast("string").alias("session_id"),
     )
+    return table_row(rows, "documents")
 
 
 def register_jobs(documents: DataFrame) -> DataFrame:
-    """One queued extraction job per document."""
-    return documents.select(
+    """One queued extraction job per document, as rows of the jobs table."""
+    rows = documents.select(
         F.sha2(F.concat(F.lit("job|"), "document_id"), 256).alias("job_id"),
         "document_id",
         "session_id",
         F.lit("extraction").alias("job_type"),
         F.lit("queued").alias("status"),
     )
+    return table_row(rows, "processing_jobs")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Columns of the stored tables. Scores are rounded to two decimals when stored.
 SCHEMAS = {
@@ -28,7 +30,8 @@ SCHEMAS = {
         "explanation string, created_at timestamp"
     ),
     "review_queue": (
-        "entity_type string, entity_id string, review_reason string, priority int, "
+        "review_id string, entity_type string, entity_id string, review_reason string, "
+        "priority int, "
         "assigned_to string, status string, resolution_notes string, resolved_by string, "
         "resolved_at timestamp, created_at timestamp"
     ),
@@ -42,6 +45,40 @@ SCHEMAS = {
     ),
 }
 
+# Columns that rows carry under another name before they are stored.
+ROW_NAMES = {"source_row_index": "row_index", "source_sheet_name": "sheet_name"}
+# What a new row holds where nothing else is said.
+DEFAULTS = {
+    "documents": {"ingestion_status": "processing"},
+    "processing_jobs": {"attempt_count": 0},
+    "extracted_asset_fields": {"review_status": "pending"},
+    "review_queue": {"status": "pending"},
+}
+
+
+def table_row(df: DataFrame, name: str, created_at: Column | None = None) -> DataFrame:
+    """``df`` with exactly the columns of a stored table, in their order and types.
+
+    Row position and sheet go under their stored names, an empty sheet name is null, and
+    ``created_at`` is the given time or now, except for rows that have one. A review without an id
+    gets one from what it is about. Columns the table doesn't have are dropped, missing ones null.
+    """
+    now = created_at if created_at is not None else F.current_timestamp()
+    columns = []
+    for field in T.StructType.fromDDL(SCHEMAS[name]).fields:
+        known = next((c for c in (field.name, ROW_NAMES.get(field.name)) if c in df.columns), None)
+        value = F.col(known) if known else F.lit(None)
+        if field.name == "source_sheet_name":
+            value = F.nullif(value, F.lit(""))
+        elif field.name == "created_at":
+            value = F.coalesce(value, now)
+        elif field.name == "review_id" and not known:
+            value = F.sha2(F.concat_ws("|", F.lit("review"), "entity_type", "entity_id"), 256)
+        elif field.name in DEFAULTS.get(name, {}):
+            value = F.coalesce(value, F.lit(DEFAULTS[name][field.name]))
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return df.select(*columns)
+
 
 def read_table(
     spark: SparkSession, root: str, name: str, where: Column | None = None

@@ -18,6 +18,7 @@ def save(folder, name, content):
         ("a,b", ["a", "b"]), ("a,,", ["a", "", ""]), ('"a,b",c', ["a,b", "c"]),
         ('"say ""hi""",x', ['say "hi"', "x"]), ('"",y', ["", "y"]), ('""""', ['"']),
         ('a"b"c,d', ['a"b"c', "d"]), ("", []), ('x,"a","b,c"', ["x", "a", "b,c"]),
+        ('"a\x01b",c', ["a\x01b", "c"]), ('"\x02a,\x02b\x01",\x01', ["\x02a,\x02b\x01", "\x01"]),
     ],
 )
 def test_split_fields(value, line, expected):
@@ -25,29 +26,29 @@ def test_split_fields(value, line, expected):
 
 
 def test_plain_file(spark, tmp_path):
-    save(tmp_path, "a.csv", "assetId,name\nA-1,Laptop\nA-2,Monitor\n")
+    save(tmp_path, "a.csv", "plotId,crop\nP7,Barley\nP9,Lupin\n")
     found = csv_rows(spark, str(tmp_path)).orderBy("row_index").collect()
     assert [r["raw"] for r in found] == [
-        {"assetid": "A-1", "name": "Laptop"}, {"assetid": "A-2", "name": "Monitor"},
+        {"plotid": "P7", "crop": "Barley"}, {"plotid": "P9", "crop": "Lupin"},
     ]
     assert [r["row_index"] for r in found] == [2, 3]
 
 
 def test_repeated_header(spark, tmp_path):
-    save(tmp_path, "a.csv", " Asset ID , Asset Name ,Asset ID\nA-1,Laptop,DUP\n")
+    save(tmp_path, "a.csv", " Plot No , Crop Sown ,Plot No\nP7,Barley,again\n")
     row = csv_rows(spark, str(tmp_path)).first()
-    assert row["raw"] == {"asset_id": "A-1", "asset_name": "Laptop", "asset_id_2": "DUP"}
+    assert row["raw"] == {"plot_no": "P7", "crop_sown": "Barley", "plot_no_2": "again"}
 
 
 def test_short_and_long_rows(spark, tmp_path):
     save(
         tmp_path, "a.csv",
-        "assetId,name\r\nA-1,Laptop\r\nBROKEN\r\nA-2,Monitor,EXTRA\r\nA-3,Keyboard\r\n",
+        "plotId,crop\r\nP7,Barley\r\nlost\r\nP8,Rye,more\r\nP9,Lupin\r\n",
     )
     good, bad = valid_csv_rows(spark, str(tmp_path))
-    assert [r["raw"]["assetid"] for r in good.orderBy("row_index").collect()] == ["A-1", "A-3"]
+    assert [r["raw"]["plotid"] for r in good.orderBy("row_index").collect()] == ["P7", "P9"]
     assert [r["warning"] for r in bad.orderBy("row_index").collect()] == [
-        "row 3: Missing columns: name.", "row 4: Extra columns detected: 1.",
+        "row 3: Missing columns: crop.", "row 4: Extra columns detected: 1.",
     ]
 
 
@@ -64,15 +65,17 @@ def test_huge_cell(spark, tmp_path):
     assert sizes.first()["n"] == 51 * 1024 * 1024
 
 
-@pytest.mark.parametrize("multiline", [False, True])
-def test_row_numbers_hold_across_small_blocks(spark, tmp_path, multiline):
+@pytest.mark.parametrize("broken", [False, True])
+def test_row_numbers_hold_across_small_blocks(spark, tmp_path, broken):
     """Files cut into many blocks keep their line numbers and headers."""
     for name, count in (("a.csv", 3000), ("b.csv", 1777)):
         save(tmp_path, name, f"id,{name[0]}\n" + "".join(f"{i},v{i}\n" for i in range(count)))
+    if broken:
+        save(tmp_path, "c.csv", 'id,c\n1,"one\ntwo"\n')
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
-        rows = csv_rows(spark, str(tmp_path), multiline).collect()
+        rows = csv_rows(spark, str(tmp_path)).filter("document_id NOT LIKE '%c.csv'").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(rows) == 4777
@@ -91,8 +94,27 @@ def test_quoted_line_breaks_across_small_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     try:
-        rows = csv_rows(spark, str(tmp_path), multiline=True).orderBy("row_index").collect()
+        rows = csv_rows(spark, str(tmp_path)).orderBy("row_index").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r["raw"]["text"] for r in rows] == cells
     assert [r["row_index"] for r in rows] == list(range(2, 902))
+
+
+def test_line_breaks_are_kept_by_default(spark, tmp_path):
+    save(tmp_path, "a.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    good, bad = valid_csv_rows(spark, str(tmp_path))
+    assert [(r["row_index"], r["raw"]["b"]) for r in good.orderBy("row_index").collect()] == [
+        (2, "x\ny"), (3, "z")]
+    assert bad.count() == 0
+
+
+def test_stray_quote_becomes_error_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("ledgerloom.sources.csv.MAX_RECORD_LINES", 50)
+    body = "".join(f"{i},v\n" for i in range(400))
+    save(tmp_path, "a.csv", f'a,b\n0,"x\ny"\n1,"stray\n{body}')
+    good, bad = valid_csv_rows(spark, str(tmp_path))
+    assert [r["row_index"] for r in good.collect()] == [2]
+    assert {(r["row_index"], r["reason"]) for r in bad.collect()} == {
+        (3, "Quoted value is not closed.")}
+    assert bad.count() == 9

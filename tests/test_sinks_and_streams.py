@@ -1,8 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import maintenance
 from ledgerloom.operators.relations import not_yet_stored
+from ledgerloom.session import shared_folder
 from ledgerloom.sources import records, registration
+from ledgerloom.sources.tables import read_table
 from ledgerloom.streaming import ingest
 
 
@@ -25,27 +28,30 @@ def test_records_skip_rows_without_data_and_default_the_score(spark):
 
 
 def test_append_and_repeat(spark, tmp_path):
-    path = str(tmp_path / "fields")
+    path = str(tmp_path)
     fresh = records.row_records(rows(spark))
     assert records.append_batch(fresh.withColumn("field_name", F.lit(" ")), path).count() == 0
     assert records.append_batch(fresh, path).count() == 0
-    stored = spark.read.parquet(path)
+    stored = read_table(spark, path, "extracted_asset_fields")
     assert stored.count() == 9
+    first = stored.orderBy("source_row_index").first()
+    assert first["source_row_index"] == 0 and first["source_sheet_name"] is None
+    assert first["created_at"] is not None and first["review_status"] == "pending"
     assert dict(stored.dtypes)["confidence_score"] == "decimal(5,2)"
     again = not_yet_stored(fresh, stored)
     assert records.append_batch(again, path).count() == 0
-    assert spark.read.parquet(path).count() == 9
+    assert read_table(spark, path, "extracted_asset_fields").count() == 9
 
 
 def test_failed_batch_saves_nothing_and_reports_every_row(spark, tmp_path):
-    path = str(tmp_path / "fields")
+    path = str(tmp_path)
     broken = records.row_records(rows(spark)).withColumn(
         "raw_value", F.when(F.col("row_index") == 8, F.raise_error(F.lit("boom"))).otherwise("x")
     )
     errors = records.append_batch(broken, path)
     assert errors.count() == 9
     assert "Batch transaction failed" in errors.first()["reason"]
-    assert not list((tmp_path / "fields").glob("bucket=*/*.parquet"))
+    assert not list((tmp_path / "extracted_asset_fields").glob("bucket=*/*.parquet"))
 
 
 @pytest.mark.parametrize(
@@ -129,3 +135,29 @@ def test_failed_batch_is_retried_without_duplicates(spark, tmp_path):
     ingest.run_available(stream, target, state, flaky)
     loaded = ingest.loaded(spark, target, SCHEMA)
     assert sorted(r["id"] for r in loaded.collect()) == list(range(60))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        shared_folder(Session(), "x")
+
+
+def test_two_changes_for_one_row_count_once(spark):
+    table = spark.createDataFrame([("r1", "a", 1), ("r2", "b", 2)], "review_id string, assigned_to string, priority int")
+    changes = spark.createDataFrame([("r1", 5, 1), ("r1", 3, 2)], "review_id string, priority int, changed_at int")
+    out = {r["review_id"]: r["priority"] for r in maintenance.reprioritise_reviews(table, changes).collect()}
+    assert out == {"r1": 3, "r2": 2} and maintenance.reprioritise_reviews(table, changes).count() == 2

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import spread
+from ledgerloom.session import write_through
 
 
 @pytest.fixture(scope="module")
@@ -42,28 +43,46 @@ def test_first_long_gap(skewed, gap, block):
     assert got == expected
 
 
-def test_salted_join_keeps_every_row(spark, skewed):
+def test_join_keeps_every_row(spark, skewed):
     df, rows = skewed
     per_key = df.groupBy("key").agg(F.max("at").alias("top")).filter("key <> 'k3'")
-    left = spread.join_per_key(df, per_key, ["key"], ["part", "at"])
+    left = spread.join_per_key(df, per_key, ["key"])
     assert left.count() == len(rows)
     assert left.filter("top IS NULL").count() == 40
-    inner = spread.join_measured(df, per_key, ["key"], ["part", "at"], "inner", broadcast_rows=0)
+    inner = spread.join_measured(df, per_key, ["key"], "inner", broadcast_rows=0)
     assert inner.count() == len(rows) - 40
 
 
-def test_hot_key_is_shared_by_tasks(spark, skewed):
-    df, _ = skewed
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_key_is_shared_by_tasks(spark, tmp_path):
+    """One key holds half of the rows; Spark splits its partition over several tasks."""
+    hot = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000)
+    spark.range(400_000).select(hot.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("x")).write.parquet(
+        str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        per_key = df.groupBy("key").agg(F.max("at").alias("top"))
-        joined = spread.join_per_key(df, per_key, ["key"], ["part", "at"])
-        places = joined.filter("key = 'hot'").select(F.spark_partition_id().alias("p"))
-        assert places.distinct().count() > 1
+        per_key = write_through(df.groupBy("key").agg(F.count("*").alias("n")), "per-key")
+        joined = spread.join_per_key(df, per_key, ["key"])
+        parts = joined.filter("n > 1000").select("key", F.spark_partition_id().alias("p"))
+        assert parts.distinct().count() > 3
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_order_of_texts(spark):
+    rows = spark.createDataFrame([("s", f"d{k:03}") for k in range(200)], "session_id string, id string")
+    placed = spread.with_position(
+        spread.with_order(rows, ["session_id", "id"], "_at"), ["session_id"], "_at", "pos", block_rows=16)
+    assert all(int(r["id"][1:]) + 1 == r["pos"] for r in placed.collect())
 
 
 def test_first_rows_uses_a_group_limit(spark, skewed):

@@ -16,7 +16,8 @@ from ledgerloom.plans.extraction import (
     settled_and_ambiguous,
 )
 from ledgerloom.session import shared_folder
-from ledgerloom.sources.records import row_records, write_enrichment
+from ledgerloom.sources.records import row_records, write_enrichment, write_rows
+from ledgerloom.sources.tables import read_table
 
 from .registry import query
 from .views import CODES, ROUTED_SQL, register_rows, table
@@ -230,33 +231,37 @@ def enrichment_stage(spark, folder):
     "written_enrichment",
     f"""SELECT 'records' AS kind, CASE WHEN score < 0.65 THEN 'requires_review' ELSE 'auto_approved' END AS label, count(*) AS n FROM ({SCORED_SQL}) GROUP BY ALL
         UNION ALL SELECT 'flags', severity, count(*) FROM ({FLAGS_SQL}) GROUP BY ALL
-        UNION ALL SELECT 'reviews', priority::VARCHAR, count(*) FROM ({REVIEWS_SQL}) GROUP BY ALL""",
+        UNION ALL SELECT 'reviews', concat(priority::VARCHAR, ' pending 2024-05-01'), count(*) FROM ({REVIEWS_SQL}) GROUP BY ALL""",
 )
 def written_enrichment(spark, folder):
     """Three tables written by the sink and read back."""
     root = shared_folder(spark, "enrichment")
-    write_enrichment(enrich(ambiguous_rows(spark, folder)), root)
+    when = F.to_timestamp(F.lit("2024-05-01 12:00:00"))
+    write_enrichment(enrich(ambiguous_rows(spark, folder)), root, when)
+    review = F.concat_ws(
+        " ", F.col("priority").cast("string"), "status", F.to_date("created_at").cast("string")
+    )
     parts = [
-        ("records", "extracted_asset_fields", "review_status"),
-        ("flags", "validation_flags", "severity"), ("reviews", "review_queue", "priority"),
+        ("records", "extracted_asset_fields", F.col("review_status"), "record_id"),
+        ("flags", "validation_flags", F.col("severity"), F.lit(1)),
+        ("reviews", "review_queue", review, "review_id"),
     ]
     frames = [
-        spark.read.parquet(f"{root}/{name}")
-        .groupBy(F.lit(kind).alias("kind"), F.col(label).cast("string").alias("label"))
-        .agg(F.count("*").alias("n"))
-        for kind, name, label in parts
+        read_table(spark, root, name)
+        .groupBy(F.lit(kind).alias("kind"), label.alias("label"))
+        .agg(F.count(counted).alias("n"))
+        for kind, name, label, counted in parts
     ]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 @query(
     "merged_records",
-    f"""SELECT t.document_id, t.row_index, s.currency AS new_currency, t.name AS old_name,
+    f"""SELECT t.document_id, t.row_index, t.name AS old_name,
+        CASE WHEN t.ambiguous THEN coalesce(s.currency, t.currency) ELSE t.currency END AS new_currency,
         round(CASE WHEN t.ambiguous THEN s.score ELSE 0.5 + CASE WHEN t.matched THEN 0.3 ELSE 0 END + CASE WHEN t.complete THEN 0.2 ELSE -0.2 END END::DOUBLE, 6) AS confidence_score,
         t.ambiguous AS is_inferred
-        FROM ({ROUTED_SQL}) t LEFT JOIN ({SCORED_SQL}) s ON t.document_id = s.document_id AND t.row_index = s.row_index""".replace(
-        "s.currency AS new_currency", "CASE WHEN t.ambiguous THEN coalesce(s.currency, t.currency) ELSE t.currency END AS new_currency"
-    ),
+        FROM ({ROUTED_SQL}) t LEFT JOIN ({SCORED_SQL}) s ON t.document_id = s.document_id AND t.row_index = s.row_index""",
 )
 def merged_records(spark, folder):
     """Enriched values merged into the stored rows of the same document and row."""
@@ -264,9 +269,13 @@ def merged_records(spark, folder):
     fresh = enrichment.enriched_records(
         scored_answers(routed.filter(F.col("route") == "ambiguous"))
     )
-    merged = enrichment.merge_into_stored(row_records(routed), fresh)
+    root = shared_folder(spark, "stored")
+    write_rows(row_records(routed), root, "extracted_asset_fields")
+    merged = enrichment.merge_into_stored(
+        read_table(spark, root, "extracted_asset_fields"), fresh
+    )
     return merged.select(
-        *KEY, F.get_json_object("normalized_value", "$.currency").alias("new_currency"),
+        "document_id", F.col("source_row_index").alias("row_index"), F.get_json_object("normalized_value", "$.currency").alias("new_currency"),
         F.get_json_object("normalized_value", "$.asset_name").alias("old_name"),
         "confidence_score", "is_inferred",
     )

@@ -146,6 +146,8 @@ def decimal_places(spark, folder):
         SELECT document_id, 'asset_name' AS field, CASE WHEN name <> '' THEN 0.9 ELSE 0 END::DOUBLE AS score FROM ({REGISTER_SQL})
         UNION ALL SELECT document_id, 'currency', CASE WHEN coalesce(currency, '') = '' THEN 0 WHEN regexp_full_match(currency, '[A-Z][A-Z][A-Z]') THEN 0.95 ELSE 0.5 END FROM ({REGISTER_SQL})
         UNION ALL SELECT document_id, 'jurisdiction', CASE WHEN coalesce(country, '') = '' THEN 0 ELSE 0.7 END FROM ({REGISTER_SQL})
+        UNION ALL SELECT document_id, 'asset_value', CASE WHEN value IS NULL THEN 0 ELSE 0.7 END FROM ({REGISTER_SQL})
+        UNION ALL SELECT document_id, 'asset_type', CASE WHEN coalesce(type, '') = '' THEN 0 ELSE 0.7 END FROM ({REGISTER_SQL})
         UNION ALL SELECT document_id, 'latitude', CASE WHEN abs(lat) <= 90 THEN 0.85 ELSE 0.3 END FROM ({CLEAN_SQL})
         UNION ALL SELECT document_id, 'longitude', CASE WHEN abs(lng) <= 180 THEN 0.85 ELSE 0.3 END FROM ({CLEAN_SQL})
         ) s GROUP BY document_id, field""",
@@ -156,8 +158,7 @@ def field_confidence(spark, folder):
     scored = cells.select(
         "document_id", field.alias("field"), fields.field_confidence(field, F.col("value")).alias("s")
     )
-    kept = scored.filter(~F.col("field").isin("asset_value", "asset_type"))
-    return kept.groupBy("document_id", "field").agg(
+    return scored.groupBy("document_id", "field").agg(
         F.count("*").alias("n"), F.sum("s").alias("total")
     )
 

@@ -30,32 +30,35 @@ def cell(name):
 
 @query(
     "csv_scan",
-    """SELECT p_partkey::VARCHAR AS part_key, concat(p_name, ', "', p_brand, '"') AS description, p_type AS part_type FROM part""",
+    """SELECT row_number() OVER (ORDER BY p_partkey) + 1 AS row_index, p_partkey::VARCHAR AS part_key,
+         concat(p_name, ', "', p_brand, '"', chr(1)) AS description, p_type AS part_type FROM part""",
 )
 def csv_scan(spark, folder):
-    """Fields with commas and quotes survive the scan."""
-    text = F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"'))
-    part = table(spark, folder, "part").select(
+    """Fields with commas, quotes and control characters survive the scan, in file order."""
+    text = F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"\x01'))
+    part = table(spark, folder, "part").coalesce(1).sortWithinPartitions("p_partkey").select(
         F.col("p_partkey").alias(" Part Key"), text.alias("Description"),
         F.col("p_type").alias("Part Type "),
     )
-    rows = csv_rows(spark, write_csv(part.repartition(4)))
+    rows = csv_rows(spark, write_csv(part))
     return rows.select(
-        cell("part_key").alias("part_key"), cell("description").alias("description"),
+        "row_index", cell("part_key").alias("part_key"), cell("description").alias("description"),
         cell("part_type").alias("part_type"),
     )
 
 
 @query(
     "csv_scan_line_breaks",
-    "SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS text_hash, length(text)::BIGINT AS length FROM documents",
+    """SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row_index, doc_id::VARCHAR AS doc_id,
+         sha256(text) AS text_hash, length(text)::BIGINT AS length FROM documents""",
 )
 def csv_scan_line_breaks(spark, folder):
     """Whole document texts, line breaks included, survive the scan."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    rows = csv_rows(spark, write_csv(documents.repartition(4), quoteAll=True), multiline=True)
+    ordered = documents.coalesce(1).sortWithinPartitions("doc_id")
+    rows = csv_rows(spark, write_csv(ordered, quoteAll=True))
     return rows.select(
-        cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
+        "row_index", cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
         F.length(cell("text")).alias("length"),
     )
 

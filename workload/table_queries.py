@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fields import file_extension, file_type, mime_for_type
@@ -9,7 +10,7 @@ from ledgerloom.operators import maintenance, pages, relations, routing
 from ledgerloom.plans.extraction import settled_and_ambiguous
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import records, registration
-from ledgerloom.sources.tables import SCHEMAS, read_table
+from ledgerloom.sources.tables import read_table, table_row
 
 from .registry import query
 from .views import (
@@ -27,6 +28,12 @@ from .views import (
     table,
 )
 
+
+
+def stored_at():
+    return F.to_timestamp(F.lit("2024-05-01 12:00:00"))
+
+
 EXTENSION = "lower(regexp_extract(original_file_name, '[^.]*$'))"
 SUPPORTED = f"{EXTENSION} IN ('csv', 'xls', 'xlsx', 'pdf')"
 
@@ -117,24 +124,22 @@ def extraction_summary(spark, folder):
 
 @query(
     "stored_record_scan",
-    f"""SELECT document_id, row_index AS source_row_index, 'row_data' AS field_name,
-        CASE WHEN matched THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence_score
+    f"""SELECT document_id, row_index AS source_row_index, NULL::VARCHAR AS source_sheet_name, 'row_data' AS field_name,
+        CASE WHEN matched THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence_score, 'pending' AS review_status, '2024-05-01 12:00:00' AS created_at
         FROM ({ROUTED_SQL}) r WHERE NOT ambiguous AND document_id = 'doc-3' AND complete""",
 )
 def stored_record_scan(spark, folder):
     """Settled rows through the record sink, then a filtered scan of the stored table."""
     root = shared_folder(spark, "stored")
     settled = settled_and_ambiguous(register_rows(spark, folder)).filter("route = 'deterministic'")
-    kept = records.row_records(settled).withColumns(
-        {"source_row_index": F.col("row_index"), "source_sheet_name": F.lit(None).cast("string")}
-    )
-    names = [f.split()[0] for f in SCHEMAS["extracted_asset_fields"].split(", ")]
-    kept = kept.select("row_index", *[c for c in names if c in kept.columns])
-    errors = records.append_batch(kept, f"{root}/extracted_asset_fields")
+    errors = records.append_batch(records.row_records(settled), root, stored_at())
     assert errors.isEmpty()
     where = (F.col("document_id") == "doc-3") & (F.col("confidence_score") >= 0.7)
     stored = read_table(spark, root, "extracted_asset_fields", where)
-    return stored.select("document_id", "source_row_index", "field_name", "confidence_score")
+    return stored.select(
+        "document_id", "source_row_index", "source_sheet_name", "field_name", "confidence_score",
+        "review_status", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+    )
 
 
 @query(
@@ -167,15 +172,14 @@ def session_documents(spark, folder):
 
 @query(
     "nested_session_documents",
-    f"""SELECT session_id, any_value(name) AS name, part, string_agg(original_file_name, ',' ORDER BY document_id) AS files FROM (
+    f"""SELECT session_id, any_value(name) AS name, part, string_agg(original_file_name, ',' ORDER BY document_id::VARCHAR) AS files FROM (
           SELECT s.session_id, s.name, d.document_id, d.original_file_name,
-            coalesce((row_number() OVER (PARTITION BY s.session_id ORDER BY d.document_id) - 1) // 20, 0) AS part
+            coalesce((row_number() OVER (PARTITION BY s.session_id ORDER BY d.document_id::VARCHAR) - 1) // 20, 0) AS part
           FROM ({SESSIONS_SQL}) s LEFT JOIN ({DOCS_SQL}) d ON s.session_id = d.session_id) n GROUP BY session_id, part""",
 )
 def nested_session_documents(spark, folder):
-    nested = relations.nested_session_documents(
-        sessions(spark, folder), docs(spark, folder), nest_rows=20
-    )
+    documents = docs(spark, folder).withColumn("document_id", F.col("document_id").cast("string"))
+    nested = relations.nested_session_documents(sessions(spark, folder), documents, nest_rows=20)
     files = F.array_join(F.transform("documents", lambda d: d["original_file_name"]), ",")
     return nested.select("session_id", "name", "part", files.alias("files"))
 
@@ -236,6 +240,7 @@ def jobs_with_documents(spark, folder):
 def not_yet_stored(spark, folder):
     rows = register_rows(spark, folder)
     stored = rows.filter(F.try_element_at(F.col("raw"), F.lit("name")).isNotNull())
+    stored = table_row(stored, "extracted_asset_fields")
     return relations.not_yet_stored(rows, stored).select("document_id", "row_index")
 
 
@@ -429,7 +434,8 @@ def listed_jobs(spark, folder):
 )
 def jobs_of_document(spark, folder):
     found = pages.newest_first(jobs(spark, folder), F.col("document_id") == 22, "job_id")
-    return found.select("job_id", "status", (F.monotonically_increasing_id() + 1).alias("place"))
+    newest = W.orderBy(F.desc("created_at"), "job_id")
+    return found.select("job_id", "status", F.row_number().over(newest).alias("place"))
 
 
 @query(
