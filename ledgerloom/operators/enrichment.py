@@ -19,6 +19,7 @@ from ..functions.fields import (
 from ..functions.text import blank_to_null, is_blank, json_object, merged_object, trimmed
 from .routing import needs_enrichment, provider_batch_size, slot_value
 from .scoring import entity_id, review_status
+from ..session import write_through
 from .spread import with_position
 
 KEY = ["document_id", "sheet_name", "row_index"]
@@ -146,24 +147,25 @@ def ask_provider(
 ) -> DataFrame:
     """Send rows to ``provider`` in batches and keep one result row per input row.
 
-    The provider gets a frame with ``row_index, sheet_name, row`` (the row as JSON) and returns a
-    list of answer JSON texts in the same order. A short or malformed list gives an error and an
+    The provider gets a frame with ``row_index, sheet_name, row`` (the row as JSON) and ``schema``
+    (the document's slots as JSON) and returns a list of answer JSON texts in the same order. A short or malformed list gives an error and an
     empty answer for the rows it misses; a failing call gives an error for every row of its batch
     and leaves other batches alone.
     """
     size = provider_batch_size(batch_size)
-    placed = with_position(rows, ["document_id"], "row_index", "_pos", within=["sheet_name"])
-    sent = placed.select(
-        *KEY,
-        F.floor((F.col("_pos") - 1) / size).alias("batch_id"),
-        json_object(F.col("data")).alias("row"),
+    schema = F.to_json("slots") if "slots" in rows.columns else F.lit(None).cast("string")
+    asked = rows.select(*KEY, json_object(F.col("data")).alias("row"), schema.alias("schema"))
+    placed = with_position(
+        write_through(asked, "asked"), ["document_id"], "row_index", "_pos", within=["sheet_name"]
     )
+    batch = F.floor((F.col("_pos") - 1) / size).alias("batch_id")
+    sent = placed.select(*KEY, batch, "row", "schema")
 
     def call(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["sheet_name", "row_index"])
         out = batch[["document_id", "sheet_name", "row_index", "batch_id"]].copy()
         try:
-            replies = provider(batch[["row_index", "sheet_name", "row"]])
+            replies = provider(batch[["row_index", "sheet_name", "row", "schema"]])
         except Exception as error:  # one failing batch must not stop the others
             out["response"] = None
             out["error"] = f"Batch enrichment failed: LLM batch enrichment failed: {error}"

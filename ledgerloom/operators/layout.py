@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import WHITESPACE_CLASS, blank_to_null, trimmed
+from ..session import write_through
+from .spread import join_per_key
 
 PAGE = ["document_id", "page"]
 BAND = [*PAGE, "band"]
@@ -65,7 +67,8 @@ def band_starts(items: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame
 
 def with_bands(items: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame:
     """Add ``band``, counted from 0 at the top of the page."""
-    joined = items.join(band_starts(items, reach), PAGE)
+    # A table, so that Spark can split the join of a page with very many items.
+    joined = join_per_key(items, write_through(band_starts(items, reach), "bands"), PAGE, "inner")
     above = F.filter("band_starts", lambda start: start <= F.col("y"))
     return joined.withColumn("band", F.size(above) - 1).drop("band_starts")
 
@@ -80,7 +83,8 @@ def cluster_starts(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFra
 
 def with_clusters(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFrame:
     """Add ``cluster``, counted from 0 at the left of the band."""
-    joined = banded.join(cluster_starts(banded, gap), BAND)
+    starts = write_through(cluster_starts(banded, gap), "clusters")
+    joined = join_per_key(banded, starts, BAND, "inner")
     left = F.filter("cluster_starts", lambda start: start <= F.col("x"))
     return joined.withColumn("cluster", F.size(left) - 1).drop("cluster_starts")
 
@@ -105,8 +109,9 @@ def text_blocks(clustered: DataFrame) -> DataFrame:
 
 
 def page_blocks(items: DataFrame) -> DataFrame:
-    """Items of all pages to blocks."""
-    return text_blocks(with_clusters(with_bands(items)))
+    """Items of all pages to blocks; what is read twice is written once."""
+    banded = write_through(with_bands(items), "banded-items")
+    return write_through(text_blocks(with_clusters(banded)), "text-blocks")
 
 
 def block_records(blocks: DataFrame) -> DataFrame:
@@ -119,7 +124,8 @@ def block_records(blocks: DataFrame) -> DataFrame:
     before = W.partitionBy(*PAGE).orderBy("band").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_band.select(*BAND, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
     number = F.col("_at") + F.col("cluster") + 1
-    return blocks.join(offsets, BAND).select(
+    offsets = write_through(offsets, "block-numbers")
+    return join_per_key(blocks, offsets, BAND, "inner").select(
         *PAGE, number.alias("block_number"), "block_type", "text",
         "x_min", "x_max", "y_min", "y_max",
     )

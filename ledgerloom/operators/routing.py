@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.fields import is_falsy, off_limits, parse_currency, value_of
 from ..functions.text import is_blank
+from ..session import write_through
 from .spread import with_position
 
 
@@ -118,9 +119,12 @@ def with_batches(
     deterministic: int = vocab.DETERMINISTIC_BATCH,
     ambiguous: int = vocab.AMBIGUOUS_BATCH,
 ) -> DataFrame:
-    """Number each document's rows into batches per route; the last batch may be short."""
+    """Number each document's rows into batches per route; the last batch may be short.
+
+    The rows are written once, for their places are counted before they are numbered.
+    """
     placed = with_position(
-        routed, ["document_id", "route"], "row_index", "_pos", within=["sheet_name"]
+        write_through(routed, "routed"), ["document_id", "route"], "row_index", "_pos", within=["sheet_name"]
     )
     size = F.when(F.col("route") == "deterministic", deterministic).otherwise(ambiguous)
     return placed.withColumn("batch_id", F.floor((F.col("_pos") - 1) / size)).drop("_pos")

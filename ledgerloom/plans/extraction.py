@@ -51,9 +51,12 @@ def route_documents(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     return route_rows(joined)
 
 
-def settled_and_ambiguous(raw_rows: DataFrame) -> DataFrame:
-    """Flagship: both passes over raw rows, giving routed rows."""
-    return route_documents(normalize_rows(raw_rows), document_schemas(raw_rows))
+def settled_and_ambiguous(raw_rows: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """Flagship: both passes over raw rows, giving routed rows.
+
+    Documents with a proposed schema take it, merged with their profile; the others take the rules.
+    """
+    return route_documents(normalize_rows(raw_rows), document_schemas(raw_rows, proposed))
 
 
 @dataclass

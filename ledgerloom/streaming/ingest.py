@@ -10,24 +10,54 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 
-FILES_PER_TRIGGER = 3
 ATTEMPTS = 3
 BATCH_COLUMN = "load_batch"
+FILE_COLUMN = "source_file"
+LOG_SCHEMA = "load_batch bigint, source_file string, status string, reason string"
 
 
 def stream_files(
     spark: SparkSession, path: str, schema: str, kind: str = "csv",
-    files_per_trigger: int = FILES_PER_TRIGGER, **options: str,
+    files_per_trigger: int | None = None, **options: str,
 ) -> DataFrame:
-    """File stream over a folder; the source remembers which files it has taken."""
-    reader = configure(spark).readStream.format(kind).schema(schema)
-    return reader.option("maxFilesPerTrigger", files_per_trigger).options(**options).load(path)
+    """File stream over a folder; the source remembers which files it has taken.
+
+    A micro-batch takes all that has arrived; bound it by ``files_per_trigger`` or, in bytes, by
+    the option ``maxBytesPerTrigger``. Rows carry the file they came from in ``source_file``.
+    """
+    reader = configure(spark).readStream.format(kind).schema(schema).options(**options)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path).withColumn(FILE_COLUMN, F.col("_metadata.file_path"))
 
 
-def write_batch(df: DataFrame, batch_id: int, table: str) -> None:
+def write_batch(df: DataFrame, batch_id: int, table: str, mode: str = "overwrite") -> None:
     """Write one micro-batch to its own partition; a retried batch replaces what it wrote."""
-    folder = f"{table.rstrip('/')}/{BATCH_COLUMN}={batch_id}"
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode(mode).parquet(f"{table.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+
+
+def _log(spark: SparkSession, log: str, batch_id: int, rows: list[tuple]) -> None:
+    """Replace what the log says about a batch."""
+    entries = spark.createDataFrame([(batch_id, *r) for r in rows], LOG_SCHEMA)
+    entries.drop(BATCH_COLUMN).coalesce(1).write.mode("overwrite").parquet(
+        f"{log.rstrip('/')}/{BATCH_COLUMN}={batch_id}")
+
+
+def _file_by_file(df: DataFrame, batch_id: int, table: str, transform, attempts: int) -> list[tuple]:
+    """Load the files of a failed batch one at a time; a bad one doesn't hold up the others."""
+    out, mode = [], "overwrite"
+    for (path,) in df.select(FILE_COLUMN).distinct().collect():
+        rows = df.filter(F.col(FILE_COLUMN) == path).drop(FILE_COLUMN)
+        for attempt in range(1, attempts + 1):
+            try:
+                write_batch(transform(rows), batch_id, table, mode)
+                out.append((path, "completed", None))
+                mode = "append"
+                break
+            except Exception as error:
+                if attempt == attempts:
+                    out.append((path, "failed", str(error).splitlines()[0][:500]))
+    return out
 
 
 def run_available(
@@ -37,12 +67,18 @@ def run_available(
 ):
     """Process everything that has arrived, then stop. Returns the finished query.
 
-    A failed run is started again from the checkpoint: finished batches are not repeated, and the
-    batch that failed replaces whatever it had written.
+    A batch that fails is loaded again file by file, so that only a bad file is left out; it is
+    named in the log (``batch_log``). A run that breaks off is started again from the checkpoint:
+    finished batches are not repeated, and the broken one replaces whatever it had written.
     """
 
     def step(df: DataFrame, batch_id: int) -> None:
-        write_batch(transform(df), batch_id, table)
+        try:
+            write_batch(transform(df.drop(FILE_COLUMN)), batch_id, table)
+            entries = [(None, "completed", None)]
+        except Exception:
+            entries = _file_by_file(df, batch_id, table, transform, attempts)
+        _log(df.sparkSession, f"{checkpoint.rstrip('/')}-log", batch_id, entries)
 
     for attempt in range(1, attempts + 1):
         query = (
@@ -59,6 +95,11 @@ def run_available(
                 raise
 
 
+def batch_log(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What became of each batch or, where a batch failed, of each of its files."""
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{checkpoint.rstrip('/')}-log")
+
+
 def loaded(spark: SparkSession, table: str, schema: str) -> DataFrame:
     """Everything loaded so far, with the batch each row came in."""
     return spark.read.schema(f"{schema}, {BATCH_COLUMN} bigint").parquet(table)
@@ -69,8 +110,10 @@ def batch_metrics(table: DataFrame) -> DataFrame:
     return table.groupBy(BATCH_COLUMN).agg(F.count("*").alias("rows"))
 
 
-def progress_metrics(query) -> dict[str, int]:
-    """Queued, completed and failed batches of a finished query."""
-    completed = sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
-    failed = int(query.exception() is not None)
-    return {"queued": completed + failed, "completed": completed, "failed": failed}
+def progress_metrics(log: DataFrame) -> DataFrame:
+    """Queued, completed and failed batches of a log; a batch with a failed file has failed."""
+    batches = log.groupBy(BATCH_COLUMN).agg(F.bool_or(F.col("status") == "failed").alias("bad"))
+    return batches.agg(
+        F.count("*").alias("queued"), F.count_if(~F.col("bad")).alias("completed"),
+        F.count_if("bad").alias("failed"),
+    )

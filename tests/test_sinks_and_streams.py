@@ -104,11 +104,12 @@ def test_files_are_loaded_once(spark, tmp_path):
         add_file(folder, f"{i}.csv", i * 10, 10)
 
     def load():
-        stream = ingest.stream_files(spark, source, SCHEMA, header="true")
+        stream = ingest.stream_files(spark, source, SCHEMA, files_per_trigger=3, header="true")
         return ingest.run_available(stream, target, state)
 
-    query = load()
-    assert ingest.progress_metrics(query) == {"queued": 2, "completed": 2, "failed": 0}
+    load()
+    counts = ingest.progress_metrics(ingest.batch_log(spark, state)).first().asDict()
+    assert counts == {"queued": 2, "completed": 2, "failed": 0}
     load()
     add_file(folder, "late.csv", 40, 5)
     load()
@@ -131,7 +132,7 @@ def test_failed_batch_is_retried_without_duplicates(spark, tmp_path):
             raise RuntimeError("once")
         return df
 
-    stream = ingest.stream_files(spark, source, SCHEMA, header="true")
+    stream = ingest.stream_files(spark, source, SCHEMA, files_per_trigger=3, header="true")
     ingest.run_available(stream, target, state, flaky)
     loaded = ingest.loaded(spark, target, SCHEMA)
     assert sorted(r["id"] for r in loaded.collect()) == list(range(60))
@@ -161,3 +162,30 @@ def test_two_changes_for_one_row_count_once(spark):
     changes = spark.createDataFrame([("r1", 5, 1), ("r1", 3, 2)], "review_id string, priority int, changed_at int")
     out = {r["review_id"]: r["priority"] for r in maintenance.reprioritise_reviews(table, changes).collect()}
     assert out == {"r1": 3, "r2": 2} and maintenance.reprioritise_reviews(table, changes).count() == 2
+
+
+def test_a_bad_file_does_not_stop_the_others(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        add_file(tmp_path / "in", f"{i}.csv", i * 10, 10)
+
+    def refuse(df):
+        bad = F.when(F.col("id") == 23, F.raise_error(F.lit("bad value"))).otherwise(F.col("id"))
+        return df.withColumn("id", bad)
+
+    def load():
+        stream = ingest.stream_files(spark, source, SCHEMA, files_per_trigger=2, header="true")
+        ingest.run_available(stream, target, state, refuse, attempts=2)
+
+    load()
+    loaded = sorted(r["id"] for r in ingest.loaded(spark, target, SCHEMA).collect())
+    assert loaded == [i for i in range(50) if i // 10 != 2]
+    log = ingest.batch_log(spark, state)
+    failed = log.filter("status = 'failed'").collect()
+    assert len(failed) == 1 and failed[0]["source_file"].endswith("2.csv")
+    assert "bad value" in failed[0]["reason"]
+    assert ingest.progress_metrics(log).first().asDict() == {"queued": 3, "completed": 2, "failed": 1}
+    add_file(tmp_path / "in", "late.csv", 50, 5)
+    load()
+    assert ingest.loaded(spark, target, SCHEMA).count() == 45

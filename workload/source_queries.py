@@ -95,20 +95,20 @@ def csv_row_warnings(spark, folder):
 ORDER_SCHEMA = "o_orderkey bigint, o_orderstatus string"
 
 
-def load_orders(spark, folder):
+def load_orders(spark, folder, transform=lambda df: df):
     """Orders as eight CSV files, loaded three at a time, then once more with nothing new."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     arrived = write_csv(orders.repartition(8))
     target, state = shared_folder(spark, "loaded"), shared_folder(spark, "stream-state")
     for _ in range(2):
-        stream = ingest.stream_files(spark, arrived, ORDER_SCHEMA, header="true")
-        ingest.run_available(stream, target, state)
-    return ingest.loaded(spark, target, ORDER_SCHEMA)
+        stream = ingest.stream_files(spark, arrived, ORDER_SCHEMA, files_per_trigger=3, header="true")
+        ingest.run_available(stream, target, state, transform)
+    return ingest.loaded(spark, target, ORDER_SCHEMA), ingest.batch_log(spark, state)
 
 
 @query("streamed_files", "SELECT o_orderkey, o_orderstatus FROM orders")
 def streamed_files(spark, folder):
-    return load_orders(spark, folder).select("o_orderkey", "o_orderstatus")
+    return load_orders(spark, folder)[0].select("o_orderkey", "o_orderstatus")
 
 
 @query(
@@ -116,7 +116,7 @@ def streamed_files(spark, folder):
     "SELECT 3::BIGINT AS batches, count(*) AS total, TRUE AS all_once FROM orders",
 )
 def stream_batches(spark, folder):
-    loaded = load_orders(spark, folder)
+    loaded, _ = load_orders(spark, folder)
     once = F.count_distinct("o_orderkey") == F.count("*")
     metrics = ingest.batch_metrics(loaded).agg(
         F.count("*").alias("batches"), F.sum("rows").alias("total")
