@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import pickle
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z and turns every other ASCII byte that is no letter or digit into a space.
@@ -31,19 +32,9 @@ def batches(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors see; ``spark.checkpoint.dir`` names the parent."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/ledgerloom-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, lost executors re-read it."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

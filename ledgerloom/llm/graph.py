@@ -13,7 +13,8 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     near = links.unionByName(turned) if large else links
     least = near.groupBy("a").agg(F.min("b").alias("_least"))
-    least = least.withColumn("_least", F.least("_least", "a"))
+    # A table, so that the join can split the partition of a node with very many links.
+    least = written(least.withColumn("_least", F.least("_least", "a")), "least")
     hung = near.join(least, "a")
     if large:
         moved = hung.filter("b > a").select(F.col("b").alias("a"), F.col("_least").alias("b"))

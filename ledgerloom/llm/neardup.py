@@ -32,7 +32,7 @@ SHINGLE = 5
 SKETCH = 128
 #: Chance to lose a pair that just reaches the threshold.
 LOSS = 1e-8
-NODE_ROWS = 1024
+NODE_ROWS = 2048
 GROUP_ROWS = 512
 BRANCHES = 2
 DEPTH = 3
@@ -212,6 +212,7 @@ def branches(nodes: DataFrame) -> DataFrame:
     ready = None
     for depth in range(DEPTH + 1):
         sizes = members.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = written(sizes, "branch-sizes")
         members = written(members.join(sizes, "path"), "branches")
         small = members.filter(f"n <= {NODE_ROWS}").select("path", "node")
         ready = small if ready is None else ready.unionByName(small)
@@ -265,7 +266,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     compared = paths.join(nodes.select("node", "sketch", "n_shingles"), "node")
     candidates = components(_linked(compared, "path", by_sketch, ["sketch", "n_shingles"]))
-    sized = candidates.groupBy("component").agg(F.count("*").alias("n"))
+    sized = written(candidates.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
     groups = written(candidates.join(sized, "component"), "candidates")
 
     # The full sets of all candidates, made again from the texts.
@@ -299,6 +300,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     first = sets.select("node", "first_doc")
     least = linked.join(first, "node").groupBy("component").agg(F.min("first_doc").alias("least"))
+    least = written(least, "least-documents")
     named = linked.join(least, "component").select("node", "least")
     by_id = sets.join(named, "node", "left").select(
         "set_id", F.coalesce("least", "first_doc").alias("_component"))
@@ -318,7 +320,7 @@ def first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = near_groups(docs, percent)
     rank = F.min(F.when(F.col("kept"), F.col("row"))).alias("_first")
     worded = written(found.filter("n_shingles > 0"), "groups")
-    first = worded.groupBy("component_id").agg(rank)
+    first = written(worded.groupBy("component_id").agg(rank), "first-rows")
     go = worded.join(first, worded["component_id"].eqNullSafe(first["component_id"])).filter(
         "row != _first").groupBy("doc_id", "tag").agg(F.count("*").alias("_gone"))
     go = written(go, "duplicates")
