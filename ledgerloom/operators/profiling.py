@@ -297,9 +297,39 @@ def infer_schema(sample: DataFrame, proposed: DataFrame | None = None) -> DataFr
     return verify_schema(schema_quality(slot_mapping(roles)))
 
 
-def attach_schema(documents: DataFrame, schema: DataFrame) -> DataFrame:
-    """Documents with their inferred schema as JSON; a document without one keeps its old value."""
-    text = F.to_json(F.struct("slots", "completeness", "ambiguity_score", "needs_review"))
+# Fixed value: note on a schema that rules made.
+RULES_NOTE = "Schema created via manual inference (LLM failed or timed out)"
+
+
+def _column_lists(roles: DataFrame) -> DataFrame:
+    """All columns of a document in order, and those without a role; as many as it has columns."""
+    column = F.struct(
+        "column_pos", F.col("column").alias("name"), "detected_type", "sample_values",
+        F.col("role").alias("semantic_role"), "confidence", "reasoning",
+    )
+    listed = roles.groupBy("document_id").agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    open_columns = F.filter("columns", lambda c: c["semantic_role"] == "unknown")
+    return listed.withColumn(
+        "unmapped_columns",
+        F.transform(open_columns, lambda c: F.struct(c["name"], c["reasoning"].alias("reason"))),
+    )
+
+
+def attach_schema(
+    documents: DataFrame, schema: DataFrame, roles: DataFrame | None = None
+) -> DataFrame:
+    """Documents with their inferred schema as JSON; a document without one keeps its old value.
+
+    With the ``roles`` of its columns, the schema also lists every column, those without a role,
+    and how it came about.
+    """
+    parts = ["slots", "completeness", "ambiguity_score", "deterministic_coverage", "needs_review"]
+    if roles is not None:
+        schema = schema.join(_column_lists(roles), "document_id", "left").withColumn(
+            "inference_notes", F.array(F.lit(RULES_NOTE))
+        )
+        parts += ["columns", "unmapped_columns", "inference_notes"]
+    text = F.to_json(F.struct(*parts))
     fresh = schema.select("document_id", text.alias("_schema"))
     joined = documents.join(fresh, "document_id", "left")
     old = F.col("inferred_schema") if "inferred_schema" in documents.columns else F.lit(None)

@@ -74,3 +74,25 @@ def test_salted_joins_give_the_same_routes(spark, uploads, monkeypatch):
     expected = summary(routed_rows(spark, uploads)[0])
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
     assert summary(routed_rows(spark, uploads)[0]) == expected
+
+
+def test_attached_schema_lists_every_column(spark):
+    import json
+
+    from ledgerloom.operators import profiling
+
+    rows = [("d1", "", k, {"Name": f"n{k}", "Lat": str(k), "Odd": "", "Zeta": f"z {k}"}) for k in range(1, 9)]
+    raw = spark.createDataFrame(
+        rows, "document_id string, sheet_name string, row_index bigint, data map<string,string>")
+    sample = profiling.head_sample(raw)
+    roles = profiling.assign_roles(profiling.column_profile(sample))
+    documents = spark.createDataFrame([("d1",), ("d2",)], "document_id string")
+    out = profiling.attach_schema(documents, profiling.infer_schema(sample), roles)
+    told = {r["document_id"]: r["inferred_schema"] for r in out.collect()}
+    schema = json.loads(told["d1"])
+    assert {c["name"]: c["detected_type"] for c in schema["columns"]} == {
+        "Name": "string", "Lat": "number", "Odd": "empty", "Zeta": "string"}
+    unmapped = {c["name"] for c in schema["columns"] if c["semantic_role"] == "unknown"}
+    assert {c["name"] for c in schema["unmapped_columns"]} == unmapped
+    assert schema["deterministic_coverage"] == 1.0 and schema["inference_notes"]
+    assert told["d2"] is None
