@@ -25,8 +25,6 @@ from .common import WordHashes, batches, byte_texts, mixed, written
 WINDOW = 50
 ANCHOR = 16
 CHUNK_WORDS = 500_000
-#: A list per document up to this size goes to the texts by broadcast, beyond it by a shuffle.
-BROADCAST_BYTES = 24_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PLACE = np.uint64(26)
@@ -165,11 +163,20 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "tag", "n_removed", "kept_sha256", "repeats"])
 
 
-def _beside_texts(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """Texts with the list that belongs to them; the lists are measured before a broadcast."""
-    size = lists.agg(F.sum(F.size(column) * 8 + 40)).first()[0] or 0
-    side = F.broadcast(lists) if size <= BROADCAST_BYTES else lists
-    return docs.select("doc_id", "tag", "text").join(side, ["doc_id", "tag"])
+def _beside_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Texts with the list that belongs to them."""
+    return docs.select("doc_id", "tag", "text").join(lists, ["doc_id", "tag"])
+
+
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that several documents have, with the smallest doc_id.
+
+    Joins read it as a table: both sides then come straight from their shuffle, which is what
+    Spark needs to split the partition of a hot key.
+    """
+    return rows.groupBy(*keys).agg(
+        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")
+    ).filter("_first < _last").drop("_last")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -191,29 +198,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         f"doc_id {kind}, tag long, copy binary, n_words long, all_sha256 string, "
         "anchors array<long>"), "summaries")
     known = summed.filter("doc_id is not null")
-    originals = known.groupBy("copy").agg(
-        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")
-    ).filter("_first < _last").drop("_last")
+    originals = written(_shared(known, ["copy"]), "originals")
     marked = summed.join(originals, "copy", "left").withColumn(
         "_copied", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
     seeds = marked.filter(f"not _copied and doc_id is not null and n_words >= {WINDOW}").select(
         "doc_id", "tag", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(
-        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")
-    ).filter("_first < _last").select("anchor")
+    shared = written(_shared(seeds, ["anchor"]).select("anchor"), "anchors")
     lists = written(
         seeds.join(shared, "anchor").groupBy("doc_id", "tag").agg(
             F.collect_set("anchor").alias("anchors")), "shared-anchors")
-    near = _beside_texts(rows, lists, "anchors")
+    near = _beside_texts(rows, lists)
     windows = written(near.mapInArrow(
         _extended, f"doc_id {kind}, tag long, anchor long, hash long, start int"), "windows")
-    partners = windows.groupBy("anchor", "hash").agg(
-        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")
-    ).filter("_first < _last").drop("_last")
+    partners = written(_shared(windows, ["anchor", "hash"]), "partners")
     hits = windows.join(partners, ["anchor", "hash"]).filter("doc_id > _first")
     starts = written(
         hits.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts")), "hits")
-    cut = _beside_texts(rows, starts, "starts").mapInArrow(
+    cut = _beside_texts(rows, starts).mapInArrow(
         _cut,
         f"doc_id {kind}, tag long, n_removed long, kept_sha256 string, "
         "repeats array<struct<from:int,to:int>>").dropDuplicates(["doc_id", "tag"])
