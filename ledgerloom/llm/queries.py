@@ -43,7 +43,46 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return private.private_report(table(spark, folder, "documents"))
 
 
-@query("op3_decontamination")
+@query(
+    "op3_decontamination",
+    r"""
+    WITH w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+      FROM documents
+    ),
+    item AS (
+      SELECT item_id, ws, least(10, len(ws)) AS k FROM (
+        SELECT item_id, list_filter(regexp_split_to_array(translate(text,
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+        FROM benchmark) WHERE len(ws) > 0
+    ),
+    win AS (
+      SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+      FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM item)
+    ),
+    seen AS (
+      SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+            FROM w CROSS JOIN (SELECT DISTINCT k FROM win))
+    ),
+    hit AS (SELECT doc_id, item_id, k, i FROM seen JOIN win USING (k, g)),
+    word AS (
+      SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id
+    ),
+    met AS (
+      SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id
+    )
+    SELECT w.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(word.n, 0) AS n_hit,
+      coalesce(met.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+      coalesce(word.n, 0) > 0 AS contaminated
+    FROM w LEFT JOIN word USING (doc_id) LEFT JOIN met USING (doc_id)
+    """,
+)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_hits(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
