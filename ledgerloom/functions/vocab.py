@@ -14,7 +14,9 @@ CURRENCIES = [
 ]
 
 # The shorter code list used when profiling values and in direct extraction.
-PROFILE_CURRENCIES = CURRENCIES[:14]
+PROFILE_CURRENCIES = [
+    "USD", "EUR", "GBP", "JPY", "AUD", "CAD", "CHF", "CNY", "INR", "BRL", "MXN", "SGD", "HKD", "KRW",
+]
 
 # Source column name -> canonical field name.
 COLUMN_ALIASES = {

@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.vocab import COUNTRY_CURRENCY
 from ledgerloom.operators import enrichment, scoring
 from ledgerloom.operators.routing import with_batches
 from ledgerloom.plans.extraction import (
@@ -20,14 +19,16 @@ from ledgerloom.sources.records import row_records, write_enrichment, write_rows
 from ledgerloom.sources.tables import read_table
 
 from .registry import query
-from .views import CODES, ROUTED_SQL, register_rows, table
+from .views import CODES, ROUTED_SQL, SHORT_CODES, register_rows, table
 
 KEY = ["document_id", "row_index"]
-SHORT_CODES = ",".join(CODES.split(",")[:14])
-LOOKUP = (
-    "CASE upper(country) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRY_CURRENCY.items())
-    + " END"
-)
+# Currency of a country.
+LOOKUP = """CASE upper(country)
+  WHEN 'ALGERIA' THEN 'DZD' WHEN 'BRAZIL' THEN 'BRL' WHEN 'CANADA' THEN 'CAD' WHEN 'CHINA' THEN 'CNY'
+  WHEN 'FRANCE' THEN 'EUR' WHEN 'GERMANY' THEN 'EUR' WHEN 'INDIA' THEN 'INR' WHEN 'INDONESIA' THEN 'IDR'
+  WHEN 'JAPAN' THEN 'JPY' WHEN 'RUSSIA' THEN 'RUB' WHEN 'SAUDI ARABIA' THEN 'SAR'
+  WHEN 'UNITED KINGDOM' THEN 'GBP' WHEN 'UNITED STATES' THEN 'USD' WHEN 'US' THEN 'USD'
+  WHEN 'VIETNAM' THEN 'VND' END"""
 ANSWERS_SQL = f"""
 SELECT document_id, row_index, asks, name, country AS place,
   CASE WHEN asks THEN name ELSE coalesce(name, '') END AS normalized_name,

@@ -185,9 +185,18 @@ def row_confidence(spark, folder):
     "fuzzy_role_match",
     "WITH words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents), "
     "bare AS (SELECT word, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS b FROM words), "
-    "kw(slot, k) AS (VALUES "
-    + ", ".join(f"('{s}', '{w}')" for s, ws in vocab.FUZZY_KEYWORDS.items() for w in ws)
-    + ") SELECT slot, count(DISTINCT word) AS words FROM bare JOIN kw "
+    # Keywords of the fuzzy match.
+    "kw(slot, k) AS (VALUES ('asset_name', 'asset'), ('asset_name', 'name'), ('asset_name', 'property'), "
+    "('asset_name', 'facility'), ('asset_name', 'building'), ('asset_name', 'assetname'), "
+    "('value', 'value'), ('value', 'amount'), ('value', 'price'), ('value', 'valuation'), ('value', 'cost'), "
+    "('value', 'total_value'), ('value', 'market_value'), ('currency', 'currency'), ('currency', 'curr'), "
+    "('jurisdiction', 'location'), ('jurisdiction', 'country'), ('jurisdiction', 'state'), "
+    "('jurisdiction', 'province'), ('jurisdiction', 'region'), ('jurisdiction', 'city'), "
+    "('jurisdiction', 'address'), ('latitude', 'lat'), ('latitude', 'latitude'), ('latitude', 'lat_deg'), "
+    "('longitude', 'lng'), ('longitude', 'lon'), ('longitude', 'long'), ('longitude', 'longitude'), "
+    "('longitude', 'lng_deg'), ('asset_type', 'type'), ('asset_type', 'category'), "
+    "('asset_type', 'classification'), ('asset_type', 'property_type'), ('asset_type', 'kind'), "
+    "('asset_type', 'subtype')) SELECT slot, count(DISTINCT word) AS words FROM bare JOIN kw "
     "ON contains(b, k) OR contains(k, b) GROUP BY slot",
 )
 def fuzzy_role_match(spark, folder):

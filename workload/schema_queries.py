@@ -10,7 +10,7 @@ from ledgerloom.operators.headers import data_start
 from ledgerloom.plans.extraction import normalize_rows, settled_and_ambiguous
 
 from .registry import query
-from .views import CLEAN_SQL, CODES, ROUTED_SQL, register_rows, table
+from .views import CLEAN_SQL, ROUTED_SQL, SHORT_CODES, register_rows, table
 
 PLAIN = r"regexp_replace(CAST({} AS VARCHAR), '\.0$', '')"
 COLUMNS = {
@@ -28,7 +28,6 @@ CELLS_SQL = (
         for i, (name, value) in enumerate(COLUMNS.items())
     )
 )
-SHORT_CODES = ",".join(CODES.split(",")[:14])
 PROFILE_SQL = f"""
 SELECT document_id, "column", column_pos::BIGINT AS column_pos,
   count(*) FILTER (pos <= 10 AND v <> '') = 0 AS is_empty,
@@ -40,11 +39,21 @@ SELECT document_id, "column", column_pos::BIGINT AS column_pos,
   coalesce(string_agg(v, '|' ORDER BY pos) FILTER (pos <= 5), '') AS sample_values
 FROM ({CELLS_SQL}) s GROUP BY document_id, "column", column_pos
 """
-KEYWORDS_SQL = "VALUES " + ", ".join(
-    f"({i}, {j}, '{slot}', '{word}')"
-    for i, (slot, words) in enumerate(vocab.ROLE_KEYWORDS.items())
-    for j, word in enumerate(words)
-)
+# Keywords of each slot in the order they are tried.
+KEYWORDS_SQL = """VALUES
+  (0, 0, 'asset_name', 'asset'), (0, 1, 'asset_name', 'name'), (0, 2, 'asset_name', 'property'),
+  (0, 3, 'asset_name', 'building'), (0, 4, 'asset_name', 'facility'), (0, 5, 'asset_name', 'site'),
+  (0, 6, 'asset_name', 'location'),
+  (1, 0, 'value', 'value'), (1, 1, 'value', 'amount'), (1, 2, 'value', 'price'), (1, 3, 'value', 'valuation'),
+  (1, 4, 'value', 'cost'), (1, 5, 'value', 'total'), (1, 6, 'value', 'market'),
+  (2, 0, 'currency', 'currency'), (2, 1, 'currency', 'curr'),
+  (3, 0, 'jurisdiction', 'jurisdiction'), (3, 1, 'jurisdiction', 'location'), (3, 2, 'jurisdiction', 'country'),
+  (3, 3, 'jurisdiction', 'state'), (3, 4, 'jurisdiction', 'province'), (3, 5, 'jurisdiction', 'region'),
+  (3, 6, 'jurisdiction', 'city'), (3, 7, 'jurisdiction', 'address'),
+  (4, 0, 'latitude', 'lat'), (4, 1, 'latitude', 'latitude'),
+  (5, 0, 'longitude', 'lng'), (5, 1, 'longitude', 'lon'), (5, 2, 'longitude', 'longitude'),
+  (6, 0, 'asset_type', 'type'), (6, 1, 'asset_type', 'category'), (6, 2, 'asset_type', 'classification'),
+  (6, 3, 'asset_type', 'kind')"""
 ROLES_SQL = f"""
 WITH profile AS ({PROFILE_SQL}), kw(slot_ord, word_ord, slot, word) AS ({KEYWORDS_SQL}),
 hits AS (

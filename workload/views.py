@@ -78,6 +78,11 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
 # The register with parsed numbers, trimmed text and a checked currency code.
+# Currency codes, written out so that the SQL doesn't share the code's list.
+SHORT_CODES = (
+    "'USD', 'EUR', 'GBP', 'JPY', 'AUD', 'CAD', 'CHF', 'CNY', 'INR', 'BRL', "
+    "'MXN', 'SGD', 'HKD', 'KRW'"
+)
 CODES = (
     "'USD','EUR','GBP','JPY','AUD','CAD','CHF','CNY','INR','BRL','MXN','SGD','HKD','KRW','SEK',"
     "'NOK','DKK','NZD','ZAR','RUB','IDR','MYR','PHP','THB','VND','AED','SAR','ILS','TRY'"
