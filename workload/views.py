@@ -173,7 +173,8 @@ def sheet_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_items(spark: SparkSession, folder: str) -> DataFrame:
     items = from_sql(spark, folder, ITEMS_SQL, "lineitem")
-    return items.withColumn("document_id", F.lit("scan"))
+    document = F.concat(F.lit("scan-"), (F.col("page") % 7).cast("string"))
+    return items.withColumn("document_id", document)
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
