@@ -25,7 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, batches, byte_texts, mixed, odd_numbers, written
+from .common import (
+    LOWER, WordHashes, batches, byte_texts, matched, mixed, odd_numbers, written,
+)
 from .graph import components
 
 SHINGLE = 5
@@ -33,7 +35,7 @@ SKETCH = 128
 #: Chance to lose a pair that just reaches the threshold.
 LOSS = 1e-8
 NODE_ROWS = 2048
-GROUP_ROWS = 512
+GROUP_ROWS = 2048
 BRANCHES = 2
 DEPTH = 3
 #: Standard deviations of the sketch estimate below the threshold that still make a candidate.
@@ -213,7 +215,7 @@ def branches(nodes: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         sizes = members.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         sizes = written(sizes, "branch-sizes")
-        members = written(members.join(sizes, "path"), "branches")
+        members = written(matched(members, sizes, "path"), "branches")
         small = members.filter(f"n <= {NODE_ROWS}").select("path", "node")
         ready = small if ready is None else ready.unionByName(small)
         large = members.filter(f"n > {NODE_ROWS}")
@@ -221,7 +223,7 @@ def branches(nodes: DataFrame) -> DataFrame:
             return ready
         if depth < DEPTH:
             pick = F.explode(F.sequence(F.lit(1), F.lit(BRANCHES))).alias("branch")
-            chosen = large.join(nodes.select("node", "sketch"), "node").select(
+            chosen = matched(large, nodes.select("node", "sketch"), "node").select(
                 "path", "node", "sketch", pick)
             at = F.pmod(F.xxhash64("path", "branch"), F.lit(SKETCH)).cast("int")
             token = F.substring("sketch", 2 * at + 1, F.lit(2))
@@ -256,7 +258,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.min("row").alias("node"), F.min("doc_id").alias("first_doc")), "sets")
     keys = sets.select("node")
     nodes = written(
-        signed.withColumnRenamed("row", "node").join(keys, "node").select(
+        matched(signed.withColumnRenamed("row", "node"), keys, "node").select(
             "node", "doc_id", "tag", "n_shingles", "roots", "sketch"), "nodes")
     paths = written(branches(nodes), "paths")
 
@@ -264,13 +266,13 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         return alike_sketches(
             np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH), np.array(sizes), threshold)
 
-    compared = paths.join(nodes.select("node", "sketch", "n_shingles"), "node")
+    compared = matched(paths, nodes.select("node", "sketch", "n_shingles"), "node")
     candidates = components(_linked(compared, "path", by_sketch, ["sketch", "n_shingles"]))
     sized = written(candidates.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
-    groups = written(candidates.join(sized, "component"), "candidates")
+    groups = written(matched(candidates, sized, "component"), "candidates")
 
     # The full sets of all candidates, made again from the texts.
-    wanted = nodes.select("node", "doc_id", "tag").join(groups, "node")
+    wanted = matched(nodes.select("node", "doc_id", "tag"), groups, "node")
     wanted = written(wanted, "wanted")
     side = F.broadcast(wanted) if wanted.count() * 40 <= BROADCAST_BYTES else wanted
     texts = docs.select(tag(), F.col("doc_id").alias("_id"), "text").join(
@@ -295,16 +297,17 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = _linked(full.filter(f"n <= {GROUP_ROWS}"), "component", by_set, ["shingles"])
     large = full.filter(f"n > {GROUP_ROWS}").select("node", "shingles")
     if not large.isEmpty():
-        links = links.unionByName(_linked(paths.join(large, "node"), "path", by_set, ["shingles"]))
+        links = links.unionByName(_linked(matched(paths, large, "node"), "path", by_set, ["shingles"]))
     linked = components(links)
 
     first = sets.select("node", "first_doc")
     least = linked.join(first, "node").groupBy("component").agg(F.min("first_doc").alias("least"))
     least = written(least, "least-documents")
     named = linked.join(least, "component").select("node", "least")
-    by_id = sets.join(named, "node", "left").select(
+    by_id = matched(sets, named, "node", "left").select(
         "set_id", F.coalesce("least", "first_doc").alias("_component"))
-    out = signed.select("row", "doc_id", "tag", "n_shingles", "set_id").join(by_id, "set_id", "left")
+    rows = signed.select("row", "doc_id", "tag", "n_shingles", "set_id")
+    out = matched(rows, by_id, "set_id", "left")
     component = F.coalesce("_component", "doc_id")
     return out.select(
         "row", "doc_id", "tag", "n_shingles", component.cast(kind).alias("component_id"),
