@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers, about 200 bytes each.
-CACHED_CHUNKS = 1_200_000
+CACHED_CHUNKS = 700_000
 _POINT = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s)")
 _state: dict = {}
 

@@ -124,8 +124,12 @@ class _Fit:
 
 def fit_chain(texts: list[bytes], labels: np.ndarray) -> dict:
     """The chain for label columns in their order, the deciding category last."""
-    vocabulary = Vocabulary()
-    doc, word, weight = vocabulary.counted(texts)
+    vocabulary, parts, at = Vocabulary(), [], 0
+    for some in _slices(texts, 1_000_000):
+        doc, word, weight = vocabulary.counted(some)
+        parts.append((doc + at, word, weight))
+        at += len(some)
+    doc, word, weight = (np.concatenate(x) for x in zip(*parts))
     n, categories = labels.shape
     fit = _Fit(doc, word, weight, word_features(vocabulary.words), n)
     fold = np.arange(n) % FOLDS
@@ -187,9 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 17) -> dict | None:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id").sample(frac=1, random_state=seed)
         known = [t.encode() for t in rows["text"]]
-        words = [set(t.translate(ALNUM_ONLY).split()) for t in known]
         toxic = rows["toxic"].to_numpy()
-        parts = [toxic * np.array([bool(s & w) for w in words]) for s in seeds]
+        met = np.array([
+            [not s.isdisjoint(t.translate(ALNUM_ONLY).split()) for s in seeds] for t in known])
+        parts = [toxic * has for has in met.T]
         return pd.DataFrame({"model": [packed(fit_chain(known, np.column_stack([*parts, toxic])))]})
 
     one = sample.withColumn("_all", F.lit(0)).groupBy("_all")
