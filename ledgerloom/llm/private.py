@@ -5,7 +5,8 @@ names after a form of address. Every distinct entity of the corpus gets one surr
 keyed hash, so that mentions of one entity stay mentions of one (coreference). A surrogate has its
 entity's type, format (digits stay digits, letters keep case and script, punctuation stays) and,
 for names, the gender of the form of address. A surrogate that two entities drew, or that is
-itself an entity of the corpus, is drawn again, until all differ (distinctness).
+itself an entity of the corpus, is drawn again, until all differ (distinctness); draws get longer
+after some attempts, so that a free one always exists.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 NAME = r"[^\W\d_a-zа-я][^\W\d_]+"
 _TITLED = "|".join(f"(?P<{g}>{words})" for g, words in TITLES.items())
 ENTITY = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
+    r"(?P<email>[\w.+-]+@(?:[_-]+\.)*[_-]*[^\W_][\w-]*(?:\.[\w-]+)+)"
     r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d))"
@@ -53,6 +54,8 @@ ENTITY = re.compile(
 #: Only a text with one of these can hold an entity.
 HINT = re.compile(rb"[@+0-9]|[0-9A-Fa-f]{32}|" + "|".join(
     w for words in TITLES.values() for w in words.split("|")).encode())
+#: After so many void draws the next ones are one character longer.
+LONGER_AFTER = 8
 KINDS = ("email", "hex", "ip", "phone", "card", "name")
 
 
@@ -100,21 +103,21 @@ class _Draws:
 
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """A canonical replacement for a canonical entity."""
-    draw = _Draws(key, kind, entity, attempt)
+    draw, longer = _Draws(key, kind, entity, attempt), attempt // LONGER_AFTER
     if kind == "hex":
-        return "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
+        return "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(entity) + longer))
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join(str(1 + draw.below(999 if longer else 254)) for _ in range(4))
     if kind in ("phone", "card"):
         # The first digit stays (country code, card brand), and so does a valid check digit.
-        digits = entity[:1] + "".join(str(draw.below(10)) for _ in entity[1:])
+        digits = entity[:1] + "".join(str(draw.below(10)) for _ in range(len(entity) - 1 + longer))
         if kind == "card" and luhn(entity) == 0:
             digits = digits[:-1] + str(-luhn(digits[:-1] + "0") % 10)
         return digits
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, _, tail = domain.rpartition(".")
-        return f"{_word(draw, local)}@{_word(draw, head)}.{tail}"
+        return f"{_word(draw, local + 'a' * longer)}@{_word(draw, head)}.{tail}"
     parts = entity.split(" ")
     script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
     out = []
@@ -122,7 +125,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         gender = kind[-1] if kind[-1] in "mf" else "mf"[draw.below(2)]
         given = GIVEN[script, gender].split()
         out.append(given[draw.below(len(given))])
-    size = max(5, len(parts[-1])) + draw.below(3)
+    size = max(5, len(parts[-1])) + draw.below(3) + longer
     pairs = (CONSONANTS[script], VOWELS[script])
     family = "".join(pairs[i % 2][draw.below(len(pairs[i % 2]))] for i in range(size))
     out.append(family.capitalize())
@@ -130,17 +133,17 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
 
 
 def _word(draw: _Draws, text: str) -> str:
-    """Letters for letters and digits for digits."""
+    """Letters for letters and digits for digits and other numerals."""
     return "".join(
-        str(draw.below(10)) if c.isdigit()
-        else "abcdefghijklmnopqrstuvwxyz"[draw.below(26)] if c.isalpha() else c for c in text)
+        "abcdefghijklmnopqrstuvwxyz"[draw.below(26)] if c.isalpha()
+        else str(draw.below(10)) if c.isalnum() else c for c in text)
 
 
 def in_format(kind: str, value: str, new: str) -> str:
     """A canonical surrogate in the spelling of one mention: its separators and upper case."""
     if kind in ("phone", "card"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in value)
+        return "".join(next(digits) if c.isdigit() else c for c in value) + "".join(digits)
     if kind == "hex":
         return new.upper() if value.isupper() else new
     if kind == "email" and len(new) == len(value):

@@ -70,3 +70,19 @@ def test_report_has_every_row(spark):
     out = private.private_report(documents(spark, [*TEXTS, None])).orderBy("doc_id").collect()
     assert [r["n_entities"] for r in out][:3] == [3, 4, 5] and out[4]["n_entities"] == 0
     assert private.private_report(documents(spark, [])).collect() == []
+
+
+def test_addresses_without_letters_or_digits_end(spark):
+    assert kinds("rulers ___@___.___ and --@--.com, +--@_.-.--") == []
+    assert kinds("_@a.com x@_.b-1.com") == [("_@a.com", "email"), ("x@_.b-1.com", "email")]
+    text = "rulers ___@___.___ and ½@½.com"
+    out = private.replace_private(documents(spark, [text])).first()["text"]
+    assert out.startswith("rulers ___@___.___ and ") and "½@½.com" not in out
+
+
+def test_used_up_space_of_draws_gets_longer(spark):
+    rows = [("email", f"{a}@{b}.com") for a in range(10) for b in range(10)] + [("email", "_@_.com")]
+    out = private.surrogates(spark.createDataFrame(rows, "kind string, entity string"), b"k").collect()
+    new = {r["surrogate"] for r in out}
+    assert len(out) == len(new) == 101 and not new & {e for _, e in rows}
+    assert private.in_format("phone", "+1 23", "4567") == "+4 567"
