@@ -43,11 +43,32 @@ CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 NAME = r"[^\W\d_a-zа-я][^\W\d_]+"
 _TITLED = "|".join(f"(?P<{g}>{words})" for g, words in TITLES.items())
+#: What separates groups of a phone number; an address after a number is no group of it.
+_SEP = r"[ \u00a0\u202f./\u2010-\u2013-]"
+_GROUP = rf"{_SEP}?(?!(?:\d{{1,3}}\.){{3}}\d)\d{{2,4}}"
+#: International numbers, and the national forms of fr, de (also gb), es and en (us).
+PHONES = (
+    rf"(?<!\w)\+1{_SEP}?\(?\d{{3}}\)?{_SEP}?\d{{3}}{_SEP}?\d{{4}}(?!\d)",
+    r"(?:(?<!\w)\+|(?<![\w+])(?<!\d[.,/-])00)3[34]"
+    rf"{_SEP}?(?:\(0\){_SEP}?)?[1-9](?:{_SEP}?\d){{8}}(?!\d)",
+    r"(?:(?<!\w)\+(?=(?:\W{0,3}\d){7})|(?<![\w+])(?<!\d[.,/-])00(?=[1-9](?:\W{0,3}\d){8}))\d{1,3}"
+    rf"{_SEP}?(?:\(0\){_SEP}?)?\(?\d{{1,4}}\)?(?:{_GROUP}){{2,4}}(?:-\d{{1,5}})?(?!\d)",
+    r"(?<![\w+])(?<!\d[.,/-])(?:"
+    rf"0[1-9](?:{_SEP}\d\d){{4}}|0[1-9]\d{{8,9}}"
+    r"|(?:\(0[1-9]\d{1,3}\) ?|0[1-9]\d{1,3}(?: ?[/-] ?|[ \u00a0\u202f]))"
+    r"(?:\d{6,9}(?:-\d{1,5})?(?!\d)|\d(?:[ -]?\d){5,8})"
+    r"|[6-9]\d\d(?:(?:[ -]\d{3}){2}|(?:[ -]\d\d){3})|[89]\d[ -]\d{3}[ -]\d\d[ -]\d\d"
+    r"|(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w|[.,]\d)",
+)
+#: Words before a number without separators that tell it from other numbers.
+PHONE_CUE = (r"(?i:t[eé]l(?:[eé](?:f|ph)on[eo]?)?|phone|(?:tele)?fax|m[oó]vil|mobile?|handy|cell)"
+             r"[.:]{0,2} ?")
 ENTITY = re.compile(
     r"(?P<email>[\w.+-]+@(?:[_-]+\.)*[_-]*[^\W_][\w-]*(?:\.[\w-]+)+)"
     r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d))"
+    rf"|(?P<phone>{'|'.join(PHONES)})"
+    rf"|(?<!\w){PHONE_CUE}(?P<cued>\d{{7,12}}(?!\w|[.,]\d))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]))"
     rf"|(?<!\w)(?:{_TITLED})\.? (?P<name>{NAME}(?: {NAME})?)"
 )
@@ -56,7 +77,9 @@ HINT = re.compile(rb"[@+0-9]|[0-9A-Fa-f]{32}|" + "|".join(
     w for words in TITLES.values() for w in words.split("|")).encode())
 #: After so many void draws the next ones are one character longer.
 LONGER_AFTER = 8
-KINDS = ("email", "hex", "ip", "phone", "card", "name")
+KINDS = ("email", "hex", "ip", "phone", "cued", "card", "name")
+#: Digits of a phone number that not all its spellings have: exit code, and zero after a country code.
+_OPTIONAL = re.compile(r"(^00|\(0\))")
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
@@ -67,14 +90,15 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         if kind == "card" and len(re.sub(r"\D", "", m[kind])) not in range(13, 20):
             continue
         gender = next((g for g in TITLES if m[g]), "n") if kind == "name" else ""
-        found.append((*m.span(kind), f"name_{gender}" if gender else kind))
+        told = "phone" if kind == "cued" else kind
+        found.append((*m.span(kind), f"name_{gender}" if gender else told))
     return found
 
 
 def canonical(kind: str, value: str) -> str:
     """What mentions of one entity share: digits of a number, lower case of an address."""
     if kind in ("phone", "card"):
-        return re.sub(r"\D", "", value)
+        return re.sub(r"\D", "", _OPTIONAL.sub("", value) if kind == "phone" else value)
     if kind in ("email", "hex"):
         return value.lower()
     return value
@@ -111,6 +135,8 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind in ("phone", "card"):
         # The first digit stays (country code, card brand), and so does a valid check digit.
         digits = entity[:1] + "".join(str(draw.below(10)) for _ in range(len(entity) - 1 + longer))
+        if kind == "phone" and entity.startswith("0"):
+            digits = f"0{1 + draw.below(9)}{digits[2:]}"
         if kind == "card" and luhn(entity) == 0:
             digits = digits[:-1] + str(-luhn(digits[:-1] + "0") % 10)
         return digits
@@ -143,7 +169,10 @@ def in_format(kind: str, value: str, new: str) -> str:
     """A canonical surrogate in the spelling of one mention: its separators and upper case."""
     if kind in ("phone", "card"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in value) + "".join(digits)
+        pieces = _OPTIONAL.split(value) if kind == "phone" else [value]
+        return "".join(
+            x if n % 2 else "".join(next(digits) if c.isdigit() else c for c in x)
+            for n, x in enumerate(pieces)) + "".join(digits)
     if kind == "hex":
         return new.upper() if value.isupper() else new
     if kind == "email" and len(new) == len(value):

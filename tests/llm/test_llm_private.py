@@ -86,3 +86,24 @@ def test_used_up_space_of_draws_gets_longer(spark):
     new = {r["surrogate"] for r in out}
     assert len(out) == len(new) == 101 and not new & {e for _, e in rows}
     assert private.in_format("phone", "+1 23", "4567") == "+4 567"
+
+
+def test_phone_numbers_of_each_language():
+    numbers = [
+        "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89", "01 23 45 67 89",
+        "06.12.34.56.78", "0612345678", "+49 (0)30 123456", "+49 30 1234-0", "0171 1234567",
+        "(030) 1234567", "030/123456", "+34 612 345 678", "612 345 678", "91 123 45 67",
+        "(555) 123-4567", "555-123-4567", "1-800-555-0199", "+44 (0)20 7946 0958", "020 7946 0958",
+        "+33\u202f1\u202f23\u202f45\u202f67\u202f89",
+    ]
+    for number in numbers:
+        assert kinds(f"call {number}, or write") == [(number, "phone")]
+        assert kinds(f"{number} {number}.") == [(number, "phone")] * 2
+        entity = private.canonical("phone", number)
+        new = private.in_format("phone", number, private.surrogate("phone", entity, b"k"))
+        assert new != number and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", number)
+    assert len({private.canonical("phone", n) for n in numbers[:3]}) == 1
+    assert kinds("Tel. 612345678 Phone: 2125550147") == [("612345678", "phone"), ("2125550147", "phone")]
+    assert kinds("+1 (826) 555-4081 190.137.223.204") == [
+        ("+1 (826) 555-4081", "phone"), ("190.137.223.204", "ip")]
+    assert kinds("01.02.2024 10:30, 2024-05-12, 612345678, 0.123456789, 1 234 567, 5 - 3 + 1 2 3") == []
