@@ -7,6 +7,11 @@ entity's type, format (digits stay digits, letters keep case and script, punctua
 for names, the gender of the form of address. A surrogate that two entities drew, or that is
 itself an entity of the corpus, is drawn again, until all differ (distinctness); draws get longer
 after some attempts, so that a free one always exists.
+
+A name is replaced word by word. The last word is the family name, one entity in all spellings and
+under all titles; given names before it take the gender that the document tells, and an initial
+becomes that of the given name's surrogate. In a document, a name's words are found without a
+title too.
 """
 
 from __future__ import annotations
@@ -14,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +46,34 @@ GIVEN = {
     ("cyrillic", "m"): "Андрей Борис Виктор Глеб Дмитрий Егор Иван Максим Николай Павел",
     ("cyrillic", "f"): "Анна Вера Дарья Елена Зоя Ирина Лидия Мария Ольга Татьяна",
 }
-CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст"}
-VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
-NAME = r"[^\W\d_a-zа-я][^\W\d_]+"
+CONSONANTS = {
+    "latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστφχ",
+    "hebrew": "בגדזחטכלמנפקרש", "arabic": "بتجدرزسشطفقكلم", "kana": "カキサシタテナニハマヤラ",
+    "han": "王李張劉陳楊黃趙周吳徐孫", "hangul": "김이박최정강조윤장임한오",
+}
+VOWELS = {
+    "latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιου", "hebrew": "אויע", "arabic": "اوي",
+    "kana": "アイウエオンリル", "han": "明文華美英國志安平玉", "hangul": "민서지현우영수진은호",
+}
+#: Letters of the scripts; names in others get Latin letters.
+SCRIPTS = {
+    "cyrillic": "[Ѐ-ӿ]", "greek": "[Ͱ-Ͽἀ-῿]", "hebrew": "[א-ת]", "arabic": "[ء-ي]", "kana": "[ぁ-ヿ]",
+    "han": "[一-鿿]", "hangul": "[가-힣]", "latin": "",
+}
+#: Letters that are initials: the first group begins given names of both lists.
+INITIALS = {
+    "latin": ("abcdefhijklmnoprstv", "gquwxyz"), "cyrillic": ("авдеим", "бгжзклнопрстуфхцчшэюя"),
+    "greek": ("", "αβγδεζηθικλμνξοπρστυφχψω"),
+}
+PARTICLES = "von|van|de|der|den|del|della|di|da|do|dos|das|du|des|la|le|zu|zum|zur|ter|ten|y|e|bin|al|el"
+_UPPER = r"[^\W\d_a-zß-öø-ÿа-џα-ώ]"
+_WORD = (rf"(?:{_UPPER}[^\W\d_]+|{_UPPER}(?=['’][^\W\d_]{{2}}))"
+         rf"(?:['’](?=[^\W\d_]{{2}})[^\W\d_]+|[-‐‑]{_UPPER}[^\W\d_]+)*")
+_INITIAL = rf"{_UPPER}(?:\.(?:[-‐‑]?{_UPPER}\.)* ?|(?= ) )"
+NAME = rf"(?:{_INITIAL}|(?:{PARTICLES}) |{_WORD} ){{0,7}}{_WORD}"
+#: The words of a name, and what may be one in the rest of its document.
+_KEPT = frozenset(PARTICLES.split("|"))
+NAME_PART = re.compile(rf"(?<!\w)(?:{_WORD}|{_UPPER}(?!\w))")
 _TITLED = "|".join(f"(?P<{g}>{words})" for g, words in TITLES.items())
 #: What separates groups of a phone number; an address after a number is no group of it.
 _SEP = r"[ \u00a0\u202f./\u2010-\u2013-]"
@@ -70,7 +102,7 @@ ENTITY = re.compile(
     rf"|(?P<phone>{'|'.join(PHONES)})"
     rf"|(?<!\w){PHONE_CUE}(?P<cued>\d{{7,12}}(?!\w|[.,]\d))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]))"
-    rf"|(?<!\w)(?:{_TITLED})\.? (?P<name>{NAME}(?: {NAME})?)"
+    rf"|(?<!\w)(?:{_TITLED})\.? (?:(?:Dr|Prof)\.? )*(?P<name>{NAME})"
 )
 #: Only a text with one of these can hold an entity.
 HINT = re.compile(rb"[@+0-9]|[0-9A-Fa-f]{32}|" + "|".join(
@@ -83,24 +115,94 @@ _OPTIONAL = re.compile(r"(^00|\(0\))")
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
-    """``(from, to, kind)`` of each entity; a name's kind carries its gender, as in ``name_f``."""
-    found = []
+    """``(from, to, kind)`` of each entity; a name's kind carries its gender, as in ``name_f``.
+
+    A mention of a name without a title, in a document that has it with one, is ``name_n``.
+    """
+    return [(a, b, kind) for a, b, kind, _ in _mentions(text)]
+
+
+def _mentions(text: str) -> list[tuple[int, int, str, bool]]:
+    """Entities, and whether each is a name with a title."""
+    found, named = [], False
     for m in ENTITY.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
         if kind == "card" and len(re.sub(r"\D", "", m[kind])) not in range(13, 20):
             continue
-        gender = next((g for g in TITLES if m[g]), "n") if kind == "name" else ""
-        told = "phone" if kind == "cued" else kind
-        found.append((*m.span(kind), f"name_{gender}" if gender else told))
-    return found
+        if kind == "name":
+            named = True
+            found.append((*m.span(kind), f"name_{next((g for g in TITLES if m[g]), 'n')}", True))
+        else:
+            found.append((*m.span(kind), "phone" if kind == "cued" else kind, False))
+    return _with_untitled(text, found) if named else found
+
+
+def _words(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The words and initials of a name; particles stay as they are."""
+    words = [m.span() for m in NAME_PART.finditer(text, a, b)]
+    return [w for w in words[:-1] if text[slice(*w)].casefold() not in _KEPT] + words[-1:]
+
+
+def _with_untitled(text: str, found: list[tuple[int, int, str, bool]]) -> list:
+    known = {canonical("name", text[a:b]) for x, y, _, titled in found if titled
+             for a, b in _words(text, x, y) if b - a > 1}
+    out, at = [], 0
+    for entity in [*found, (len(text), len(text), "", False)]:
+        last = None
+        for m in NAME_PART.finditer(text, at, entity[0]):
+            if canonical("name", m[0]) not in known:
+                continue
+            if last is not None and text[last[1] : m.start()] == " ":
+                last = out[-1] = (last[0], m.end(), "name_n", False)
+            else:
+                last = (*m.span(), "name_n", False)
+                out.append(last)
+        out.append(entity)
+        at = entity[1]
+    return out[:-1]
+
+
+def entity_parts(text: str) -> list[tuple[int, int, str, str, str | None]]:
+    """``(from, to, kind, entity, reported kind)`` of what is replaced: entities, and words of names.
+
+    The kind of a family name is ``name``, that of a given name ``name_`` and the gender that the
+    document tells; an ``initial`` follows from its letter. The reported kind is None for the later
+    words of a name.
+    """
+    found = _mentions(text)
+    names, families, told = {}, set(), {}
+    for a, b, kind, titled in found:
+        if kind.startswith("name"):
+            names[a] = [(*w, canonical("name", text[slice(*w)])) for w in _words(text, a, b)]
+            if titled:
+                families.add(names[a][-1][2])
+                for _, _, key in names[a]:
+                    told.setdefault(key, set()).update({kind[-1]} - {"n"})
+    out = []
+    for a, b, kind, _ in found:
+        if a not in names:
+            out.append((a, b, kind, canonical(kind, text[a:b]), kind))
+            continue
+        for k, (x, y, key) in enumerate(names[a]):
+            if y - x == 1:
+                part = "initial"
+            elif key in families:
+                part = "name"
+            else:
+                own = {kind[-1]} - {"n"} or told[key] or told[names[a][-1][2]]
+                part = f"name_{min(own) if len(own) == 1 else 'n'}"
+            out.append((x, y, part, key, None if k else kind))
+    return out
 
 
 def canonical(kind: str, value: str) -> str:
-    """What mentions of one entity share: digits of a number, lower case of an address."""
+    """What mentions of one entity share: digits of a number, lower case of an address or name."""
     if kind in ("phone", "card"):
         return re.sub(r"\D", "", _OPTIONAL.sub("", value) if kind == "phone" else value)
     if kind in ("email", "hex"):
         return value.lower()
+    if kind.startswith("name"):
+        return re.sub("[‐‑]", "-", value.casefold().replace("’", "'"))
     return value
 
 
@@ -144,18 +246,50 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         local, _, domain = entity.partition("@")
         head, _, tail = domain.rpartition(".")
         return f"{_word(draw, local + 'a' * longer)}@{_word(draw, head)}.{tail}"
-    parts = entity.split(" ")
-    script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
-    out = []
-    if len(parts) > 1:
-        gender = kind[-1] if kind[-1] in "mf" else "mf"[draw.below(2)]
-        given = GIVEN[script, gender].split()
-        out.append(given[draw.below(len(given))])
-    size = max(5, len(parts[-1])) + draw.below(3) + longer
+    return _name(draw, kind, entity.casefold(), key, attempt)
+
+
+def script_of(text: str) -> str:
+    return next(s for s, letters in SCRIPTS.items() if re.search(letters, text))
+
+
+@lru_cache(maxsize=4096)
+def initial(letter: str, key: bytes) -> str:
+    """The lower-case letter that stands for an initial: another one, different for each."""
+    low = unicodedata.normalize("NFD", letter)[0].casefold()[0]
+    others = CONSONANTS[script_of(letter)]
+    letters = next((g for groups in INITIALS.values() for g in groups if low in g), others)
+    order = sorted({*letters, low}, key=lambda c: hmac.digest(key, f"initial\0{c}".encode(), "sha256"))
+    return order[(order.index(low) + 1) % len(order)]
+
+
+def _name(draw: _Draws, kind: str, entity: str, key: bytes, attempt: int) -> str:
+    """A word of a name: hyphens and apostrophes stay, a given name begins as its initial does."""
+    script, longer = script_of(entity), attempt // LONGER_AFTER
     pairs = (CONSONANTS[script], VOWELS[script])
-    family = "".join(pairs[i % 2][draw.below(len(pairs[i % 2]))] for i in range(size))
-    out.append(family.capitalize())
-    return " ".join(w.upper() if p.isupper() and len(p) > 1 else w for w, p in zip(out, parts))
+    short = script in ("han", "hangul", "kana")
+    gender = (kind[-1] if kind[-1] in "mf" else "mf"[draw.below(2)]) if "_" in kind else ""
+    out = []
+    for nth, piece in enumerate(re.split("(['-])", entity)):
+        size = max(1 if short else 5, len(piece)) + draw.below(3) + longer
+        if nth % 2:
+            out.append(piece)
+        elif len(piece) == 1 and len(entity) > 1:
+            out.append(pairs[0][draw.below(len(pairs[0]))])
+        else:
+            begin = initial(piece[0], key) if gender and not nth else ""
+            fits = [w.lower() for w in GIVEN.get((script, gender), "").split()
+                    if begin and w.lower().startswith(begin)]
+            if fits and not attempt:
+                out.append(fits[0])
+                continue
+            turn = 0 if begin and begin in pairs[1] else len(begin)
+            word = begin + "".join(pairs[(i + turn) % 2][draw.below(len(pairs[(i + turn) % 2]))]
+                                   for i in range(size - len(begin)))
+            if begin and script in ("latin", "cyrillic") and (word[-1] in pairs[1]) == (gender == "m"):
+                word += pairs[0][draw.below(len(pairs[0]))] if gender == "m" else pairs[1][0]
+            out.append(word)
+    return "".join(out)
 
 
 def _word(draw: _Draws, text: str) -> str:
@@ -177,6 +311,11 @@ def in_format(kind: str, value: str, new: str) -> str:
         return new.upper() if value.isupper() else new
     if kind == "email" and len(new) == len(value):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(value, new))
+    if kind.startswith("name"):
+        old = re.split("(['’‐‑-])", value)
+        return "".join(
+            c if n % 2 else w.upper() if c.isupper() and len(c) > 1 else w.capitalize()
+            for n, (c, w) in enumerate(zip(old, re.split("(['-])", new))))
     return new
 
 
@@ -234,11 +373,11 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     batches(docs.sparkSession)
     parts = T.StructType()
     for name, kind in (("at", "integer"), ("to", "integer"), ("kind", "string"), ("entity", "string"),
-                       ("value", "string")):
+                       ("value", "string"), ("report", "string")):
         parts = parts.add(name, kind)
     span_type = pa.list_(pa.struct([
         ("at", pa.int32()), ("to", pa.int32()), ("kind", pa.string()), ("entity", pa.string()),
-        ("value", pa.string())]))
+        ("value", pa.string()), ("report", pa.string())]))
 
     def entities_in(batch: pa.RecordBatch) -> list[list[dict]]:
         out = []
@@ -246,9 +385,9 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
             found: list[dict] = []
             if raw and HINT.search(raw):
                 text = raw.decode()
-                for a, b, kind in find_entities(text):
+                for a, b, kind, entity, report in entity_parts(text):
                     found.append({"at": a, "to": b, "kind": kind, "value": text[a:b],
-                                  "entity": canonical(kind, text[a:b])})
+                                  "entity": entity, "report": report})
             out.append(found)
         return out
 
@@ -269,7 +408,7 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     private = written(docs.mapInArrow(holding, held).withColumn(
         "_llm_row", F.monotonically_increasing_id()), "private-rows")
     mentions = private.select("_llm_row", F.posexplode("_llm_spans").alias("_nth", "_span")).select(
-        "_llm_row", "_nth", "_span.kind", "_span.entity")
+        "_llm_row", "_nth", "_span.kind", "_span.entity").filter("kind != 'initial'")
     given = surrogates(mentions, key).select("kind", "entity", "surrogate")
     named = mentions.join(given, ["kind", "entity"]).groupBy("_llm_row").agg(
         F.array_sort(F.collect_list(F.struct("_nth", "surrogate"))).alias("_llm_new"))
@@ -280,9 +419,11 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
             new = {}
             for k, (text, found, given) in enumerate(zip(
                 batch["text"].to_pylist(), batch["_llm_spans"].to_pylist(), batch["_llm_new"].to_pylist())):
-                out, at = [], 0
-                for x, y in zip(found, given):
-                    out += [text[at : x["at"]], in_format(x["kind"], x["value"], y["surrogate"])]
+                out, at, drawn = [], 0, {y["_nth"]: y["surrogate"] for y in given}
+                for nth, x in enumerate(found):
+                    spelled = (in_format(x["kind"], x["value"], drawn[nth]) if nth in drawn
+                               else initial(x["value"], key).upper())
+                    out += [text[at : x["at"]], spelled]
                     at = x["to"]
                 new[k] = "".join(out) + text[at:]
             kept = batch.drop_columns(["_llm_new"] if report else ["_llm_spans", "_llm_new"])
@@ -291,9 +432,10 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     clean = docs.mapInArrow(others, docs.schema)
     if not report:
         return rows.mapInArrow(rewrite, docs.schema).unionByName(clean)
+    told = F.filter(F.transform("_llm_spans", lambda s: s["report"]), lambda k: k.isNotNull())
     changed = rows.mapInArrow(rewrite, held).select(
-        "doc_id", "text", F.size("_llm_spans").cast("long").alias("n_entities"),
-        F.array_sort(F.array_distinct(F.transform("_llm_spans", lambda s: s["kind"]))).alias("kinds"))
+        "doc_id", "text", F.size(told).cast("long").alias("n_entities"),
+        F.array_sort(F.array_distinct(told)).alias("kinds"))
     same = clean.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"),
                         F.array().cast("array<string>").alias("kinds"))
     return changed.unionByName(same)

@@ -107,3 +107,37 @@ def test_phone_numbers_of_each_language():
     assert kinds("+1 (826) 555-4081 190.137.223.204") == [
         ("+1 (826) 555-4081", "phone"), ("190.137.223.204", "ip")]
     assert kinds("01.02.2024 10:30, 2024-05-12, 612345678, 0.123456789, 1 234 567, 5 - 3 + 1 2 3") == []
+
+
+def test_whole_names_are_found():
+    names = ["Jean-Luc Picard", "John F. Kennedy", "O'Brien", "D’Arcy", "J. Smith", "J.R.R. Tolkien",
+             "Juan Carlos García", "Ludwig van Beethoven", "Παπαδόπουλος", "Иван Петрович Сидоров"]
+    for name in names:
+        assert kinds(f"Dear Mr {name}, hello") == [(name, "name_m")]
+        assert kinds(f"Mr {name}'s house") == [(name, "name_m")]
+    assert kinds("Herr Dr. Müller said") == [("Müller", "name_m")]
+
+
+def test_names_keep_their_persons(spark):
+    texts = [
+        "Mr John Smith and Mr Smith, Dr Smith, Mr John SMITH; J. said John Smith to Smith. Smithson.",
+        "Dr J. Smith met Mrs Mary O'Brien, and Mary saw O’Brien. Mr Παπαδόπουλος. Mr James King.",
+        "Nobody called Smith is known here.",
+    ]
+    out = [r["text"] for r in private.replace_private(documents(spark, texts)).orderBy("doc_id").collect()]
+    given, family = re.match(r"Mr (\w+) (\w+) and", out[0]).groups()
+    assert given != "John" and family not in ("Smith", "SMITH")
+    assert out[0] == (f"Mr {given} {family} and Mr {family}, Dr {family}, Mr {given} {family.upper()}; "
+                      f"J. said {given} {family} to {family}. Smithson.")
+    m = re.fullmatch(r"Dr (\w)\. (\w+) met Mrs (\w+) (\w'\w+), and (\w+) saw (\w’\w+)\. "
+                     r"Mr ([Α-Ω][α-ω]+)\. Mr (\w+) \w+\.", out[1])
+    assert m[1] == given[0] and m[2] == family and m[3] == m[5] != "Mary"
+    assert m[8] in private.GIVEN["latin", "m"].split()
+    assert m[4] == m[6].replace("’", "'") and m[8] != given and m[8][0] == given[0]
+    assert out[2] == texts[2]
+    again = [private.find_entities(t) for t in out]
+    assert [[k for _, _, k in x] for x in again] == [
+        [k for _, _, k in private.find_entities(t)] for t in texts]
+    report = private.private_report(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_entities"], r["kinds"]) for r in report] == [
+        (6, ["name_m", "name_n"]), (6, ["name_f", "name_m", "name_n"]), (0, [])]
