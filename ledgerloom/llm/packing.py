@@ -30,7 +30,9 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers, about 200 bytes each.
 CACHED_CHUNKS = 700_000
-_POINT = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s)")
+_POINT = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=\s)")
+#: First bytes of U+0300 to U+037F, where all marks are that the tokenizer composes with A-Z.
+_MARK = re.compile(rb"[\xcc\xcd]")
 _state: dict = {}
 
 
@@ -39,7 +41,9 @@ class WordTokenizer:
 
     The tokenizer lower-cases, drops white space and splits there and between letters and
     punctuation, so the ids of a text are those of its chunks, and chunks repeat. A text with a
-    mark that could be a special token goes to the tokenizer whole.
+    mark that could be a special token goes to the tokenizer whole. A-Z are lower-cased here, so
+    that more chunks repeat, but not in chunks with combining marks: the tokenizer composes before
+    it lower-cases, and some small letters have a composed form that the capital lacks.
     """
 
     def __init__(self, path: str):
@@ -60,7 +64,11 @@ class WordTokenizer:
             elif b"<|" in text:
                 yield self._encode([text])[0]
             else:
-                chunks = _POINT.sub(rb" \1", text.translate(LOWER)).split()
+                if _MARK.search(text):
+                    chunks = [c if _MARK.search(c) else c.translate(LOWER)
+                              for c in _POINT.sub(rb" \1", text).split()]
+                else:
+                    chunks = _POINT.sub(rb" \1", text.translate(LOWER)).split()
                 if len(self.known) > CACHED_CHUNKS:
                     self.known.clear()
                 if new := list(set(chunks).difference(self.known)):

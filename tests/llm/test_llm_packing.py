@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -50,6 +51,22 @@ def test_pieces_are_those_of_whole_texts(spark):
     check_places(out, 64)
 
 
+def test_capitals_with_combining_marks(spark):
+    texts = [
+        "J\u030c", "T\u0308 H\u0331 W\u030a", "A J\u0591\u030cA. Next, J\u030ca, E\u0301.", "AJ\u030c plain",
+        "j\u030c J\u030c, J\u030c. \u030cJ J \u030c", "Plain AND Loud.",
+    ]
+    out = packing.pack(documents(spark, texts), capacity=64).collect()
+    got = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
+    assert got == expected_pieces(range(len(texts)), texts, 64)
+
+
+def test_marks_that_compose_with_capitals():
+    composed = (unicodedata.normalize("NFD", chr(c)) for c in range(128, 0x30000))
+    after = {d[1] for d in composed if len(d) > 1 and d[0].isascii()}
+    assert after and all(packing._MARK.match(c.encode()) for c in after)
+
+
 def test_kept_ids_make_the_sequences(spark):
     texts = ["one two three.", "four five", "", "six"]
     packed = packing.pack(documents(spark, texts), capacity=8, keep_ids=True)
