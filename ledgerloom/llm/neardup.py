@@ -32,21 +32,30 @@ from .graph import components
 
 SHINGLE = 5
 SKETCH = 128
-#: Chance to lose a pair that just reaches the threshold.
+#: Chance to lose a pair that just reaches the threshold, once by the trees and once by the sketch.
 LOSS = 1e-8
 NODE_ROWS = 2048
 GROUP_ROWS = 2048
 BRANCHES = 2
 DEPTH = 3
-#: Standard deviations of the sketch estimate below the threshold that still make a candidate.
-MARGIN = 4.5
 BROADCAST_BYTES = 24_000_000
 BLOCK = 1024
 
 
 def trees_for(threshold: float) -> int:
-    """Trees that bring the loss under ``LOSS``; a lower branch loses 4 % of what reaches it."""
-    return math.ceil(math.log(LOSS) / math.log(1 - threshold * 0.96))
+    """Trees that bring the loss under ``LOSS`` if a pair has to pass all ``DEPTH`` lower levels."""
+    kept = threshold * (1 - (1 - threshold) ** BRANCHES) ** DEPTH
+    return math.ceil(math.log(LOSS) / math.log(max(LOSS, 1 - kept)))
+
+
+def least_equal(threshold: float) -> int:
+    """Fewer equal sketch values have a chance of at most ``LOSS`` at the threshold (binomial)."""
+    below, k = 0.0, 0
+    while True:
+        below += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        if below > LOSS:
+            return k
+        k += 1
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
@@ -148,14 +157,14 @@ def _merge(labels: np.ndarray, x: int, others: np.ndarray) -> None:
 
 def alike_sketches(sketches: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Labels of the groups tied by pairs whose sketches don't rule the threshold out."""
-    least = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / SKETCH)
+    least = least_equal(threshold)
     labels = np.arange(len(sizes))
     for x in range(1, len(sizes)):
         small, big = np.minimum(sizes[:x], sizes[x]), np.maximum(sizes[:x], sizes[x])
         near = np.flatnonzero((small >= threshold * big - 1e-9) & (labels[:x] != labels[x]))
         if len(near):
             same = np.count_nonzero(sketches[near] == sketches[x], axis=1)
-            _merge(labels, x, near[same >= least * SKETCH])
+            _merge(labels, x, near[same >= least])
     return labels
 
 

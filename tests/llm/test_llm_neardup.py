@@ -1,5 +1,7 @@
+import math
 import re
 
+import numpy as np
 import pytest
 from helpers import documents, lower, rng, rows_of, sentence
 
@@ -113,3 +115,20 @@ def test_components_of_links(spark, links):
 
 def test_more_trees_for_less_loss():
     assert neardup.trees_for(0.8) >= neardup.trees_for(0.9) >= 8
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85, 1.0])
+def test_losses_are_below_the_stated_one(threshold):
+    level = 1 - (1 - threshold) ** neardup.BRANCHES
+    trees = neardup.trees_for(threshold)
+    assert (1 - threshold * level**neardup.DEPTH) ** trees <= neardup.LOSS
+    # A pair whose sketch is rarer than one in 10^8 may go, one with a likelier sketch may not.
+    size = neardup.SKETCH
+    tail, k = 0.0, 0
+    while tail + (step := math.comb(size, k) * threshold**k * (1 - threshold) ** (size - k)) <= 1e-8:
+        tail, k = tail + step, k + 1
+    sketches = np.zeros((2, size), "<u2")
+    for equal, tied in ((k, True), (k - 1, False)):
+        sketches[1] = np.arange(size) >= equal
+        labels = neardup.alike_sketches(sketches, np.array([100, 100]), threshold)
+        assert (labels[0] == labels[1]) == tied
