@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (
-    decontamination, language, neardup, neighbours, packing, private, sharding, substrings,
-    toxicity, urls,
+    codes, decontamination, divergence, exactdup, language, neardup, neighbours, packing, private,
+    sharding, substrings, toxicity, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,151 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query(
+    "op11_divergence",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+      FROM documents
+    ),
+    w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+    kept AS (
+      SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+    ),
+    per_lang AS (SELECT lang, sum(n)::HUGEINT AS n_all, count(*) AS v FROM kept GROUP BY lang),
+    here AS (
+      SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term)
+      GROUP BY lang, source, term
+    ),
+    per_source AS (
+      SELECT lang, source, sum(n)::HUGEINT AS n_all FROM here GROUP BY lang, source
+    ),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    q AS (
+      SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (n_all + v) AS q
+      FROM kept JOIN per_lang USING (lang)
+    ),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(here.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(here.n, 0) + 1)) // (coalesce(s.n_all, 0) + v) AS p
+      FROM groups g JOIN kept k USING (lang) JOIN per_lang USING (lang)
+      LEFT JOIN here ON here.lang = g.lang AND here.source = g.source AND here.term = k.term
+      LEFT JOIN per_source s ON s.lang = g.lang AND s.source = g.source
+    ),
+    summed AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source
+    ),
+    rows_of AS (
+      SELECT g.lang, g.source, 'pair' AS part, o.source AS item,
+        coalesce(summed.value, 0)::BIGINT AS value
+      FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+      LEFT JOIN summed
+        ON summed.lang = g.lang AND summed.source = g.source AND summed.item = o.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT
+      FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+    ),
+    ranked AS (
+      SELECT *, row_number() OVER (
+        PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM rows_of
+    )
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_exact",
+    r"""
+    WITH t AS (
+      SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x
+      FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id,
+      count(*) OVER (PARTITION BY x) AS group_size,
+      doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+    FROM t
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = exactdup.deduplicate(spark, f"{folder}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _code_rounds(rounds: int) -> str:
+    """SQL of each round: every part goes to its nearest entry, entries become floored means."""
+    out = []
+    for k in range(rounds):
+        out.append(f"""
+    near{k} AS (
+      SELECT r, part.p, arg_min(e, struct_pack(far := list_sum(list_transform(range(1, len(x) + 1),
+        lambda i: (x[i] - y[i]) * (x[i] - y[i]))), e := e)) AS e
+      FROM part JOIN book{k} ON part.p = book{k}.p GROUP BY r, part.p
+    ),
+    total{k} AS (
+      SELECT p, e, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n
+      FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i
+            FROM near{k} JOIN part USING (r, p)) GROUP BY p, e, i
+    ),
+    mean{k} AS (
+      SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS y FROM total{k} GROUP BY p, e
+    ),
+    book{k + 1} AS (
+      SELECT p, e, coalesce(mean{k}.y, book{k}.y) AS y FROM book{k} LEFT JOIN mean{k} USING (p, e)
+    ),""")
+    return "".join(out)
+
+
+@query(
+    "op13_codes",
+    r"""
+    WITH good AS (
+      SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    part AS (
+      SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x
+      FROM (SELECT r, v, unnest(range(0, 16)) AS p FROM good)
+    ),
+    book0 AS (SELECT p, r - 1 AS e, x AS y FROM part WHERE r <= 64),"""
+    + _code_rounds(2)
+    + r"""
+    far AS (
+      SELECT r, part.p, e, list_sum(list_transform(range(1, len(x) + 1),
+        lambda i: (x[i] - y[i]) * (x[i] - y[i])))::HUGEINT AS far
+      FROM part JOIN book2 ON part.p = book2.p
+    ),
+    best AS (
+      SELECT r, p, min(far) AS far, arg_min(e, struct_pack(far := far, e := e)) AS e
+      FROM far GROUP BY r, p
+    ),
+    coded AS (
+      SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code,
+        sum(far)::BIGINT AS error FROM best GROUP BY r
+    ),
+    print AS (
+      SELECT sha256(string_agg(y[i]::VARCHAR, ',' ORDER BY p, e, i)) AS h
+      FROM (SELECT p, e, y, unnest(range(1, len(y) + 1)) AS i FROM book2)
+    )
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+      h AS codebooks_sha256
+    FROM good JOIN coded USING (r) CROSS JOIN print
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(table(spark, folder, "embeddings")).drop("label")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
