@@ -73,3 +73,64 @@ def test_empty_table(spark):
     assert neighbours.nearest(table(spark, [], []), F.col("vec_id") % 20 == 0).collect() == []
     only = table(spark, [1], [[1.0]])
     assert neighbours.nearest(only, F.col("vec_id") % 20 == 0).collect() == []
+
+
+@pytest.mark.parametrize("size", [32, 64, 100, 384])
+@pytest.mark.parametrize("rows", [400, 5000])
+def test_equal_vectors_go_by_the_smaller_id(spark, monkeypatch, size, rows):
+    """A third of the rows repeat vectors; every query's equal neighbours are in order of id."""
+    monkeypatch.setattr(neighbours, "SEGMENT_ROWS", rows)
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(400, size)).astype(np.float32).astype(float)
+    x[250:] = x[rng.integers(0, 60, 150)]
+    ids = rng.permutation(400)
+    out = found(neighbours.nearest(table(spark, ids.tolist(), x.tolist()), F.col("vec_id") % 20 == 0))
+    at = {int(i): v for i, v in zip(ids, x)}
+    ties = 0
+    for pairs in out.values():
+        for (i, a), (j, b) in zip(pairs, pairs[1:]):
+            if (at[i] == at[j]).all():
+                ties += 1
+                assert a == b and i < j
+            assert a > b or i < j
+    assert ties > 20
+
+
+def test_scores_do_not_depend_on_the_place():
+    rng = np.random.default_rng(0)
+    for size in (32, 64, 100, 384):
+        rows, query = rng.normal(size=(700, size)), rng.normal(size=size)
+        rows[300:] = rows[0]
+        score = neighbours.inner_products(rows, query)
+        assert len(set(score[300:].tolist()) | {score[0]}) == 1
+
+
+def test_very_many_equal_vectors(spark, monkeypatch):
+    """More copies than a segment has rows; the least ids of them are the neighbours."""
+    monkeypatch.setattr(neighbours, "SEGMENT_ROWS", 300)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 16)).astype(np.float32).astype(float)
+    x[::3] = x[0]
+    ids = np.arange(2000) + 5
+    out = found(neighbours.nearest(table(spark, ids.tolist(), x.tolist()), F.col("vec_id") % 20 == 0))
+    truth = exact(ids, x, 20)
+    copies = [int(i) for i in ids[::3]]
+    for q, pairs in out.items():
+        score = float(np.cumsum(x[q - 5] * x[0])[-1])
+        same = [i for i, s in pairs if s == score]
+        want = [i for i in copies if i != q][:len(same)]
+        assert same == want and len(pairs) == 20
+    hit = sum(len({i for i, _ in out[q]} & {i for i, _ in truth[q]}) for q in truth)
+    assert hit / (20 * len(truth)) >= 0.9
+
+
+def test_few_vectors_in_several_segments(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SEGMENT_ROWS", 3)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 2)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(70, 8)).round(1)
+    out = found(neighbours.nearest(table(spark, list(range(70)), x.tolist()), F.col("vec_id") % 7 == 0))
+    for q in range(0, 70, 7):
+        score = np.cumsum(x * x[q], axis=1)[:, -1]
+        want = [int(j) for j in np.lexsort((np.arange(70), -score)) if j != q][:20]
+        assert [i for i, _ in out[q]] == want
