@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column itself."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def matched(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A join by shuffle and sort whatever the sizes, so that small inputs show the large ones' plan."""
     return left.join(right.hint("merge"), on, how)

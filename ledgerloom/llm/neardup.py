@@ -10,8 +10,10 @@ members are compared exhaustively, by sketches of minwise values. What stays lar
 ``DEPTH`` is compared in blocks, all of them, so no pair depends on a cap.
 
 Pairs that the sketches can't rule out only tie their nodes to a candidate group. Inside the
-groups the full sets decide: a group of at most ``GROUP_ROWS`` nodes in one task, a larger one
-branch by branch again. Only ties to the least node are written, never all pairs.
+groups the full sets decide: a group of at most ``GROUP_ROWS`` nodes and ``GROUP_SHINGLES``
+shingles in one task, a larger one branch by branch again, and what is too large of these in
+blocks of which every two meet. So a task holds a bounded number of bytes, whatever the length of
+the texts. Only ties to the least node are written, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    LOWER, WordHashes, batches, byte_texts, matched, mixed, odd_numbers, written,
+    LOWER, WordHashes, batches, byte_texts, free_name, matched, mixed, odd_numbers, written,
 )
 from .graph import components
 
@@ -36,9 +38,10 @@ SKETCH = 128
 LOSS = 1e-8
 NODE_ROWS = 2048
 GROUP_ROWS = 2048
+#: Shingles of the full sets that meet in one task; two sets that are larger meet all the same.
+GROUP_SHINGLES = 4_000_000
 BRANCHES = 2
 DEPTH = 3
-BROADCAST_BYTES = 24_000_000
 BLOCK = 1024
 
 
@@ -108,7 +111,8 @@ def signatures(docs: DataFrame, trees: int) -> DataFrame:
                 least = least_values(own, turns)
                 ids.append(xxhash.xxh3_128_digest(own.tobytes()))
                 roots.append(least[:trees].view(np.int64))
-                sketches.append((least[trees:] >> np.uint64(48)).astype("<u2").tobytes())
+                # The low bits: the high ones of the least of many values are mostly zeros.
+                sketches.append((least[trees:] & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["tag"], pa.array(sizes, pa.int64()),
                  pa.array(ids, pa.binary()), pa.array(roots, pa.list_(pa.int64())),
@@ -237,15 +241,17 @@ def branches(nodes: DataFrame) -> DataFrame:
             at = F.pmod(F.xxhash64("path", "branch"), F.lit(SKETCH)).cast("int")
             token = F.substring("sketch", 2 * at + 1, F.lit(2))
             members = chosen.select(F.xxhash64("path", "branch", token).alias("path"), "node")
-    # What no token parts any more: every two blocks of each such branch meet once.
-    half = NODE_ROWS // 2
-    blocks = F.ceil(F.col("n") / half).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = large.withColumns({"_own": block, "_blocks": blocks}).withColumn(
+    # What no token parts any more meets block by block.
+    return ready.unionByName(in_blocks(large, F.ceil(F.col("n") / (NODE_ROWS // 2))))
+
+
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """``path, node`` such that every two of the ``blocks`` of a path's members meet once."""
+    placed = members.withColumn("_blocks", F.greatest(blocks.cast("int"), F.lit(1))).withColumn(
+        "_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     ends = F.least("_own", "_other"), F.greatest("_own", "_other")
-    pair = F.xxhash64("path", F.lit("blocks"), *ends)
-    return ready.unionByName(placed.select(pair.alias("path"), "node"))
+    return placed.select(F.xxhash64("path", F.lit("blocks"), *ends).alias("path"), "node")
 
 
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -277,36 +283,47 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     compared = matched(paths, nodes.select("node", "sketch", "n_shingles"), "node")
     candidates = components(_linked(compared, "path", by_sketch, ["sketch", "n_shingles"]))
-    sized = written(candidates.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
-    groups = written(matched(candidates, sized, "component"), "candidates")
+    candidates = written(
+        matched(candidates, nodes.select("node", "doc_id", "tag", "n_shingles"), "node"), "candidates")
+    sized = written(candidates.groupBy("component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "group-sizes")
+    wanted = matched(candidates, sized, "component").withColumn(
+        "small", (F.col("n") <= GROUP_ROWS) & (F.col("shingles") <= GROUP_SHINGLES))
+    wanted = written(wanted.select("node", "doc_id", "tag", "component", "small"), "wanted")
 
     # The full sets of all candidates, made again from the texts.
-    wanted = matched(nodes.select("node", "doc_id", "tag"), groups, "node")
-    wanted = written(wanted, "wanted")
-    side = F.broadcast(wanted) if wanted.count() * 40 <= BROADCAST_BYTES else wanted
-    texts = docs.select(tag(), F.col("doc_id").alias("_id"), "text").join(
-        side, "tag").filter(F.col("_id").eqNullSafe(F.col("doc_id"))).select(
-        "node", "component", "n", "text")
+    texts = matched(
+        docs.select(tag(), F.col("doc_id").alias("_id"), "text"), wanted, "tag"
+    ).filter(F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "component", "small", "text")
 
     def to_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in parts:
             made = [shingle_set(words, hashes).tobytes() for words in _portions(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch["node"], batch["component"], batch["n"], pa.array(made, pa.binary())],
-                names=["node", "component", "n", "shingles"])
+                [batch["node"], batch["component"], batch["small"], pa.array(made, pa.binary())],
+                names=["node", "component", "small", "shingles"])
 
     full = written(texts.mapInArrow(
-        to_sets, "node long, component long, n long, shingles binary"
+        to_sets, "node long, component long, small boolean, shingles binary"
     ), "full-sets")
 
     def by_set(raw):
         return alike_sets([np.frombuffer(s, np.uint64) for s in raw], percent)
 
-    links = _linked(full.filter(f"n <= {GROUP_ROWS}"), "component", by_set, ["shingles"])
-    large = full.filter(f"n > {GROUP_ROWS}").select("node", "shingles")
+    links = _linked(full.filter("small"), "component", by_set, ["shingles"])
+    large = full.filter("not small").select("node", "shingles")
     if not large.isEmpty():
-        links = links.unionByName(_linked(matched(paths, large, "node"), "path", by_set, ["shingles"]))
+        # The same branches as before, those with too many shingles in blocks.
+        size = large.select("node", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+        met = written(matched(paths, size, "node"), "large-branches")
+        total = met.groupBy("path").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+        total = written(total.filter("n > 1"), "large-branch-sizes")
+        blocks = F.ceil(F.col("total") * 2 / GROUP_SHINGLES)
+        placed = in_blocks(matched(met, total, "path"), F.when(
+            F.col("total") <= GROUP_SHINGLES, 1).otherwise(blocks))
+        links = links.unionByName(
+            _linked(matched(placed, large, "node"), "path", by_set, ["shingles"]))
     linked = components(links)
 
     first = sets.select("node", "first_doc")
@@ -327,7 +344,7 @@ def first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; all columns stay as they are.
 
     The row with the smallest doc_id stays; of several with that doc_id, the one read first. Rows
-    without words stay. Only the list of rows to go meets the texts, by broadcast if it is small.
+    without words stay. The list of rows to go meets the texts by a shuffle, whatever its size.
     """
     found = near_groups(docs, percent)
     rank = F.min(F.when(F.col("kept"), F.col("row"))).alias("_first")
@@ -339,15 +356,14 @@ def first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     stays = written(
         worded.join(first, F.col("row") == F.col("_first"), "left_semi").select("doc_id", "tag"),
         "kept")
-    own = docs.withColumn("_llm_tag", F.xxhash64("doc_id", "text"))
-    gone = go.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_llm_tag"))
-    side = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
-    match = (own["_llm_tag"] == side["_llm_tag"]) & own["doc_id"].eqNullSafe(side["_id"])
-    kept = own.join(side, match, "left_anti").drop("_llm_tag")
+    mine = free_name(docs, "_llm_tag")
+    own = docs.withColumn(mine, F.xxhash64("doc_id", "text"))
+    gone = go.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_gone_tag"))
+    match = (own[mine] == gone["_gone_tag"]) & own["doc_id"].eqNullSafe(gone["_id"])
+    kept = matched(own, gone, match, "left_anti").drop(mine)
     # A kept row that has equal rows went with them above; one of these comes back.
     twice = stays.join(go, ["tag"], "left_semi").select("tag")
     if twice.isEmpty():
         return kept
-    again = own.join(F.broadcast(twice) if twice.count() * 24 <= BROADCAST_BYTES else twice,
-                     own["_llm_tag"] == twice["tag"], "left_semi")
-    return kept.unionByName(again.dropDuplicates(["doc_id", "_llm_tag"]).drop("_llm_tag"))
+    again = matched(own, twice, own[mine] == twice["tag"], "left_semi")
+    return kept.unionByName(again.dropDuplicates(["doc_id", mine]).drop(mine))

@@ -132,3 +132,41 @@ def test_losses_are_below_the_stated_one(threshold):
         sketches[1] = np.arange(size) >= equal
         labels = neardup.alike_sketches(sketches, np.array([100, 100]), threshold)
         assert (labels[0] == labels[1]) == tied
+
+
+def test_sketches_of_long_texts_tell_them_apart(spark):
+    """Of 128 places unrelated texts of 100,000 words share hardly one, and near copies most."""
+    r = rng(21)
+    long = [sentence(r, 100_000, 10**6) for _ in range(3)]
+    words = long[0].split()
+    for k in range(0, 100_000, 400):
+        words[k] = "changed"
+    texts = [*long, " ".join(words)]
+    rows = neardup.signatures(documents(spark, texts), 4).orderBy("doc_id").collect()
+    sketches = np.frombuffer(b"".join(bytes(x["sketch"]) for x in rows), "<u2").reshape(4, -1)
+    equal = [[int((a == b).sum()) for a in sketches] for b in sketches]
+    assert max(equal[0][1], equal[0][2], equal[1][2]) <= 3 and equal[0][3] > 110
+    assert all(len(np.unique(x)) > 120 for x in sketches)
+    sizes = np.array([x["n_shingles"] for x in rows])
+    assert sizes.min() > 99_000
+    assert neardup.alike_sketches(sketches, sizes, 0.85).tolist() == [0, 1, 2, 0]
+
+
+def test_groups_are_bounded_in_shingles(spark, monkeypatch):
+    """No task gets more shingles than the bound but for two sets that are larger together."""
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", 600)
+    r = rng(22)
+    base = sentence(r, 200).split()
+    texts = [edited(r, base, r.randrange(1, 5)) for _ in range(40)] + [edited(r, base[:40], 1) for _ in range(9)]
+    ids = list(range(len(texts)))
+    out = rows_of(neardup.near_groups(documents(spark, texts, ids)), *COLUMNS)
+    assert out == plain(ids, texts)
+
+
+def test_two_blocks_meet_once(spark):
+    rows = [(p, n) for p in (1, 2) for n in range(30)]
+    members = spark.createDataFrame(rows, "path long, node long")
+    met = neardup.in_blocks(members, neardup.F.lit(4)).groupBy("path").agg(
+        neardup.F.collect_list("node").alias("nodes")).collect()
+    pairs = {(a, b) for x in met for a in x["nodes"] for b in x["nodes"] if a < b}
+    assert len(pairs) == 30 * 29 // 2 and max(len(x["nodes"]) for x in met) < 60
