@@ -2,23 +2,28 @@
 
 The automaton recognises every run of words that occurs in any item. Document words stream through
 it; the length of the longest match that ends at each word tells which windows occur there, and
-the state tells in which items. The items are cut into groups of at most ``GROUP_WORDS`` words,
-each with an automaton of its own and of bounded size; a benchmark of one group needs one pass.
+the state tells in which items. The items are dealt into groups of about ``GROUP_WORDS`` words,
+each with an automaton of its own, and each group is a pass over the documents: driver and workers
+hold one automaton at a time. Longer items are cut into pieces that overlap by a window, so a
+group's size doesn't depend on them. A benchmark of one group needs one pass and no join; with
+more, the later passes give only the documents that they hit, and what the passes found is united
+per document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_ONLY, batches, byte_texts, packed
+from .common import ALNUM_ONLY, batches, byte_texts, free_name, matched, packed, written
 
 WINDOW = 10
 GROUP_WORDS = 100_000
@@ -149,76 +154,146 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM_ONLY).split() if text else []
 
 
+def _pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """``item, words``: the items' words, in pieces of at most ``most`` words.
+
+    Neighbouring pieces share ``window - 1`` words, so every window is in one of them.
+    """
+    step = max(1, most - window + 1)
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            items, words = [], []
+            for name, text in zip(batch["item"].to_pylist(), byte_texts(batch["text"])):
+                own = words_of(text)
+                for at in range(0, max(1, len(own) - window + 1) if own else 0, step):
+                    items.append(name)
+                    words.append(own[at : at + step + window - 1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(items, pa.string()), pa.array(words, pa.list_(pa.binary()))],
+                names=["item", "words"])
+
+    known = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    return known.filter("text is not null").mapInArrow(cut, "item string, words array<binary>")
+
+
 def automata(
-    benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS
+    benchmark: DataFrame, window: int = WINDOW, group_words: int | None = None
 ) -> Iterator[Automaton]:
-    """Automata of the groups of items. The driver holds one group of bounded size at a time.
+    """Automata of the groups of items, at least one. The driver holds one group at a time.
 
     Items with a null text or without words have no window and take no part.
     """
-    known = benchmark.select("item_id", "text").filter("text is not null")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // (4 * group_words)))
+    most = GROUP_WORDS if group_words is None else group_words
+    pieces = written(_pieces(benchmark, window, max(window, most // 4)), "benchmark")
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    groups = max(1, -(-total // most))
     for g in range(groups):
-        part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        items = [(str(r["item_id"]), words_of(r["text"].encode())) for r in part.collect()]
-        yield Automaton([x for x in items if x[1]], window)
+        part = pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(groups)) == g)
+        yield Automaton([(r["item"], list(map(bytes, r["words"]))) for r in part.collect()], window)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans``.
+def _passes(
+    docs: DataFrame, benchmark: DataFrame, window: int
+) -> Iterator[tuple[DataFrame, object]]:
+    """``doc_id, tag, n_words, spans, items`` of every group's pass, and its broadcast.
 
-    ``spans`` has the word positions ``[from, to)`` of each run of hit words. Null and empty texts
-    have no words; repeated rows are judged row by row; an empty benchmark hits nothing.
+    The first pass has all documents, the others those with a hit.
     """
-    batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(packed(x)) for x in automata(benchmark, window)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), "text")
+    for number, automaton in enumerate(automata(benchmark, window)):
+        shared = context.broadcast(packed(automaton))
+        yield rows.mapInArrow(
+            _judge(shared, only_hit=number > 0),
+            f"doc_id {kind}, tag long, n_words long, spans array<struct<from:int,to:int>>, "
+            "items array<string>"), shared
+
 
+def _judge(shared, only_hit: bool):
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = _loaded(shared)
+        finder = pickle.loads(shared.value)
         for batch in parts:
             rows = []
-            for text in byte_texts(batch["text"]):
+            for k, text in enumerate(byte_texts(batch["text"])):
                 words = words_of(text)
-                mask, met = _hits(finders, words)
-                spans = _runs(mask)
-                names = ",".join(sorted(met))
-                rows.append((len(words), sum(b - a for a, b in spans), len(met),
-                             hashlib.sha256(names.encode()).hexdigest(), bool(spans),
-                             [{"from": a, "to": b} for a, b in spans]))
-            n, hit, items, digest, bad, spans = zip(*rows) if rows else [()] * 6
+                mask, met = finder.hits(words)
+                if met or not only_hit:
+                    spans = [{"from": a, "to": b} for a, b in _runs(mask)]
+                    rows.append((k, len(words), spans, list(met)))
+            at, n, spans, items = zip(*rows) if rows else [()] * 4
+            some = batch.take(pa.array(at, pa.int64()))
             span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(hit, pa.int64()),
-                 pa.array(items, pa.int64()), pa.array(digest, pa.string()),
-                 pa.array(bad, pa.bool_()), pa.array(spans, span)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated",
-                       "spans"],
-            )
+                [some["doc_id"], some["tag"], pa.array(n, pa.int64()), pa.array(spans, span),
+                 pa.array(items, pa.list_(pa.string()))],
+                names=["doc_id", "tag", "n_words", "spans", "items"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        judge,
-        f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, "
-        "contaminated boolean, spans array<struct<from:int,to:int>>",
-    )
+    return judge
 
 
-def _loaded(shared) -> list[Automaton]:
-    import pickle
+def _united_spans(spans: Column) -> Column:
+    """Runs of words that lie in any of the spans."""
+    start = F.array().cast("array<struct<from:int,to:int>>")
 
-    return [pickle.loads(x.value) for x in shared]
+    def add(out, span):
+        last = F.element_at(out, -1)
+        joined = F.struct(last["from"].alias("from"), F.greatest(last["to"], span["to"]).alias("to"))
+        meets = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["to"] >= span["from"])
+        return F.when(
+            meets, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))
+        ).otherwise(F.concat(out, F.array(span)))
 
+    return F.aggregate(F.array_sort(spans), start, add)
 
-def _hits(finders: list[Automaton], words: list[bytes]) -> tuple[np.ndarray | None, set]:
-    mask, met = None, set()
-    for finder in finders:
-        own, items = finder.hits(words)
-        met |= items
-        if own is not None:
-            mask = own if mask is None else mask | own
-    return mask, met
+
+def _hit_rows(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``doc_id, tag, n_words, spans, items`` of every row, all groups of items together."""
+    batches(docs.sparkSession)
+    first, more = None, []
+    for found, shared in _passes(docs, benchmark, window):
+        if first is None:
+            first = found
+        else:
+            more.append(written(found, "benchmark-hits"))
+            shared.unpersist()
+    if not more:
+        return first
+    rest = more[0]
+    for found in more[1:]:
+        rest = rest.unionByName(found)
+    # Equal rows have equal hits; they are one here and find each other again in the join.
+    rest = rest.groupBy("doc_id", "tag").agg(
+        F.flatten(F.collect_list("spans")).alias("_spans"),
+        F.flatten(F.collect_list("items")).alias("_items"))
+    rest = rest.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    same = (F.col("tag") == F.col("_tag")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    both = matched(first, rest, same, "left")
+    spans = _united_spans(F.concat("spans", "_spans"))
+    return both.select(
+        "doc_id", "tag", "n_words",
+        F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(spans).alias("spans"),
+        F.when(F.col("_items").isNull(), F.col("items")).otherwise(
+            F.array_distinct(F.concat("items", "_items"))).alias("items"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans``.
+
+    ``spans`` has the word positions ``[from, to)`` of each run of hit words. Null and empty texts
+    have no words; repeated rows are judged row by row; an empty benchmark hits nothing. Items
+    without an item_id are one item that has no name: it counts in ``n_items``, and
+    ``items_sha256`` leaves it out.
+    """
+    found = _hit_rows(docs, benchmark, window)
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["to"] - s["from"]))
+    names = F.array_join(F.array_sort("items"), ",")
+    return found.select(
+        "doc_id", "n_words", words.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def _runs(mask: np.ndarray | None) -> list[tuple[int, int]]:
@@ -228,9 +303,17 @@ def _runs(mask: np.ndarray | None) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
 
 
-def cut_text(
-    text: bytes, finders: list[Automaton], min_words: int, max_coverage: float
-) -> bytes | None:
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    places = [m.span() for m in WORDS.finditer(text)]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join(kept) + text[at:]
+
+
+def cut_text(text: bytes, finder: Automaton, min_words: int, max_coverage: float) -> bytes | None:
     """The text without its hit spans of at least ``min_words`` words; None if too much is hit.
 
     Shorter hit spans exist only where an item has fewer words than a window; they go as well, for
@@ -238,20 +321,15 @@ def cut_text(
     """
     while True:
         words = words_of(text)
-        mask, _ = _hits(finders, words)
+        mask, _ = finder.hits(words)
         if mask is None:
             return text
         if mask.sum() > max_coverage * len(words):
             return None
-        places = [m.span() for m in WORDS.finditer(text)]
-        kept, at = [], 0
-        for a, b in _runs(mask):
-            if b - a >= min_words:
-                kept.append(text[at : places[a][0]])
-                at = places[b - 1][1]
-        if not at:
+        spans = [(a, b) for a, b in _runs(mask) if b - a >= min_words]
+        if not spans:
             return text
-        text = b"".join(kept) + text[at:]
+        text = without_spans(text, spans)
 
 
 def decontaminate(
@@ -267,14 +345,17 @@ def decontaminate(
     ``max_coverage`` are hit goes as a whole. Documents without a hit stay byte for byte.
     """
     batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(packed(x)) for x in automata(benchmark, window)]
+    first = automata(benchmark, window)
+    automaton, second = next(first), next(first, None)
+    if second is not None:
+        return _cut_by_groups(docs, benchmark, window, min_words, max_coverage)
+    shared = docs.sparkSession.sparkContext.broadcast(packed(automaton))
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = _loaded(shared)
+        finder = pickle.loads(shared.value)
         for batch in parts:
             old = byte_texts(batch["text"])
-            new = [t and cut_text(t, finders, min_words, max_coverage) for t in old]
+            new = [t and cut_text(t, finder, min_words, max_coverage) for t in old]
             stay = [k for k, (t, u) in enumerate(zip(old, new)) if u is not None or t is None]
             if changed := [k for k in stay if new[k] != old[k]]:
                 batch = with_texts(batch, {k: new[k].decode() for k in changed})
@@ -283,6 +364,46 @@ def decontaminate(
     return docs.mapInArrow(clean, docs.schema)
 
 
+def _cut_by_groups(docs, benchmark, window: int, min_words: int, max_coverage: float) -> DataFrame:
+    """``decontaminate`` where the items are several groups: what was cut is looked at again in
+    further rounds, which have only the documents that the round before has changed."""
+    done = None
+    left = docs
+    while True:
+        found = _hit_rows(left, benchmark, window).filter(F.size("spans") > 0)
+        words = F.aggregate("spans", F.lit(0), lambda n, s: n + (s["to"] - s["from"]))
+        long = F.filter("spans", lambda s: s["to"] - s["from"] >= min_words)
+        go = words > F.lit(max_coverage) * F.col("n_words")
+        # Equal rows are one here; a row that stays as it is needs no cut.
+        found = written(found.select(
+            F.col("doc_id").alias("_llm_id"), F.col("tag").alias("_llm_tag"), go.alias("_llm_go"),
+            long.alias("_llm_cut")).filter("_llm_go or size(_llm_cut) > 0").dropDuplicates(
+            ["_llm_id", "_llm_tag"]), "benchmark-cuts")
+        mine = free_name(left, "_llm_own")
+        own = left.withColumn(mine, F.xxhash64("doc_id", "text"))
+        same = (own[mine] == found["_llm_tag"]) & own["doc_id"].eqNullSafe(found["_llm_id"])
+        clean = matched(own, found, same, "left_anti").drop(mine)
+        done = clean if done is None else done.unionByName(clean)
+        if found.isEmpty():
+            return done
+        again = found.filter("not _llm_go")
+        cut = matched(own, again, (own[mine] == again["_llm_tag"])
+                      & own["doc_id"].eqNullSafe(again["_llm_id"])).select(
+            *[own[c] for c in docs.columns], again["_llm_cut"])
+        left = written(cut.mapInArrow(_cut_spans, docs.schema), "cut-texts")
+
+
+def _cut_spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        spans = [[(s["from"], s["to"]) for s in row] for row in batch["_llm_cut"].to_pylist()]
+        new = {
+            k: without_spans(text, own).decode()
+            for k, (text, own) in enumerate(zip(byte_texts(batch["text"]), spans))
+        }
+        rest = batch.select([c for c in batch.schema.names if c != "_llm_cut"])
+        yield with_texts(rest, new) if new else rest
+
+
 def with_texts(batch: pa.RecordBatch, new: dict[int, str]) -> pa.RecordBatch:
     """The batch with other texts in some rows; ``n_chars``, where there is one, follows."""
     texts = batch["text"].to_pylist()

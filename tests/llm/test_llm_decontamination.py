@@ -14,7 +14,7 @@ def plain(texts, items, window=10):
         words = WORD.findall(lower(text))
         k = min(window, len(words))
         for i in range(len(words) - k + 1 if words else 0):
-            windows.setdefault(tuple(words[i : i + k]), set()).add(str(key))
+            windows.setdefault(tuple(words[i : i + k]), set()).add(key)
     out = []
     for text in texts:
         words = WORD.findall(lower(text))
@@ -24,7 +24,7 @@ def plain(texts, items, window=10):
                 if found := windows.get(tuple(words[i : i + k])):
                     met |= found
                     hit[i : i + k] = [True] * k
-        names = ",".join(sorted(met))
+        names = ",".join(sorted(str(x) for x in met if x is not None))
         out.append((len(words), sum(hit), len(met), hashlib.sha256(names.encode()).hexdigest(),
                     any(hit)))
     return out
@@ -56,16 +56,46 @@ def test_hits_are_those_of_all_windows(spark):
             assert sum(s["to"] - s["from"] for s in r["spans"]) == r["n_hit"]
 
 
-def test_groups_of_items_give_the_same(spark):
+def hits_of(spark, texts, bench):
+    out = d.find_hits(documents(spark, texts), bench).orderBy("doc_id").collect()
+    for r in out:
+        assert sum(s["to"] - s["from"] for s in r["spans"]) == r["n_hit"]
+        assert all(a["to"] < b["from"] for a, b in zip(r["spans"], r["spans"][1:]))
+    return [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out]
+
+
+def test_groups_of_items_give_the_same_one_at_a_time(spark, monkeypatch):
+    """Ten and more groups; also items far longer than a group, which are cut into pieces."""
     items, texts = case(3)
+    r = rng(31)
+    long = sentence(r, 900, 50)
+    items += [(200, long), (201, long + " end")]
+    words = long.split()
+    texts += [" ".join(words[k : k + 40]) for k in range(0, 860, 37)] + [long, texts[-1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    finders = list(d.automata(bench, group_words=60))
-    assert len(finders) > 3
-    expected = plain(texts, items)
-    for text, row in zip(texts, expected):
-        words = d.words_of(text.encode() if text else None)
-        mask, met = d._hits(finders, words)
-        assert (0 if mask is None else int(mask.sum()), len(met)) == row[1:3]
+    monkeypatch.setattr(d, "GROUP_WORDS", 120)
+    sizes = [len(a.link) for a in d.automata(bench)]
+    assert len(sizes) >= 10 and max(sizes) < 900
+    assert hits_of(spark, texts, bench) == plain(texts, items)
+
+
+def test_cuts_by_groups_are_those_of_one_group(spark, monkeypatch):
+    items, texts = case(6)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [*texts, texts[-2], texts[-2]])
+    whole = sorted(map(repr, d.decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(d, "GROUP_WORDS", 60)
+    assert len(list(d.automata(bench))) > 3
+    assert sorted(map(repr, d.decontaminate(docs, bench).collect())) == whole
+
+
+def test_items_without_id_are_one_without_a_name(spark):
+    items = [(None, "a b c"), (None, "d e f"), (5, "b c d")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = d.find_hits(documents(spark, ["a b c d e f", "a b c", "x"]), bench).orderBy("doc_id").collect()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert [(r["n_hit"], r["n_items"], r["items_sha256"]) for r in out] == [
+        (6, 2, sha("5")), (3, 1, sha("")), (0, 0, sha(""))]
 
 
 def test_cut_documents_have_no_hit_left(spark):
