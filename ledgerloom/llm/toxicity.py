@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted in a fixed order; each has a linear model on hashed words and word
-beginnings that also sees the probabilities of the categories before it. While fitting, those
+The categories, all from given labels, are predicted in a fixed order: low quality, then toxic.
+Each has a linear model on hashed words and word beginnings that also sees the probabilities of the
+categories before it. While fitting, those
 probabilities come from models that have not seen the document (out-of-fold), so a later model
 learns how far an earlier one can be trusted on new text. The last category, ``toxic``, decides;
 its threshold is the one with the best F1 on out-of-fold predictions.
@@ -21,14 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_ONLY, CACHED_WORDS, batches, byte_texts, packed, written
 
-#: Categories before the last, with words that put a document labelled toxic into them. Fixed values.
-CATEGORIES = {
-    "insult": "idiot moron clown loser scum",
-    "contempt": "stupid worthless pathetic disgusting trash",
-}
+#: Categories before the last, as conditions on the labels; null where a label says nothing.
+CATEGORIES = {"low_quality": "quality = 0"}
 DECISION = "toxic"
-#: At most about so many labelled documents of either label are fitted on.
+#: At most about so many labelled documents of either label are fitted on, with at most about so
+#: many different words, each counted once per document.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
+TRAIN_WORDS = 4_000_000
 FOLDS = 3
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -63,6 +63,11 @@ class Vocabulary(dict):
 
     def counted(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, word and weight of each distinct word; a document's weights have norm 1."""
+        doc, word, count = self.counts(texts)
+        return doc, word, _weights(doc, count, len(texts))
+
+    def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, word and number of each distinct word."""
         lists = [(t or b"").translate(ALNUM_ONLY).split() for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         numbers = np.concatenate([
@@ -70,9 +75,13 @@ class Vocabulary(dict):
         ]) if lists else np.zeros(0, np.int64)
         keys, count = np.unique(
             np.repeat(np.arange(len(lists)), sizes) << 32 | numbers, return_counts=True)
-        doc, word, weight = keys >> 32, keys & (2**32 - 1), 1 + np.log(count)
-        norm = np.sqrt(np.bincount(doc, weight**2, minlength=len(lists)))
-        return doc, word, weight / np.maximum(norm, 1e-9)[doc]
+        return keys >> 32, keys & (2**32 - 1), count
+
+
+def _weights(doc: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    weight = 1 + np.log(count)
+    norm = np.sqrt(np.bincount(doc, weight**2, minlength=n))
+    return weight / np.maximum(norm, 1e-9)[doc]
 
 
 class _Fit:
@@ -92,6 +101,8 @@ class _Fit:
 
     def run(self, y: np.ndarray, use: np.ndarray, earlier: np.ndarray):
         """Weights, bias and weights of the earlier probabilities, learned where ``use``."""
+        if not use.any():
+            return np.zeros(1 << BITS), -8.0, np.zeros(earlier.shape[1])
         share = use / use.sum()
         rate = float((y * share).sum())
         if rate in (0.0, 1.0):
@@ -122,35 +133,38 @@ class _Fit:
         return scale * w, c, e
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray) -> dict:
-    """The chain for label columns in their order, the deciding category last."""
-    vocabulary, parts, at = Vocabulary(), [], 0
-    for some in _slices(texts, 1_000_000):
-        doc, word, weight = vocabulary.counted(some)
-        parts.append((doc + at, word, weight))
-        at += len(some)
-    doc, word, weight = (np.concatenate(x) for x in zip(*parts))
+def fit_chain(lists: list[tuple[list[bytes], list[int]]], labels: np.ndarray) -> dict:
+    """The chain for label columns in their order, the deciding category last.
+
+    A document comes as its distinct words and their numbers. A label that is NaN says nothing:
+    its document isn't used for that category, but gets a probability like all others.
+    """
+    vocabulary = Vocabulary()
     n, categories = labels.shape
-    fit = _Fit(doc, word, weight, word_features(vocabulary.words), n)
+    sizes = [len(words) for words, _ in lists]
+    doc = np.repeat(np.arange(n), sizes)
+    word = np.fromiter((vocabulary[w] for words, _ in lists for w in words), np.int64, sum(sizes))
+    count = np.fromiter((c for _, counts in lists for c in counts), np.int64, sum(sizes))
+    fit = _Fit(doc, word, _weights(doc, count, n), word_features(vocabulary.words), n)
     fold = np.arange(n) % FOLDS
-    everything = np.ones(n)
     earlier = np.zeros((n, 0))
     weights, biases, chain = [], [], []
     for k in range(categories):
-        y = labels[:, k].astype(float)
+        said = ~np.isnan(labels[:, k])
+        y = np.where(said, labels[:, k], 0.0)
         fresh = np.zeros(n)
         for f in range(FOLDS):
-            if (fold != f).any() and (fold == f).any():
-                w, c, e = fit.run(y, (fold != f).astype(float), earlier)
-                at = fold == f
+            at = fold == f
+            if at.any() and (~at).any():
+                w, c, e = fit.run(y, (~at & said).astype(float), earlier)
                 fresh[at] = _sigmoid(fit.forward(w) + c + earlier @ e)[at]
-        w, c, e = fit.run(y, everything, earlier)
+        w, c, e = fit.run(y, said.astype(float), earlier)
         weights.append(w.astype(np.float32))
         biases.append(c)
         chain.append(e)
         earlier = np.column_stack([earlier, fresh])
     return {"weights": np.stack(weights, axis=1), "bias": biases, "chain": chain,
-            "threshold": _threshold(fresh, labels[:, -1])}
+            "threshold": _threshold(fresh[said], y[said])}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -167,15 +181,41 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2) if hit[-1] else 1.0
 
 
+def _word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of whole texts and how often each occurs."""
+    for batch in parts:
+        words, counts, offsets = [], [], [0]
+        for some in _slices(byte_texts(batch["text"])):
+            vocabulary = Vocabulary()
+            doc, word, count = vocabulary.counts(some)
+            offsets += (offsets[-1] + np.cumsum(np.bincount(doc, minlength=len(some)))).tolist()
+            words.append(pa.array(vocabulary.words, pa.binary()).take(pa.array(word)))
+            counts.append(count)
+        at = pa.array(offsets, pa.int32())
+        flat = pa.concat_arrays(words) if words else pa.array([], pa.binary())
+        number = pa.array(np.concatenate(counts or [[]]), pa.int64())
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch[c] for c in rest), pa.ListArray.from_arrays(at, flat),
+             pa.ListArray.from_arrays(at, number)], names=[*rest, "words", "counts"])
+
+
 def train(docs: DataFrame, labels: DataFrame, seed: int = 17) -> dict | None:
     """A chain from the labelled documents; None if none is labelled.
 
     Rows of a bounded sample of labels meet the texts by a broadcast of that sample. A document
-    with several labels is toxic if one says so; of rows that share a doc_id one text is used.
+    with several labels is in a category if one says so; of rows that share a doc_id one text is
+    used. The one fitting task gets words and their numbers, whole texts being counted where they
+    lie; if the sample has more than ``TRAIN_WORDS`` of them, so much fewer documents are used.
     """
     batches(docs.sparkSession)
+    kinds = {
+        name: F.expr(rule) if "quality" in labels.columns else F.lit(None).cast("boolean")
+        for name, rule in CATEGORIES.items()
+    }
     said = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
+        F.max(F.col("toxic").cast("int")).alias("toxic"),
+        *[F.max(kind.cast("int")).alias(f"_{name}") for name, kind in kinds.items()])
     said = written(said, "labels")
     counts = {r["toxic"]: r["count"] for r in said.groupBy("toxic").count().collect()}
     most = {0: TRAIN_CLEAN, 1: TRAIN_TOXIC}
@@ -183,21 +223,25 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 17) -> dict | None:
     if not share:
         return None
     drawn = said.sampleBy("toxic", share, seed)
+    names = [*(f"_{name}" for name in CATEGORIES), "toxic"]
     texts = docs.select("doc_id", "text").filter("text is not null")
-    sample = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(
+    sample = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", *names).agg(
         F.min("text").alias("text"))
-    seeds = [frozenset(w.encode() for w in words.split()) for words in CATEGORIES.values()]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ", ".join(f"{name} int" for name in names)
+    counted = written(sample.mapInArrow(
+        _word_counts, f"doc_id {kind}, {fields}, words array<binary>, counts array<long>"),
+        "counted-sample")
+    total = counted.agg(F.sum(F.size("words"))).first()[0] or 0
+    if total > TRAIN_WORDS:
+        counted = counted.sample(TRAIN_WORDS / total, seed)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id").sample(frac=1, random_state=seed)
-        known = [t.encode() for t in rows["text"]]
-        toxic = rows["toxic"].to_numpy()
-        met = np.array([
-            [not s.isdisjoint(t.translate(ALNUM_ONLY).split()) for s in seeds] for t in known])
-        parts = [toxic * has for has in met.T]
-        return pd.DataFrame({"model": [packed(fit_chain(known, np.column_stack([*parts, toxic])))]})
-
-    one = sample.withColumn("_all", F.lit(0)).groupBy("_all")
+        lists = list(zip(rows["words"], rows["counts"]))
+        return pd.DataFrame({"model": [packed(fit_chain(lists, rows[names].to_numpy(float)))]})
+
+    one = counted.withColumn("_all", F.lit(0)).groupBy("_all")
     model = one.applyInPandas(fit, "model binary").first()
     return pickle.loads(model["model"]) if model else None
 
