@@ -1,12 +1,17 @@
 """Private data replaced by surrogates of the same kind.
 
-Detected entities: e-mail and IP addresses, phone and card numbers, secrets in hexadecimal, and
-names after a form of address. Every distinct entity of the corpus gets one surrogate, made from a
-keyed hash, so that mentions of one entity stay mentions of one (coreference). A surrogate has its
-entity's type, format (digits stay digits, letters keep case and script, punctuation stays) and,
-for names, the gender of the form of address. A surrogate that two entities drew, or that is
-itself an entity of the corpus, is drawn again, until all differ (distinctness); draws get longer
-after some attempts, so that a free one always exists.
+Detected entities: e-mail and IP addresses (both versions), phone, card and account numbers (IBAN),
+national ids, secrets in hexadecimal and keys of well-known forms, and names after a form of
+address. Every distinct entity of the corpus gets one surrogate, made from a keyed hash, so that
+mentions of one entity stay mentions of one (coreference). A surrogate has its entity's type,
+format (digits stay digits, letters keep case and script, punctuation stays; country codes, card
+brands, check digits and private networks stay what they are) and, for names, the gender of the
+form of address. A surrogate that two entities drew, or that is itself an entity of the corpus, is
+drawn again, until all differ (distinctness); draws get longer after some attempts, so that a free
+one always exists.
+
+The key is the caller's. Whoever has it can recompute surrogates; without one in the session's
+configuration (``KEY_SETTING``) a session draws its own and forgets it.
 
 A name is replaced word by word. The last word is the family name, one entity in all spellings and
 under all titles; given names before it take the gender that the document tells, and an initial
@@ -18,19 +23,36 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, byte_texts, written
 from .decontamination import with_texts
 
+KEY_SETTING = "spark.ledgerloom.surrogateKey"
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 "
+    "65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: The check letter of a Spanish id by its number modulo 23.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Forms of keys whose beginning tells what they are for.
+TOKENS = (
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}"
+    r"|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"
+    r"|sk-[0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}")
+#: What of a key stays: the beginning that tells its kind.
+TOKEN_HEAD = re.compile(
+    r"AKIA|ASIA|gh[opsur]_|github_pat_|xox[abprs]-|AIza|[sr]k_(?:live|test)_|sk-|eyJ")
 #: Forms of address by gender (n: not told).
 TITLES = {
     "m": "Mr|Sir|Herr|Monsieur|Señor|Don|господин|г-н",
@@ -97,7 +119,13 @@ PHONE_CUE = (r"(?i:t[eé]l(?:[eé](?:f|ph)on[eo]?)?|phone|(?:tele)?fax|m[oó]vil
              r"[.:]{0,2} ?")
 ENTITY = re.compile(
     r"(?P<email>[\w.+-]+@(?:[_-]+\.)*[_-]*[^\W_][\w-]*(?:\.[\w-]+)+)"
+    rf"|(?P<token>(?<![\w-])(?:{TOKENS})(?![\w-]))"
     r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
+    r"|(?P<ipsix>(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?!\w))"
+    r"|(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]))"
+    r"|(?P<dni>(?<![\w.-])\d{8}-?[A-HJ-NP-TV-Z](?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     rf"|(?P<phone>{'|'.join(PHONES)})"
     rf"|(?<!\w){PHONE_CUE}(?P<cued>\d{{7,12}}(?!\w|[.,]\d))"
@@ -105,11 +133,12 @@ ENTITY = re.compile(
     rf"|(?<!\w)(?:{_TITLED})\.? (?:(?:Dr|Prof)\.? )*(?P<name>{NAME})"
 )
 #: Only a text with one of these can hold an entity.
-HINT = re.compile(rb"[@+0-9]|[0-9A-Fa-f]{32}|" + "|".join(
+HINT = re.compile(rb"[@+0-9]|[0-9A-Fa-f]{32}|gh[opsur]_|github_pat_|xox[abprs]-|AIza|k_live_|k_test_|sk-|eyJ|" + "|".join(
     w for words in TITLES.values() for w in words.split("|")).encode())
 #: After so many void draws the next ones are one character longer.
 LONGER_AFTER = 8
-KINDS = ("email", "hex", "ip", "phone", "cued", "card", "name")
+KINDS = (
+    "email", "token", "hex", "ipsix", "iban", "ssn", "dni", "ip", "phone", "cued", "card", "name")
 #: Digits of a phone number that not all its spellings have: exit code, and zero after a country code.
 _OPTIONAL = re.compile(r"(^00|\(0\))")
 
@@ -127,6 +156,8 @@ def _mentions(text: str) -> list[tuple[int, int, str, bool]]:
     found, named = [], False
     for m in ENTITY.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
+        if kind in _VALID and not _VALID[kind](m[kind]):
+            continue
         if kind == "card" and len(re.sub(r"\D", "", m[kind])) not in range(13, 20):
             continue
         if kind == "name":
@@ -195,10 +226,50 @@ def entity_parts(text: str) -> list[tuple[int, int, str, str, str | None]]:
     return out
 
 
+def _ip_version_6(value: str) -> bool:
+    try:
+        return len(ipaddress.IPv6Address(value).compressed.replace("::", ":").split(":")) > 2
+    except ValueError:
+        return False
+
+
+def iban_rest(value: str) -> int:
+    """1 for an account number with valid check digits."""
+    text = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+#: Entities that have check digits or a grammar of their own; others of that form are left alone.
+_VALID = {
+    "ipsix": _ip_version_6, "iban": lambda v: iban_rest(v) == 1,
+    "dni": lambda v: DNI_LETTERS[int(v[:8]) % 23] == v[-1],
+}
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    if digits[:1] in ("1", "7"):
+        return digits[:1]
+    return digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
+def card_brand(digits: str) -> str:
+    """The beginning of a card number that tells its brand."""
+    return digits[:1] if digits[0] == "4" else digits[:4] if digits[:4] == "6011" else digits[:2]
+
+
 def canonical(kind: str, value: str) -> str:
-    """What mentions of one entity share: digits of a number, lower case of an address or name."""
-    if kind in ("phone", "card"):
-        return re.sub(r"\D", "", _OPTIONAL.sub("", value) if kind == "phone" else value)
+    """What mentions of one entity share: digits of a number (after ``+`` with a country code),
+    lower case of an address or name, an account number without spaces."""
+    if kind == "phone":
+        digits = re.sub(r"\D", "", _OPTIONAL.sub("", value))
+        return f"+{digits}" if value.startswith(("+", "00")) else digits
+    if kind == "card":
+        return re.sub(r"\D", "", value)
+    if kind in ("iban", "dni"):
+        return re.sub("[ -]", "", value)
+    if kind == "ipsix":
+        return ipaddress.IPv6Address(value).exploded
     if kind in ("email", "hex"):
         return value.lower()
     if kind.startswith("name"):
@@ -233,15 +304,37 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "hex":
         return "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(entity) + longer))
     if kind == "ip":
-        return ".".join(str(1 + draw.below(999 if longer else 254)) for _ in range(4))
-    if kind in ("phone", "card"):
-        # The first digit stays (country code, card brand), and so does a valid check digit.
-        digits = entity[:1] + "".join(str(draw.below(10)) for _ in range(len(entity) - 1 + longer))
-        if kind == "phone" and entity.startswith("0"):
-            digits = f"0{1 + draw.below(9)}{digits[2:]}"
-        if kind == "card" and luhn(entity) == 0:
-            digits = digits[:-1] + str(-luhn(digits[:-1] + "0") % 10)
-        return digits
+        return _address(draw, entity, attempt)
+    if kind == "ipsix":
+        # The first group tells the kind of network; eight groups are left to draw from.
+        return ":".join([entity[:4], *(f"{1 + draw.below(0xFFFE):04x}" for _ in range(7))])
+    if kind == "token":
+        # Signed tokens are three parts, of which two begin alike.
+        dotted = [entity] if not entity.startswith("eyJ") else entity.split(".")
+        heads = [m[0] if (m := TOKEN_HEAD.match(part)) else "" for part in dotted]
+        return ".".join(
+            head + "".join(_like(draw, c) for c in part[len(head):])
+            for head, part in zip(heads, dotted)) + "".join(_like(draw, "a") for _ in range(longer))
+    if kind == "iban":
+        # Digits for digits and letters for letters; the country and valid check digits stay.
+        rest = "".join(_like(draw, c) for c in entity[4:] + "0" * longer)
+        return f"{entity[:2]}{98 - iban_rest(entity[:2] + '00' + rest):02d}{rest}"
+    if kind == "ssn":
+        area = 1 + draw.below(898)
+        return f"{area + (area >= 666):03d}-{1 + draw.below(99):02d}-{1 + draw.below(9999):04d}" + (
+            "0" * longer)
+    if kind == "dni":
+        number = f"{draw.below(10**8):08d}"
+        return number + "0" * longer + DNI_LETTERS[int(number) % 23]
+    if kind == "phone":
+        # A country code stays; so does how a national number begins, which tells its kind.
+        international = entity.startswith("+")
+        head = f"+{country_code(entity[1:])}" if international else entity[:2 if entity[0] == "0" else 1]
+        return head + _digits(draw, len(entity) - len(head) + longer)
+    if kind == "card":
+        head = card_brand(entity)
+        digits = head + _digits(draw, len(entity) - len(head) + longer)
+        return digits[:-1] + str(-luhn(digits[:-1] + "0") % 10) if luhn(entity) == 0 else digits
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, _, tail = domain.rpartition(".")
@@ -249,6 +342,42 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return _name(draw, kind, entity.casefold(), key, attempt)
 
 
+def _digits(draw: _Draws, n: int) -> str:
+    return "".join(str(draw.below(10)) for _ in range(n))
+
+
+def _like(draw: _Draws, c: str) -> str:
+    """A digit for a digit and a letter of the same case for a letter."""
+    if c.isdigit():
+        return str(draw.below(10))
+    if not c.isalpha():
+        return c
+    new = "abcdefghijklmnopqrstuvwxyz"[draw.below(26)]
+    return new.upper() if c.isupper() else new
+
+
+#: First numbers of public addresses, without blocks that hold private or reserved ones.
+_PUBLIC = [str(n) for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
+
+
+def _address(draw: _Draws, entity: str, attempt: int) -> str:
+    """Addresses of private networks, the loop-back included, stay in one, public ones public.
+
+    What is small is used up at some time: later draws come from the largest private network, and
+    after very many, where hardly an address is free, from those of version 6.
+    """
+    parts = entity.split(".")
+    private = parts[0] in ("10", "127") or parts[:2] == ["192", "168"] or (
+        parts[0] == "172" and parts[1].isdigit() and 16 <= int(parts[1]) < 32)
+    head = parts[:1] if parts[0] in ("10", "127") else parts[:2] if private else [
+        _PUBLIC[draw.below(len(_PUBLIC))]]
+    if attempt >= LONGER_AFTER and private:
+        head = ["10"]
+    if attempt >= 8 * LONGER_AFTER:
+        return ":".join(["fd00" if private else "2001"] + [f"{draw.below(1 << 16):x}" for _ in range(7)])
+    return ".".join([*head, *(str(1 + draw.below(254)) for _ in range(4 - len(head)))])
+
+
 def script_of(text: str) -> str:
     return next(s for s, letters in SCRIPTS.items() if re.search(letters, text))
 
@@ -302,13 +431,19 @@ def _word(draw: _Draws, text: str) -> str:
 def in_format(kind: str, value: str, new: str) -> str:
     """A canonical surrogate in the spelling of one mention: its separators and upper case."""
     if kind in ("phone", "card"):
-        digits = iter(new)
+        digits = iter(new.lstrip("+"))
         pieces = _OPTIONAL.split(value) if kind == "phone" else [value]
         return "".join(
             x if n % 2 else "".join(next(digits) if c.isdigit() else c for c in x)
             for n, x in enumerate(pieces)) + "".join(digits)
-    if kind == "hex":
+    if kind in ("hex", "ipsix"):
+        if kind == "ipsix" and "::" in value:
+            new = ipaddress.IPv6Address(new).compressed
         return new.upper() if value.isupper() else new
+    if kind == "iban" and " " in value:
+        return " ".join(new[k : k + 4] for k in range(0, len(new), 4))
+    if kind == "dni" and "-" in value:
+        return f"{new[:-1]}-{new[-1]}"
     if kind == "email" and len(new) == len(value):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(value, new))
     if kind.startswith("name"):
@@ -354,17 +489,27 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     return done if done is not None else todo.withColumn("surrogate", F.col("entity"))
 
 
-def replace_private(docs: DataFrame, key: bytes = b"ledgerloom") -> DataFrame:
+_own_keys: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key in the session's configuration, else one drawn for this session."""
+    if given := spark.conf.get(KEY_SETTING, None):
+        return given.encode()
+    return _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def replace_private(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text`` and the new length in ``n_chars``; all else stays.
 
     Null and empty texts and texts without entities stay as they are. Repeated rows and entities
-    get the same surrogates. Only rows with entities are written aside, joined and rewritten; the
-    others are passed on by a second scan, so clean text is never shuffled.
+    get the same surrogates, also in another run with the same key. Texts are searched once and
+    written with what was found; only rows with entities are joined and rewritten.
     """
     return _replaced(docs, key)
 
 
-def private_report(docs: DataFrame, key: bytes = b"ledgerloom") -> DataFrame:
+def private_report(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, n_entities, kinds`` after replacement, for every row."""
     return _replaced(docs.select("doc_id", "text"), key, report=True)
 
@@ -391,22 +536,16 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
             out.append(found)
         return out
 
-    def holding(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            found = entities_in(batch)
-            keep = [k for k, x in enumerate(found) if x]
-            kept = batch.take(pa.array(keep, pa.int64()))
+            found = pa.array([x or None for x in entities_in(batch)], span_type)
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array([found[k] for k in keep], span_type)],
-                names=[*batch.schema.names, "_llm_spans"])
-
-    def others(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            yield batch.filter(pa.array([not x for x in entities_in(batch)], pa.bool_()))
+                [*batch.columns, found], names=[*batch.schema.names, "_llm_spans"])
 
     held = T.StructType([*docs.schema.fields, T.StructField("_llm_spans", T.ArrayType(parts))])
-    private = written(docs.mapInArrow(holding, held).withColumn(
-        "_llm_row", F.monotonically_increasing_id()), "private-rows")
+    searched = written(docs.mapInArrow(search, held).withColumn(
+        "_llm_row", F.monotonically_increasing_id()), "searched-rows")
+    private = searched.filter("_llm_spans is not null")
     mentions = private.select("_llm_row", F.posexplode("_llm_spans").alias("_nth", "_span")).select(
         "_llm_row", "_nth", "_span.kind", "_span.entity").filter("kind != 'initial'")
     given = surrogates(mentions, key).select("kind", "entity", "surrogate")
@@ -429,7 +568,7 @@ def _replaced(docs: DataFrame, key: bytes, report: bool = False) -> DataFrame:
             kept = batch.drop_columns(["_llm_new"] if report else ["_llm_spans", "_llm_new"])
             yield with_texts(kept, new)
 
-    clean = docs.mapInArrow(others, docs.schema)
+    clean = searched.filter("_llm_spans is null").select(*docs.columns)
     if not report:
         return rows.mapInArrow(rewrite, docs.schema).unionByName(clean)
     told = F.filter(F.transform("_llm_spans", lambda s: s["report"]), lambda k: k.isNotNull())

@@ -40,7 +40,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_private")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return private.private_report(table(spark, folder, "documents"))
+    return private.private_report(table(spark, folder, "documents"), private.key_of(spark))
 
 
 @query(
