@@ -2,11 +2,12 @@
 
 The trees see lexical features only (length, depth, digit ratio, entropy, parameters, statistics
 of the host's suffixes). They learn from labelled URLs; in the query those that a rule decides.
+Suffix statistics are counts of labels, so for the rows that the trees learn from they come from
+the other folds: no row's own label, nor that of an equal URL, is in its features.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from .common import batches, byte_texts, written
 TRAIN_ROWS = 20_000
 SUFFIX_BUCKETS = 4096
 PRIOR_ROWS = 20
+FOLDS = 5
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "digits", "entropy",
     "parameters", "suffix_1", "suffix_2",
@@ -62,31 +64,35 @@ def _entropy(text: bytes) -> float:
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """The lexical features of ``url, host, path`` beside the columns of ``rows``."""
+    """The lexical features of ``url, host, path`` beside the columns of ``rows``.
+
+    Only the entropy of a URL's bytes needs Python; lengths count bytes.
+    """
     batches(rows.sparkSession)
-    names = FEATURES[:8]
+    url = F.coalesce("url", F.lit(""))
+
+    def size(text: Column) -> Column:
+        return F.octet_length(text).cast("double")
+
+    def without(text: Column, what: str) -> Column:
+        return size(text) - size(F.translate(text, what, ""))
 
-    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    measured = rows.withColumns({
+        "url_length": size(url), "host_length": size(F.col("host")), "path_length": size(F.col("path")),
+        "depth": without(F.col("path"), "/"), "labels": without(F.col("host"), ".") + 1,
+        "digits": without(url, "0123456789") / F.greatest(size(url), F.lit(1.0)),
+        "parameters": F.size(F.filter(F.split(query, "[&;]", -1), lambda x: x != "")).cast("double"),
+    })
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            urls, hosts, paths = (byte_texts(batch[c]) for c in ("url", "host", "path"))
-            made = []
-            for url, host, path in zip(urls, hosts, paths):
-                url = url or b""
-                digits = len(url) - len(url.translate(None, b"0123456789"))
-                query = url.partition(b"#")[0].partition(b"?")[2]
-                made.append((
-                    len(url), len(host), len(path), path.count(b"/"), host.count(b".") + 1,
-                    digits / max(len(url), 1), _entropy(url),
-                    len([x for x in re.split(rb"[&;]", query) if x]),
-                ))
-            columns = np.array(made, dtype=float).reshape(-1, len(names)).T
+            entropy = pa.array([_entropy(u or b"") for u in byte_texts(batch["url"])], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c) for c in columns)],
-                names=[*batch.schema.names, *names],
-            )
+                [*batch.columns, entropy], names=[*batch.schema.names, "entropy"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(measure, schema + "".join(f", {n} double" for n in names))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields)
+    return measured.mapInArrow(add, f"{schema}, entropy double")
 
 
 def _bucket(labels: int) -> Column:
@@ -94,6 +100,11 @@ def _bucket(labels: int) -> Column:
     return F.pmod(F.xxhash64(suffix, F.lit(labels)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
+def _fold() -> Column:
+    """Equal URLs share a fold."""
+    return F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 class UrlModel:
     """Trees and suffix statistics learned from ``host, path, url`` and a 0/1 ``label`` (1: block)."""
 
@@ -105,19 +116,16 @@ class UrlModel:
         self.trees = None
         if len(counts) < 2:
             return
-        # At most SUFFIX_BUCKETS rows for either length of suffix, whatever the number of hosts.
-        by = [
-            labelled.groupBy(_bucket(k).alias("bucket")).agg(
-                F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()
+        # At most SUFFIX_BUCKETS * FOLDS rows for either length of suffix, whatever the number of hosts.
+        self.counts = [
+            {(r["bucket"], r["fold"]): (r["n"], r["blocked"]) for r in labelled.groupBy(
+                _bucket(k).alias("bucket"), _fold().alias("fold")).agg(
+                F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()}
             for k in (1, 2)
         ]
-        self.suffixes = [
-            {r["bucket"]: (r["blocked"] + PRIOR_ROWS * self.rate) / (r["n"] + PRIOR_ROWS)
-             for r in rows} for rows in by
-        ]
         drawn = labelled.select("url", "host", "path", "label").sample(
             False, min(1.0, TRAIN_ROWS / total), seed)
-        ready = written(self._features(drawn), "labelled-urls")
+        ready = written(self._features(drawn, learning=True), "labelled-urls")
         boosting = GBTClassifier(
             labelCol="label", featuresCol="features", maxIter=15, maxDepth=4, stepSize=0.3,
             minInstancesPerNode=5, seed=seed,
@@ -125,18 +133,33 @@ class UrlModel:
         parts = max(1, min(8, ready.count() // 2000))
         self.trees = boosting.fit(self._assembled(ready.coalesce(parts)))
 
-    def _features(self, rows: DataFrame) -> DataFrame:
-        tables = []
-        for k, rates in enumerate(self.suffixes, 1):
-            known = [float(rates.get(b, self.rate)) for b in range(SUFFIX_BUCKETS)]
-            tables.append((k, known))
-        measured = lexical(rows.withColumns({f"_bucket_{k}": _bucket(k) for k, _ in tables}))
-        spark = rows.sparkSession
-        for k, known in tables:
-            table = spark.createDataFrame(
-                list(enumerate(known)), f"_bucket_{k} int, suffix_{k} double")
-            measured = measured.join(F.broadcast(table), f"_bucket_{k}", "left")
-        return measured.drop(*[f"_bucket_{k}" for k, _ in tables])
+    def suffix_rates(self, k: int) -> list[tuple[int, int, float]]:
+        """``bucket, fold, rate``: the rate of blocked URLs outside the fold; fold -1 is all of them."""
+        known = self.counts[k - 1]
+        whole: dict[int, list[int]] = {}
+        for (bucket, _), (n, blocked) in known.items():
+            sums = whole.setdefault(bucket, [0, 0])
+            sums[0] += n
+            sums[1] += blocked
+
+        def rate(n: int, blocked: int) -> float:
+            return float((blocked + PRIOR_ROWS * self.rate) / (n + PRIOR_ROWS))
+
+        out = [(bucket, -1, rate(*sums)) for bucket, sums in whole.items()]
+        for (bucket, fold), (n, blocked) in known.items():
+            sums = whole[bucket]
+            out.append((bucket, fold, rate(sums[0] - n, sums[1] - blocked)))
+        return out
+
+    def _features(self, rows: DataFrame, learning: bool = False) -> DataFrame:
+        fold = _fold() if learning else F.lit(-1)
+        measured = lexical(rows.withColumns({"_bucket_1": _bucket(1), "_bucket_2": _bucket(2), "_fold": fold}))
+        for k in (1, 2):
+            table = rows.sparkSession.createDataFrame(
+                self.suffix_rates(k), f"_bucket_{k} int, _fold int, suffix_{k} double")
+            measured = measured.join(F.broadcast(table), [f"_bucket_{k}", "_fold"], "left")
+        known = {f"suffix_{k}": F.coalesce(f"suffix_{k}", F.lit(self.rate)) for k in (1, 2)}
+        return measured.withColumns(known).drop("_bucket_1", "_bucket_2", "_fold")
 
     @staticmethod
     def _assembled(rows: DataFrame) -> DataFrame:
