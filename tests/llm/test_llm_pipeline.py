@@ -4,6 +4,8 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from helpers import documents, rng, sentence
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import decontamination, neardup, private, queries
@@ -88,3 +90,68 @@ def test_run_applies_all_stages(spark, steps):
     out = corpus_pipeline.run(spark, FOLDER).select("doc_id", "piece", "ids_crc32").collect()
     assert {tuple(r) for r in out} == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in steps[5]}
     assert set(queries.QUERIES) > {"pipeline"} and neardup.SHINGLE == 5
+
+
+def odd_tables(spark, folder):
+    """Null, empty, repeated and very long texts, null ids, and columns that stages use themselves."""
+    r = rng(77)
+    bench = [(k, sentence(r, 30, 50)) for k in range(6)] + [(None, "q w e r"), (9, None), (10, "")]
+    long = sentence(r, 30_000, 5000)
+    texts = [None, "", " \n", "ab", long, long + " end", long.replace("w1 ", "v1 ")]
+    texts += [f"{sentence(r, 60, 900)} {bench[k % 6][1]} {sentence(r, 60, 900)}" for k in range(20)]
+    texts += [f"call +49 30 {5550000 + k} or Mr John Smith {sentence(r, 50, 900)}" for k in range(20)]
+    texts += [sentence(r, 80, 900) + (" scum trash moron" if k % 3 == 0 else "") for k in range(90)]
+    ids = [*range(len(texts)), 3, 60, None, None]
+    texts += ["ab", texts[60], "nobody's text with some words here", texts[0]]
+    docs = documents(spark, texts, ids).withColumns({"_llm_tag": F.lit("x"), "sketch": F.lit(1)})
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    first = len(texts) - 94
+    labels = [(first + k, None if k % 5 == 0 else 1, int(k % 3 == 0), "x") for k in range(70)]
+    spark.createDataFrame(labels + [(None, 1, 1, "x"), (10**9, 0, 1, "x")],
+                          "doc_id long, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return bench
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    folder = str(tmp_path)
+    bench = odd_tables(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kinds, seen = docs.dtypes, [sorted(docs.collect(), key=repr)]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, folder)
+        made.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert k == 4 or docs.dtypes == kinds
+        seen.append(sorted(docs.collect(), key=repr))
+    texts = [[r["text"] for r in rows] for rows in seen[:5]]
+    assert 25 <= len(seen[0]) - len(seen[1]) <= 34 and None in texts[1] and "" in texts[1]
+    groups = plain_groups([r["doc_id"] if r["doc_id"] is not None else 10**12 + k for k, r in enumerate(seen[1])],
+                          texts[1], corpus_pipeline.NEAR_PERCENT)
+    wordless = sum(n == 0 for _, n, _, _ in groups)
+    worded = {c for _, n, c, _ in groups if n}
+    assert len(seen[2]) == wordless + len(worded)
+    assert not any(h[4] for h in plain_hits(texts[3], bench))
+    assert texts[3].count(None) == texts[2].count(None) == 2
+    assert not any("Smith" in t or "+49 30 555" in t and t in texts[3] for t in texts[4] if t)
+    assert [t for t in texts[4] if t is None] == [None, None]
+    pieces = {}
+    for r in seen[5]:
+        pieces[r["doc_id"]] = pieces.get(r["doc_id"], 0) + 1
+    assert sum(r["piece"] == 0 for r in seen[5]) == len(seen[4])
+
+
+def test_empty_tables_through_all_stages(spark, tmp_path):
+    folder = str(tmp_path)
+    odd_tables(spark, folder)
+    for name in ("documents", "labels", "benchmark"):
+        frame = spark.read.parquet(f"{folder}/{name}.parquet")
+        frame.limit(0).write.parquet(f"{folder}/none/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{folder}/none")
+    assert out.collect() == [] and "sequence_id" in out.columns
+    # Documents without labels or benchmark pass on to the other stages.
+    few = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 40")
+    few.write.parquet(f"{folder}/some/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/none/{name}.parquet").write.parquet(f"{folder}/some/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/some").select("doc_id").distinct().count() > 30
