@@ -32,6 +32,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Many small stores of an executor don't reserve disk ahead of what they write.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # All stores of an executor share this much memory; the rest of the state is on disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
