@@ -221,8 +221,8 @@ def provider_answers(rows: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select(*KEY, "data", "slots").join(spread, KEY)
 
 
-def enriched_records(scored: DataFrame) -> DataFrame:
-    """Stored form of scored answers."""
+def enriched_records(scored: DataFrame, job_id: Column | None = None) -> DataFrame:
+    """Stored form of scored answers, with the job that they came from."""
     signals = F.col("signals")
     stored = F.to_json(
         F.struct(
@@ -250,6 +250,7 @@ def enriched_records(scored: DataFrame) -> DataFrame:
     return scored.select(
         *KEY,
         entity_id().alias("record_id"),
+        (job_id if job_id is not None else F.lit(None).cast("string")).alias("extraction_job_id"),
         name.alias("raw_asset_name"),
         F.lit("enriched_asset_data").alias("field_name"),
         json_object(F.col("data")).alias("raw_value"),
@@ -265,15 +266,25 @@ def enriched_records(scored: DataFrame) -> DataFrame:
 
 
 def merge_into_stored(stored: DataFrame, enriched: DataFrame) -> DataFrame:
-    """New snapshot of the records table with enrichment merged in by document, sheet and row."""
-    fresh = enriched.select(
-        "document_id",
-        F.nullif("sheet_name", F.lit("")).alias("_sheet"),
+    """New snapshot of the records table with enrichment merged in by document, sheet and row.
+
+    A row that was enriched more than once, as by a repeated batch, is merged once: the last by
+    ``enriched_at``, where there is such a column, else the greatest.
+    """
+    order = ["enriched_at"] if "enriched_at" in enriched.columns else []
+    last = F.max(F.struct(*order, *[
+        F.col(c) for c in (
+            "normalized_value", "confidence_score", "review_status", "inference_explanation")
+    ])).alias("_last")
+    fresh = enriched.groupBy(
+        "document_id", F.nullif("sheet_name", F.lit("")).alias("_sheet"),
         F.col("row_index").alias("_row"),
-        F.col("normalized_value").alias("_value"),
-        F.col("confidence_score").alias("_score"),
-        F.col("review_status").alias("_review"),
-        F.col("inference_explanation").alias("_why"),
+    ).agg(last).select(
+        "document_id", "_sheet", "_row",
+        F.col("_last.normalized_value").alias("_value"),
+        F.col("_last.confidence_score").alias("_score"),
+        F.col("_last.review_status").alias("_review"),
+        F.col("_last.inference_explanation").alias("_why"),
     )
     hit = F.col("_value").isNotNull()
     same = (

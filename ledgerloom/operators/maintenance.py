@@ -22,38 +22,53 @@ def latest_job_state(events: DataFrame) -> DataFrame:
     )
 
 
+def _timed(changes: DataFrame) -> None:
+    if "changed_at" not in changes.columns:
+        raise ValueError("changes need changed_at, which tells their order")
+
+
+def folded_changes(changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The partial changes of each key, applied in turn: the last non-null value of every column.
+
+    Of two values with one ``changed_at`` the greater counts.
+    """
+    _timed(changes)
+    last = [
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("changed_at", c))).alias(c)
+        for c in columns
+    ]
+    return changes.groupBy(key).agg(*last)
+
+
 def apply_changes(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Snapshot with partial updates: a non-null value in ``changes`` replaces the old one.
 
-    Of several changes for one key the last counts (``changed_at``, if there is one), so no row
-    of the table is doubled.
+    A key may have any number of changes, each of other columns; ``changed_at`` orders them. No
+    row of the table is doubled.
     """
-    fresh = _latest(changes, key, columns).select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    fresh = folded_changes(changes, key, columns).select(
+        key, *[F.col(c).alias(f"_{c}") for c in columns])
     joined = table.join(fresh, key, "left")
     updates = {c: F.coalesce(f"_{c}", c) for c in columns}
     return joined.withColumns(updates).drop(*[f"_{c}" for c in columns])
 
 
-def _latest(changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One change per key: the latest, or the greatest where no time is given."""
-    order = ["changed_at"] if "changed_at" in changes.columns else []
-    last = F.max(F.struct(*order, *columns)).alias("_change")
-    return changes.groupBy(key).agg(last).select(key, *[f"_change.{c}" for c in columns])
-
-
 def assign_reviews(queue: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Give reviews to people (``review_id, assigned_to``) and mark them in review."""
+    """Give reviews to people (``review_id, assigned_to, changed_at``) and mark them in review."""
     changes = assignments.withColumn("status", F.lit("in_review"))
     return apply_changes(queue, changes, "review_id", ["assigned_to", "status"])
 
 
 def resolve_reviews(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Close reviews (``review_id, status, resolved_by, resolved_at, resolution_notes``).
+    """Close reviews (``review_id, status, resolved_by, resolved_at, resolution_notes, changed_at``).
 
-    Who and when are set together: without a resolver both become null, as do missing notes.
+    Who and when are set together: without a resolver both become null, as do missing notes. Of
+    several decisions on a review the last one counts as a whole.
     """
     columns = ["status", "resolved_by", "resolved_at", "resolution_notes"]
-    fresh = _latest(decisions, "review_id", columns).select(
+    _timed(decisions)
+    last = F.max(F.struct("changed_at", *columns)).alias("_change")
+    fresh = decisions.groupBy("review_id").agg(last).select("review_id", "_change.*").select(
         "review_id",
         F.lit(True).alias("_hit"),
         F.col("status").alias("_status"),

@@ -9,6 +9,40 @@ from ..functions.fields import job_progress, job_status_label
 from ..session import write_through
 from .spread import first_rows, join_per_key
 
+#: Up to so many rows a page and what stands before it are sorted as one short list.
+SHALLOW_ROWS = 10_000
+
+
+def slice_of(
+    table: DataFrame, order: list[str | Column], key: str, skip: int, take: int
+) -> DataFrame:
+    """Rows ``skip`` to ``skip + take`` of a table in an order that ``key``, unique, completes.
+
+    Near the beginning a list of the first rows does. Further on, the keys alone are sorted by
+    range; the sizes of the parts tell which of them hold the page, and only these are read. No
+    task gets the rows before the page, however many they are.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    if skip + take <= SHALLOW_ROWS:
+        return table.orderBy(*columns, key).offset(skip).limit(take)
+    ranged = table.repartitionByRange(*columns, F.col(key)).sortWithinPartitions(*columns, key)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = write_through(
+        ranged.select(key, F.spark_partition_id().alias("_part"), local.alias("_nth")), "sorted-keys")
+    # One row per part of the sort.
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    first, wanted = 0, F.lit(False)
+    position = F.lit(None).cast("long")
+    for row in sizes:
+        if first < skip + take and first + row["n"] > skip:
+            here = F.col("_part") == row["_part"]
+            wanted |= here & F.col("_nth").between(skip - first, skip + take - first - 1)
+            position = F.when(here, F.col("_nth") + first).otherwise(position)
+        first += row["n"]
+    page = write_through(placed.filter(wanted).select(key, position.alias("_position")), "page-keys")
+    return table.join(page, key).orderBy("_position").drop("_position")
+
+
 
 def review_page(
     records: DataFrame, document_id, page: int = 1, page_size: int = 10
@@ -16,8 +50,7 @@ def review_page(
     """One page of a document's records, newest first, with the total."""
     mine = records.filter(F.col("document_id") == document_id)
     total = mine.agg(F.count("*").alias("total"))
-    rows = mine.orderBy(F.desc("created_at"), "record_id")
-    shown = rows.offset((page - 1) * page_size).limit(page_size)
+    shown = slice_of(mine, [F.desc("created_at")], "record_id", (page - 1) * page_size, page_size)
     return _with_total(shown, total)
 
 
@@ -74,8 +107,9 @@ def reviews_where(queue: DataFrame, condition: Column) -> DataFrame:
 def review_queue_page(queue: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame:
     """One page of the whole queue by priority, then age, with the total."""
     total = queue.agg(F.count("*").alias("total"))
-    rows = queue.orderBy(F.desc("priority"), "created_at", "review_id")
-    return _with_total(rows.offset((page - 1) * page_size).limit(page_size), total)
+    order = [F.desc("priority"), "created_at"]
+    rows = slice_of(queue, order, "review_id", (page - 1) * page_size, page_size)
+    return _with_total(rows, total)
 
 
 def pages_of_document(pages: DataFrame, document_id) -> DataFrame:
@@ -114,8 +148,7 @@ def flags_where(
 def list_with_total(table: DataFrame, key: str, skip: int = 0, take: int = 10) -> DataFrame:
     """A slice of a table, newest first, with the table's row count on each row."""
     total = table.agg(F.count("*").alias("total"))
-    rows = table.orderBy(F.desc("created_at"), key).offset(skip).limit(take)
-    return _with_total(rows, total)
+    return _with_total(slice_of(table, [F.desc("created_at")], key, skip, take), total)
 
 
 def newest_first(table: DataFrame, condition: Column, key: str) -> DataFrame:

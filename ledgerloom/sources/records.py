@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import json_object
+from ..operators.enrichment import merge_into_stored
+from ..operators.maintenance import apply_changes, delete_rows
 from ..operators.rows import row_candidates
 from ..operators.scoring import entity_id
-from .tables import table_row
+from .commits import commit, rewrite
 
 NUMERIC_KEYS = vocab.COORDINATE_FIELDS + vocab.AMOUNT_FIELDS
-BUCKETS = 256
 
 
 def row_records(rows: DataFrame, job_id: Column | None = None) -> DataFrame:
@@ -45,35 +46,59 @@ def storable(records: DataFrame) -> DataFrame:
 
 
 def write_rows(
-    df: DataFrame, root: str, name: str, created_at: Column | None = None, mode: str = "append"
+    df: DataFrame, root: str, name: str, created_at: Column | None = None,
+    batch_id: str | None = None,
 ) -> None:
-    """Write a stored table under buckets of its first key; huge keys are split over files."""
-    stored = table_row(df, name, created_at)
-    key = "document_id" if "document_id" in stored.columns else "entity_id"
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    spread = stored.withColumn("bucket", bucket).hint("rebalance", "bucket")
-    spread.write.mode(mode).partitionBy("bucket").parquet(f"{root.rstrip('/')}/{name}")
+    """Add rows to a stored table as one batch; a batch id that was used before is replaced."""
+    commit(df.sparkSession, root, {name: df}, batch_id, created_at)
 
 
 def append_batch(
-    records: DataFrame, root: str, created_at: Column | None = None
+    records: DataFrame, root: str, created_at: Column | None = None, batch_id: str | None = None
 ) -> DataFrame:
-    """Append a batch as one commit. Result: no rows, or one error per record when it failed."""
-    keep = storable(records)
+    """Store a batch whole or not at all. Result: no rows, or one error per record when it failed.
+
+    A batch repeated under its id, as after a lost reply, replaces itself instead of adding rows.
+    """
     spark = records.sparkSession
     try:
-        write_rows(keep, root, "extracted_asset_fields", created_at)
-    except Exception as error:  # the job commit left nothing behind; report every row
+        write_rows(storable(records), root, "extracted_asset_fields", created_at, batch_id)
+    except Exception as error:  # without a mark nothing of it counts; report every row
         reason = f"Batch transaction failed: {str(error).splitlines()[0]}"
         return records.select("document_id", "row_index", F.lit(reason).alias("reason"))
     return spark.createDataFrame([], "document_id string, row_index bigint, reason string")
 
 
-def write_enrichment(result, root: str, created_at: Column | None = None) -> None:
-    """Write enriched records, flags and review items, each to its table."""
-    write_rows(result.records, root, "extracted_asset_fields", created_at)
-    write_rows(result.flags, root, "validation_flags", created_at)
-    write_rows(result.reviews, root, "review_queue", created_at)
+def write_enrichment(
+    result, root: str, created_at: Column | None = None, batch_id: str | None = None
+) -> None:
+    """Write enriched records, flags and review items as one batch over three tables."""
+    tables = {
+        "extracted_asset_fields": result.records, "validation_flags": result.flags,
+        "review_queue": result.reviews,
+    }
+    commit(result.records.sparkSession, root, tables, batch_id, created_at)
+
+
+def merge_enrichment(spark: SparkSession, root: str, enriched: DataFrame) -> list[int]:
+    """Merge enrichment into the stored records; only the buckets of its documents are rewritten."""
+    return rewrite(
+        spark, root, "extracted_asset_fields", enriched,
+        lambda stored: merge_into_stored(stored, enriched))
+
+
+def change_reviews(spark: SparkSession, root: str, changes: DataFrame, columns: list[str]) -> list[int]:
+    """Apply partial changes (``review_id, changed_at`` and ``columns``) to the stored queue."""
+    return rewrite(
+        spark, root, "review_queue", changes,
+        lambda stored: apply_changes(stored, changes, "review_id", columns))
+
+
+def delete_documents(spark: SparkSession, root: str, doomed: DataFrame) -> list[int]:
+    """Remove the stored records of the documents listed in ``doomed``."""
+    return rewrite(
+        spark, root, "extracted_asset_fields", doomed,
+        lambda stored: delete_rows(stored, doomed, ["document_id"]))
 
 
 def extraction_summary(documents: DataFrame, counts: DataFrame, warnings: DataFrame) -> DataFrame:

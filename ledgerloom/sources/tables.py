@@ -83,6 +83,8 @@ def table_row(df: DataFrame, name: str, created_at: Column | None = None) -> Dat
 def read_table(
     spark: SparkSession, root: str, name: str, where: Column | None = None
 ) -> DataFrame:
-    """Scan of a stored table; a filter on plain columns reaches the files."""
-    table = spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
-    return table.filter(where) if where is not None else table
+    """Scan of a stored table: rows of committed batches; a filter on plain columns reaches the files."""
+    from .commits import committed
+
+    columns = [f.name for f in T.StructType.fromDDL(SCHEMAS[name]).fields]
+    return committed(spark, root, name, where).select(*columns)

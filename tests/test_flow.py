@@ -9,6 +9,7 @@ from ledgerloom.operators.routing import route_counts
 from ledgerloom.plans.extraction import enrich, settled_and_ambiguous
 from ledgerloom.sources.csv import valid_csv_rows
 from ledgerloom.sources.records import append_batch, row_records, write_enrichment
+from ledgerloom.sources.tables import read_table
 
 
 @pytest.fixture
@@ -57,13 +58,13 @@ def test_flow(spark, uploads, tmp_path):
     settled = row_records(routed.filter("route = 'deterministic'"))
     assert append_batch(settled, f"{root}/settled").isEmpty()
     write_enrichment(enrich(routed.filter("route = 'ambiguous'")), root)
-    stored = spark.read.parquet(f"{root}/settled")
-    enriched = spark.read.parquet(f"{root}/extracted_asset_fields")
+    stored = read_table(spark, f"{root}/settled", "extracted_asset_fields")
+    enriched = read_table(spark, root, "extracted_asset_fields")
     assert stored.count() + enriched.count() == 603
     first = stored.filter("raw_asset_name = 'Plant 0, north'").first()
     value = spark.range(1).select(F.get_json_object(F.lit(first["normalized_value"]), "$.asset_value"))
     assert value.first()[0] == "1100.5"
-    flags = spark.read.parquet(f"{root}/validation_flags")
+    flags = read_table(spark, root, "validation_flags")
     assert {r["severity"] for r in flags.collect()} <= {"critical", "high", "medium", "low"}
 
     again = not_yet_stored(settled, stored)

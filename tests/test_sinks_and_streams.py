@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import maintenance
+from ledgerloom.operators import maintenance, pages
 from ledgerloom.operators.relations import not_yet_stored
 from ledgerloom.session import shared_folder
-from ledgerloom.sources import records, registration
+from ledgerloom.sources import commits, records, registration
 from ledgerloom.sources.tables import read_table
 from ledgerloom.streaming import ingest
 
@@ -51,7 +51,7 @@ def test_failed_batch_saves_nothing_and_reports_every_row(spark, tmp_path):
     errors = records.append_batch(broken, path)
     assert errors.count() == 9
     assert "Batch transaction failed" in errors.first()["reason"]
-    assert not list((tmp_path / "extracted_asset_fields").glob("bucket=*/*.parquet"))
+    assert read_table(spark, path, "extracted_asset_fields").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -133,7 +133,8 @@ def test_failed_batch_is_retried_without_duplicates(spark, tmp_path):
         return df
 
     stream = ingest.stream_files(spark, source, SCHEMA, files_per_trigger=3, header="true")
-    ingest.run_available(stream, target, state, flaky)
+    ingest.run_available(stream, target, state, flaky, pause=0.1)
+    assert len(calls) == 3
     loaded = ingest.loaded(spark, target, SCHEMA)
     assert sorted(r["id"] for r in loaded.collect()) == list(range(60))
 
@@ -160,6 +161,8 @@ def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
 def test_two_changes_for_one_row_count_once(spark):
     table = spark.createDataFrame([("r1", "a", 1), ("r2", "b", 2)], "review_id string, assigned_to string, priority int")
     changes = spark.createDataFrame([("r1", 5, 1), ("r1", 3, 2)], "review_id string, priority int, changed_at int")
+    with pytest.raises(ValueError):
+        maintenance.reprioritise_reviews(table, changes.drop("changed_at"))
     out = {r["review_id"]: r["priority"] for r in maintenance.reprioritise_reviews(table, changes).collect()}
     assert out == {"r1": 3, "r2": 2} and maintenance.reprioritise_reviews(table, changes).count() == 2
 
@@ -182,10 +185,220 @@ def test_a_bad_file_does_not_stop_the_others(spark, tmp_path):
     loaded = sorted(r["id"] for r in ingest.loaded(spark, target, SCHEMA).collect())
     assert loaded == [i for i in range(50) if i // 10 != 2]
     log = ingest.batch_log(spark, state)
-    failed = log.filter("status = 'failed'").collect()
+    failed = log.filter("status = 'failed' and source_file is not null").collect()
     assert len(failed) == 1 and failed[0]["source_file"].endswith("2.csv")
     assert "bad value" in failed[0]["reason"]
     assert ingest.progress_metrics(log).first().asDict() == {"queued": 3, "completed": 2, "failed": 1}
     add_file(tmp_path / "in", "late.csv", 50, 5)
     load()
     assert ingest.loaded(spark, target, SCHEMA).count() == 45
+
+
+def test_partial_changes_are_applied_in_turn(spark):
+    """As if each change had been applied by itself: what later changes leave out stays."""
+    schema = "review_id string, assigned_to string, priority int, status string"
+    table = spark.createDataFrame([("r1", "a", 1, "x"), ("r2", None, None, None), ("r3", "c", 3, "z")], schema)
+    changes = spark.createDataFrame(
+        [("r1", None, 9, None, 3), ("r1", "b", None, None, 1), ("r1", "d", None, "y", 2), ("r1", None, None, None, 4),
+         ("r2", "e", None, None, 1), ("r2", "f", None, None, 1), ("r9", "g", 1, "q", 1)], schema + ", changed_at int")
+    out = maintenance.apply_changes(table, changes, "review_id", ["assigned_to", "priority", "status"])
+    assert sorted(tuple(r) for r in out.collect()) == [
+        ("r1", "d", 9, "y"), ("r2", "f", None, None), ("r3", "c", 3, "z")]
+
+
+def test_the_last_decision_counts_as_a_whole(spark):
+    queue = spark.createDataFrame(
+        [("r1", "pending", None, None, None)],
+        "review_id string, status string, resolved_by string, resolved_at string, resolution_notes string")
+    decisions = spark.createDataFrame(
+        [("r1", "resolved", "ann", "t1", "fine", 1), ("r1", "dismissed", "", "t2", "", 2)],
+        "review_id string, status string, resolved_by string, resolved_at string, resolution_notes string, changed_at int")
+    assert tuple(maintenance.resolve_reviews(queue, decisions).first()) == ("r1", "dismissed", None, None, None)
+
+
+def reviews(spark, values, status="pending"):
+    rows = [(f"r{k}", "record", f"e{k}", "why", v, status) for k, v in values]
+    return spark.createDataFrame(
+        rows, "review_id string, entity_type string, entity_id string, review_reason string, priority int, status string")
+
+
+def stored(spark, path, name="review_queue"):
+    return sorted((r["review_id"], r["priority"]) for r in read_table(spark, path, name).collect())
+
+
+def test_a_batch_counts_once_it_is_marked_and_a_repeated_one_replaces(spark, tmp_path):
+    path = str(tmp_path)
+    assert stored(spark, path) == []
+    records.write_rows(reviews(spark, [(1, 1), (2, 2)]), path, "review_queue", batch_id="a")
+    records.write_rows(reviews(spark, [(3, 3)]), path, "review_queue")
+    assert stored(spark, path) == [("r1", 1), ("r2", 2), ("r3", 3)]
+    records.write_rows(reviews(spark, [(1, 7), (4, 4)]), path, "review_queue", batch_id="a")
+    assert stored(spark, path) == [("r1", 7), ("r3", 3), ("r4", 4)]
+    # An attempt that broke off after its rows were written.
+    rows = commits.table_row(reviews(spark, [(5, 5)]), "review_queue").withColumn("batch_id", F.lit("b"))
+    commits._append(rows, path, "review_queue", "lost")
+    assert stored(spark, path) == [("r1", 7), ("r3", 3), ("r4", 4)]
+    before = set((tmp_path / "review_queue").rglob("*.parquet"))
+    assert commits.remove_replaced(spark, path, "review_queue", files_at_once=1) > 0
+    assert set((tmp_path / "review_queue").rglob("*.parquet")) < before
+    assert stored(spark, path) == [("r1", 7), ("r3", 3), ("r4", 4)]
+
+
+def test_a_batch_over_several_tables_counts_in_all_or_none(spark, tmp_path):
+    path = str(tmp_path)
+    flags = spark.createDataFrame([("record", "e1", "T", "low", "x")],
+                                  "entity_type string, entity_id string, flag_type string, severity string, explanation string")
+    broken = reviews(spark, [(1, 1)]).withColumn("status", F.raise_error(F.lit("full")).cast("string"))
+    with pytest.raises(Exception, match="full"):
+        commits.commit(spark, path, {"validation_flags": flags, "review_queue": broken}, "a")
+    assert read_table(spark, path, "validation_flags").count() == 0
+    commits.commit(spark, path, {"validation_flags": flags, "review_queue": reviews(spark, [(1, 1)])}, "a")
+    assert read_table(spark, path, "validation_flags").count() == 1 and stored(spark, path) == [("r1", 1)]
+
+
+def test_rewrites_touch_only_their_buckets(spark, tmp_path):
+    path, folder = str(tmp_path), tmp_path / "review_queue"
+    records.write_rows(reviews(spark, [(k, k) for k in range(60)]), path, "review_queue", batch_id="a")
+    before = {f: f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+    changes = spark.createDataFrame([("r7", 70, 1), ("r8", 80, 1), ("r7", 71, 2)], "review_id string, priority int, changed_at int")
+    buckets = records.change_reviews(spark, path, changes, ["priority"])
+    assert stored(spark, path) == sorted((f"r{k}", {7: 71, 8: 80}.get(k, k)) for k in range(60))
+    after = {f: f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+    assert before.items() <= after.items() and len(buckets) <= 2
+    assert {f.parent.name for f in set(after) - set(before)} == {f"bucket={b}" for b in buckets}
+    gone = reviews(spark, [(7, 0), (9, 0)])
+    commits.rewrite(spark, path, "review_queue", gone, lambda old: maintenance.delete_rows(old, gone, ["review_id"]))
+    assert len(stored(spark, path)) == 58
+    # The batch is written again after all that: its rows, changed ones too, are replaced.
+    records.write_rows(reviews(spark, [(7, 1)]), path, "review_queue", batch_id="a")
+    assert stored(spark, path) == [("r7", 1)]
+    commits.remove_replaced(spark, path, "review_queue")
+    assert stored(spark, path) == [("r7", 1)] and len(list(folder.rglob("*.parquet"))) == 1
+
+
+def test_merging_enrichment_twice_changes_nothing(spark, tmp_path):
+    path = str(tmp_path)
+    records.write_rows(records.row_records(rows(spark)), path, "extracted_asset_fields", batch_id="a")
+    fresh = spark.createDataFrame(
+        [("1", "", 1, '{"currency":"EUR"}', 0.9, "auto_approved", "why", 2), ("1", "", 1, '{"currency":"XXX"}', 0.99, "pending", "no", 1)],
+        "document_id string, sheet_name string, row_index bigint, normalized_value string, confidence_score double, "
+        "review_status string, inference_explanation string, enriched_at int")
+    for _ in range(2):
+        records.merge_enrichment(spark, path, fresh)
+        out = read_table(spark, path, "extracted_asset_fields").filter("document_id = '1'").collect()
+        assert [(r["normalized_value"], float(r["confidence_score"]), r["review_status"]) for r in out] == [
+            ('{"name":"n1","currency":"EUR"}', 0.9, "auto_approved")]
+    assert read_table(spark, path, "extracted_asset_fields").count() == 9
+    records.delete_documents(spark, path, spark.createDataFrame([("hot",)], "document_id string"))
+    assert {r["document_id"] for r in read_table(spark, path, "extracted_asset_fields").collect()} == {"1", "2", "4", "7", "8"}
+
+
+def failing(df):
+    df.write.format("noop").mode("overwrite").save()
+
+
+def test_faults_of_data_and_of_machines_are_told_apart(spark, tmp_path):
+    cases = {
+        "cast": lambda: failing(spark.range(3).select(F.concat(F.lit("x"), "id").cast("int"))),
+        "raised": lambda: failing(spark.range(3).select(F.raise_error(F.lit("bad")).cast("string").alias("e"))),
+        "division": lambda: failing(spark.range(3).select(F.lit(1) / F.col("id"))),
+    }
+    for name, run in cases.items():
+        with pytest.raises(Exception) as caught:
+            run()
+        assert ingest.is_data_fault(caught.value), name
+    (tmp_path / "broken.parquet").write_bytes(b"no parquet at all")
+    spark.range(5).write.parquet(str(tmp_path / "gone"))
+    gone = spark.read.parquet(str(tmp_path / "gone"))
+    for f in (tmp_path / "gone").glob("*.parquet"):
+        f.unlink()
+
+    def worker_dies(parts):
+        import os
+
+        os._exit(3)
+        yield from parts
+
+    others = {
+        "missing": lambda: failing(gone), "plain": lambda: (_ for _ in ()).throw(OSError("no answer")),
+        "value": lambda: (_ for _ in ()).throw(ValueError("a mistake in the code")),
+        "path": lambda: spark.read.parquet(str(tmp_path / "nowhere")),
+        "worker": lambda: failing(spark.range(3).mapInArrow(worker_dies, "id long")),
+    }
+    for name, run in others.items():
+        with pytest.raises(Exception) as caught:
+            run()
+        assert not ingest.is_data_fault(caught.value), name
+    with pytest.raises(Exception) as caught:
+        failing(spark.read.schema("id long").parquet(str(tmp_path / "broken.parquet")))
+    assert ingest.is_data_fault(caught.value)
+
+
+def test_storage_that_fails_loses_no_file(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        add_file(tmp_path / "in", f"{i}.csv", i * 10, 10)
+    down = [True]
+
+    def transform(df):
+        if down[0]:
+            raise OSError("storage does not answer")
+        return df
+
+    def load():
+        stream = ingest.stream_files(spark, source, SCHEMA, files_per_trigger=2, header="true")
+        ingest.run_available(stream, target, state, transform, attempts=2, pause=0.1)
+
+    with pytest.raises(Exception, match="does not answer"):
+        load()
+    waiting = ingest.progress_metrics(ingest.batch_log(spark, state)).first().asDict()
+    assert waiting == {"queued": 1, "completed": 0, "failed": 0}
+    down[0] = False
+    load()
+    assert sorted(r["id"] for r in ingest.loaded(spark, target, SCHEMA).collect()) == list(range(40))
+    assert ingest.progress_metrics(ingest.batch_log(spark, state)).first().asDict() == {
+        "queued": 2, "completed": 2, "failed": 0}
+
+
+def test_failed_files_are_kept_and_loaded_later(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for i in range(9):
+        add_file(tmp_path / "in", f"{i}.csv", i * 10, 10)
+
+    def refuse(*bad):
+        def transform(df):
+            refused = F.when(F.col("id").isin(*bad), F.raise_error(F.lit("bad value"))).otherwise(F.col("id"))
+            return df.withColumn("id", refused)
+        return transform
+
+    stream = ingest.stream_files(spark, source, SCHEMA, header="true")
+    ingest.run_available(stream, target, state, refuse(5, 33, 88))
+    assert ingest.loaded(spark, target, SCHEMA).count() == 60
+    failed = ingest.batch_log(spark, state).filter("status = 'failed' and source_file is not null")
+    assert {r["source_file"][-5:] for r in failed.collect()} == {"0.csv", "3.csv", "8.csv"}
+
+    def read(session, paths):
+        return session.read.schema(SCHEMA).option("header", True).csv(paths)
+
+    assert ingest.retry_failed(spark, target, state, read, refuse(33), files_at_once=2) == 2
+    assert ingest.loaded(spark, target, SCHEMA).count() == 80
+    assert ingest.progress_metrics(ingest.batch_log(spark, state)).first()["failed"] == 1
+    assert ingest.retry_failed(spark, target, state, read) == 1
+    assert ingest.retry_failed(spark, target, state, read) == 0
+    assert sorted(r["id"] for r in ingest.loaded(spark, target, SCHEMA).collect()) == list(range(90))
+    assert ingest.progress_metrics(ingest.batch_log(spark, state)).first().asDict() == {
+        "queued": 1, "completed": 1, "failed": 0}
+
+
+@pytest.mark.parametrize("shallow", [10_000, 0])
+def test_pages_are_slices_of_the_order(spark, monkeypatch, shallow):
+    monkeypatch.setattr(pages, "SHALLOW_ROWS", shallow)
+    rows = [(k, k % 3, None if k % 7 == 0 else k % 5) for k in range(500)]
+    queue = spark.createDataFrame(rows, "review_id int, priority int, created_at int").repartition(6)
+    order = sorted(rows, key=lambda r: (-r[1], r[2] is not None, r[2] or 0, r[0]))
+    for page, size in ((1, 10), (7, 13), (50, 10), (51, 10), (3, 200)):
+        got = pages.review_queue_page(queue, page, size).collect()
+        assert [r["review_id"] for r in got] == [r[0] for r in order[(page - 1) * size : page * size]]
+        assert all(r["total"] == 500 for r in got)

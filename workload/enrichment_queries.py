@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import enrichment, scoring
@@ -14,8 +16,13 @@ from ledgerloom.plans.extraction import (
     scored_answers,
     settled_and_ambiguous,
 )
-from ledgerloom.session import shared_folder
-from ledgerloom.sources.records import row_records, write_enrichment, write_rows
+from ledgerloom.session import shared_folder, write_through
+from ledgerloom.sources.records import (
+    merge_enrichment,
+    row_records,
+    write_enrichment,
+    write_rows,
+)
 from ledgerloom.sources.tables import read_table
 
 from .registry import query
@@ -122,6 +129,8 @@ FACTOR_TEXT = """concat_ws(',',
     f"""SELECT document_id, row_index, {FACTOR_TEXT} AS factors, round(score, 6) AS overall_confidence,
         CASE WHEN normalized_name <> '' THEN 0.9 ELSE 0.3 END::DOUBLE AS name_score,
         CASE WHEN currency IS NULL THEN 0.3 WHEN currency_inferred THEN 0.7 ELSE 0.9 END::DOUBLE AS currency_score,
+        CASE WHEN coalesce(asset_type, '') = '' THEN 0.3 ELSE 0.9 END::DOUBLE AS type_score,
+        CASE WHEN coalesce(jurisdiction, '') = '' THEN 0.3 ELSE 0.9 END::DOUBLE AS jurisdiction_score,
         CASE WHEN latitude <> 0 AND longitude <> 0 THEN 0.9 ELSE 0.3 END::DOUBLE AS place_score,
         CASE WHEN score < 0.65 THEN 'requires_review' ELSE 'auto_approved' END AS review_status
         FROM ({SCORED_SQL}) s""",
@@ -134,6 +143,8 @@ def answer_scores(spark, folder):
         "overall_confidence",
         part("assetName").alias("name_score"),
         part("currency").alias("currency_score"),
+        part("assetType").alias("type_score"),
+        part("jurisdiction").alias("jurisdiction_score"),
         part("coordinates").alias("place_score"),
         scoring.review_status(F.col("overall_confidence")).alias("review_status"),
     )
@@ -192,18 +203,27 @@ def validation_flags(spark, folder):
     "enriched_records",
     f"""SELECT document_id, row_index, {ENTITY} AS record_id,
         coalesce(nullif(normalized_name, ''), nullif(name, ''), concat('asset_', {ENTITY})) AS raw_asset_name,
-        'enriched_asset_data' AS field_name, currency AS stored_currency, asset_type AS stored_type,
-        {NUMBER.format('latitude')} AS stored_latitude, exact_value_match::VARCHAR AS exact,
+        'enriched_asset_data' AS field_name, concat('job-', document_id) AS extraction_job_id,
+        nullif(normalized_name, '') AS stored_name, nullif(currency, '') AS stored_currency,
+        nullif(asset_type, '') AS stored_type, nullif(jurisdiction, '') AS stored_jurisdiction,
+        {NUMBER.format('latitude')} AS stored_latitude, {NUMBER.format('longitude')} AS stored_longitude,
+        exact_value_match::VARCHAR AS exact, currency_inferred::VARCHAR AS inferred, field_missing::VARCHAR AS missing_field,
         round(score, 6) AS confidence_score, CASE WHEN score < 0.65 THEN 'requires_review' ELSE 'auto_approved' END AS review_status,
         TRUE AS is_inferred, explanation AS inference_explanation FROM ({SCORED_SQL}) s""",
 )
 def enriched_records(spark, folder):
     stored = lambda path: F.get_json_object("normalized_value", path)
-    return enrich(ambiguous_rows(spark, folder)).records.select(
-        *KEY, "record_id", "raw_asset_name", "field_name",
+    plain = lambda path: F.regexp_replace(stored(path), r"\.0$", "")
+    job = F.concat(F.lit("job-"), F.col("document_id"))
+    return enrich(ambiguous_rows(spark, folder), job_id=job).records.select(
+        *KEY, "record_id", "raw_asset_name", "field_name", "extraction_job_id",
+        stored("$.normalizedAssetName").alias("stored_name"),
         stored("$.currency").alias("stored_currency"), stored("$.assetType").alias("stored_type"),
-        F.regexp_replace(stored("$.latitude"), r"\.0$", "").alias("stored_latitude"),
+        stored("$.jurisdiction").alias("stored_jurisdiction"),
+        plain("$.latitude").alias("stored_latitude"), plain("$.longitude").alias("stored_longitude"),
         stored("$.confidenceSignals.exactValueMatch").alias("exact"),
+        stored("$.confidenceSignals.currencyInferred").alias("inferred"),
+        stored("$.confidenceSignals.fieldMissing").alias("missing_field"),
         "confidence_score", "review_status", "is_inferred", "inference_explanation",
     )
 
@@ -282,6 +302,77 @@ def merged_records(spark, folder):
     )
 
 
+@query(
+    "repeated_enrichment",
+    f"""SELECT t.document_id, t.row_index,
+        CASE WHEN t.ambiguous THEN coalesce(s.currency, t.currency) ELSE t.currency END AS currency,
+        round(CASE WHEN t.ambiguous THEN s.score ELSE 0.5 + CASE WHEN t.matched THEN 0.3 ELSE 0 END + CASE WHEN t.complete THEN 0.2 ELSE -0.2 END END::DOUBLE, 2) AS confidence_score,
+        t.ambiguous AS is_inferred, 1 AS copies
+        FROM ({ROUTED_SQL}) t LEFT JOIN ({SCORED_SQL}) s ON t.document_id = s.document_id AND t.row_index = s.row_index""",
+)
+def repeated_enrichment(spark, folder):
+    """Rows enriched three times, the last time rightly, and merged twice: one stored row each."""
+    routed = write_through(settled_and_ambiguous(register_rows(spark, folder)), "routed")
+    fresh = write_through(enrichment.enriched_records(
+        scored_answers(routed.filter(F.col("route") == "ambiguous"))), "enriched")
+    wrong = fresh.withColumns(
+        {"confidence_score": F.lit(0.01), "normalized_value": F.lit('{"currency":"XXX"}')})
+    first, second, last = (
+        frame.withColumn("enriched_at", F.lit(at)) for frame, at in ((wrong, 1), (wrong, 2), (fresh, 3)))
+    every = last.unionByName(first).unionByName(second)
+    root = shared_folder(spark, "stored")
+    write_rows(row_records(routed), root, "extracted_asset_fields", batch_id="b1")
+    merge_enrichment(spark, root, every)
+    merge_enrichment(spark, root, every)
+    same = F.count("*").over(W.partitionBy("document_id", "source_row_index"))
+    return read_table(spark, root, "extracted_asset_fields").select(
+        "document_id", F.col("source_row_index").alias("row_index"),
+        F.get_json_object("normalized_value", "$.currency").alias("currency"), "confidence_score",
+        "is_inferred", same.alias("copies"))
+
+
+@query(
+    "committed_batches",
+    f"""SELECT 'record' AS kind, {ENTITY} AS entity_id, CASE WHEN score < 0.65 THEN 'requires_review' ELSE 'auto_approved' END AS label FROM ({SCORED_SQL}) s WHERE row_index % 3 <> 2
+        UNION ALL SELECT 'flag', entity_id, severity FROM ({FLAGS_SQL}) f WHERE row_index % 3 <> 2
+        UNION ALL SELECT 'review', entity_id, review_reason FROM ({REVIEWS_SQL}) v WHERE row_index % 3 <> 2""",
+)
+def committed_batches(spark, folder):
+    """A good, a repeated and a failed batch over three tables: the failed one leaves nothing."""
+    root = shared_folder(spark, "batches")
+    rows = write_through(ambiguous_rows(spark, folder), "ambiguous")
+
+    def batch(n):
+        return enrich(rows.filter(F.col("row_index") % 3 == n))
+
+    good, repeated, failed = batch(0), batch(1), batch(2)
+    write_enrichment(good, root, batch_id="good")
+    # The first attempt stored other values, and more of them, before its reply was lost.
+    lost = replace(repeated, records=repeated.records.withColumn("review_status", F.lit("lost")).union(
+        failed.records), reviews=failed.reviews)
+    for result in (lost, repeated):
+        write_enrichment(result, root, batch_id="repeated")
+    broken = F.when(F.col("review_reason").isNotNull(), F.raise_error(F.lit("disk full")))
+    try:
+        write_enrichment(
+            replace(failed, reviews=failed.reviews.withColumn("review_reason", broken.cast("string"))),
+            root, batch_id="failed")
+    except Exception as error:
+        if "disk full" not in str(error):
+            raise
+    parts = [
+        ("record", "extracted_asset_fields", "record_id", "review_status"),
+        ("flag", "validation_flags", "entity_id", "severity"),
+        ("review", "review_queue", "entity_id", "review_reason"),
+    ]
+    frames = [
+        read_table(spark, root, name).select(
+            F.lit(kind).alias("kind"), F.col(key).alias("entity_id"), F.col(label).alias("label"))
+        for kind, name, key, label in parts
+    ]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 @query(
     "checked_responses",
     """SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS ok,

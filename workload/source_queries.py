@@ -28,42 +28,49 @@ def cell(name):
     return F.try_element_at(F.col("raw"), F.lit(name))
 
 
+def write_in_order(rows, key, **options):
+    """Write many CSV files by range of ``key``, each in order; ``pos`` is a row's line in its file."""
+    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 2
+    return write_csv(ordered.withColumn("pos", nth), **options)
+
+
 @query(
     "csv_scan",
-    """SELECT row_number() OVER (ORDER BY p_partkey) + 1 AS row_index, p_partkey::VARCHAR AS part_key,
+    """SELECT TRUE AS in_place, p_partkey::VARCHAR AS part_key,
          concat(p_name, ', "', p_brand, '"', chr(1)) AS description, p_type AS part_type FROM part""",
 )
 def csv_scan(spark, folder):
-    """Fields with commas, quotes and control characters survive the scan, in file order."""
+    """Fields with commas, quotes and control characters survive the scan, each at its row of its file."""
     text = F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"\x01'))
-    part = table(spark, folder, "part").coalesce(1).sortWithinPartitions("p_partkey").select(
+    part = table(spark, folder, "part").select(
         F.col("p_partkey").alias(" Part Key"), text.alias("Description"),
         F.col("p_type").alias("Part Type "),
     )
-    rows = csv_rows(spark, write_csv(part))
+    rows = csv_rows(spark, write_in_order(part, " Part Key"))
     return rows.select(
-        "row_index", cell("part_key").alias("part_key"), cell("description").alias("description"),
+        (F.col("row_index") == cell("pos").cast("bigint")).alias("in_place"),
+        cell("part_key").alias("part_key"), cell("description").alias("description"),
         cell("part_type").alias("part_type"),
     )
 
 
 @query(
     "csv_scan_line_breaks",
-    """SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row_index, doc_id::VARCHAR AS doc_id,
+    """SELECT TRUE AS in_place, doc_id::VARCHAR AS doc_id,
          sha256(text) AS text_hash, length(text)::BIGINT AS length FROM documents""",
 )
 def csv_scan_line_breaks(spark, folder):
-    """Whole document texts, line breaks included, survive the scan."""
+    """Whole document texts, line breaks included, survive the scan, each at its row of its file."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    ordered = documents.coalesce(1).sortWithinPartitions("doc_id")
-    rows = csv_rows(spark, write_csv(ordered, quoteAll=True))
+    rows = csv_rows(spark, write_in_order(documents, "doc_id", quoteAll=True))
     return rows.select(
-        "row_index", cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
+        (F.col("row_index") == cell("pos").cast("bigint")).alias("in_place"),
+        cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
         F.length(cell("text")).alias("length"),
     )
 
 
-
 @query(
     "csv_row_warnings",
     """SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'Missing columns: priority.' WHEN o_orderkey % 10 = 1 THEN 'Extra columns detected: 1.' ELSE 'none' END AS reason,
@@ -140,3 +147,91 @@ def streamed_lines(spark, folder):
     ingest.run_available(stream, target, state, line_records)
     lines = ingest.loaded(spark, target, "doc_id bigint, line string, line_number int")
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+def mixed_folder(spark, folder):
+    """Part, supplier and customer lists as CSV files with a header of their own, twelve files."""
+    lists = [
+        table(spark, folder, "part").select(F.col("p_partkey").alias("Part Key"), F.col("p_name").alias("Label")),
+        table(spark, folder, "supplier").select(
+            F.col("s_name").alias("label"), F.col("s_suppkey").alias("Supplier Id"), F.col("s_acctbal").alias("Balance")),
+        table(spark, folder, "customer").select(
+            F.col("c_custkey").alias("CUSTOMER"), F.lit("x").alias(""), F.col("c_name").alias(" label ")),
+    ]
+    path = shared_folder(spark, "mixed")
+    for frame, key in zip(lists, ("Part Key", "Supplier Id", "CUSTOMER")):
+        part = F.pmod(F.col(f"`{key}`"), F.lit(4))
+        frame.repartition(4, part).write.mode("append").option("header", True).csv(path)
+    return path
+
+
+MIXED_SQL = """SELECT 'part' AS kind, p_partkey::VARCHAR AS key, p_name AS label FROM part
+    UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, s_name FROM supplier
+    UNION ALL SELECT 'customer', c_custkey::VARCHAR, c_name FROM customer"""
+KEYS = {"part": "part_key", "supplier": "supplier_id", "customer": "customer"}
+
+
+def named_rows(rows):
+    """``kind, key, label`` of the rows of any of the lists; a key ``broken`` is refused."""
+    kind = F.coalesce(*[F.when(F.map_contains_key("raw", F.lit(k)), F.lit(n)) for n, k in KEYS.items()])
+    key = F.coalesce(*[cell(k) for k in KEYS.values()])
+    refused = F.when(key == "broken", F.raise_error(F.lit("no such key")).cast("string")).otherwise(key)
+    return rows.select(kind.alias("kind"), refused.alias("key"), cell("label").alias("label"))
+
+
+LOADED_SCHEMA = "kind string, key string, label string"
+
+
+def load_mixed(spark, folder):
+    """Files with three headers and a bad one, through a run in which storage fails once."""
+    arrived = mixed_folder(spark, folder)
+    bad = spark.createDataFrame([("broken", "none")], "`Part Key` string, Label string")
+    bad.coalesce(1).write.mode("append").option("header", True).csv(arrived)
+    target, state = shared_folder(spark, "loaded"), shared_folder(spark, "stream-state")
+    calls = []
+
+    def read(session, paths):
+        calls.append(len(paths))
+        if len(calls) == 2:
+            raise OSError("storage does not answer")
+        return named_rows(csv_rows(session, paths))
+
+    for _ in range(2):
+        names = ingest.stream_file_names(spark, arrived, 5, pathGlobFilter="*.csv")
+        ingest.run_available(names, target, state, ingest.loading(read), pause=0.1)
+    return target, state
+
+
+@query(
+    "stream_failures",
+    f"""SELECT kind, key, label, 1 AS failed_files FROM ({MIXED_SQL}) m""",
+)
+def stream_failures(spark, folder):
+    """Every row of the good files is there once, whatever failed; the bad file is named."""
+    target, state = load_mixed(spark, folder)
+    failed = ingest.batch_log(spark, state).filter("status = 'failed' AND source_file IS NOT NULL")
+    return ingest.loaded(spark, target, LOADED_SCHEMA).select(
+        "kind", "key", "label", failed.agg(F.count("*")).scalar().alias("failed_files"))
+
+
+@query(
+    "stream_retries",
+    f"""SELECT kind, key, label, 0 AS failed_files FROM ({MIXED_SQL}) m
+        UNION ALL SELECT 'part', 'broken', 'none', 0""",
+)
+def stream_retries(spark, folder):
+    """The bad file is loaded once its rows are accepted, and nothing else is loaded again."""
+    target, state = load_mixed(spark, folder)
+
+    def read(session, paths):
+        rows = csv_rows(session, paths)
+        key = F.coalesce(*[cell(k) for k in KEYS.values()])
+        return rows.select(
+            F.lit("part").alias("kind"), key.alias("key"), cell("label").alias("label"),
+            F.col("document_id").alias(ingest.FILE_COLUMN))
+
+    for _ in range(2):
+        ingest.retry_failed(spark, target, state, read)
+    failed = ingest.batch_log(spark, state).filter("status = 'failed' AND source_file IS NOT NULL")
+    return ingest.loaded(spark, target, LOADED_SCHEMA).select(
+        "kind", "key", "label", failed.agg(F.count("*")).scalar().alias("failed_files"))

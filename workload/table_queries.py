@@ -9,7 +9,7 @@ from ledgerloom.functions.fields import file_extension, file_type, mime_for_type
 from ledgerloom.operators import maintenance, pages, relations, routing
 from ledgerloom.plans.extraction import settled_and_ambiguous
 from ledgerloom.session import shared_folder
-from ledgerloom.sources import records, registration
+from ledgerloom.sources import commits, records, registration
 from ledgerloom.sources.tables import read_table, table_row
 
 from .registry import query
@@ -486,13 +486,14 @@ def review_changes(spark, folder):
         }
     )
     chosen = lambda n: queue.filter(F.col("review_id") % 5 == n)
-    assigned = chosen(0).select("review_id", F.lit("u-new").alias("assigned_to"))
+    now = F.col("created_at").alias("changed_at")
+    assigned = chosen(0).select("review_id", F.lit("u-new").alias("assigned_to"), now)
     boss = F.when(F.col("review_id") % 2 == 0, "boss")
     decided = chosen(1).select(
         "review_id", F.lit("resolved").alias("status"), boss.alias("resolved_by"),
-        F.col("created_at").alias("resolved_at"), F.lit("").alias("resolution_notes"),
+        F.col("created_at").alias("resolved_at"), F.lit("").alias("resolution_notes"), now,
     )
-    ranked = chosen(2).select("review_id", F.lit(9).alias("priority"))
+    ranked = chosen(2).select("review_id", F.lit(9).alias("priority"), now)
     changed = maintenance.reprioritise_reviews(
         maintenance.resolve_reviews(maintenance.assign_reviews(queue, assigned), decided), ranked
     )
@@ -502,6 +503,106 @@ def review_changes(spark, folder):
     )
 
 
+LINES_SQL = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_extendedprice * 100)::BIGINT) AS line_id,
+  l_shipdate AS created_at, l_quantity::INT % 4 AS priority FROM lineitem"""
+
+
+def line_queue(spark, folder):
+    """Line items as a long review queue: many rows of one priority and day."""
+    line = table(spark, folder, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents.cast("string"))
+    return line.select(
+        key.alias("review_id"),
+        F.col("l_shipdate").alias("created_at"), (F.col("l_quantity").cast("int") % 4).alias("priority"),
+    )
+
+
+@query(
+    "deep_queue_page",
+    f"""SELECT line_id AS review_id, priority::BIGINT AS priority, created_at::VARCHAR AS created_at, (SELECT count(*) FROM lineitem) AS total
+        FROM ({LINES_SQL}) l ORDER BY l.priority DESC, l.created_at, line_id LIMIT 5 OFFSET 49995""",
+)
+def deep_queue_page(spark, folder):
+    """Page 10,000 of the whole queue."""
+    page = pages.review_queue_page(line_queue(spark, folder), page=10_000, page_size=5)
+    return page.withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query(
+    "queue_pages",
+    f"""SELECT 1 AS page, * FROM (SELECT line_id AS review_id FROM ({LINES_SQL}) l ORDER BY priority DESC, created_at, line_id LIMIT 7) a
+        UNION ALL SELECT 2, * FROM (SELECT line_id FROM ({LINES_SQL}) l ORDER BY priority DESC, created_at, line_id LIMIT 7 OFFSET 7) b""",
+)
+def queue_pages(spark, folder):
+    queue = line_queue(spark, folder)
+    first, second = (
+        pages.review_queue_page(queue, n, 7).select(F.lit(n).alias("page"), "review_id") for n in (1, 2))
+    return first.unionByName(second)
+
+
+@query(
+    "deep_list",
+    f"""SELECT line_id, created_at::VARCHAR AS created_at, (SELECT count(*) FROM lineitem) AS total
+        FROM ({LINES_SQL}) l ORDER BY l.created_at DESC, line_id LIMIT 100 OFFSET 23456""",
+)
+def deep_list(spark, folder):
+    """A slice far down a list, newest first."""
+    lines = line_queue(spark, folder).withColumnRenamed("review_id", "line_id").drop("priority")
+    found = pages.list_with_total(lines, "line_id", 23_456, 100)
+    return found.withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@query(
+    "pages_of_document",
+    """SELECT l_linenumber::BIGINT AS page_number, l_linestatus AS detected_layout, l_returnflag = 'N' AS ocr_required
+       FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem)""",
+)
+def pages_of_document(spark, folder):
+    """Pages of one document out of all, by number."""
+    line = table(spark, folder, "lineitem")
+    every = line.select(
+        F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"),
+        F.col("l_linestatus").alias("detected_layout"), (F.col("l_returnflag") == "N").alias("ocr_required"))
+    last = line.agg(F.max("l_orderkey")).scalar()
+    return pages.pages_of_document(every, last).drop("document_id")
+
+
+@query(
+    "partial_changes",
+    f"""SELECT review_id::VARCHAR AS review_id,
+          CASE WHEN review_id % 4 = 1 THEN 'ann' ELSE assigned_to END AS assigned_to,
+          CASE WHEN review_id % 4 = 1 THEN 8 ELSE priority END::BIGINT AS priority,
+          CASE WHEN review_id % 4 = 1 THEN 'dismissed' ELSE status END AS status,
+          CASE WHEN review_id % 4 = 1 THEN 'seen' END AS resolution_notes
+        FROM ({QUEUE_SQL}) q WHERE review_id % 7 <> 3""",
+)
+def partial_changes(spark, folder):
+    """Stored reviews with four partial changes each, in any order; some reviews are deleted after."""
+    root = shared_folder(spark, "reviews")
+    queue = review_queue(spark, folder)
+    records.write_rows(queue, root, "review_queue")
+    key, none = F.col("review_id").cast("string").alias("review_id"), F.lit(None).cast("string")
+    turns = [("status", "in_review", 1), ("assigned_to", "bob", 2), ("assigned_to", "ann", 3), ("status", "dismissed", 4)]
+    changed = queue.filter("review_id % 4 = 1")
+    changes = [
+        changed.select(
+            key, F.lit(at).alias("changed_at"),
+            *[(F.lit(value) if name == c else none).alias(c) for c in ("assigned_to", "status")],
+            F.when(F.lit(at == 2), F.lit(8)).alias("priority"),
+            F.when(F.lit(at == 1), F.lit("seen")).alias("resolution_notes"))
+        for name, value, at in turns
+    ]
+    every = changes[3].unionByName(changes[1]).unionByName(changes[2]).unionByName(changes[0])
+    columns = ["assigned_to", "status", "priority", "resolution_notes"]
+    records.change_reviews(spark, root, every, columns)
+    doomed = queue.filter("review_id % 7 = 3").select(key)
+    commits.rewrite(
+        spark, root, "review_queue", doomed,
+        lambda stored: maintenance.delete_rows(stored, doomed, ["review_id"]))
+    return read_table(spark, root, "review_queue").select("review_id", *columns)
+
+
 @query(
     "validation_status_update",
     f"""SELECT record_id, CASE WHEN confidence_score < 0.5 THEN 'invalid' ELSE 'pending' END AS validation_status
@@ -510,7 +611,8 @@ def review_changes(spark, folder):
 def validation_status_update(spark, folder):
     stored = order_records(spark, folder).withColumn("validation_status", F.lit("pending"))
     changes = stored.filter("confidence_score < 0.5").select(
-        "record_id", F.lit("invalid").alias("validation_status")
+        "record_id", F.lit("invalid").alias("validation_status"),
+        F.current_timestamp().alias("changed_at"),
     )
     updated = maintenance.update_validation_status(stored, changes)
     return updated.select("record_id", "validation_status")
