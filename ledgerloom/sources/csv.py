@@ -21,8 +21,9 @@ from ..session import configure, write_through
 
 BLOCK = ["document_id", "block"]
 BROADCAST_BLOCKS = 200_000
-#: A record of more lines than this has a stray quote; it becomes error rows of so many lines.
-MAX_RECORD_LINES = 100_000
+#: A record whose quote never closes reaches to the end of its file; its error rows have so many
+#: lines at most. A record that closes is whole, however many lines it has.
+UNCLOSED_LINES = 100_000
 # Stands for a comma outside quotes. Where a text holds the mark itself it is spelled out first.
 MARK, SPELLED, ESCAPE, ESCAPED = "\x01", "\x02a", "\x02", "\x02b"
 
@@ -101,8 +102,9 @@ def _joined_records(lines: DataFrame) -> DataFrame:
 
     Each block is summarised for both cases: entered outside or inside quotes. The quotes counted
     in earlier blocks then tell which case holds, how many records came before, and where the
-    record began that reaches into the block. A record of more than ``MAX_RECORD_LINES`` lines is
-    cut into parts, so that a stray quote doesn't gather the rest of a file.
+    record began that reaches into the block. They also tell, before any text is joined, whether
+    the last record of a file closes: one that doesn't is cut into parts of ``UNCLOSED_LINES``
+    lines, so that a stray quote doesn't gather the rest of a file.
     """
     along = W.partitionBy(*BLOCK).orderBy("line_id")
     seen = F.coalesce(F.sum("quotes").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -125,8 +127,11 @@ def _joined_records(lines: DataFrame) -> DataFrame:
     def pick(outside: str, inside: str) -> Column:
         return F.when(F.col("inside") == 0, F.col(outside)).otherwise(F.col(inside))
 
+    whole = W.partitionBy("document_id")
+    never = F.when(
+        F.sum("odd").over(whole) % 2 == 1, F.max(pick("last_outside", "last_inside")).over(whole))
     offsets = write_through(entered.select(
-        *BLOCK, "inside",
+        *BLOCK, "inside", never.alias("unclosed_from"),
         F.coalesce(F.sum(pick("starts_outside", "starts_inside")).over(before), F.lit(0))
         .alias("before"),
         F.max(pick("last_outside", "last_inside")).over(before).alias("open_since"),
@@ -138,15 +143,17 @@ def _joined_records(lines: DataFrame) -> DataFrame:
     began = F.coalesce(
         F.max(F.when(F.col("starts") == 1, F.col("line_no"))).over(upto), F.col("open_since")
     )
-    part = F.floor((F.col("line_no") - began) / MAX_RECORD_LINES)
+    unclosed = F.coalesce(began == F.col("unclosed_from"), F.lit(False))
+    part = F.when(unclosed, F.floor((F.col("line_no") - began) / UNCLOSED_LINES)).otherwise(0)
     records = marked.withColumns(
-        {"record_no": F.col("before") + F.sum("starts").over(upto) - 1, "part": part}
-    ).groupBy("document_id", "record_no", "part")
+        {
+            "record_no": F.col("before") + F.sum("starts").over(upto) - 1, "part": part,
+            "unclosed": unclosed,
+        }
+    ).groupBy("document_id", "record_no", "part", "unclosed")
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
-    joined = records.agg(text.alias("line"))
-    unclosed = (F.col("part") > 0) | (_quotes(F.col("line")) % 2 == 1)
-    return joined.select("document_id", "line", "record_no", unclosed.alias("unclosed"))
+    return records.agg(text.alias("line")).select("document_id", "line", "record_no", "unclosed")
 
 
 def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -154,8 +161,8 @@ def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Quoted fields may hold line breaks. A short row has nulls for its missing values and no key
     for them in ``raw``; values beyond the header are in ``extra_values`` and, as ``_<position>``,
-    in ``raw``. ``unclosed`` marks a record whose quote never closes, or not within
-    ``MAX_RECORD_LINES`` lines; such a record may come in several parts with one ``row_index``.
+    in ``raw``. ``unclosed`` marks a record whose quote never closes; it may come in several parts
+    with one ``row_index``.
     """
     lines = read_lines(spark, path)
     blocks = _counted_blocks(lines)

@@ -40,16 +40,22 @@ def test_repeated_header(spark, tmp_path):
     assert row["raw"] == {"plot_no": "P7", "crop_sown": "Barley", "plot_no_2": "again"}
 
 
-def test_short_and_long_rows(spark, tmp_path):
-    save(
-        tmp_path, "a.csv",
-        "plotId,crop\r\nP7,Barley\r\nlost\r\nP8,Rye,more\r\nP9,Lupin\r\n",
-    )
+def test_rows_of_other_widths_than_the_header(spark, tmp_path):
+    """Widths from none to five under a header of three; only rows of three stay."""
+    widths = [3, 5, 1, 3, 2, 4, 3]
+    body = "".join(",".join(f"{chr(97 + k)}{n}" for k in range(n)) + "\n" for n in widths)
+    save(tmp_path, "w.csv", "one,two,three\n" + body)
     good, bad = valid_csv_rows(spark, str(tmp_path))
-    assert [r["raw"]["plotid"] for r in good.orderBy("row_index").collect()] == ["P7", "P9"]
+    kept = good.orderBy("row_index").collect()
+    assert [r["row_index"] for r in kept] == [i for i, n in enumerate(widths, 2) if n == 3]
+    assert all(r["raw"] == {"one": "a3", "two": "b3", "three": "c3"} for r in kept)
+    names = ["one", "two", "three"]
+    told = {
+        n: f"Missing columns: {', '.join(names[n:])}." if n < 3 else f"Extra columns detected: {n - 3}."
+        for n in widths
+    }
     assert [r["warning"] for r in bad.orderBy("row_index").collect()] == [
-        "row 3: Missing columns: crop.", "row 4: Extra columns detected: 1.",
-    ]
+        f"row {i}: {told[n]}" for i, n in enumerate(widths, 2) if n != 3]
 
 
 def test_empty_line_is_a_row_with_problems(spark, tmp_path):
@@ -110,7 +116,7 @@ def test_line_breaks_are_kept_by_default(spark, tmp_path):
 
 
 def test_stray_quote_becomes_error_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("ledgerloom.sources.csv.MAX_RECORD_LINES", 50)
+    monkeypatch.setattr("ledgerloom.sources.csv.UNCLOSED_LINES", 50)
     body = "".join(f"{i},v\n" for i in range(400))
     save(tmp_path, "a.csv", f'a,b\n0,"x\ny"\n1,"stray\n{body}')
     good, bad = valid_csv_rows(spark, str(tmp_path))
@@ -118,3 +124,20 @@ def test_stray_quote_becomes_error_rows(spark, tmp_path, monkeypatch):
     assert {(r["row_index"], r["reason"]) for r in bad.collect()} == {
         (3, "Quoted value is not closed.")}
     assert bad.count() == 9
+
+
+def test_a_closed_value_of_very_many_lines_is_whole(spark, tmp_path):
+    """Twice as many lines as an unclosed record may have, over many blocks, then further records."""
+    value = "\n".join(f"line {i}" for i in range(200_000))
+    save(tmp_path, "a.csv", f'id,text\n1,"{value}"\n2,"short\none"\n3,plain\n')
+    save(tmp_path, "b.csv", f'id,text\n1,"never {value[:3000]}')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        good, bad = valid_csv_rows(spark, str(tmp_path))
+        found = {r["row_index"]: r["raw"]["text"] for r in good.collect()}
+        assert found == {2: value, 3: "short\none", 4: "plain"}
+        assert {(r["document_id"][-5:], r["reason"]) for r in bad.collect()} == {
+            ("b.csv", "Quoted value is not closed.")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
