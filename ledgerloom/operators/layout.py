@@ -3,6 +3,8 @@
 Bands and clusters depend only on the distinct positions on a page, so those are reduced first and
 the items look up their group afterwards; no task has to hold the items of a page. There may be
 as many pages as tasks can hold keys, so these joins are not salted: Spark splits a hot partition.
+A page (or band) of more than ``LISTED_PLACES`` distinct positions has no list of its own: its
+positions are sorted over many parts, and its bands are found by pointer doubling.
 """
 
 from __future__ import annotations
@@ -14,8 +16,16 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.text import WHITESPACE_CLASS, blank_to_null, trimmed
 from ..session import write_through
-from .spread import join_per_key
-
+from .spread import (
+    join_per_key,
+    sorted_parts,
+    with_next_beyond,
+    with_previous,
+    with_running_count,
+)
+
+#: Distinct positions that are kept in one list.
+LISTED_PLACES = 10_000
 PAGE = ["document_id", "page"]
 BAND = [*PAGE, "band"]
 BLOCK = [*BAND, "cluster"]
@@ -54,39 +64,107 @@ def _anchored_starts(positions: Column, reach: float) -> Column:
     )
 
 
-def band_starts(items: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame:
-    """First y of every horizontal band of a page.
+def _split_by_places(places: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Places of keys with few of them, and of those with many (None without such a key)."""
+    many = places.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > LISTED_PLACES)
+    many = write_through(many.drop("_n"), "crowded")
+    if many.isEmpty():
+        return places, None
+    return places.join(many, keys, "left_anti"), places.join(many, keys, "left_semi")
+
+
+def chained_starts(places: DataFrame, reach: float) -> DataFrame:
+    """``page, y`` of the band starts of pages with very many distinct y, by pointer doubling.
+
+    Every y points to the first y beyond its reach, where a band that starts there would end. The
+    starts are what the least y reaches: each round follows pointers that are twice as long as in
+    the round before, so a page of n bands takes log n rounds, each a join of tables.
+    """
+    pointers = with_next_beyond(places, PAGE, "y", reach, "next").filter("next is not null")
+    pointers = write_through(pointers, "pointers")
+    starts = write_through(places.groupBy(*PAGE).agg(F.min("y").alias("y")), "starts")
+    known = starts.count()
+    while True:
+        further = starts.join(pointers, [*PAGE, "y"]).select(*PAGE, F.col("next").alias("y"))
+        starts = write_through(starts.unionByName(further).distinct(), "starts")
+        now = starts.count()
+        if now == known:
+            return starts
+        known = now
+        ends = pointers.select(*PAGE, F.col("y").alias("next"), F.col("next").alias("_next"))
+        pointers = write_through(
+            pointers.join(ends, [*PAGE, "next"]).select(*PAGE, "y", F.col("_next").alias("next")),
+            "pointers")
+
+
+def band_starts(places: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame:
+    """First y of every horizontal band of a page, as a list.
 
     The distance is measured from the first y of the band, so bands are found in order; only the
     distinct y values of a page are needed for it.
     """
-    return items.groupBy(*PAGE).agg(
+    return places.groupBy(*PAGE).agg(
         _anchored_starts(F.array_sort(F.collect_set("y")), reach).alias("band_starts")
     )
 
 
 def with_bands(items: DataFrame, reach: float = vocab.BAND_HEIGHT) -> DataFrame:
     """Add ``band``, counted from 0 at the top of the page."""
+    places = write_through(items.select(*PAGE, "y").distinct(), "places")
+    listed, crowded = _split_by_places(places, PAGE)
     # A table, so that Spark can split the join of a page with very many items.
-    joined = join_per_key(items, write_through(band_starts(items, reach), "bands"), PAGE, "inner")
+    joined = join_per_key(items, write_through(band_starts(listed, reach), "bands"), PAGE, "inner")
     above = F.filter("band_starts", lambda start: start <= F.col("y"))
-    return joined.withColumn("band", F.size(above) - 1).drop("band_starts")
-
-
-def cluster_starts(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFrame:
+    banded = joined.withColumn("band", F.size(above) - 1).drop("band_starts")
+    if crowded is None:
+        return banded
+    crowded = write_through(crowded, "crowded-places")
+    starts = chained_starts(crowded, reach).withColumn("_start", F.lit(True))
+    parted = sorted_parts(crowded.join(starts, [*PAGE, "y"], "left"), PAGE, "y")
+    counted = with_running_count(parted, PAGE, "y", F.col("_start").isNotNull(), "_nth")
+    numbers = counted.select(*PAGE, "y", (F.col("_nth") - 1).cast("int").alias("band"))
+    return banded.unionByName(items.join(write_through(numbers, "band-numbers"), [*PAGE, "y"]))
+
+
+def cluster_starts(places: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFrame:
     """First x of every cluster of a band: a cluster ends where the next x is too far away."""
-    places = banded.select(*BAND, "x").distinct()
     previous = F.lag("x").over(W.partitionBy(*BAND).orderBy("x"))
     opens = places.withColumn("opens", previous.isNull() | (F.col("x") - previous > gap))
     return opens.filter("opens").groupBy(*BAND).agg(F.collect_list("x").alias("cluster_starts"))
 
 
+def _numbered_bands(per_band: DataFrame) -> DataFrame:
+    """Add ``blocks_before``: how many clusters (``_n``) the earlier bands of the page have."""
+    before = W.partitionBy(*PAGE).orderBy("band").rowsBetween(W.unboundedPreceding, -1)
+    return per_band.withColumn("blocks_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+
 def with_clusters(banded: DataFrame, gap: float = vocab.CLUSTER_GAP) -> DataFrame:
-    """Add ``cluster``, counted from 0 at the left of the band."""
-    starts = write_through(cluster_starts(banded, gap), "clusters")
-    joined = join_per_key(banded, starts, BAND, "inner")
+    """Add ``cluster``, counted from 0 at the left of the band, and ``blocks_before``.
+
+    The latter is the number of clusters in earlier bands of the page.
+    """
+    places = write_through(banded.select(*BAND, "x").distinct(), "band-places")
+    listed, crowded = _split_by_places(places, BAND)
+    starts = cluster_starts(listed, gap).withColumn("_n", F.size("cluster_starts"))
     left = F.filter("cluster_starts", lambda start: start <= F.col("x"))
-    return joined.withColumn("cluster", F.size(left) - 1).drop("cluster_starts")
+    if crowded is None:
+        known = write_through(_numbered_bands(starts), "clusters")
+        joined = join_per_key(banded, known, BAND, "inner")
+        return joined.withColumn("cluster", F.size(left) - 1).drop("cluster_starts")
+    parted = with_previous(sorted_parts(crowded, BAND, "x"), BAND, "x", "_before")
+    opens = F.col("_before").isNull() | (F.col("x") - F.col("_before") > gap)
+    counted = with_running_count(parted, BAND, "x", opens, "_nth")
+    numbers = write_through(
+        counted.select(*BAND, "x", (F.col("_nth") - 1).cast("int").alias("cluster")), "cluster-numbers")
+    most = numbers.groupBy(*BAND).agg((F.max("cluster") + 1).alias("_n"))
+    empty = F.lit(None).cast("array<double>").alias("cluster_starts")
+    known = write_through(
+        _numbered_bands(starts.unionByName(most.select(*BAND, empty, "_n"))), "clusters")
+    joined = join_per_key(banded, known, BAND, "inner")
+    few = joined.filter("cluster_starts is not null").withColumn("cluster", F.size(left) - 1)
+    many = joined.filter("cluster_starts is null").join(numbers, [*BAND, "x"])
+    return few.drop("cluster_starts").unionByName(many.drop("cluster_starts"))
 
 
 def text_blocks(clustered: DataFrame) -> DataFrame:
@@ -94,7 +172,8 @@ def text_blocks(clustered: DataFrame) -> DataFrame:
     wide = (F.col("x_variance") > 5000) & (F.col("y_variance") < 100)
     zero = F.lit(0.0)
     parts = F.array_sort(F.collect_list(F.struct("x", "y", "item", "text")))
-    blocks = clustered.groupBy(*BLOCK).agg(
+    numbered = "blocks_before" in clustered.columns
+    blocks = clustered.groupBy(*BLOCK, *(["blocks_before"] if numbered else [])).agg(
         F.count("*").alias("items"),
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
         F.var_pop("x").alias("x_variance"),
@@ -109,23 +188,17 @@ def text_blocks(clustered: DataFrame) -> DataFrame:
 
 
 def page_blocks(items: DataFrame) -> DataFrame:
-    """Items of all pages to blocks; what is read twice is written once."""
-    banded = write_through(with_bands(items), "banded-items")
-    return write_through(text_blocks(with_clusters(banded)), "text-blocks")
+    """Items of all pages to blocks."""
+    return text_blocks(with_clusters(with_bands(items)))
 
 
 def block_records(blocks: DataFrame) -> DataFrame:
     """Blocks as records, numbered within their page in reading order.
 
-    A block's number is the count of blocks in earlier bands plus its cluster number, so only one
-    row per band is ordered.
+    A block's number is the count of blocks in earlier bands plus its cluster number.
     """
-    per_band = blocks.groupBy(*BAND).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*PAGE).orderBy("band").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_band.select(*BAND, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
-    number = F.col("_at") + F.col("cluster") + 1
-    offsets = write_through(offsets, "block-numbers")
-    return join_per_key(blocks, offsets, BAND, "inner").select(
+    number = F.col("blocks_before") + F.col("cluster") + 1
+    return blocks.select(
         *PAGE, number.alias("block_number"), "block_type", "text",
         "x_min", "x_max", "y_min", "y_max",
     )

@@ -126,3 +126,61 @@ def join_measured(
     if planned_bytes(per_key) <= BROADCAST_BYTES and per_key.count() <= broadcast_rows:
         return rows.join(F.broadcast(per_key), keys, how)
     return join_per_key(rows, per_key, keys, how)
+
+
+def sorted_parts(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows dealt by range of ``keys`` and ``order``, with the number of their part, written.
+
+    A part holds consecutive values, a key with very many values has many parts, and equal values
+    share one. The functions below look along the order inside parts and carry one row per key
+    and part across them.
+    """
+    ranged = rows.repartitionByRange(*keys, order)
+    return write_through(ranged.withColumn("_part", F.spark_partition_id()), "sorted-parts")
+
+
+def _from_other_parts(parted: DataFrame, keys: list[str], value: Column, combine, later: bool) -> DataFrame:
+    """``keys, _part, _carried``: ``combine`` of a key's values in all earlier (or later) parts."""
+    order = F.col("_part").desc() if later else F.col("_part").asc()
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    per_part = parted.groupBy(*keys, "_part").agg(value.alias("_own"))
+    return per_part.select(*keys, "_part", combine(F.col("_own")).over(before).alias("_carried"))
+
+
+def with_previous(parted: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """The value before each one of its key in ``sorted_parts``; values are distinct."""
+    near = F.lag(order).over(W.partitionBy("_part", *keys).orderBy(order))
+    carried = _from_other_parts(
+        parted, keys, F.max(order), lambda v: F.last(v, ignorenulls=True), later=False)
+    return parted.withColumn("_near", near).join(carried, [*keys, "_part"]).withColumn(
+        name, F.coalesce("_near", "_carried")).drop("_near", "_carried")
+
+
+def with_running_count(
+    parted: DataFrame, keys: list[str], order: str, flag: Column, name: str
+) -> DataFrame:
+    """How many values up to and with each one of its key are flagged, in ``sorted_parts``."""
+    flagged = parted.withColumn("_flag", F.when(flag, 1).otherwise(0))
+    upto = W.partitionBy("_part", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    carried = _from_other_parts(flagged, keys, F.sum("_flag"), F.sum, later=False)
+    return flagged.withColumn("_near", F.sum("_flag").over(upto)).join(
+        carried, [*keys, "_part"]).withColumn(
+        name, F.col("_near") + F.coalesce("_carried", F.lit(0))).drop("_near", "_carried", "_flag")
+
+
+def with_next_beyond(
+    places: DataFrame, keys: list[str], order: str, reach: float, name: str
+) -> DataFrame:
+    """The least value of the key beyond each value plus ``reach`` (null at the end)."""
+    given = places.select(*keys, F.col(order).alias("_at"), F.lit(None).cast("double").alias("_of"))
+    asked = places.select(*keys, (F.col(order) + reach).alias("_at"), F.col(order).alias("_of"))
+    parted = sorted_parts(given.unionByName(asked), keys, "_at")
+    # From the end: an asked value stands before an equal given one, which is not beyond it.
+    known = F.when(F.col("_of").isNull(), F.col("_at"))
+    back = W.partitionBy("_part", *keys).orderBy(
+        F.desc("_at"), F.col("_of").isNull()).rowsBetween(W.unboundedPreceding, -1)
+    carried = _from_other_parts(
+        parted, keys, F.min(known), lambda v: F.last(v, ignorenulls=True), later=True)
+    near = parted.withColumn("_near", F.last(known, ignorenulls=True).over(back))
+    found = near.join(carried, [*keys, "_part"]).filter("_of is not null")
+    return found.select(*keys, F.col("_of").alias(order), F.coalesce("_near", "_carried").alias(name))

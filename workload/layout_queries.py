@@ -48,7 +48,40 @@ def x_clusters(spark, folder):
 @query("text_blocks", STEP_BLOCKS)
 def text_blocks(spark, folder):
     blocks = layout.page_blocks(text_items(spark, folder))
-    return blocks.drop("document_id", "x_variance", "y_variance")
+    return blocks.drop("document_id", "blocks_before", "x_variance", "y_variance")
+
+
+ONE_PAGE_SQL = """
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS item, l_extendedprice + l_linenumber AS y,
+  (l_partkey * 7 + l_suppkey * 3)::DOUBLE AS x FROM lineitem
+"""
+
+
+@query(
+    "hot_page_bands",
+    f"""WITH RECURSIVE items AS MATERIALIZED (SELECT DISTINCT y FROM ({ONE_PAGE_SQL}) i),
+        starts(y) AS (SELECT min(y) FROM items UNION ALL
+          SELECT n.y FROM (SELECT (SELECT min(i.y) FROM items i WHERE i.y > s.y + 12) AS y FROM starts s) n WHERE n.y IS NOT NULL),
+        banded AS (SELECT i.x, i.y, s.band FROM ({ONE_PAGE_SQL}) i
+          ASOF JOIN (SELECT y AS y0, row_number() OVER (ORDER BY y) - 1 AS band FROM starts) s ON i.y >= s.y0),
+        placed AS (SELECT DISTINCT band, x FROM banded),
+        opened AS (SELECT *, x - lag(x) OVER (PARTITION BY band ORDER BY x) > 25 AS opens FROM placed),
+        numbered AS (SELECT band, x, count(*) FILTER (opens) OVER (PARTITION BY band ORDER BY x) AS cluster FROM opened)
+        SELECT band, cluster, count(*) AS items, min(b.x) AS x_min, max(b.x) AS x_max, min(y) AS y_min, max(y) AS y_max
+        FROM banded b JOIN numbered n USING (band, x) GROUP BY band, cluster""",
+)
+def hot_page_bands(spark, folder):
+    """All line items on one page: bands and clusters without a list for the page or a band."""
+    line = table(spark, folder, "lineitem")
+    items = line.select(
+        F.lit("scan").alias("document_id"), F.lit(1).cast("bigint").alias("page"),
+        (F.col("l_extendedprice") + F.col("l_linenumber")).alias("y"),
+        (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3).cast("double").alias("x"),
+    )
+    clustered = layout.with_clusters(layout.with_bands(items))
+    return clustered.groupBy("band", "cluster").agg(
+        F.count("*").alias("items"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+        F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
 @query(
