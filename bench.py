@@ -78,7 +78,7 @@ def assemble_sheet(spark):
     cells = placed.select(
         "document_id", "sheet_name", "row_num", "col_num", "cell.str_value", "cell.num_value"
     )
-    return sheets.sheet_rows(cells, sheets.sheet_layout(cells))
+    return sheets.read_sheets(cells)
 
 
 QUERIES = {

@@ -121,13 +121,14 @@ def with_batches(
 ) -> DataFrame:
     """Number each document's rows into batches per route; the last batch may be short.
 
-    The rows are written once, for their places are counted before they are numbered.
+    Only the rows' keys are written and counted; the numbers meet the rows again by key.
     """
-    placed = with_position(
-        write_through(routed, "routed"), ["document_id", "route"], "row_index", "_pos", within=["sheet_name"]
-    )
+    key = ["document_id", "sheet_name", "row_index"]
+    keys = write_through(routed.select(*key, "route"), "routed-keys")
+    placed = with_position(keys, ["document_id", "route"], "row_index", "_pos", within=["sheet_name"])
     size = F.when(F.col("route") == "deterministic", deterministic).otherwise(ambiguous)
-    return placed.withColumn("batch_id", F.floor((F.col("_pos") - 1) / size)).drop("_pos")
+    numbers = placed.select(*key, F.floor((F.col("_pos") - 1) / size).alias("batch_id"))
+    return routed.join(numbers, key)
 
 
 def provider_batch_size(size: int) -> int:

@@ -1,8 +1,12 @@
 """Spreadsheet cells to rows: header detection, header width, row assembly, row filters.
 
 Cells come as ``document_id, sheet_name, row_num, col_num, str_value, num_value`` with 0-based
-positions. A sheet may hold most of the cells, so sheets are only ever reduced by partial
-aggregates, joined with salt, or cut into blocks of rows.
+positions, and ``sheet_no``, the sheet's place in its workbook, where that is known. A sheet may
+hold most of the cells, so sheets are only ever reduced by partial aggregates, joined as tables, or
+cut into blocks of rows.
+
+``cell_rows`` reads the cells once and groups them into rows; ranges, census, header and data all
+come from that narrower table.
 """
 
 from __future__ import annotations
@@ -33,23 +37,44 @@ def _is_text() -> Column:
     return F.col("num_value").isNull() & ~is_blank(F.col("str_value"))
 
 
-def used_range(cells: DataFrame) -> DataFrame:
-    """First row and column of each sheet's used range."""
-    return cells.groupBy(*SHEET).agg(
-        F.min("row_num").alias("first_row"), F.min("col_num").alias("first_col")
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """One row per sheet row, written: ``cells`` (the filled ones), ``first_filled`` and
+    ``first_any``, the first filled column and the first column of all.
+
+    Sheets keep their place in the workbook (``sheet_no``), where the cells have one.
+    """
+    numbered = [F.min("sheet_no").alias("sheet_no")] if "sheet_no" in cells.columns else []
+    cell = F.struct("col_num", "str_value", "num_value")
+    rows = cells.groupBy(*SHEET, "row_num").agg(
+        F.collect_list(F.when(is_filled(), cell)).alias("cells"),
+        F.min(F.when(is_filled(), F.col("col_num"))).alias("first_filled"),
+        F.min("col_num").alias("first_any"), *numbered,
     )
+    return write_through(rows, "sheet-rows")
 
 
-def top_cells(cells: DataFrame) -> DataFrame:
+def used_range(rows: DataFrame) -> DataFrame:
+    """First row and column of each sheet's used range, from ``cell_rows``."""
+    return rows.groupBy(*SHEET).agg(
+        F.min("row_num").alias("first_row"), F.min("first_any").alias("first_col")
+    )
+
+
+def top_cells_of(rows: DataFrame) -> DataFrame:
     """Filled cells of the first rows of each sheet, with ``offset`` from its first row.
 
     Written out, since every header rule reads them; their number is bounded per sheet.
     """
-    ranges = write_through(used_range(cells), "ranges")
-    near = join_measured(cells.filter(is_filled()), ranges, SHEET, "inner")
+    ranges = write_through(used_range(rows), "ranges")
     offset = F.col("row_num") - F.col("first_row")
+    near = join_measured(rows.select(*SHEET, "row_num", "cells"), ranges, SHEET, "inner")
     top = near.withColumn("offset", offset).filter(F.col("offset") < vocab.HEADER_SCAN_ROWS)
-    return write_through(top, "top-cells")
+    return write_through(top.select("*", F.inline("cells")).drop("cells"), "top-cells")
+
+
+def top_cells(cells: DataFrame) -> DataFrame:
+    """As ``top_cells_of``, from the cells."""
+    return top_cells_of(cell_rows(cells))
 
 
 def row_census(top: DataFrame) -> DataFrame:
@@ -133,13 +158,12 @@ def header_rows(top: DataFrame) -> DataFrame:
     return votes.withColumn("header_row", F.coalesce(*order))
 
 
-def sheet_layout(cells: DataFrame) -> DataFrame:
+def layout_of(top: DataFrame) -> DataFrame:
     """Header row, width and normalised header names of each sheet, written out.
 
     The width ends at the last non-blank header cell; columns beyond it do not exist. The header is
-    among the first rows, so the full cells are not read again.
+    among the first rows (``top_cells``), so the other rows are not read.
     """
-    top = top_cells(cells)
     found = header_rows(top).select(*SHEET, F.col("header_row").alias("row_num"))
     at = (F.col("col_num") - F.col("first_col")).cast("int")
     grouped = top.join(found, [*SHEET, "row_num"]).groupBy(
@@ -155,6 +179,11 @@ def sheet_layout(cells: DataFrame) -> DataFrame:
     return write_through(layout, "layout")
 
 
+def sheet_layout(cells: DataFrame) -> DataFrame:
+    """As ``layout_of``, from the cells."""
+    return layout_of(top_cells(cells))
+
+
 def data_cells(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """Filled cells below the header and within its width; ``at`` counts columns from 0."""
     placed = join_measured(
@@ -173,30 +202,50 @@ def rows_before_long_gap(rows: DataFrame, layout: DataFrame) -> DataFrame:
     return gap_starts(filled.unionByName(starts), SHEET, "row_num", vocab.EMPTY_ROW_LIMIT)
 
 
-def sheet_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
+def rows_of(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """Data rows of every sheet: ``row_index`` (1-based), ``headers``, ``values``, ``raw``.
 
-    Empty rows, rows after a long empty run, and single-cell note rows are left out. The cells
-    are grouped into rows once; what follows reads that narrower table.
+    Empty rows, rows after a long empty run, and single-cell note rows are left out. A row has
+    data if its first filled cell lies within the header's width, so the runs of empty rows are
+    found without reading the cells.
     """
-    data = data_cells(cells, layout)
-    text_length = F.when(_is_text() & (F.col("at") == 0), F.length(trimmed(F.col("str_value"))))
-    grouped = data.groupBy(*SHEET, "row_num").agg(
-        F.map_from_entries(F.collect_list(F.struct("at", cell_text()))).alias("cells"),
-        F.coalesce(F.max(text_length), F.lit(0)).alias("first_length"),
-    )
-    rows = write_through(grouped, "sheet-rows")
-    ends = write_through(rows_before_long_gap(rows, layout), "ends")
-    note = (F.size("cells") == 1) & (F.col("first_length") > vocab.NOTE_MIN_LENGTH)
-    kept = join_measured(rows.filter(~note), ends, SHEET).filter(
+    numbered = [c for c in ("sheet_no",) if c in rows.columns]
+    placed = join_measured(rows, layout, SHEET, "inner")
+    within = F.col("first_filled") < F.col("first_col") + F.col("width")
+    data = placed.filter((F.col("row_num") > F.col("header_row")) & within)
+    ends = write_through(rows_before_long_gap(data, layout), "ends")
+    kept = join_measured(data, ends, SHEET).filter(
         F.col("gap_after").isNull() | (F.col("row_num") <= F.col("gap_after"))
     )
-    named = join_measured(kept, layout.select(*SHEET, "headers"), SHEET, "inner")
-    values = F.transform("headers", lambda h, i: F.try_element_at(F.col("cells"), i))
-    return named.withColumn("values", values).select(
+    end = F.col("first_col") + F.col("width")
+    inside = kept.withColumn("cells", F.filter("cells", lambda c: c["col_num"] < end))
+
+    def cell_value(c: Column) -> Column:
+        return F.coalesce(c["str_value"], number_text(c["num_value"]))
+
+    first = F.get(F.filter("cells", lambda c: c["col_num"] == F.col("first_col")), F.lit(0))
+    length = F.when(
+        first["num_value"].isNull() & ~is_blank(first["str_value"]), F.length(trimmed(first["str_value"])))
+    note = (F.size("cells") == 1) & (F.coalesce(length, F.lit(0)) > vocab.NOTE_MIN_LENGTH)
+    entries = F.map_from_entries(F.transform(
+        "cells", lambda c: F.struct((c["col_num"] - F.col("first_col")).cast("int"), cell_value(c))))
+    values = F.transform("headers", lambda h, i: F.try_element_at(F.col("entries"), i))
+    return inside.filter(~note).withColumn("entries", entries).withColumn("values", values).select(
         *SHEET,
+        *numbered,
         (F.col("row_num") + 1).alias("row_index"),
         "headers",
         "values",
         F.map_from_arrays("headers", "values").alias("raw"),
     )
+
+
+def sheet_rows(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """As ``rows_of``, from the cells."""
+    return rows_of(cell_rows(cells), layout)
+
+
+def read_sheets(cells: DataFrame) -> DataFrame:
+    """Data rows of all sheets from one pass over the cells."""
+    rows = cell_rows(cells)
+    return rows_of(rows, layout_of(top_cells_of(rows)))

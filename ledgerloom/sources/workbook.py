@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CELLS = (
     "document_id string, sheet_name string, row_num bigint, col_num int, str_value string, "
-    "num_value double"
+    "num_value double, sheet_no int"
 )
 CHUNK_CELLS = 50_000
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -83,10 +83,10 @@ def _value(cell, texts: list[str], dates: list[bool]) -> tuple[str | None, float
 
 
 def workbook_cells(content: bytes) -> Iterator[tuple]:
-    """``(sheet_name, row_num, col_num, str_value, num_value)`` of every cell with a value."""
+    """``(sheet_name, row_num, col_num, str_value, num_value, sheet_no)`` of every cell with a value."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         texts, dates = _shared_texts(book), _date_formats(book)
-        for name, path in _sheets(book):
+        for nth, (name, path) in enumerate(_sheets(book)):
             with book.open(path) as part:
                 for _, node in ElementTree.iterparse(part):
                     if node.tag != f"{MAIN}row":
@@ -96,7 +96,7 @@ def workbook_cells(content: bytes) -> Iterator[tuple]:
                         if text is not None or number is not None:
                             at = cell.get("r")
                             row = int(re.search(r"\d+", at).group()) - 1
-                            yield name, row, _column(at), text, number
+                            yield name, row, _column(at), text, number, nth
                     node.clear()
 
 

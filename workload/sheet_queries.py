@@ -141,8 +141,7 @@ def sheet_layout(spark, folder):
         GROUP BY c.sheet_name, c.row_num HAVING count(*) > 1""",
 )
 def sheet_rows(spark, folder):
-    cells = two_sheets(spark, folder)
-    rows = sheets.sheet_rows(cells, sheets.sheet_layout(cells))
+    rows = sheets.read_sheets(two_sheets(spark, folder))
     cell = lambda n: F.try_element_at(F.col("raw"), F.lit(n))
     return rows.select(
         "sheet_name", "row_index", cell("supplier_name").alias("supplier_name"),
