@@ -21,15 +21,34 @@ from ..functions.fields import (
     matches_role,
 )
 from ..functions.text import prefix_float
+from ..session import write_through
 from .headers import filled_index
-from .spread import first_rows
+from .spread import first_rows, join_measured
 
-ROW_ORDER = ["sheet_name", "row_index"]
+ROW_KEY = ["document_id", "sheet_name", "row_index"]
+#: Parts of a document whose first rows are found apart before they are compared.
+SAMPLE_PARTS = 64
+
+
+def row_order(rows: DataFrame) -> list[str]:
+    """Sheets in the order of the workbook, where the rows tell it, else by name."""
+    return [*(["sheet_no"] if "sheet_no" in rows.columns else []), "sheet_name", "row_index"]
 
 
 def head_sample(rows: DataFrame, n: int = vocab.SAMPLE_ROWS) -> DataFrame:
-    """First ``n`` rows of each document, numbered by ``sample_pos``."""
-    return first_rows(rows, ["document_id"], ROW_ORDER, n, "sample_pos")
+    """First ``n`` rows of each document, numbered by ``sample_pos``.
+
+    Only keys are ranked: first within parts of a document, so that a huge one is spread, then
+    what is left of the parts. The keys found, ``n`` for a document, then pick their rows.
+    """
+    order = row_order(rows)
+    keys = rows.select("document_id", *order)
+    part = F.pmod(F.xxhash64("row_index"), F.lit(SAMPLE_PARTS)).alias("_part")
+    near = first_rows(
+        keys.select("*", part), ["document_id", "_part"], order, n, "_nth").drop("_part", "_nth")
+    first = first_rows(near, ["document_id"], order, n, "sample_pos")
+    chosen = write_through(first.select(*ROW_KEY, "sample_pos"), "sample-keys")
+    return join_measured(rows, chosen, ROW_KEY, "inner")
 
 
 def sample_cells(sample: DataFrame) -> DataFrame:
@@ -185,10 +204,6 @@ def mapped_slots(names: list[str] | None = None) -> Column:
     return F.expr(" + ".join(f"int(slots.{slot} IS NOT NULL)" for slot in names or vocab.SLOTS))
 
 
-def unmapped_columns(roles: DataFrame) -> DataFrame:
-    return roles.filter(F.col("role") == "unknown").select("document_id", "column", "reasoning")
-
-
 def schema_quality(mapping: DataFrame) -> DataFrame:
     """Completeness, ambiguity and coverage of each document's slot mapping."""
     mapped = mapped_slots()
@@ -274,31 +289,81 @@ def verify_schema(quality: DataFrame) -> DataFrame:
     return quality.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
 
 
-def infer_schema(sample: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
-    """Schema of every document from its ``head_sample`` with normalised ``data``.
+# Fixed value: note on a schema that rules made.
+RULES_NOTE = "Schema created via manual inference (LLM failed or timed out)"
+QUALITY = ["completeness", "ambiguity_score", "deterministic_coverage", "needs_review"]
 
-    Profile, proposal or rules, slot mapping, quality, checks.
 
-    A document that has a proposal takes it (merged with the profile); the others take the rules.
-    ``slots`` is the mapping as inferred, ``filled`` the one with open slots filled from roles.
+def schema_roles(
+    sample: DataFrame, proposed: DataFrame | None = None
+) -> DataFrame:
+    """Role of every column: as proposed and merged with the profile, where a document has a
+    proposal, else by the rules. Proposed columns that the sample lacks stay.
+
+    ``proposed`` is what ``merge_with_profile`` takes; its ``column_pos`` orders the columns, else
+    their order in the sample does.
     """
     profile = column_profile(sample)
     roles = assign_roles(profile)
-    if proposed is not None:
-        answered = proposed.select("document_id").distinct()
-        merged = merge_with_profile(proposed, profile).join(
-            profile.select("document_id", "column", "column_pos"), ["document_id", "column"]
-        )
-        roles = (
-            roles.join(answered, "document_id", "left_anti")
-            .select("document_id", "column", "column_pos", "role", "slot")
-            .unionByName(merged.select("document_id", "column", "column_pos", "role", "slot"))
-        )
-    return verify_schema(schema_quality(slot_mapping(roles)))
+    if proposed is None:
+        return roles
+    merged = merge_with_profile(proposed, profile)
+    seen = profile.select("document_id", "column", F.col("column_pos").alias("_seen"), "sample_values")
+    places = F.col("_seen")
+    if "column_pos" in proposed.columns:
+        given = proposed.select("document_id", "column", "column_pos").distinct()
+        merged = merged.join(given, ["document_id", "column"])
+        places = F.coalesce("column_pos", "_seen")
+    columns = [c for c in roles.columns if c != "column_pos"]
+    merged = merged.join(seen, ["document_id", "column"], "left").withColumn(
+        "column_pos", F.coalesce(places, F.lit(1 << 30)).cast("int"))
+    answered = proposed.select("document_id").distinct()
+    return roles.join(answered, "document_id", "left_anti").select(*columns, "column_pos").unionByName(
+        merged.select(*columns, "column_pos"))
+
+
+def infer_schema(
+    sample: DataFrame, proposed: DataFrame | None = None, mapping: DataFrame | None = None
+) -> DataFrame:
+    """Schema of every document from its ``head_sample`` with normalised ``data``.
 
+    Profile, proposal or rules, slot mapping, quality, checks.
 
-# Fixed value: note on a schema that rules made.
-RULES_NOTE = "Schema created via manual inference (LLM failed or timed out)"
+    A document that has a proposal takes it (merged with the profile); the others take the rules.
+    ``slots`` is the mapping as inferred, ``filled`` the one with open slots filled from roles.
+    With the ``mapping`` of proposals (``proposed_mapping``) a document that has one keeps the
+    slots, quality and notes that were proposed; the rules leave a note of their own.
+    """
+    schema = schema_quality(slot_mapping(schema_roles(sample, proposed)))
+    schema = schema.withColumn("inference_notes", F.array(F.lit(RULES_NOTE)))
+    if mapping is not None:
+        given = mapping.drop("proposed_unmapped").withColumnsRenamed(
+            {c: f"_{c}" for c in [*QUALITY, "inference_notes"]})
+        schema = schema.join(given, "document_id", "left")
+        has = F.col("proposed_slots").isNotNull()
+        slot = {
+            name: F.struct(*[
+                F.coalesce(F.col("proposed_slots")[x], F.when(keep, F.col(name)[x])).alias(x)
+                for x in vocab.SLOTS])
+            for name, keep in (("slots", ~has), ("filled", F.lit(True)))
+        }
+        told = {c: F.when(has, F.col(f"_{c}")).otherwise(F.col(c)) for c in [*QUALITY, "inference_notes"]}
+        schema = schema.withColumns(slot | told).drop(
+            "proposed_slots", *[f"_{c}" for c in [*QUALITY, "inference_notes"]])
+    return verify_schema(schema)
+
+
+def with_empty_documents(schema: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add the schema of documents without rows: no column, quality nothing, to be reviewed."""
+    none = F.lit(None).cast("string")
+    slots = F.struct(*[none.alias(slot) for slot in vocab.SLOTS])
+    empty = documents.select("document_id").distinct().join(
+        schema.select("document_id"), "document_id", "left_anti"
+    ).select(
+        "document_id", slots.alias("slots"), slots.alias("filled"),
+        *[F.lit(0.0).alias(c) for c in QUALITY[:3]], F.lit(True).alias("needs_review"),
+        F.array().cast("array<string>").alias("inference_notes"))
+    return schema.unionByName(verify_schema(empty))
 
 
 def _column_lists(roles: DataFrame) -> DataFrame:
@@ -307,7 +372,8 @@ def _column_lists(roles: DataFrame) -> DataFrame:
         "column_pos", F.col("column").alias("name"), "detected_type", "sample_values",
         F.col("role").alias("semantic_role"), "confidence", "reasoning",
     )
-    listed = roles.groupBy("document_id").agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    listed = roles.groupBy("document_id").agg(
+        F.array_sort(F.array_distinct(F.collect_list(column))).alias("columns"))
     open_columns = F.filter("columns", lambda c: c["semantic_role"] == "unknown")
     return listed.withColumn(
         "unmapped_columns",
@@ -320,15 +386,18 @@ def attach_schema(
 ) -> DataFrame:
     """Documents with their inferred schema as JSON; a document without one keeps its old value.
 
-    With the ``roles`` of its columns, the schema also lists every column, those without a role,
-    and how it came about.
+    With the ``roles`` of its columns, the schema also lists every column and those without a role.
+    How it came about is in its ``inference_notes``.
     """
-    parts = ["slots", "completeness", "ambiguity_score", "deterministic_coverage", "needs_review"]
+    parts = ["slots", *QUALITY]
     if roles is not None:
-        schema = schema.join(_column_lists(roles), "document_id", "left").withColumn(
-            "inference_notes", F.array(F.lit(RULES_NOTE))
-        )
-        parts += ["columns", "unmapped_columns", "inference_notes"]
+        schema = schema.join(_column_lists(roles), "document_id", "left")
+        for name in ("columns", "unmapped_columns"):
+            kind = schema.schema[name].dataType
+            schema = schema.withColumn(name, F.coalesce(name, F.array().cast(kind)))
+        parts += ["columns", "unmapped_columns"]
+    if "inference_notes" in schema.columns:
+        parts.append("inference_notes")
     text = F.to_json(F.struct(*parts))
     fresh = schema.select("document_id", text.alias("_schema"))
     joined = documents.join(fresh, "document_id", "left")

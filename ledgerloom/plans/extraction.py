@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import normalized_row, parsed_values
@@ -18,7 +18,20 @@ from ..operators.enrichment import (
     provider_answers,
     rule_answers,
 )
-from ..operators.profiling import head_sample, infer_schema
+from ..operators.profiling import (
+    attach_schema,
+    head_sample,
+    infer_schema,
+    schema_roles,
+    with_empty_documents,
+)
+from ..operators.proposals import (
+    TIME_LIMIT,
+    Provider,
+    ask_for_schemas,
+    proposed_columns,
+    proposed_mapping,
+)
 from ..operators.routing import needs_enrichment, route_rows
 from ..operators.scoring import review_items, score_answers, validate_answers, validation_flags
 from ..operators.spread import join_measured
@@ -39,6 +52,35 @@ def document_schemas(raw_rows: DataFrame, proposed: DataFrame | None = None) ->
     return write_through(infer_schema(sample, proposed), "schemas")
 
 
+def proposed_schemas(
+    raw_rows: DataFrame, documents: DataFrame, provider: Provider, time_limit: float = TIME_LIMIT
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schemas, column roles and failed proposals, asking ``provider`` once for each document.
+
+    A document whose proposal is late, fails or is no schema takes the rules; one without rows
+    gets the empty schema. Answers are written before they are used.
+    """
+    sample = write_through(normalize_rows(head_sample(raw_rows)), "sample")
+    answers = write_through(ask_for_schemas(sample, provider, time_limit), "proposals")
+    columns, mapping = proposed_columns(answers), proposed_mapping(answers)
+    schema = with_empty_documents(infer_schema(sample, columns, mapping), documents)
+    failed = answers.filter(F.col("error").isNotNull()).select("document_id", "error")
+    return write_through(schema, "schemas"), schema_roles(sample, columns), failed
+
+
+def documents_with_schemas(
+    documents: DataFrame, raw_rows: DataFrame, provider: Provider | None = None,
+    time_limit: float = TIME_LIMIT,
+) -> DataFrame:
+    """Documents with the whole schema that was inferred for them, by a provider or the rules."""
+    if provider is not None:
+        schema, roles, _ = proposed_schemas(raw_rows, documents, provider, time_limit)
+    else:
+        sample = write_through(normalize_rows(head_sample(raw_rows)), "sample")
+        schema, roles = with_empty_documents(infer_schema(sample), documents), schema_roles(sample)
+    return attach_schema(documents, schema, roles)
+
+
 def route_documents(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     """Second pass: every row with its document's slots, route, reasons and first confidence.
 
@@ -74,9 +116,9 @@ def _judged(ambiguous: DataFrame) -> DataFrame:
     return ambiguous.withColumns({"filled": F.col("slots"), "slots": F.col("inferred_slots")})
 
 
-def _outputs(scored: DataFrame, errors: DataFrame) -> Enrichment:
+def _outputs(scored: DataFrame, errors: DataFrame, job_id: Column | None = None) -> Enrichment:
     return Enrichment(
-        enriched_records(scored), validation_flags(scored), review_items(scored), errors
+        enriched_records(scored, job_id), validation_flags(scored), review_items(scored), errors
     )
 
 
@@ -85,24 +127,26 @@ def scored_answers(ambiguous: DataFrame, answer=rule_answers) -> DataFrame:
     return score_answers(validate_answers(answers_for(_judged(ambiguous), answer)))
 
 
-def enrich(ambiguous: DataFrame, answer=rule_answers) -> Enrichment:
+def enrich(ambiguous: DataFrame, answer=rule_answers, job_id: Column | None = None) -> Enrichment:
     """Answer, check and score ambiguous rows.
 
     Without a provider nothing is enriched and each document reports one error. The scored rows are
-    written once because three tables are made from them.
+    written once because three tables are made from them. ``job_id`` is the job they came from, by
+    the columns of the row.
     """
     if answer is None:
         errors = ambiguous.groupBy("document_id").agg(
             F.lit(None).cast("bigint").alias("row_index"), F.lit(NOT_CONFIGURED).alias("error")
         )
-        return _outputs(scored_answers(ambiguous.limit(0)), errors)
+        return _outputs(scored_answers(ambiguous.limit(0)), errors, job_id)
     scored = write_through(scored_answers(ambiguous, answer), "scored")
     none = "document_id string, row_index bigint, error string"
-    return _outputs(scored, ambiguous.sparkSession.createDataFrame([], none))
+    return _outputs(scored, ambiguous.sparkSession.createDataFrame([], none), job_id)
 
 
 def enrich_by_provider(
-    ambiguous: DataFrame, provider, batch_size: int = AMBIGUOUS_BATCH
+    ambiguous: DataFrame, provider, batch_size: int = AMBIGUOUS_BATCH,
+    job_id: Column | None = None,
 ) -> Enrichment:
     """As ``enrich``, asking an outside provider for the rows that need it.
 
@@ -117,4 +161,4 @@ def enrich_by_provider(
     )
     scored = write_through(score_answers(validate_answers(answers)), "scored")
     errors = replies.filter(F.col("error").isNotNull())
-    return _outputs(scored, errors.select("document_id", "row_index", "error"))
+    return _outputs(scored, errors.select("document_id", "row_index", "error"), job_id)

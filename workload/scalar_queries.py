@@ -212,9 +212,8 @@ def fuzzy_role_match(spark, folder):
 @query(
     "value_kinds",
     f"""WITH cells AS (
-          SELECT 'currency' AS kind, currency AS v FROM ({REGISTER_SQL})
-          UNION ALL SELECT 'value', value FROM ({REGISTER_SQL})
-          UNION ALL SELECT 'lat', lat FROM ({REGISTER_SQL})
+          SELECT unnest(['name', 'value', 'currency', 'country', 'type', 'lat', 'lng']) AS kind,
+            unnest([name, value, currency, country, type, lat, lng]) AS v FROM ({REGISTER_SQL})
           UNION ALL SELECT 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders
           UNION ALL SELECT 'us_day', strftime(o_orderdate, '%m/%d/%Y') FROM orders)
         SELECT kind, count(v) AS n, count(*) FILTER ({number_sql('v')} IS NOT NULL) AS numbers,
@@ -224,9 +223,7 @@ def fuzzy_role_match(spark, folder):
 )
 def value_kinds(spark, folder):
     rows, orders = register_rows(spark, folder), table(spark, folder, "orders")
-    cells = rows.select(F.explode("raw").alias("kind", "v")).filter(
-        F.col("kind").isin("currency", "value", "lat")
-    )
+    cells = rows.select(F.explode("raw").alias("kind", "v"))
     for kind, layout in (("day", "yyyy-MM-dd"), ("us_day", "MM/dd/yyyy")):
         day = F.date_format("o_orderdate", layout)
         cells = cells.unionByName(orders.select(F.lit(kind).alias("kind"), day.alias("v")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import vocab
 from ledgerloom.operators import profiling, routing
 from ledgerloom.operators.headers import data_start
+from ledgerloom.plans import extraction
 from ledgerloom.plans.extraction import normalize_rows, settled_and_ambiguous
 
 from .registry import query
@@ -301,24 +304,144 @@ def verified_schema(spark, folder):
     )
 
 
+SLOT_LIST = "concat_ws(',', " + ", ".join(f"coalesce({s}, '-')" for s in vocab.SLOTS) + ")"
+
+
 @query(
     "attached_schema",
-    f"""SELECT d.original_file_name, m.completeness, m.mapped FROM
+    f"""SELECT d.original_file_name, m.completeness, m.ambiguity_score, m.deterministic_coverage, m.needs_review, m.slots, m.notes, r.columns, r.unmapped FROM
         (SELECT concat('doc-', (c_custkey - 1)::VARCHAR) AS document_id, c_name AS original_file_name FROM customer) d
-        LEFT JOIN (SELECT document_id, (({MAPPED}) / 4.0)::VARCHAR AS completeness, asset_name AS mapped
-                   FROM ({MAPPING_SQL})) m ON d.document_id = m.document_id""",
+        LEFT JOIN (SELECT document_id, ({MAPPED}) / 4.0::DOUBLE AS completeness, CASE WHEN {MAPPED} > 0 THEN 0.3 ELSE 0.9 END::DOUBLE AS ambiguity_score,
+                     1.0::DOUBLE AS deterministic_coverage, {MAPPED} < 2 AS needs_review, {SLOT_LIST} AS slots,
+                     'Schema created via manual inference (LLM failed or timed out)' AS notes
+                   FROM ({MAPPING_SQL})) m ON d.document_id = m.document_id
+        LEFT JOIN (SELECT document_id, string_agg(concat_ws(':', "column", role, detected_type, confidence::VARCHAR, reasoning), '|' ORDER BY column_pos) AS columns,
+                     coalesce(string_agg(concat("column", ':', reasoning), '|' ORDER BY column_pos) FILTER (role = 'unknown'), '') AS unmapped
+                   FROM ({ROLES_SQL}) GROUP BY document_id) r ON d.document_id = r.document_id""",
 )
 def attached_schema(spark, folder):
+    """Documents with the whole schema of their rows; those without rows keep none."""
     documents = table(spark, folder, "customer").select(
         F.concat(F.lit("doc-"), (F.col("c_custkey") - 1).cast("string")).alias("document_id"),
         F.col("c_name").alias("original_file_name"),
     )
-    attached = profiling.attach_schema(documents, profiling.infer_schema(sample_of(spark, folder)))
-    return attached.select(
-        "original_file_name",
-        F.get_json_object("inferred_schema", "$.completeness").alias("completeness"),
-        F.get_json_object("inferred_schema", "$.slots.asset_name").alias("mapped"),
-    )
+    sample = sample_of(spark, folder)
+    attached = profiling.attach_schema(
+        documents, profiling.infer_schema(sample), profiling.schema_roles(sample))
+    whole = F.from_json(
+        "inferred_schema",
+        "slots map<string,string>, completeness double, ambiguity_score double, deterministic_coverage double, needs_review boolean, "
+        "inference_notes array<string>, columns array<struct<name string, semantic_role string, detected_type string, confidence string, reasoning string>>, "
+        "unmapped_columns array<struct<name string, reason string>>")
+    read = attached.withColumn("s", whole)
+    slots = [F.coalesce(F.try_element_at("s.slots", F.lit(s)), F.lit("-")) for s in vocab.SLOTS]
+
+    def joined(column, *names):
+        text = F.transform(column, lambda c: F.concat_ws(":", *[c[n] for n in names]))
+        return F.when(F.col("s").isNotNull(), F.array_join(text, "|"))
+
+    return read.select(
+        "original_file_name", "s.completeness", "s.ambiguity_score", "s.deterministic_coverage", "s.needs_review",
+        F.when(F.col("s").isNotNull(), F.concat_ws(",", *slots)).alias("slots"),
+        F.when(F.col("s").isNotNull(), F.array_join("s.inference_notes", "|")).alias("notes"),
+        joined("s.columns", "name", "semantic_role", "detected_type", "confidence", "reasoning").alias("columns"),
+        joined("s.unmapped_columns", "name", "reason").alias("unmapped"))
+
+
+def sample_schema_provider(columns, rows):
+    """Stand-in for a model: accepts, is late, fails, or answers nonsense, as the rows say."""
+    mode = rows[0]["mode"]
+    if mode == "m1":
+        time.sleep(4)
+    if mode == "m2":
+        raise RuntimeError("busy")
+    if mode == "m3":
+        return "no schema at all"
+    told = [
+        {"name": c, "detectedType": "string", "semanticRole": "asset_name" if c == "title" else "unknown",
+         "confidence": 0.7, "reasoning": f"{len(rows)} rows"} for c in [*columns, "ghost"]
+    ]
+    return {
+        "columns": told, "unmappedColumns": [],
+        "fieldMapping": {"assetNameColumn": {"column": "title", "confidence": 0.9},
+                         "valueColumn": {"column": "ghost", "confidence": 0.4},
+                         "currencyColumn": {"column": "", "confidence": 0}},
+        "schemaQuality": {"completeness": 0.75, "ambiguityScore": 0.2, "deterministicCoverage": 0.6,
+                          "needsReview": False},
+        "inferenceNotes": ["read by the provider"],
+    }
+
+
+def moody_documents(spark, folder):
+    """Documents of customers by nation, whose rows tell a mode, and one without rows per region."""
+    customers, region = table(spark, folder, "customer"), table(spark, folder, "region")
+    mode = F.concat(F.lit("m"), (F.col("c_nationkey") % 4).cast("string"))
+    name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    raw = F.map_from_arrays(F.array(F.lit("title"), F.lit("mode")), F.array(F.col("c_name"), mode))
+    rows = customers.select(
+        name.alias("document_id"), F.lit("").alias("sheet_name"), F.col("c_custkey").alias("row_index"),
+        raw.alias("raw"))
+    empty = region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("document_id"))
+    return rows, rows.select("document_id").distinct().unionByName(empty)
+
+
+MOODS_SQL = """
+SELECT *, CASE mood WHEN 0 THEN 'accepted' WHEN -1 THEN 'empty' ELSE 'rules' END AS came FROM (
+  SELECT concat('n', c_nationkey::VARCHAR) AS document_id, c_nationkey % 4 AS mood, least(20, count(*)) AS n FROM customer GROUP BY c_nationkey
+  UNION ALL SELECT concat('r', r_regionkey::VARCHAR), -1, 0 FROM region)
+"""
+
+
+@query(
+    "proposed_schemas",
+    f"""SELECT document_id, CASE came WHEN 'accepted' THEN 'title' END AS name_column, CASE came WHEN 'accepted' THEN 'ghost' END AS value_column,
+          CASE came WHEN 'accepted' THEN 0.75 ELSE 0 END::DOUBLE AS completeness,
+          CASE came WHEN 'accepted' THEN 0.2 WHEN 'rules' THEN 0.9 ELSE 0 END::DOUBLE AS ambiguity_score,
+          CASE came WHEN 'accepted' THEN 0.6 WHEN 'rules' THEN 1 ELSE 0 END::DOUBLE AS deterministic_coverage,
+          came <> 'accepted' AS needs_review, came = 'accepted' AS passed,
+          CASE came WHEN 'accepted' THEN '' ELSE concat('low completeness: 0.00; ', CASE came WHEN 'rules' THEN 'high ambiguity: 0.90; ' ELSE 'low deterministic coverage: 0.00; ' END,
+            'marked as needs review; only 0/4 required fields mapped') END AS reasons,
+          CASE came WHEN 'accepted' THEN 'read by the provider' WHEN 'rules' THEN 'Schema created via manual inference (LLM failed or timed out)' ELSE '' END AS notes,
+          CASE mood WHEN 1 THEN 'LLM schema inference timeout' WHEN 2 THEN 'RuntimeError: busy' WHEN 3 THEN 'not a schema' END AS error,
+          CASE came WHEN 'accepted' THEN 'title,mode,ghost' WHEN 'rules' THEN 'title,mode' ELSE '' END AS columns,
+          CASE came WHEN 'accepted' THEN concat(n::VARCHAR, ' rows') WHEN 'rules' THEN 'No pattern detected' END AS why
+        FROM ({MOODS_SQL}) m""",
+)
+def proposed_schemas(spark, folder):
+    """Proposals that are accepted, late, failed or nonsense, and documents without rows."""
+    rows, documents = moody_documents(spark, folder)
+    schema, roles, failed = extraction.proposed_schemas(rows, documents, sample_schema_provider, 0.5)
+    attached = profiling.attach_schema(documents, schema, roles).join(
+        schema.select("document_id", "reasons", "passed"), "document_id"
+    ).join(failed, "document_id", "left")
+    whole = F.from_json(
+        "inferred_schema",
+        "slots map<string,string>, completeness double, ambiguity_score double, deterministic_coverage double, "
+        "needs_review boolean, inference_notes array<string>, columns array<struct<name string, reasoning string>>")
+    read = attached.withColumn("s", whole)
+    return read.select(
+        "document_id", F.col("s.slots")["asset_name"].alias("name_column"), F.col("s.slots")["value"].alias("value_column"),
+        *[F.col(f"s.{c}").alias(c) for c in ("completeness", "ambiguity_score", "deterministic_coverage", "needs_review")],
+        "passed", F.array_join("reasons", "; ").alias("reasons"), F.array_join("s.inference_notes", "|").alias("notes"),
+        "error", F.array_join(F.transform("s.columns", lambda c: c["name"]), ",").alias("columns"),
+        F.get(F.transform("s.columns", lambda c: c["reasoning"]), F.lit(0)).alias("why"))
+
+
+@query(
+    "workbook_order_sample",
+    """SELECT document_id, sheet_name, row_index, sample_pos FROM (
+         SELECT concat('d', (s_nationkey % 3)::VARCHAR) AS document_id, concat(chr(90 - s_nationkey::INT), 'heet') AS sheet_name, s_suppkey AS row_index,
+           row_number() OVER (PARTITION BY s_nationkey % 3 ORDER BY s_nationkey, s_suppkey) AS sample_pos FROM supplier) p WHERE sample_pos <= 20""",
+)
+def workbook_order_sample(spark, folder):
+    """Sheets whose names run against their order in the workbook."""
+    supplier = table(spark, folder, "supplier")
+    letter = F.char(F.lit(90) - F.col("s_nationkey"))
+    rows = supplier.select(
+        F.concat(F.lit("d"), (F.col("s_nationkey") % 3).cast("string")).alias("document_id"),
+        F.concat(letter, F.lit("heet")).alias("sheet_name"), F.col("s_nationkey").alias("sheet_no"),
+        F.col("s_suppkey").alias("row_index"), F.create_map(F.lit("a"), F.col("s_name")).alias("raw"))
+    return profiling.head_sample(rows).select("document_id", "sheet_name", "row_index", "sample_pos")
 
 
 @query(
