@@ -61,7 +61,7 @@ class Segment:
         self.ids = ids[order]
         # Rows by id; equal vectors share a number, so they collide together and score alike.
         self.vectors, number = np.unique(vectors[order] + 0.0, axis=0, return_inverse=True)
-        number = number.ravel()
+        self.number = number = number.ravel()
         self.rows = np.argsort(number, kind="stable")
         self.first = np.concatenate([[0], np.cumsum(np.bincount(number))])
         norms = (self.vectors**2).sum(1)
@@ -86,7 +86,7 @@ class Segment:
         if len(self.vectors) <= 4 * k:
             for query, name in zip(queries, own):
                 everything = np.arange(len(self.vectors))
-                yield self._best(everything, inner_products(self.vectors, query), name, k)
+                yield self._best(everything, self.vectors @ query, query, name, k)
             return
         centres = queries @ self.directions[:-1]
         squares = (queries**2).sum(1)
@@ -127,9 +127,13 @@ class Segment:
         rings = [self.order[j, low[j] : high[j]] for j in range(PROJECTIONS)]
         count = np.bincount(np.concatenate(rings), minlength=len(self.vectors))
         near = np.flatnonzero(count >= self.threshold)
-        score = inner_products(self.vectors[near], query)
-        reach = score >= bound
-        return self._best(near[reach], score[reach], own, k)
+        score = self.vectors[near] @ query
+        reach = score >= bound - self._margin(query)
+        return self._best(near[reach], score[reach], query, own, k, bound)
+
+    def _margin(self, query) -> float:
+        """More than sums in any order can differ by."""
+        return 1e-13 * len(query) * math.sqrt(self.square * float(query @ query))
 
     def _widen(self, query, own, k: int, radii, low, high) -> tuple[np.ndarray, np.ndarray]:
         n, lines = len(self.vectors), range(PROJECTIONS)
@@ -147,38 +151,41 @@ class Segment:
             count += np.bincount(np.concatenate(rings), minlength=n)
             new = np.flatnonzero((count >= self.threshold) & (score == -np.inf))
             if len(new):
-                score[new] = inner_products(self.vectors[new], query)
+                score[new] = self.vectors[new] @ query
             # The inner product of a vector that stands at this radius.
             least = (self.square + query @ query - radius**2) / 2
             if others[score >= least].sum() >= k:
                 break
         else:
-            score = inner_products(self.vectors, query)
+            score = self.vectors @ query
         known = np.flatnonzero(score > -np.inf)
-        return self._best(known, score[known], own, k)
+        return self._best(known, score[known], query, own, k)
 
     def _own(self, own) -> np.ndarray:
         """How many rows of each vector have the query's id."""
-        mine = np.zeros(len(self.vectors), np.int64)
         a, b = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        if a < b:
-            position = np.empty(len(self.rows), np.int64)
-            position[self.rows] = np.repeat(np.arange(len(self.vectors)), np.diff(self.first))
-            np.add.at(mine, position[a:b], 1)
-        return mine
-
-    def _best(self, numbers, score, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best rows of some vectors, ties to the smaller id."""
+        return np.bincount(self.number[a:b], minlength=len(self.vectors))
+
+    def _best(
+        self, numbers, score, query, own, k: int, bound: float = -np.inf
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The best rows of some vectors, ties to the smaller id.
+
+        ``score`` is as good as BLAS gives it. It picks the vectors that can be among the best;
+        these get the sums in order that are told and compared.
+        """
+        size = np.diff(self.first)
         if len(numbers) > 4 * k:
             # The own row may be among the best k and one, so these are not yet too few.
-            near = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            free = np.diff(self.first)[numbers[near]] - self._own(own)[numbers[near]]
-            if free.sum() >= k:
-                numbers, score = numbers[near], score[near]
-        size = np.diff(self.first)[numbers]
+            least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            near = score >= least - self._margin(query)
+            if (size[numbers[near]] - self._own(own)[numbers[near]]).sum() >= k:
+                numbers = numbers[near]
+        score = inner_products(self.vectors[numbers], query)
+        numbers, score = numbers[score >= bound], score[score >= bound]
         rows = np.concatenate([self.rows[self.first[v] : self.first[v + 1]] for v in numbers]) if len(
             numbers) else np.zeros(0, np.int64)
-        score = np.repeat(score, size)
+        score = np.repeat(score, size[numbers])
         other = self.ids[rows] != own
         ids, score = self.ids[rows[other]], score[other]
         best = np.lexsort((ids, -score))[:k]
