@@ -2,12 +2,17 @@
 
 Seeds are winnowed anchors: of the ``ANCHOR``-word sequences inside a window of ``WINDOW`` words,
 the one with the least hash (the first of equals). Equal windows have equal anchors at the same
-place, so documents with a window in common meet at an anchor; an anchor that occurs in one
-document only is given up at once. Around each remaining anchor the match is extended both ways as
-far as windows with this anchor reach. This is done against all partners together: each window is
-looked up by its hash and the anchor's, and the earliest document that has it is the partner. So
-an anchor that a third of all documents share costs one row per occurrence and window, never one
-per pair. Overlapping matched windows join into maximal repeats.
+place, so documents with a window in common meet at an anchor. Around an anchor a match reaches at
+most as far as the windows that have it; this neighbourhood is a seed's extent.
+
+Documents are joined on their anchors. Occurrences whose whole neighbourhoods are equal are one
+class, matched both ways to the end of the extent: every later document of the class has a span of
+all its words, told by one row. Only where an anchor has several classes is a match extended step
+by step: the earliest document of each class lists what stands left and right of the anchor, in
+extents of a window's length, and each is looked up among the classes of the anchor. All other
+documents of a class are settled by it. So an anchor that a third of all documents share costs a
+row per occurrence, and steps only for its different surroundings, never a pair. Overlapping
+matches join into maximal repeats, of which none is shorter than a window.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, byte_texts, mixed, written
+from .common import WordHashes, batches, byte_texts, matched, mixed, written
 
 WINDOW = 50
 ANCHOR = 16
@@ -71,9 +76,17 @@ class Windows:
         least = np.minimum(behind[self.start], ahead[self.start + width - 1])
         self.anchor = (least & np.uint64(2 ** int(_PLACE) - 1)).astype(np.int64)
 
-    def of(self, start: np.ndarray, length: int) -> np.ndarray:
+    def of(self, start: np.ndarray, length) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.down[start]
 
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First windows of the runs that share an anchor, how many there are, and their document."""
+        if not len(self.start):
+            return (np.zeros(0, np.int64),) * 3
+        cut = np.flatnonzero(np.diff(self.anchor) | np.diff(self.doc)) + 1
+        first = np.concatenate([[0], cut])
+        return first, np.diff(np.concatenate([first, [len(self.start)]])), self.doc[first]
+
 
 def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Words of whole texts, about ``CHUNK_WORDS`` at a time, and the row of the first text."""
@@ -88,59 +101,72 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield at, part
 
 
+SEED = "array<struct<anchor:bigint,around:bigint,start:int,n:int>>"
+
+
 def _summaries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the number of words, the checksum of all of them, and its anchors."""
+    """Per document the number of words, the checksum of all of them, and its seeds."""
     hashes = WordHashes()
     for batch in parts:
-        counts, sums, offsets, values = [], [], [0], []
+        counts, sums, offsets, fields = [], [], [0], []
         for _, lists in _portions(batch):
             windows = Windows(lists, hashes)
-            pairs = np.unique(windows.doc << 32 | windows.anchor)
-            doc, gram = pairs >> 32, windows.grams[pairs & (2**32 - 1)].view(np.int64)
-            values.append(gram)
-            per = np.bincount(doc, minlength=len(lists))
-            offsets += (offsets[-1] + np.cumsum(per)).tolist()
+            first, n, doc = windows.seeds()
+            start = windows.start[first]
+            around = mixed(windows.of(start, n + WINDOW - 1)) ^ n.astype(np.uint64)
+            fields.append((
+                windows.grams[windows.anchor[first]].view(np.int64), around.view(np.int64),
+                (start - windows.first[doc]).astype(np.int32), n.astype(np.int32)))
+            offsets += (offsets[-1] + np.cumsum(np.bincount(doc, minlength=len(lists)))).tolist()
             counts += map(len, lists)
             sums += [hashlib.sha256(b" ".join(words)).hexdigest() for words in lists]
-        anchors = pa.ListArray.from_arrays(
-            pa.array(offsets, pa.int32()), pa.array(np.concatenate(values or [[]]), pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        columns = zip(*fields) if fields else [[np.zeros(0)]] * 4
+        flat = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(list(c)), kind) for c, kind in zip(columns, kinds)],
+            names=["anchor", "around", "start", "n"])
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], batch["tag"], batch["copy"], pa.array(counts, pa.int64()),
-             pa.array(sums, pa.string()), anchors],
-            names=["doc_id", "tag", "copy", "n_words", "all_sha256", "anchors"])
+             pa.array(sums, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
+            names=["doc_id", "tag", "copy", "n_words", "all_sha256", "seeds"])
 
 
 def _extended(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows around the shared anchors of each document."""
+    """Extents of a window's length around the listed seeds: a row per seed with their hashes."""
     hashes = WordHashes()
     for batch in parts:
-        shared = batch["anchors"].to_pylist()
+        listed = batch["seeds"].to_pylist()
         for at, lists in _portions(batch):
             windows = Windows(lists, hashes)
-            place, back = np.unique(windows.anchor, return_inverse=True)
-            doc = np.searchsorted(windows.first, place, side="right") - 1
-            salt = mixed(np.arange(len(lists), dtype=np.uint64))
-            wanted = [np.array(shared[at + k], np.int64).view(np.uint64) ^ salt[k]
-                      for k in range(len(lists))]
-            keep = np.isin(windows.grams[place] ^ salt[doc], np.concatenate(wanted))[back]
-            start, doc = windows.start[keep], windows.doc[keep]
-            rows = pa.array(doc + at)
+            rows, anchors, starts, sizes = [], [], [], []
+            for k in range(len(lists)):
+                for seed in listed[at + k]:
+                    rows.append(at + k)
+                    anchors.append(seed["anchor"])
+                    starts.append(windows.first[k] + seed["start"])
+                    sizes.append(seed["n"])
+            n = np.array(sizes, np.int64)
+            ends = np.cumsum(n)
+            each = np.arange(int(ends[-1]) if len(n) else 0) - np.repeat(ends - n, n)
+            place = np.repeat(np.array(starts, np.int64), n) + each
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            found = pa.ListArray.from_arrays(offsets, pa.array(windows.of(place, WINDOW).view(np.int64)))
+            own = pa.array(rows, pa.int64())
+            begin = np.array(starts, np.int64) - windows.first[np.array(rows, np.int64) - at]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(rows), batch["tag"].take(rows),
-                 pa.array(windows.grams[windows.anchor[keep]].view(np.int64)),
-                 pa.array(windows.of(start, WINDOW).view(np.int64)),
-                 pa.array((start - windows.first[doc]).astype(np.int32))],
-                names=["doc_id", "tag", "anchor", "hash", "start"])
+                [batch["doc_id"].take(own), batch["tag"].take(own), pa.array(anchors, pa.int64()),
+                 pa.array(begin.astype(np.int32)), found],
+                names=["doc_id", "tag", "anchor", "start", "hashes"])
 
 
-def spans_of(starts: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs of words covered by windows that start at ``starts``."""
+def spans_of(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of words that parts ``[from, to)`` cover together."""
     spans: list[list[int]] = []
-    for s in sorted(starts):
-        if spans and s <= spans[-1][1]:
-            spans[-1][1] = s + WINDOW
+    for a, b in sorted(parts):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
         else:
-            spans.append([s, s + WINDOW])
+            spans.append([a, b])
     return [(a, b) for a, b in spans]
 
 
@@ -148,8 +174,9 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
     for batch in parts:
         removed, sums, repeats = [], [], []
-        for text, starts in zip(byte_texts(batch["text"]), batch["starts"].to_pylist()):
-            words, spans, kept, at = text.split(), spans_of(starts), [], 0
+        for text, found in zip(byte_texts(batch["text"]), batch["spans"].to_pylist()):
+            words, kept, at = text.split(), [], 0
+            spans = spans_of([(x["from"], x["to"]) for x in found])
             for a, b in spans:
                 kept += words[at:a]
                 at = b
@@ -179,6 +206,29 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).filter("_first < _last").drop("_last")
 
 
+def _span(length: Column) -> Column:
+    end = (F.col("start") + length).cast("int")
+    return F.struct(F.col("start").alias("from"), end.alias("to")).alias("span")
+
+
+def _classes(seeds: DataFrame) -> DataFrame:
+    """``anchor, around, _first, several``: classes of equal neighbourhoods that matter.
+
+    ``_first`` is the class's smallest doc_id; ``several`` says whether the anchor has further
+    classes, in other documents. Classes of one document alone with the anchor are left out.
+    """
+    own = written(seeds.groupBy("anchor", "around").agg(
+        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")), "classes")
+    open_anchors = own.groupBy("anchor").agg(
+        F.count("*").alias("_n"), F.min("_first").alias("_low"), F.max("_last").alias("_high")
+    ).filter("_n > 1 and _low < _high")
+    open_anchors = written(open_anchors.select("anchor", F.lit(True).alias("several")), "open-anchors")
+    told = matched(own, open_anchors, "anchor", "left").withColumn(
+        "several", F.coalesce("several", F.lit(False)))
+    kept = told.filter("several or _first < _last").select("anchor", "around", "_first", "several")
+    return written(kept, "open-classes")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, repeats`` for every row.
 
@@ -195,33 +245,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"))
     summed = written(rows.mapInArrow(
         _summaries,
-        f"doc_id {kind}, tag long, copy binary, n_words long, all_sha256 string, "
-        "anchors array<long>"), "summaries")
+        f"doc_id {kind}, tag long, copy binary, n_words long, all_sha256 string, seeds {SEED}"
+    ), "summaries")
     known = summed.filter("doc_id is not null")
     originals = written(_shared(known, ["copy"]), "originals")
     marked = summed.join(originals, "copy", "left").withColumn(
         "_copied", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
-    seeds = marked.filter(f"not _copied and doc_id is not null and n_words >= {WINDOW}").select(
-        "doc_id", "tag", F.explode("anchors").alias("anchor"))
-    shared = written(_shared(seeds, ["anchor"]).select("anchor"), "anchors")
-    lists = written(
-        seeds.join(shared, "anchor").groupBy("doc_id", "tag").agg(
-            F.collect_set("anchor").alias("anchors")), "shared-anchors")
-    near = _beside_texts(rows, lists)
-    windows = written(near.mapInArrow(
-        _extended, f"doc_id {kind}, tag long, anchor long, hash long, start int"), "windows")
-    partners = written(_shared(windows, ["anchor", "hash"]), "partners")
-    hits = windows.join(partners, ["anchor", "hash"]).filter("doc_id > _first")
-    starts = written(
-        hits.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts")), "hits")
-    cut = _beside_texts(rows, starts).mapInArrow(
+    seeds = marked.filter("not _copied and doc_id is not null").select("doc_id", "tag", F.inline("seeds"))
+    classes = _classes(seeds)
+    met = matched(seeds, classes, ["anchor", "around"])
+    whole = met.filter("doc_id > _first").select("doc_id", "tag", _span(F.col("n") + (WINDOW - 1)))
+    listed = written(
+        met.filter("several and doc_id = _first").groupBy("doc_id", "tag").agg(
+            F.collect_list(F.struct("anchor", "start", "n")).alias("seeds")), "open-seeds")
+    steps = written(_beside_texts(rows, listed).mapInArrow(
+        _extended, f"doc_id {kind}, tag long, anchor long, start int, hashes array<long>"), "extents")
+    each = steps.select("doc_id", "tag", "anchor", "start", F.posexplode("hashes").alias("at", "hash"))
+    partners = written(_shared(each, ["anchor", "hash"]), "partners")
+    partly = matched(each, partners, ["anchor", "hash"]).filter("doc_id > _first").withColumn(
+        "start", F.col("start") + F.col("at")).select("doc_id", "tag", _span(F.lit(WINDOW)))
+    spans = written(
+        whole.unionByName(partly).groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans")),
+        "spans")
+    cut = _beside_texts(rows, spans).mapInArrow(
         _cut,
         f"doc_id {kind}, tag long, n_removed long, kept_sha256 string, "
         "repeats array<struct<from:int,to:int>>").dropDuplicates(["doc_id", "tag"])
     gone = F.col("_copied") & (F.col("n_words") >= WINDOW)
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")))
     nothing = F.array().cast("array<struct<from:int,to:int>>")
-    return marked.drop("copy", "anchors", "_first").join(cut, ["doc_id", "tag"], "left").select(
+    return marked.drop("copy", "seeds", "_first").join(cut, ["doc_id", "tag"], "left").select(
         "doc_id", "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(
