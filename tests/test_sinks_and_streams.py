@@ -1,12 +1,15 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import maintenance, pages
 from ledgerloom.operators.relations import not_yet_stored
-from ledgerloom.session import shared_folder
+from ledgerloom.session import scratch, shared_folder, write_through
 from ledgerloom.sources import commits, records, registration
 from ledgerloom.sources.tables import read_table
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import ingest, metrics
 
 
 def rows(spark, n=10):
@@ -402,3 +405,46 @@ def test_pages_are_slices_of_the_order(spark, monkeypatch, shallow):
         got = pages.review_queue_page(queue, page, size).collect()
         assert [r["review_id"] for r in got] == [r[0] for r in order[(page - 1) * size : page * size]]
         assert all(r["total"] == 500 for r in got)
+
+
+def test_intermediate_tables_go_with_their_block(spark, tmp_path):
+    frame = spark.range(5).withColumnRenamed("id", "a")
+    with scratch(spark):
+        inner = write_through(frame, "inner")
+        place = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        inner.write.parquet(str(tmp_path / "result"))
+        assert os.path.isdir(place)
+    outer = write_through(frame, "outer")
+    assert not os.path.exists(place) and outer.count() == 5
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        place = write_through(frame, "inner").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        1 / 0
+    assert not os.path.exists(place)
+
+
+def test_listener_writes_what_a_stream_does(spark, tmp_path):
+    source, target, state, told = (str(tmp_path / n) for n in ("in", "out", "state", "told"))
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        add_file(tmp_path / "in", f"{i}.csv", i * 10, 10)
+    listener = metrics.ProgressTable(spark, told)
+    spark.streams.addListener(listener)
+    try:
+        for transform in (lambda df: df, lambda df: (_ for _ in ()).throw(OSError("down"))):
+            stream = ingest.stream_files(spark, source, SCHEMA, files_per_trigger=2, header="true")
+            try:
+                ingest.run_available(stream, target, state, transform, attempts=1)
+            except Exception:
+                pass
+            add_file(tmp_path / "in", "late.csv", 90, 5)
+        for _ in range(60):
+            totals = metrics.stream_totals(metrics.progress_rows(spark, told)).collect()
+            if len(totals) == 2 and not any(r["running"] for r in totals):
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    done, failed = sorted(totals, key=lambda r: -r["rows"])
+    assert (done["batches"], done["rows"], done["error"]) == (2, 30, None)
+    assert failed["rows"] == 0 and "down" in failed["error"] and not failed["running"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.layout import line_records
 from ledgerloom.session import shared_folder
 from ledgerloom.sources.csv import csv_rows, valid_csv_rows
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import ingest, metrics
 
 from .registry import query
 from .views import table
@@ -235,3 +237,25 @@ def stream_retries(spark, folder):
     failed = ingest.batch_log(spark, state).filter("status = 'failed' AND source_file IS NOT NULL")
     return ingest.loaded(spark, target, LOADED_SCHEMA).select(
         "kind", "key", "label", failed.agg(F.count("*")).scalar().alias("failed_files"))
+
+
+@query(
+    "stream_metrics",
+    "SELECT 3::BIGINT AS batches, count(*) AS rows, FALSE AS running, NULL::VARCHAR AS error FROM orders",
+)
+def stream_metrics(spark, folder):
+    """What a listener wrote while eight files were loaded in three batches."""
+    path = shared_folder(spark, "stream-metrics")
+    listener = metrics.ProgressTable(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        load_orders(spark, folder)
+        for _ in range(60):
+            # Events arrive a little after the stream has ended.
+            rows = metrics.stream_totals(metrics.progress_rows(spark, path))
+            if rows.filter("running").isEmpty() and rows.count() == 2:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    return rows.filter("batches > 0").select("batches", "rows", "running", "error")
