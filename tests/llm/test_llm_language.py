@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
-from helpers import documents
+import pytest
+from helpers import documents, rng
 
 from ledgerloom.llm import language, queries
 
@@ -47,3 +50,30 @@ def test_defined_results_for_odd_texts(spark):
     assert language.predict(none, language.train(none)).first()["lang_pred"] == "und"
     empty = documents(spark, [])
     assert language.predict(empty, language.train(empty)).collect() == []
+
+
+def test_predictions_are_those_of_a_plain_decoder(spark):
+    """Trigrams one by one, margins by sums, and the codeword with the least weighted loss."""
+    r = rng(15)
+    alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "ghijéü "}
+    langs = [r.choice(list(alphabets)) for _ in range(150)]
+    texts = ["".join(r.choice(alphabets[g]) for _ in range(r.randrange(5, 200))) for g in langs]
+    docs = documents(spark, texts, langs=langs)
+    model = language.train(docs.filter("doc_id < 100"))
+    unit = 2.0**30 / np.abs(model["weights"]).max()
+    weights = [[round(float(x) * unit) for x in row] for row in model["weights"].T]
+    for row in language.predict(docs, model).collect():
+        text = b"  " + texts[row["doc_id"]].encode().translate(language.LETTERS) + b" "
+        grams = [int(language.trigrams(np.frombuffer((text + b"  ")[k : k + 3], np.uint8))[0]) for k in range(len(text) - 2)]
+        tail = [int(g) for g in language.trigrams(np.frombuffer(text, np.uint8))[len(text) - 2:]]
+        grams += tail
+        seen = max(1, sum(g > 0 for g in grams))
+        margins = [sum(w[g] for g in grams) / (seen * unit) + b for w, b in zip(weights, model["bias"])]
+        losses = []
+        for word in model["code"]:
+            losses.append(len(word) * sum(
+                math.log1p(math.exp(-m * c)) * q for m, c, q in zip(margins, word, model["reliability"])))
+        shares = [math.exp(min(losses) - x) for x in losses]
+        best = losses.index(min(losses))
+        assert row["lang_pred"] == model["languages"][best]
+        assert row["score"] == pytest.approx(1 / sum(shares), rel=1e-6)

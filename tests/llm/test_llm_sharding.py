@@ -45,3 +45,39 @@ def test_written_shards_have_their_rows_in_slot_order(spark, tmp_path):
 
 def test_empty_table(spark):
     assert sharding.assign_shards(documents(spark, [])).collect() == []
+
+
+def plain_place(row, n, key):
+    """The permutation with Python's integers, one number at a time."""
+    size_a = next(a for a in range(1, n + 2) if a * a >= n)
+    size_b = -(-n // size_a)
+    mask = 2**64 - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return x ^ (x >> 32)
+
+    while True:
+        left, right, size, other = row % size_a, row // size_a, size_a, size_b
+        for number in range(sharding.ROUNDS):
+            salt = (key * 0x9E3779B97F4A7C15 + (number + 1) * 0xBF58476D1CE4E5B9) & mask
+            left, right = right, (left + mix(right ^ salt) % size) % size
+            size, other = other, size
+        row = left + size_a * right
+        if row < n:
+            return row
+
+
+def test_rows_shards_and_slots_of_a_table_by_plain_python(spark):
+    """Row numbers by sorting, places by the plain permutation, shards and slots by division."""
+    texts = [f"text {k * 7919 % 501}" if k % 9 else None for k in range(700)] + ["copy"] * 300
+    ids = [k * 31 % 997 for k in range(1000)]
+    rows = sorted(
+        ((i, -1 if t is None else zlib.crc32(t.encode()), len((t or "").encode()) + 16) for i, t in zip(ids, texts)))
+    expected = []
+    for number, (i, crc, size) in enumerate(rows):
+        place = plain_place(number, len(rows), 2024)
+        expected.append((i, size, None if crc < 0 else crc, place % 40, place // 40, number))
+    out = sharding.assign_shards(documents(spark, texts, ids).repartition(7))
+    assert rows_of(out, "doc_id", "size", "text_crc32", "shard", "slot", "row_number") == sorted(expected, key=repr)
