@@ -109,7 +109,6 @@ DEFAULT_MIME = "application/octet-stream"
 # Batch sizes and thresholds.
 DETERMINISTIC_BATCH = 5000
 AMBIGUOUS_BATCH = 50
-DEFAULT_BATCH = 500
 MAX_PROVIDER_BATCH = 100
 SAMPLE_ROWS = 20
 PROFILE_ROWS = 10

@@ -1,4 +1,7 @@
-"""Row checks, warnings and row candidates."""
+"""Row checks, warnings and row candidates.
+
+Fixed values: the messages of errors and warnings are those that stored data carries.
+"""
 
 from __future__ import annotations
 

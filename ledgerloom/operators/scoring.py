@@ -2,6 +2,8 @@
 
 Answers carry ``normalized_name, currency, asset_type, jurisdiction, latitude, longitude, signals,
 explanation, needs_review`` next to the row key, ``data`` and ``slots``.
+
+Fixed values: codes, factor names, messages and reasons are those that stored data carries.
 """
 
 from __future__ import annotations
