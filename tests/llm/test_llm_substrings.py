@@ -79,25 +79,6 @@ def test_passages_inside_others_and_many_surroundings(spark):
     assert got == plain(ids, texts) and sum(x[2] for x in got) > 1000
 
 
-def test_equal_surroundings_cost_a_row_each(spark, monkeypatch):
-    """Only the first document of a class has its extents listed, however many share it."""
-    r = rng(10)
-    passage = sentence(r, 400)
-    texts = [f"{sentence(r, 30)} {passage} {sentence(r, 30)}" for _ in range(60)]
-    rows = documents(spark, texts).select(
-        "doc_id", "text", substrings.F.lit(1).cast("long").alias("tag"),
-        substrings.F.lit(b"").alias("copy"))
-    summed = rows.mapInArrow(
-        substrings._summaries, "doc_id long, tag long, copy binary, n_words long, all_sha256 string, "
-        f"seeds {substrings.SEED}")
-    seeds = summed.select("doc_id", "tag", substrings.F.inline("seeds"))
-    classes = substrings._classes(seeds).collect()
-    inner = [c for c in classes if not c["several"]]
-    assert len(inner) > 10 and {c["_first"] for c in inner} == {0}
-    # The ends of the passage have as many surroundings as documents, its inside has one.
-    assert len({c["anchor"] for c in classes if c["several"]}) < 12
-
-
 def test_no_repeat_is_shorter_than_a_window(spark):
     r = rng(11)
     passage = sentence(r, 60)
