@@ -67,9 +67,9 @@ def _anchored_starts(positions: Column, reach: float) -> Column:
 def _split_by_places(places: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """Places of keys with few of them, and of those with many (None without such a key)."""
     many = places.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > LISTED_PLACES)
-    many = write_through(many.drop("_n"), "crowded")
     if many.isEmpty():
         return places, None
+    many = write_through(many.drop("_n"), "crowded")
     return places.join(many, keys, "left_anti"), places.join(many, keys, "left_semi")
 
 
@@ -173,7 +173,9 @@ def text_blocks(clustered: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     parts = F.array_sort(F.collect_list(F.struct("x", "y", "item", "text")))
     numbered = "blocks_before" in clustered.columns
-    blocks = clustered.groupBy(*BLOCK, *(["blocks_before"] if numbered else [])).agg(
+    keys = [*BLOCK, *(["blocks_before"] if numbered else [])]
+    # A block's text is a list of all its items: they meet first, for parts of lists save nothing.
+    blocks = clustered.repartition(*keys).groupBy(*keys).agg(
         F.count("*").alias("items"),
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
         F.var_pop("x").alias("x_variance"),
@@ -188,8 +190,8 @@ def text_blocks(clustered: DataFrame) -> DataFrame:
 
 
 def page_blocks(items: DataFrame) -> DataFrame:
-    """Items of all pages to blocks."""
-    return text_blocks(with_clusters(with_bands(items)))
+    """Items of all pages to blocks; what is read twice is written once."""
+    return text_blocks(with_clusters(write_through(with_bands(items), "banded-items")))
 
 
 def block_records(blocks: DataFrame) -> DataFrame:

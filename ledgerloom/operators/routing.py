@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.fields import is_falsy, off_limits, parse_currency, value_of
 from ..functions.text import is_blank
-from ..session import write_through
 from .spread import with_position
 
 
@@ -121,14 +120,13 @@ def with_batches(
 ) -> DataFrame:
     """Number each document's rows into batches per route; the last batch may be short.
 
-    Only the rows' keys are written and counted; the numbers meet the rows again by key.
+    Nothing is written for it: the places are counted from the rows' keys, and the rows are
+    numbered in the shuffle that brings a block's rows together.
     """
-    key = ["document_id", "sheet_name", "row_index"]
-    keys = write_through(routed.select(*key, "route"), "routed-keys")
-    placed = with_position(keys, ["document_id", "route"], "row_index", "_pos", within=["sheet_name"])
+    placed = with_position(
+        routed, ["document_id", "route"], "row_index", "_pos", within=["sheet_name"])
     size = F.when(F.col("route") == "deterministic", deterministic).otherwise(ambiguous)
-    numbers = placed.select(*key, F.floor((F.col("_pos") - 1) / size).alias("batch_id"))
-    return routed.join(numbers, key)
+    return placed.withColumn("batch_id", F.floor((F.col("_pos") - 1) / size)).drop("_pos")
 
 
 def provider_batch_size(size: int) -> int:

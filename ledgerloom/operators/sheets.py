@@ -38,16 +38,23 @@ def _is_text() -> Column:
 
 
 def cell_rows(cells: DataFrame) -> DataFrame:
-    """One row per sheet row, written: ``cells`` (the filled ones), ``first_filled`` and
-    ``first_any``, the first filled column and the first column of all.
+    """One row per sheet row, written: ``cells``, the filled ones by column, ``first_filled`` and
+    ``last_filled``, their ends, ``first_length``, the text length of the first of them, and
+    ``first_any``, the first column of all cells.
 
     Sheets keep their place in the workbook (``sheet_no``), where the cells have one.
     """
     numbered = [F.min("sheet_no").alias("sheet_no")] if "sheet_no" in cells.columns else []
-    cell = F.struct("col_num", "str_value", "num_value")
-    rows = cells.groupBy(*SHEET, "row_num").agg(
-        F.collect_list(F.when(is_filled(), cell)).alias("cells"),
-        F.min(F.when(is_filled(), F.col("col_num"))).alias("first_filled"),
+    cell = F.struct(
+        "col_num", F.struct(cell_text().alias("text"), F.col("str_value").isNotNull().alias("is_str"), "num_value"))
+    filled = F.when(is_filled(), F.col("col_num"))
+    length = F.when(_is_text(), F.length(trimmed(F.col("str_value"))))
+    # A row has few cells: they meet first, for lists that are begun before the shuffle save nothing.
+    dealt = cells.repartition(*SHEET, "row_num")
+    rows = dealt.groupBy(*SHEET, "row_num").agg(
+        F.map_from_entries(F.collect_list(F.when(is_filled(), cell))).alias("cells"),
+        F.min(filled).alias("first_filled"), F.max(filled).alias("last_filled"),
+        F.min(F.when(is_filled(), F.struct("col_num", length.alias("n"))))["n"].alias("first_length"),
         F.min("col_num").alias("first_any"), *numbered,
     )
     return write_through(rows, "sheet-rows")
@@ -69,7 +76,11 @@ def top_cells_of(rows: DataFrame) -> DataFrame:
     offset = F.col("row_num") - F.col("first_row")
     near = join_measured(rows.select(*SHEET, "row_num", "cells"), ranges, SHEET, "inner")
     top = near.withColumn("offset", offset).filter(F.col("offset") < vocab.HEADER_SCAN_ROWS)
-    return write_through(top.select("*", F.inline("cells")).drop("cells"), "top-cells")
+    each = top.select("*", F.explode("cells").alias("col_num", "_cell")).drop("cells")
+    return write_through(each.select(
+        *[c for c in each.columns if c != "_cell"],
+        F.when(F.col("_cell.is_str"), F.col("_cell.text")).alias("str_value"), "_cell.num_value",
+    ), "top-cells")
 
 
 def top_cells(cells: DataFrame) -> DataFrame:
@@ -218,19 +229,16 @@ def rows_of(rows: DataFrame, layout: DataFrame) -> DataFrame:
         F.col("gap_after").isNull() | (F.col("row_num") <= F.col("gap_after"))
     )
     end = F.col("first_col") + F.col("width")
-    inside = kept.withColumn("cells", F.filter("cells", lambda c: c["col_num"] < end))
-
-    def cell_value(c: Column) -> Column:
-        return F.coalesce(c["str_value"], number_text(c["num_value"]))
-
-    first = F.get(F.filter("cells", lambda c: c["col_num"] == F.col("first_col")), F.lit(0))
-    length = F.when(
-        first["num_value"].isNull() & ~is_blank(first["str_value"]), F.length(trimmed(first["str_value"])))
-    note = (F.size("cells") == 1) & (F.coalesce(length, F.lit(0)) > vocab.NOTE_MIN_LENGTH)
-    entries = F.map_from_entries(F.transform(
-        "cells", lambda c: F.struct((c["col_num"] - F.col("first_col")).cast("int"), cell_value(c))))
-    values = F.transform("headers", lambda h, i: F.try_element_at(F.col("entries"), i))
-    return inside.filter(~note).withColumn("entries", entries).withColumn("values", values).select(
+    within_width = F.when(F.col("last_filled") < end, F.size("cells")).otherwise(
+        F.size(F.map_filter("cells", lambda at, _: at < end)))
+    first_is_long = (F.col("first_filled") == F.col("first_col")) & (
+        F.col("first_length") > vocab.NOTE_MIN_LENGTH)
+    note = F.coalesce(first_is_long, F.lit(False)) & (within_width == 1)
+    values = F.transform(
+        "headers",
+        lambda h, i: F.try_element_at(F.col("cells"), (F.col("first_col") + i).cast(
+            rows.schema["cells"].dataType.keyType))["text"])
+    return kept.filter(~note).withColumn("values", values).select(
         *SHEET,
         *numbered,
         (F.col("row_num") + 1).alias("row_index"),

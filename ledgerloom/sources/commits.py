@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove
 from .tables import SCHEMAS, table_row
 
 MARKS = "commit_marks"
@@ -158,8 +159,7 @@ def remove_replaced(spark: SparkSession, root: str, name: str, files_at_once: in
         dead = place.select("_file").distinct().join(alive, "_file", "left_anti").limit(files_at_once)
         names = [r["_file"] for r in dead.collect()]
         for path in names:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+            remove(spark, path)
         removed += len(names)
         if len(names) < files_at_once:
             return removed

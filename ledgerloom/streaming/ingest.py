@@ -18,7 +18,7 @@ from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, remove
 
 ATTEMPTS = 3
 #: Seconds before the second attempt; each further one waits twice as long.
@@ -118,10 +118,21 @@ def _is_io(throwable) -> bool:
     return False
 
 
+def _batch_path(table: str, batch_id: int) -> str:
+    return f"{table.rstrip('/')}/{BATCH_COLUMN}={batch_id}"
+
+
 def write_portion(df: DataFrame, batch_id: int, table: str, portion: str) -> None:
-    """Write part of a micro-batch to a folder of its own; a repeated one replaces what it wrote."""
-    df.write.mode("overwrite").parquet(
-        f"{table.rstrip('/')}/{BATCH_COLUMN}={batch_id}/{PORTION_COLUMN}={portion}")
+    """Write part of a micro-batch to a folder of its own; a repeated one replaces what it wrote.
+
+    Of a portion that fails nothing stays, also where the file system shows files of broken jobs.
+    """
+    path = f"{_batch_path(table, batch_id)}/{PORTION_COLUMN}={portion}"
+    try:
+        df.write.mode("overwrite").parquet(path)
+    except Exception:
+        remove(df.sparkSession, path)
+        raise
 
 
 def _log_path(checkpoint: str) -> str:
@@ -186,6 +197,8 @@ def run_available(
     def step(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         _log(spark, checkpoint, batch_id, [(None, "queued", None)])
+        # What an attempt that broke off has written, in whatever portions.
+        remove(spark, _batch_path(table, batch_id))
         failed = _load(df, batch_id, table, transform, "p")
         state = "failed" if failed else "completed"
         _log(spark, checkpoint, batch_id, [(None, state, None), *failed])

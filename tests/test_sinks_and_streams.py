@@ -448,3 +448,28 @@ def test_listener_writes_what_a_stream_does(spark, tmp_path):
     done, failed = sorted(totals, key=lambda r: -r["rows"])
     assert (done["batches"], done["rows"], done["error"]) == (2, 30, None)
     assert failed["rows"] == 0 and "down" in failed["error"] and not failed["running"]
+
+
+def test_a_batch_that_broke_off_among_its_portions_is_written_once(spark, tmp_path):
+    """A bad file makes halves; storage fails between them; the next attempt finds the file mended."""
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        add_file(tmp_path / "in", f"{i}.csv", i * 10, 10)
+    calls = []
+
+    def transform(df):
+        calls.append(1)
+        if len(calls) == 4:
+            raise OSError("storage does not answer")
+        if len(calls) < 4:
+            bad = F.when(F.col("id") == 23, F.raise_error(F.lit("bad"))).otherwise(F.col("id"))
+            return df.withColumn("id", bad)
+        return df
+
+    stream = ingest.stream_files(spark, source, SCHEMA, header="true")
+    ingest.run_available(stream, target, state, transform, pause=0.1)
+    assert len(calls) == 5
+    assert sorted(r["id"] for r in ingest.loaded(spark, target, SCHEMA).collect()) == list(range(60))
+    assert ingest.progress_metrics(ingest.batch_log(spark, state)).first().asDict() == {
+        "queued": 1, "completed": 1, "failed": 0}
