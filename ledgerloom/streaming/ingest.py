@@ -40,7 +40,7 @@ def stream_files(
     spark: SparkSession, path: str, schema: str, kind: str = "csv",
     files_per_trigger: int | None = FILES_PER_TRIGGER, **options: str,
 ) -> DataFrame:
-    """File stream over a folder; the source remembers which files it has taken.
+    """File stream over a folder or a path pattern; the source remembers which files it has taken.
 
     A micro-batch takes at most ``files_per_trigger`` files, or what the option
     ``maxBytesPerTrigger`` allows. Rows carry the file they came from in ``source_file``.

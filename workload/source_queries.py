@@ -142,9 +142,8 @@ def streamed_lines(spark, folder):
     """Document texts streamed from parquet and split into line records on the way in."""
     schema = table(spark, folder, "documents").select("doc_id", "text").schema.simpleString()[7:-1]
     typed = ", ".join(part.replace(":", " ") for part in schema.split(","))
-    stream = ingest.stream_files(
-        spark, folder, typed, kind="parquet", pathGlobFilter="documents.parquet"
-    )
+    # A pattern, for the table may be one file as well as a folder of files.
+    stream = ingest.stream_files(spark, f"{folder}/documents.parque[t]", typed, kind="parquet")
     target, state = shared_folder(spark, "lines"), shared_folder(spark, "stream-state")
     ingest.run_available(stream, target, state, line_records)
     lines = ingest.loaded(spark, target, "doc_id bigint, line string, line_number int")
