@@ -86,7 +86,7 @@ def _counted_blocks(lines: DataFrame) -> DataFrame:
     )
     before = W.partitionBy("document_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     counted = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return write_through(counted.drop("n"), "blocks")
+    return write_through(counted, "blocks")
 
 
 def _numbered_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -97,8 +97,8 @@ def _numbered_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     return numbered.withColumn("line_no", number).drop("first_id", "lines_before")
 
 
-def _joined_records(lines: DataFrame) -> DataFrame:
-    """Numbered lines joined to records where quoted fields hold line breaks.
+def _joined_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered lines joined to records where quoted fields hold line breaks; ``n`` records by block.
 
     Each block is summarised for both cases: entered outside or inside quotes. The quotes counted
     in earlier blocks then tell which case holds, how many records came before, and where the
@@ -132,12 +132,13 @@ def _joined_records(lines: DataFrame) -> DataFrame:
         F.sum("odd").over(whole) % 2 == 1, F.max(pick("last_outside", "last_inside")).over(whole))
     offsets = write_through(entered.select(
         *BLOCK, "inside", never.alias("unclosed_from"),
+        pick("starts_outside", "starts_inside").alias("n"),
         F.coalesce(F.sum(pick("starts_outside", "starts_inside")).over(before), F.lit(0))
         .alias("before"),
         F.max(pick("last_outside", "last_inside")).over(before).alias("open_since"),
     ), "block-offsets")
     marked = join_measured(
-        local, offsets, BLOCK, "inner", broadcast_rows=BROADCAST_BLOCKS
+        local, offsets.drop("n"), BLOCK, "inner", broadcast_rows=BROADCAST_BLOCKS
     ).withColumn("starts", F.when((F.col("inside") + F.col("seen")) % 2 == 0, 1).otherwise(0))
     upto = along.rowsBetween(W.unboundedPreceding, W.currentRow)
     began = F.coalesce(
@@ -153,16 +154,26 @@ def _joined_records(lines: DataFrame) -> DataFrame:
     ).groupBy("document_id", "record_no", "part", "unclosed")
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
-    return records.agg(text.alias("line")).select("document_id", "line", "record_no", "unclosed")
+    joined = records.agg(text.alias("line")).select("document_id", "line", "record_no", "unclosed")
+    return joined, offsets.select(*BLOCK, "n")
 
 
-def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _rows_before(blocks: DataFrame) -> DataFrame:
+    """Rows, headers not counted, of all files whose names come before a file's; one row per file."""
+    sizes = blocks.groupBy("document_id").agg((F.sum("n") - 1).alias("n"))
+    before = W.orderBy("document_id").rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(
+        "document_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
+
+
+def csv_rows(spark: SparkSession, path: str | list[str], one_table: bool = False) -> DataFrame:
     """Rows of CSV files: ``row_index`` (file row, header is 1), ``headers``, ``values``, ``raw``.
 
     Quoted fields may hold line breaks. A short row has nulls for its missing values and no key
     for them in ``raw``; values beyond the header are in ``extra_values`` and, as ``_<position>``,
     in ``raw``. ``unclosed`` marks a record whose quote never closes; it may come in several parts
-    with one ``row_index``.
+    with one ``row_index``. With ``one_table`` the files are the parts of one table, each with the
+    header: ``row_index`` runs on through them in the order of their names.
     """
     lines = read_lines(spark, path)
     blocks = _counted_blocks(lines)
@@ -174,12 +185,14 @@ def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.lit(False).alias("unclosed"),
         )
     else:
-        numbered = _joined_records(numbered)
+        numbered, blocks = _joined_records(numbered)
     numbered = numbered.withColumn("line", line_end)
     names = csv_headers(split_fields(F.col("line")))
-    heads = write_through(
-        numbered.filter("record_no = 0").select("document_id", names.alias("headers")), "headers"
-    )
+    heads = numbered.filter("record_no = 0").select("document_id", names.alias("headers"))
+    before = F.lit(0)
+    if one_table:
+        heads, before = heads.join(_rows_before(blocks), "document_id"), F.col("rows_before")
+    heads = write_through(heads, "headers")
     body = numbered.filter("record_no > 0").withColumn("fields", split_fields(F.col("line")))
     joined = join_measured(body, heads, ["document_id"], "inner")
     width, given = F.size("headers"), F.size("fields")
@@ -192,7 +205,7 @@ def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return joined.select(
         "document_id",
         F.lit("").alias("sheet_name"),
-        (F.col("record_no") + 1).alias("row_index"),
+        (F.col("record_no") + before + 1).alias("row_index"),
         "headers",
         F.transform("headers", lambda h, i: F.get(F.col("fields"), i)).alias("values"),
         F.slice("fields", width + 1, F.greatest(given - width, F.lit(0))).alias("extra_values"),

@@ -31,44 +31,41 @@ def cell(name):
 
 
 def write_in_order(rows, key, **options):
-    """Write many CSV files by range of ``key``, each in order; ``pos`` is a row's line in its file."""
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 2
-    return write_csv(ordered.withColumn("pos", nth), **options)
+    """Write many CSV files by range of ``key``, nulls last: each in order, and so are their names."""
+    last = F.col(f"`{key}`").asc_nulls_last()
+    return write_csv(rows.repartitionByRange(last).sortWithinPartitions(last), **options)
 
 
 @query(
     "csv_scan",
-    """SELECT TRUE AS in_place, p_partkey::VARCHAR AS part_key,
+    """SELECT row_number() OVER (ORDER BY p_partkey) + 1 AS row_index, p_partkey::VARCHAR AS part_key,
          concat(p_name, ', "', p_brand, '"', chr(1)) AS description, p_type AS part_type FROM part""",
 )
 def csv_scan(spark, folder):
-    """Fields with commas, quotes and control characters survive the scan, each at its row of its file."""
+    """Fields with commas, quotes and control characters survive the scan, each at its row of the table."""
     text = F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"\x01'))
     part = table(spark, folder, "part").select(
         F.col("p_partkey").alias(" Part Key"), text.alias("Description"),
         F.col("p_type").alias("Part Type "),
     )
-    rows = csv_rows(spark, write_in_order(part, " Part Key"))
+    rows = csv_rows(spark, write_in_order(part, " Part Key"), one_table=True)
     return rows.select(
-        (F.col("row_index") == cell("pos").cast("bigint")).alias("in_place"),
-        cell("part_key").alias("part_key"), cell("description").alias("description"),
+        "row_index", cell("part_key").alias("part_key"), cell("description").alias("description"),
         cell("part_type").alias("part_type"),
     )
 
 
 @query(
     "csv_scan_line_breaks",
-    """SELECT TRUE AS in_place, doc_id::VARCHAR AS doc_id,
+    """SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row_index, doc_id::VARCHAR AS doc_id,
          sha256(text) AS text_hash, length(text)::BIGINT AS length FROM documents""",
 )
 def csv_scan_line_breaks(spark, folder):
-    """Whole document texts, line breaks included, survive the scan, each at its row of its file."""
+    """Whole document texts, line breaks included, survive the scan, each at its row of the table."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    rows = csv_rows(spark, write_in_order(documents, "doc_id", quoteAll=True))
+    rows = csv_rows(spark, write_in_order(documents, "doc_id", quoteAll=True), one_table=True)
     return rows.select(
-        (F.col("row_index") == cell("pos").cast("bigint")).alias("in_place"),
-        cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
+        "row_index", cell("doc_id").alias("doc_id"), F.sha2(cell("text"), 256).alias("text_hash"),
         F.length(cell("text")).alias("length"),
     )
 
