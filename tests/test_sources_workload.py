@@ -70,3 +70,14 @@ def test_csv_scan_numbers_the_rows_of_the_table(spark, tmp_path):
     got = many_parts(spark, lambda: contract.queries()["csv_scan"](spark, str(tmp_path)).collect())
     assert sorted((r["row_index"], r["part_key"], r["description"]) for r in got) == [
         (k + 2, str(k), f'n {k}, "b"\x01') for k in range(500)]
+
+
+def test_csv_scan_line_breaks_numbers_the_rows_of_the_table(spark, tmp_path):
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    rows = [(11 * i % 300, f"first\n\"{i}\",\nlast") for i in range(300)]
+    save(tmp_path, "documents", rows, schema, 2)
+    got = many_parts(
+        spark, lambda: contract.queries()["csv_scan_line_breaks"](spark, str(tmp_path)).collect())
+    texts = dict(rows)
+    assert sorted((r["row_index"], r["doc_id"], r["length"]) for r in got) == [
+        (k + 2, str(k), len(texts[k])) for k in range(300)]
