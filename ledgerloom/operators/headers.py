@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITESPACE_CLASS, trimmed
+from ..functions.text import WHITESPACE_CLASS, let, trimmed
 
 
 def _numbered(names: Column) -> Column:
-    """Append ``_<n>`` to the n-th repeat of a name."""
+    """Append ``_<n>`` to the n-th repeat of a name.
 
-    def mark(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
-        return F.when(
-            seen > 0, F.concat(name, F.lit("_"), (seen + 1).cast("string"))
-        ).otherwise(name)
+    The names are bound, for they are read once for every name and would be made anew each time.
+    """
+
+    def marked(bound: Column) -> Column:
+        def mark(name: Column, i: Column) -> Column:
+            earlier = F.filter(F.slice(bound, F.lit(1), i), lambda other: other == name)
+            numbered = lambda n: F.when(
+                n > 0, F.concat(name, F.lit("_"), (n + 1).cast("string"))
+            ).otherwise(name)
+            return let(F.size(earlier), numbered)
+
+        different = F.size(F.array_distinct(bound)) == F.size(bound)
+        return F.when(different, bound).otherwise(F.transform(bound, mark))
 
-    return F.transform(names, mark)
+    return let(names, marked)
 
 
 def _named(names: Column) -> Column:
@@ -61,10 +69,12 @@ def strict_headers(headers: Column) -> Column:
 
 def strict_duplicates(headers: Column) -> Column:
     """The numbered names that ``strict_headers`` had to give to repeats."""
-    plain = F.transform(headers, strict_header_name)
-    pairs = F.arrays_zip(plain.alias("plain"), _numbered(plain).alias("unique"))
-    repeats = F.filter(pairs, lambda p: p["plain"] != p["unique"])
-    return F.transform(repeats, lambda p: p["unique"])
+
+    def repeats(plain: Column) -> Column:
+        pairs = F.arrays_zip(plain.alias("plain"), _numbered(plain).alias("unique"))
+        return F.transform(F.filter(pairs, lambda p: p["plain"] != p["unique"]), lambda p: p["unique"])
+
+    return let(F.transform(headers, strict_header_name), repeats)
 
 
 def has_required_headers(headers: Column, required: list[str]) -> Column:

@@ -58,3 +58,26 @@ def test_row_errors(value):
     assert value(errors) == [
         "Column count mismatch: expected 2, got 3", "Missing required headers: c", "Empty row",
     ]
+
+
+def test_repeats_are_numbered_as_in_a_walk(value):
+    given = ["a", "", None, "A ", "b", "a", "", "a_2", None]
+    names = [None if g is None else g.strip().lower() for g in given]
+    walked = [
+        n if n is None or n not in names[:i] else f"{n}_{names[:i].count(n) + 1}"
+        for i, n in enumerate(names)
+    ]
+    assert value(headers.strict_headers(texts(*given))) == walked
+    assert value(headers.strict_duplicates(texts(*given))) == [
+        w for n, w in zip(names, walked) if n != w]
+    assert value(headers.strict_headers(texts("a", None, None))) == ["a", None, None]
+
+
+def times_made(column):
+    """How often a name is made, as the expression is written."""
+    return str(column).count("regexp_replace") // str(headers.strict_header_name(F.col("h"))).count(
+        "regexp_replace")
+
+
+def test_duplicates_are_found_from_names_made_once():
+    assert times_made(headers.strict_duplicates(F.col("line"))) == 1
