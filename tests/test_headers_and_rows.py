@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import headers, rows
+from workload import row_queries
 
 
 def texts(*items):
@@ -81,3 +82,13 @@ def times_made(column):
 
 def test_duplicates_are_found_from_names_made_once():
     assert times_made(headers.strict_duplicates(F.col("line"))) == 1
+
+
+def test_csv_names_are_made_once(spark):
+    made = str(headers.csv_headers(F.col("line"))).count("regexp_replace")
+    assert made == str(headers.csv_header_name(F.col("h"))).count("regexp_replace")
+
+
+def test_header_lines_of_a_small_table_go_to_all_cores(spark):
+    lines = row_queries.header_lines(spark, "/root/testdata/sf0.001")
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.fields import parsed_values
 from ledgerloom.functions.text import is_blank
 from ledgerloom.operators import headers, rows
+from ledgerloom.session import spread_small
 from ledgerloom.sources.records import row_records, storable
 from ledgerloom.plans.extraction import normalize_rows, settled_and_ambiguous
 
@@ -37,7 +38,7 @@ def named(plain):
 
 
 def header_lines(spark, folder):
-    part = table(spark, folder, "part")
+    part = spread_small(table(spark, folder, "part"))
     tail = F.concat(
         F.col("p_type"), F.lit("\t("), F.col("p_size").cast("string"), F.lit(")!")
     )
