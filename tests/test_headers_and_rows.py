@@ -92,3 +92,7 @@ def test_csv_names_are_made_once(spark):
 def test_header_lines_of_a_small_table_go_to_all_cores(spark):
     lines = row_queries.header_lines(spark, "/root/testdata/sf0.001")
     assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_strict_names_are_made_once():
+    assert times_made(headers.strict_headers(F.col("line"))) == 1
