@@ -96,3 +96,7 @@ def test_header_lines_of_a_small_table_go_to_all_cores(spark):
 
 def test_strict_names_are_made_once():
     assert times_made(headers.strict_headers(F.col("line"))) == 1
+
+
+def test_required_names_are_looked_up_among_names_made_once():
+    assert times_made(headers.has_required_headers(F.col("line"), ["a", "b"])) == 1
