@@ -11,13 +11,14 @@ and offset, by itself. Only the length table and the runs pass the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,50 +31,135 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers, about 200 bytes each.
 CACHED_CHUNKS = 700_000
-_POINT = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=\s)")
+#: Bytes of the texts that are cut into chunks at once (one text may have more).
+GROUP_BYTES = 1 << 22
 #: First bytes of U+0300 to U+037F, where all marks are that the tokenizer composes with A-Z.
 _MARK = re.compile(rb"[\xcc\xcd]")
+#: What a byte is for the chunks: white space, letter or digit, punctuation, apostrophe, other.
+_SPACE, _LETTER, _POINT, _APOSTROPHE, _OTHER = range(5)
 _state: dict = {}
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and which pairs of bytes are a letter that stays one in lower case."""
+    kinds, letters = np.full(256, _OTHER, np.uint8), np.zeros(1 << 16, bool)
+    for b in range(32, 127):
+        kinds[b] = _LETTER if chr(b).isalnum() else _POINT
+    kinds[[32, *range(9, 14)]] = _SPACE
+    kinds[ord("'")] = _APOSTROPHE
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x400, 0x460)]):  # Latin, Cyrillic
+        if c.isalpha() and len(c.lower()) == 1:
+            letters[int.from_bytes(c.encode(), "big")] = True
+    return kinds, letters
+
+
+def _breaks() -> np.ndarray:
+    """Where a chunk begins, by 5 times the kind before and the kind of its first byte."""
+    found = np.zeros((5, 5), bool)
+    found[_SPACE, _SPACE + 1 :] = True
+    found[_LETTER, [_POINT, _APOSTROPHE]] = True
+    found[_POINT, _LETTER] = True
+    return found.ravel()
+
+
+_KINDS, _LETTERS = _kinds()
+_BREAKS = _breaks()
+
+
+def chunked(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All chunks of the texts in order, and at which chunk each text begins (and the last ends)."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    kind = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xD1))
+    lead = lead[_LETTERS[data[lead].astype(np.uint16) << 8 | data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    first = np.zeros(len(data), bool)
+    first[1:] = _BREAKS[kind[:-1] * 5 + kind[1:]]
+    kept = kind != _SPACE
+    body = data[kept]
+    starts = np.append(np.flatnonzero(first[kept]), len(body)).astype(np.int32)
+    chunks = pa.Array.from_buffers(
+        pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(body)])
+    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return chunks, np.searchsorted(np.flatnonzero(first), begins)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...``, ``sizes[i]`` of them, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokenizer:
     """Token ids (little-endian 32-bit) of whole texts by a tokenizer that never joins words.
 
     The tokenizer lower-cases, drops white space and splits there and between letters and
-    punctuation, so the ids of a text are those of its chunks, and chunks repeat. A text with a
-    mark that could be a special token goes to the tokenizer whole. A-Z are lower-cased here, so
-    that more chunks repeat, but not in chunks with combining marks: the tokenizer composes before
-    it lower-cases, and some small letters have a composed form that the capital lacks.
+    punctuation, so the ids of a text are those of its chunks, and chunks repeat. A chunk ends at
+    white space and where letters or digits and ASCII punctuation meet, but an apostrophe stays
+    with what follows it. Letters beyond ASCII count where they are surely one, so not with
+    combining marks. A text with a mark that could be a special token goes to the tokenizer whole.
+    A-Z are lower-cased here, so that more chunks repeat, but not in texts with combining marks:
+    the tokenizer composes before it lower-cases, and some small letters have a composed form that
+    the capital lacks.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
         encode = self.tokenizer.encode_batch_fast
-        found = encode([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [x.ids for x in encode([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _slots(self, chunks: np.ndarray) -> np.ndarray:
+        """Where the ids of each chunk are remembered, after those of new ones were made."""
+        if len(self.known) > CACHED_CHUNKS:
+            self._forget()
+        slots = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = chunks[missing].tolist()
+            found = self._encode(new)
+            slots[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, slots[missing].tolist()))
+            ends = self.ends[-1] + np.cumsum([len(x) for x in found])
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), "<u4"))
+            self.ends = np.append(self.ends, ends)
+        return slots
+
+    def _group(self, texts: list[bytes]) -> Iterator[bytes]:
+        chunks, begins = chunked(
+            [t if _MARK.search(t) else t.translate(LOWER) for t in texts])
+        coded = chunks.dictionary_encode()
+        slots = self._slots(coded.dictionary.to_numpy(zero_copy_only=False))
+        slots = slots[coded.indices.to_numpy()]
+        starts = self.ends[slots]
+        sizes = self.ends[slots + 1] - starts
+        ids = self.ids[_ranges(starts, sizes)].tobytes()
+        at = np.append(0, 4 * np.cumsum(sizes))[begins].tolist()
+        for a, b in pairwise(at):
+            yield ids[a:b]
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        group, size = [], 0
         for text in texts:
-            if not text:
-                yield b""
-            elif b"<|" in text:
-                yield self._encode([text])[0]
-            else:
-                if _MARK.search(text):
-                    chunks = [c if _MARK.search(c) else c.translate(LOWER)
-                              for c in _POINT.sub(rb" \1", text).split()]
-                else:
-                    chunks = _POINT.sub(rb" \1", text.translate(LOWER)).split()
-                if len(self.known) > CACHED_CHUNKS:
-                    self.known.clear()
-                if new := list(set(chunks).difference(self.known)):
-                    self.known.update(zip(new, self._encode(new)))
-                yield b"".join(map(self.known.__getitem__, chunks))
+            if text and b"<|" in text:
+                yield from self._group(group)
+                group, size = [], 0
+                yield np.array(self._encode([text])[0], dtype="<u4").tobytes()
+                continue
+            group.append(text or b"")
+            size += len(group[-1])
+            if size >= GROUP_BYTES:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
 
 
 def tokenizer_at(path: str | None) -> WordTokenizer:

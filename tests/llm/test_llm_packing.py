@@ -67,6 +67,35 @@ def test_marks_that_compose_with_capitals():
     assert after and all(packing._MARK.match(c.encode()) for c in after)
 
 
+def test_words_are_encoded_once_whatever_stands_around_them():
+    tokens = packing.tokenizer_at(None)
+    tokens._forget()
+    list(tokens([b"(word) word### $word! Word, ``word'' word's", "été. Été... «été».".encode()]))
+    assert sum(b"word" in chunk for chunk in tokens.known) == 1
+    assert b"'s" in tokens.known and "été".encode() in tokens.known
+
+
+def test_each_character_around_and_inside_words():
+    plain, tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), (
+        packing.tokenizer_at(None))
+    chars = [chr(c) for c in [*range(1, 0x600), *range(0x1E00, 0x2200), *range(0x3000, 0x3100)]]
+    texts = [f"a{c}.x {c}'s.{c},b 'S{c}#{c} A{c}" for c in chars]
+    wanted = plain.encode_batch_fast(texts, add_special_tokens=False)
+    for text, w, got in zip(texts, wanted, tokens([t.encode() for t in texts])):
+        assert np.frombuffer(got, "<u4").tolist() == w.ids, text
+
+
+def test_groups_of_texts_keep_their_order(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 10)
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", 3)
+    plain, tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), (
+        packing.tokenizer_at(None))
+    texts = ["one two", None, "three <|endoftext|>", "", "four. five six seven", " ", "one", "two."]
+    wanted = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    made = tokens([None if t is None else t.encode() for t in texts])
+    assert [np.frombuffer(got, "<u4").tolist() for got in made] == wanted
+
+
 def test_kept_ids_make_the_sequences(spark):
     texts = ["one two three.", "four five", "", "six"]
     packed = packing.pack(documents(spark, texts), capacity=8, keep_ids=True)
